@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,29 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def by_key(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table | None], schema: str, rows: int = 20_000) -> DataFrame:
+    """``fn`` over tables of whole groups of ``key``, many groups at once: rows are dealt and sorted by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= rows:
+                table = pa.Table.from_batches(held)
+                keys = table.column(key).to_numpy()
+                cut = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+                if cut and (out := fn(table.slice(0, cut))) is not None:
+                    yield from out.to_batches()
+                held, n = table.slice(cut).to_batches(), table.num_rows - cut
+        if held and (out := fn(pa.Table.from_batches(held))) is not None:
+            yield from out.to_batches()
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def span_text(spans: Column) -> Column:
     """``kind:start:end`` of every span, comma-joined."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))

@@ -6,10 +6,12 @@ bin is filled; from round BINS on, round i fills bin i - BINS alone, so all bins
 BANDS bands of ROWS coordinates make buckets: a pair of similarity 0.75 shares none with probability
 (1 - 0.75^4)^32, 5 in a million; more similar pairs less.  Candidates are confirmed on full sets.
 
-Equal sets become one node first, so a group of copies costs one.  Within a bucket no pairs are spelled out:
-every node is compared with a few leaders, links merge components, and buckets that still hold two components
-go on without those leaders, until each bucket holds one.  Each pair of a bucket is thus confirmed, refuted or
-already in one component, and components are those of all pairs.
+Equal sets become one node first, so a group of copies costs one.  Within a bucket every node is first confirmed
+against a leader, then against LEADERS others, and links merge components: this unites large groups of near
+copies in linear time.  Buckets that still hold two components are cut in chunks; each pair of chunks is one
+piece of work, which compares 8 bits of each coordinate of nodes in different components and hands on only pairs
+with MIN_EQUAL equal ones (a pair of similarity 0.75 has 96 on average, deviation 5, and falls below with a
+chance of 3 in a million).  Each pair of a bucket is thus confirmed, refuted or already in one component.
 
 Texts that are null or without words have empty sets and are linked with nothing.  Null ids never become the
 component of others while another id is there; repeated rows share their set and so their component.
@@ -23,14 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import by_key, map_batches, written
 from .graph import components
 
 SHINGLE, BINS, BANDS, ROWS = 5, 128, 32, 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Leaders of a bucket in one round, after the first round with one.
-LEADERS = 8
+#: Leaders of a bucket in the second round, nodes of a chunk, coordinates that candidates of the last round share.
+LEADERS, CHUNK, MIN_EQUAL = 4, 256, 74
+#: Ids up to which those of candidates are broadcast (about 30 bytes each) to read their texts; beyond, the join shuffles.
+BROADCAST_IDS = 500_000
 U = np.uint64
 ODD = (np.random.default_rng(7).integers(1, 1 << 63, size=8, dtype=np.uint64) << U(1)) | U(1)
 SEEDS = np.random.default_rng(11).integers(0, 1 << 63, size=2 * BINS, dtype=np.uint64)
@@ -88,19 +92,21 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (128 bits of the set; null if empty), bands."""
+    """doc_id, n_shingles, fp (128 bits of the set; null if empty), bands, short (8 bits of each coordinate)."""
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, fp, own = [], [], []
+        n, fp, own, short = [], [], [], []
         for text in batch.column(1):
             s = shingles(text.as_py(), hashes)
             n.append(len(s))
             fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            own.append(bands(sketch(s)) if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "fp", "bands"])
+            coordinates = sketch(s) if len(s) else None
+            own.append(bands(coordinates) if len(s) else None)
+            short.append((coordinates & U(255)).astype(np.uint8).tobytes() if len(s) else None)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "n_shingles", "fp", "bands", "short"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_shingles long, fp binary, bands array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_shingles long, fp binary, bands array<long>, short binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -122,11 +128,42 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * common >= PERCENT * (na + nb - common)).select("a", "b")
 
 
+def chunk_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates (a, b, ca, cb) among rows of (bucket, k, node, n, component, short), k being the bucket's rows."""
+    chunks = F.ceil(F.col("k") / CHUNK).cast("int")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), chunks - 1))
+    work = rows.withColumn("other", other).select(F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("work"), "chunk", "node", "n", "component", "short")
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, chunk, node, n, component = (table.column(c).to_numpy() for c in ("work", "chunk", "node", "n", "component"))
+        short = np.frombuffer(b"".join(table.column("short").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        found = []
+        for i, j in zip(start, np.append(start[1:], len(key)), strict=True):
+            across = (chunk[i:j] != chunk[i]).any()  # pairs within a chunk have their own piece of work
+            for at in range(i, j, CHUNK):
+                to = min(at + CHUNK, j)
+                fits = (node[at:to, None] < node[None, i:j]) & (component[at:to, None] != component[None, i:j])
+                fits &= PERCENT * np.maximum(n[at:to, None], n[None, i:j]) <= 100 * np.minimum(n[at:to, None], n[None, i:j])
+                if across:
+                    fits &= chunk[at:to, None] != chunk[None, i:j]
+                a, b = np.nonzero(fits)
+                for k in range(0, len(a), 50_000):
+                    x, y = a[k : k + 50_000] + at, b[k : k + 50_000] + i
+                    keep = (short[x] == short[y]).sum(1) >= MIN_EQUAL
+                    found.append((x[keep], y[keep]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": node[a], "b": node[b], "ca": component[a], "cb": component[b]})
+
+    return by_key(work, "work", compare, "a long, b long, ca long, cb long").dropDuplicates(["a", "b"])
+
+
 def link(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, n_same_set."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = written(sketched(docs), "sketches")
-    distinct = rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same_set"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    distinct = rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same_set"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short"))
     # Nodes are numbered in the order of their smallest id: originals tend to lead their copies.
     nodes = written(distinct.orderBy("first_id").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -134,16 +171,21 @@ def link(docs: DataFrame) -> DataFrame:
     crowded = members.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
     shared = written(members.join(crowded, "bucket").join(nodes.select("node", "n"), "node"), "buckets")
     wanted = shared.select("node").distinct().join(nodes, "node").select("node", "fp", "first_id")
-    texts = docs.join(wanted.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    ids = written(wanted.select("first_id").distinct(), "wanted")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     sets = written(full_sets(texts).join(wanted.select("fp", "node"), "fp").select("node", "shingles").dropDuplicates(["node"]), "sets")
 
     merged = nodes.select("node", F.col("node").alias("component"))
-    open_rows, tested, leaders = shared.withColumn("component", F.col("node")), None, 1
-    while True:
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        heads = open_rows.withColumn("rank", rank).where(F.col("rank") <= leaders).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        sizes = PERCENT * F.greatest("n", "na") <= 100 * F.least("n", "na")
-        pairs = open_rows.join(heads, "bucket").where((F.col("node") > F.col("a")) & (F.col("component") != F.col("ca")) & sizes).select("a", F.col("node").alias("b"), "ca", F.col("component").alias("cb")).dropDuplicates(["a", "b"])
+    open_rows, tested = shared.withColumn("component", F.col("node")), None
+    for leaders in (1, LEADERS, None):
+        if leaders:
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+            heads = open_rows.withColumn("rank", rank).where(F.col("rank") <= leaders).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+            sizes = PERCENT * F.greatest("n", "na") <= 100 * F.least("n", "na")
+            pairs = open_rows.join(heads, "bucket").where((F.col("node") > F.col("a")) & (F.col("component") != F.col("ca")) & sizes).select("a", F.col("node").alias("b"), "ca", F.col("component").alias("cb")).dropDuplicates(["a", "b"])
+        else:
+            pairs = chunk_pairs(open_rows.join(nodes.select("node", "short"), "node"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -152,14 +194,15 @@ def link(docs: DataFrame) -> DataFrame:
         moves = components(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
         step = lambda df: df.join(moves, "component", "left").withColumn("component", F.coalesce("to", "component")).drop("to")
         merged = written(step(merged), "merged")
+        if not leaders:
+            break
         # Leaders have met all of their bucket; buckets of one component have nothing left to find.
         rest = step(open_rows.join(heads.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti"))
-        mixed_ones = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        open_rows = written(rest.join(mixed_ones, "bucket"), "open")
+        several = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("bucket", "k")
+        open_rows = written(rest.drop("k").join(several, "bucket"), "open")
         if open_rows.isEmpty():
             break
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        leaders = LEADERS
     ids = nodes.join(merged, "node")
     low = ids.groupBy("component").agg(F.min("first_id").alias("component_id"))
     found = ids.join(low, "component").select("fp", "component_id", "n_same_set")
