@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, written
 
 MIN_REVISIT, RECORDS_PER_FILE, MAX_MEMBER = 100, 1000, 1 << 28
+#: Repeated payloads up to which their digests are broadcast (about 150 bytes each).
+BROADCAST_ROWS = 100_000
 DATE = "1970-01-01T00:00:00Z"
 RECORD = re.compile(rb"WARC/1\.[01]\r\n")
 START = re.compile(rb"(?<![^\n])WARC/1\.[01]\r\n|\x1f\x8b\x08")
@@ -40,9 +42,12 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, html, digest, n_bytes and refers_to: the smallest id of an equal payload, null for responses."""
     rows = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumns({"digest": F.sha2("html", 256), "n_bytes": F.octet_length("html").cast("long")})
+    # Usually few payloads repeat: then their digests are sent to the pages, else both are dealt by digest.
     firsts = rows.where(F.col("n_bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where(F.col("n") > 1)
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id", "n")
+    firsts = written(firsts.select("digest", "first_id"), "firsts")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
+    return rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
 
 
 def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, date: str = DATE) -> None:
