@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and random strings told from identifiers by two character Markov models.
 
 Two first-order character models, one of random strings (the values the patterns find) and one of
-ordinary identifiers (other words), are counted by Spark over a bounded sample of labelled rows.  A
+ordinary identifiers (other words, digits at most a quarter), are counted by Spark over a bounded sample of labelled rows.  A
 candidate token is a secret where the log-likelihood ratio of the two models, a character, is high.
 
 Null and empty texts have no spans; null ids are passed through; repeated rows are scanned one by one.
@@ -88,7 +88,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> MarkovPair:
                 continue
             base = base_spans(text)
             random += [v for *_, v in base if len(v) >= 16]
-            ident += {m[0] for m in IDENTIFIER.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e, _ in base)}
+            ident += {m[0] for m in IDENTIFIER.finditer(text) if 4 * sum(c.isdigit() for c in m[0]) <= len(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base)}
         sums = np.stack([np.bincount(_pairs(*x), minlength=N * N) for x in (random, ident)])
         label, pair = np.nonzero(sums)
         return pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(sums[label, pair])], names=["label", "pair", "n"])
