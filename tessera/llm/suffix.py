@@ -23,7 +23,7 @@ Rows with the same id don't affect each other.  An empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 WIDTH, GRAM = 50, 24
 WINDOW = WIDTH - GRAM + 1
 #: Bytes of text of a batch, and windows of a run of new documents.
-BATCH_BYTES, RUN_WINDOWS = 12_000_000, 1 << 19
+BATCH_BYTES, RUN_WINDOWS = 6_000_000, 1 << 18
 CHUNK = 1 << 18
 U = np.uint64
 ODD = (np.random.default_rng(23).integers(1, 1 << 63, size=8, dtype=np.uint64) << U(1)) | U(1)
@@ -77,7 +77,8 @@ class Batch:
     def suffixes(self) -> tuple[np.ndarray, ...]:
         """row, first window, windows (a run that owns the suffix), hash of the suffix's first GRAM bytes."""
         size = int(self.sizes.sum())
-        self.data = b"".join(self.texts) + bytes(64)
+        self.data = b"".join([*self.texts, bytes(64)])
+        self.texts = []
         self.view = view = at_every_byte(self.data)
         self.doc = np.array([-1 if i is None else i for i in self.ids], dtype=np.int64)
         known = np.array([i is not None for i in self.ids], dtype=bool)
@@ -214,22 +215,28 @@ class Family:
             self.levels[-1] = np.sort(np.concatenate((self.levels[-1], last)), kind="stable")
 
 
-def earlier(keys: np.ndarray, doc: np.ndarray, run_windows: int = RUN_WINDOWS) -> np.ndarray:
-    """For windows in order of document: does one with the same key lie in an earlier document?"""
-    out, family, i = np.zeros(len(keys), dtype=bool), Family(), 0
-    while i < len(keys):
-        j = min(i + run_windows, len(keys))
-        j = int(np.searchsorted(doc, doc[j - 1], "right"))  # a document is never split
-        order = np.argsort(keys[i:j], kind="stable")
-        k, d = keys[i:j][order], doc[i:j][order]
+def earlier(keys_of: Callable[[int, int], tuple[np.ndarray, np.ndarray]], ends: np.ndarray, docs: np.ndarray, run_windows: int = RUN_WINDOWS) -> Iterator[np.ndarray]:
+    """For entries in order of document: which of their windows does an earlier document hold?
+
+    ``ends``: windows up to the end of each entry; ``keys_of(i, j)``: the keys of the windows of entries i to j,
+    and the document of each.  Yields a mask of windows for each run, so only a run's windows are held at once.
+    """
+    family, i, before = Family(), 0, 0
+    while i < len(ends):
+        j = min(int(np.searchsorted(ends, before + run_windows)) + 1, len(ends))
+        j = int(np.searchsorted(docs, docs[j - 1], "right"))  # a document is never split
+        keys, doc = keys_of(i, j)
+        order = np.argsort(keys, kind="stable")
+        k, d = keys[order], doc[order]
         new = np.concatenate(([True], k[1:] != k[:-1]))
         group = np.cumsum(new) - 1
         array = k[new]
         old = family.scan(array)
-        out[i:j][order] = old[group] | (d > d[new][group])
+        out = np.zeros(len(keys), dtype=bool)
+        out[order] = old[group] | (d > d[new][group])
         family.add(array[~old])
-        i = j
-    return out
+        yield out
+        i, before = j, int(ends[j - 1])
 
 
 MATCHES = pa.schema([("batch", pa.int32()), ("row", pa.binary()), ("first", pa.binary()), ("mask", pa.binary())])
@@ -246,21 +253,37 @@ def match(table: pa.Table) -> pa.Table:
             parts.append((name, np.frombuffer(row, np.int32), np.frombuffer(first, np.int32), n, np.frombuffer(doc, np.int64), text))
     if parts:
         data = b"".join(p[5] for p in parts) + bytes(64)
+        source = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[1]) for p in parts])
+        parts = [p[:5] for p in parts]
         row, first, n, doc = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
-        source = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
         length = n + WIDTH - 1
         begin = np.cumsum(length) - length
         order = np.argsort(doc, kind="stable")
-        count = n[order]
-        entry = np.repeat(order, count)
-        offset = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
-        hit = earlier(window_hashes(at_every_byte(data), begin[entry] + offset), doc[entry])
+        n, doc, begin = n[order], doc[order], begin[order]
+        ends, view = np.cumsum(n), at_every_byte(data)
         mask = np.zeros(len(n), dtype=np.int64)
-        np.add.at(mask, entry[hit], np.int64(1) << offset[hit])
+
+        def places(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+            """The entry of each window of entries i to j, and its offset there."""
+            count = n[i:j]
+            return np.repeat(np.arange(i, j), count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+        def keys_of(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+            entry, offset = places(i, j)
+            return window_hashes(view, begin[entry] + offset), doc[entry]
+
+        at = 0
+        for hit in earlier(keys_of, ends, doc):
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + len(hit))) + 1
+            entry, offset = places(at, to)
+            np.add.at(mask, entry[hit], np.int64(1) << offset[hit])
+            at = to
+        back = np.empty_like(mask)
+        back[order] = mask
         for i, p in enumerate(parts):
-            k = np.flatnonzero((source == i) & (mask > 0))
+            k = np.flatnonzero((source == i) & (back > 0))
             if len(k):
-                rows.append((p[0], _blob(row[k]), _blob(first[k]), _blob(mask[k].astype(np.uint32))))
+                rows.append((p[0], _blob(row[k]), _blob(first[k]), _blob(back[k].astype(np.uint32))))
     return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), MATCHES, strict=True)], schema=MATCHES) if rows else MATCHES.empty_table()
 
 
