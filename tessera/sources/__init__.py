@@ -1,0 +1,61 @@
+"""Readers and writers of tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.columns import no_nan, q
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a CSV file with a header, every column as text: types come from ``infer_types``."""
+    return spark.read.csv(path, header=True, inferSchema=False)
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    """Nested structs as columns with dotted names."""
+
+    def leaves(schema: T.StructType, path: tuple[str, ...]):
+        for f in schema:
+            here = (*path, f.name)
+            if isinstance(f.dataType, T.StructType):
+                yield from leaves(f.dataType, here)
+            else:
+                yield here
+
+    return df.select(*[F.col(".".join(f"`{p}`" for p in path)).alias(".".join(path)) for path in leaves(df.schema, ())])
+
+
+def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """An array of records or one object, or (``lines``, which can be split) a record a line; nested structs flattened."""
+    return flattened(spark.read.json(path, multiLine=not lines))
+
+
+def json_column(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """A text column of JSON parsed by ``schema`` and flattened beside the others."""
+    return flattened(df.withColumn(column, F.from_json(q(column), schema)))
+
+
+def records(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A posted list of records."""
+    return spark.createDataFrame(rows)
+
+
+def head(df: DataFrame, key: str, n: int = 10) -> DataFrame:
+    return df.orderBy(key).limit(n)
+
+
+def tail(df: DataFrame, key: str, n: int = 10) -> DataFrame:
+    return df.orderBy(F.desc(key)).limit(n)
+
+
+def sink(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """Writes a result; NaN and infinities become null, as JSON and most readers expect."""
+    doubles = {c for c, t in df.dtypes if t in ("double", "float")}
+    df.select(*[no_nan(q(c)).alias(c) if c in doubles else q(c) for c in df.columns]).write.format(form).save(path)
