@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import per_column
@@ -18,19 +18,22 @@ from tessera.operators import roles as ro
 from tessera.operators.survival import cox
 from tessera.sources import table
 
-TREATED = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+def treated() -> Column:
+    return F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+
+
+def post() -> Column:
+    return F.col("o_orderdate") >= F.lit("1998-04-01").cast("timestamp_ntz")
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with their customers; treatment: an urgent priority; score: a made-up propensity from the account."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     score = 0.1 + 0.8 * F.pmod(F.col("o_orderkey") * 37, F.lit(1000)) / 1000
-    return o.withColumns({"treated": TREATED.cast("int"), "score": score, "nation": F.col("c_nationkey").cast("double")})
+    return o.withColumns({"treated": treated().cast("int"), "score": score, "nation": F.col("c_nationkey").cast("double")})
 
 
 ORDERS = "(SELECT *, (o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT AS treated, 0.1::DOUBLE + 0.8::DOUBLE * ((o_orderkey * 37) % 1000) / 1000 AS score, c_nationkey::DOUBLE AS nation FROM orders JOIN customer ON o_custkey = c_custkey)"
-POST = F.col("o_orderdate") >= F.lit("1998-04-01").cast("timestamp_ntz")
-
 
 def sums(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """Count, mean and deviation of columns: a digest of derived columns."""
@@ -127,23 +130,23 @@ def instrument(spark, sf):
 
 
 def difference_in_differences(spark, sf):
-    return p.rounded(c.did(orders(spark, sf), POST, TREATED, "o_totalprice"), 4)
+    return p.rounded(c.did(orders(spark, sf), post(), treated(), "o_totalprice"), 4)
 
 
 def did_regression(spark, sf):
-    return p.rounded(c.did_regression(orders(spark, sf), POST, TREATED, "o_totalprice").where("term = 'post_x_treated'").select("term", "coefficient"), 3)
+    return p.rounded(c.did_regression(orders(spark, sf), post(), treated(), "o_totalprice").where("term = 'post_x_treated'").select("term", "coefficient"), 3)
 
 
 def pre_trend(spark, sf):
-    return p.rounded(c.pre_trend(orders(spark, sf), F.date_trunc("month", "o_orderdate").cast("date"), POST, TREATED, "o_totalprice"), 4)
+    return p.rounded(c.pre_trend(orders(spark, sf), F.date_trunc("month", "o_orderdate").cast("date"), post(), treated(), "o_totalprice"), 4)
 
 
 def robustness(spark, sf):
-    return p.rounded(c.robustness(orders(spark, sf), "o_orderkey", TREATED, "o_totalprice", "c_mktsegment", "o_orderdate", replicates=0), 3)
+    return p.rounded(c.robustness(orders(spark, sf), "o_orderkey", treated(), "o_totalprice", "c_mktsegment", "o_orderdate", replicates=0), 3)
 
 
 def robustness_bootstrap(spark, sf):
-    return p.rounded(c.robustness(orders(spark, sf), "o_orderkey", TREATED, "o_totalprice", "c_mktsegment", "o_orderdate"), 3)
+    return p.rounded(c.robustness(orders(spark, sf), "o_orderkey", treated(), "o_totalprice", "c_mktsegment", "o_orderdate"), 3)
 
 
 def business_effect(spark, sf):
