@@ -104,7 +104,8 @@ class Batch:
         e = np.minimum(e, self.begin[row] + self.sizes[row] - WIDTH + 1)
         keep = (s < e) & known[row] & (a < size)
         a, s, e, row = a[keep], s[keep], e[keep], row[keep]
-        return row, s, e - s, gram_hashes(view, a)
+        # Hashes of sampled suffixes are small ones: mixed once more, they spread evenly over the shards.
+        return row, s, e - s, mixed(gram_hashes(view, a) * ODD[6])
 
 
 def shard_key(h: np.ndarray, shards: int) -> np.ndarray:
@@ -253,7 +254,6 @@ def match(table: pa.Table) -> pa.Table:
             parts.append((name, np.frombuffer(row, np.int32), np.frombuffer(first, np.int32), n, np.frombuffer(doc, np.int64), text))
     if parts:
         data = b"".join(p[5] for p in parts) + bytes(64)
-        source = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[1]) for p in parts])
         parts = [p[:5] for p in parts]
         row, first, n, doc = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
         length = n + WIDTH - 1
@@ -280,8 +280,9 @@ def match(table: pa.Table) -> pa.Table:
             at = to
         back = np.empty_like(mask)
         back[order] = mask
-        for i, p in enumerate(parts):
-            k = np.flatnonzero((source == i) & (back > 0))
+        upto = np.cumsum([len(p[1]) for p in parts])
+        for p, x, y in zip(parts, upto - [len(p[1]) for p in parts], upto, strict=True):
+            k = np.flatnonzero(back[x:y]) + x
             if len(k):
                 rows.append((p[0], _blob(row[k]), _blob(first[k]), _blob(back[k].astype(np.uint32))))
     return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), MATCHES, strict=True)], schema=MATCHES) if rows else MATCHES.empty_table()
