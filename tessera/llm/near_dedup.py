@@ -11,7 +11,7 @@ against a leader, then against LEADERS others, and links merge components: this
 copies in linear time.  Buckets that still hold two components are cut in chunks; each pair of chunks is one
 piece of work, which compares 8 bits of each coordinate of nodes in different components and hands on only pairs
 with MIN_EQUAL equal ones (a pair of similarity 0.75 has 96 on average, deviation 5, and falls below with a
-chance of 3 in a million).  Each pair of a bucket is thus confirmed, refuted or already in one component.
+chance of 3 in a million) whose shingles, cut to 16 bits, could be similar enough.  Each pair of a bucket is thus confirmed, refuted or already in one component.
 
 Texts that are null or without words have empty sets and are linked with nothing.  Null ids never become the
 component of others while another id is there; repeated rows share their set and so their component.
@@ -110,14 +110,14 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """fp and the sorted shingles of every document with words."""
+    """fp, the sorted shingles of every document with words, and 16 bits of each."""
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [x for t in batch.column(0) if len(x := shingles(t.as_py(), hashes))]
-        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([(s & U(0xFFFF)).astype(np.uint16).tobytes() for s in sets], pa.binary())], names=["fp", "shingles", "tiny"])
 
-    return map_batches(docs.select(F.col("text").cast("string")), run, "fp binary, shingles array<long>")
+    return map_batches(docs.select(F.col("text").cast("string")), run, "fp binary, shingles array<long>, tiny binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -129,15 +129,24 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def chunk_pairs(rows: DataFrame) -> DataFrame:
-    """Candidates (a, b, ca, cb) among rows of (bucket, k, node, n, component, short), k being the bucket's rows."""
+    """Candidates (a, b, ca, cb) among rows of (bucket, k, node, n, component, short, bands, tiny), k being the bucket's rows.
+
+    A pair is compared in its first common bucket alone.  (Where that one is closed, or had one of the two as a
+    leader, the pair is in one component or tested.)  Pairs handed on are those whose sets, cut to 16 bits a shingle,
+    could reach the similarity: cutting adds common shingles and loses none.
+    """
     chunks = F.ceil(F.col("k") / CHUNK).cast("int")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    work = rows.withColumn("other", other).select(F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("work"), "chunk", "node", "n", "component", "short")
+    work = rows.withColumn("other", other).select(F.xxhash64("bucket", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("work"), "bucket", "chunk", "node", "n", "component", "short", "bands", "tiny")
 
     def compare(table: pa.Table) -> pa.Table:
-        key, chunk, node, n, component = (table.column(c).to_numpy() for c in ("work", "chunk", "node", "n", "component"))
+        key, bucket, chunk, node, n, component = (table.column(c).to_numpy() for c in ("work", "bucket", "chunk", "node", "n", "component"))
         short = np.frombuffer(b"".join(table.column("short").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        own = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        tiny = table.column("tiny").to_pylist()
+        flat, upto = np.frombuffer(b"".join(tiny), dtype=np.uint16), np.cumsum([0, *(len(x) // 2 for x in tiny)])
+        holds = np.zeros(1 << 16, dtype=bool)
         start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         found = []
         for i, j in zip(start, np.append(start[1:], len(key)), strict=True):
@@ -149,10 +158,26 @@ def chunk_pairs(rows: DataFrame) -> DataFrame:
                 if across:
                     fits &= chunk[at:to, None] != chunk[None, i:j]
                 a, b = np.nonzero(fits)
-                for k in range(0, len(a), 50_000):
-                    x, y = a[k : k + 50_000] + at, b[k : k + 50_000] + i
+                for k in range(0, len(a), 20_000):
+                    x, y = a[k : k + 20_000] + at, b[k : k + 20_000] + i
+                    first = (own[x] == own[y]).argmax(1)
+                    keep = own[x, first] == bucket[i]
+                    x, y = x[keep], y[keep]
                     keep = (short[x] == short[y]).sum(1) >= MIN_EQUAL
-                    found.append((x[keep], y[keep]))
+                    x, y = x[keep], y[keep]
+                    if not len(x):
+                        continue
+                    # Candidates of one node at a time: its shingles in a table, those of all others looked up there.
+                    cuts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+                    for p, q in zip(cuts, np.append(cuts[1:], len(x)), strict=True):
+                        mine = flat[upto[x[p]] : upto[x[p] + 1]]
+                        holds[mine] = True
+                        theirs = np.concatenate([flat[upto[r] : upto[r + 1]] for r in y[p:q]])
+                        sizes = upto[y[p:q] + 1] - upto[y[p:q]]
+                        common = np.add.reduceat(holds[theirs].astype(np.int64), np.cumsum(sizes) - sizes)
+                        holds[mine] = False
+                        good = 100 * common >= PERCENT * (n[x[p]] + n[y[p:q]] - common)
+                        found.append((x[p:q][good], y[p:q][good]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return pa.table({"a": node[a], "b": node[b], "ca": component[a], "cb": component[b]})
 
@@ -174,7 +199,7 @@ def link(docs: DataFrame) -> DataFrame:
     ids = written(wanted.select("first_id").distinct(), "wanted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = written(full_sets(texts).join(wanted.select("fp", "node"), "fp").select("node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = written(full_sets(texts).join(wanted.select("fp", "node"), "fp").select("node", "shingles", "tiny").dropDuplicates(["node"]), "sets")
 
     merged = nodes.select("node", F.col("node").alias("component"))
     open_rows, tested = shared.withColumn("component", F.col("node")), None
@@ -185,7 +210,7 @@ def link(docs: DataFrame) -> DataFrame:
             sizes = PERCENT * F.greatest("n", "na") <= 100 * F.least("n", "na")
             pairs = open_rows.join(heads, "bucket").where((F.col("node") > F.col("a")) & (F.col("component") != F.col("ca")) & sizes).select("a", F.col("node").alias("b"), "ca", F.col("component").alias("cb")).dropDuplicates(["a", "b"])
         else:
-            pairs = chunk_pairs(open_rows.join(nodes.select("node", "short"), "node"))
+            pairs = chunk_pairs(open_rows.join(nodes.select("node", "short", "bands"), "node").join(sets.select("node", "tiny"), "node"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
