@@ -6,8 +6,8 @@
    to blocks of about BLOCK nodes; within a block each node finds its K nearest.
 3. NN-descent: every node gathers the vectors of its neighbours and (K at most, by hash) reverse neighbours, and
    tells each pair of them that is nearer than what they have; rounds end when few changes are left.
-4. A query is a node of the index (every row is indexed).  Its beam starts with its own list; each of ROUNDS
-   rounds expands the best EXPAND nodes that weren't expanded yet, by one join with the graph.
+4. A query is a node of the index (every row is indexed).  Its beam starts with its own list (and those of the
+   longest vectors, where norms differ); each of ROUNDS rounds expands the best EXPAND nodes that weren't expanded yet, by one join with the graph.
 5. The best BEAM are scored with the original vectors in double precision, and copies are listed by id.
 
 Steps 2 to 4 use 8-bit vectors; only step 5's scores are returned.  Vectors that are null, zero, hold null or
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import by_key, written
 
-K, TREES, BLOCK, ITERATIONS, CHANGES = 32, 6, 3000, 2, 0.002
+K, TREES, BLOCK, ITERATIONS, CHANGES = 32, 6, 5000, 2, 0.002
 ROUNDS, EXPAND, BEAM = 3, 36, 64
+#: Where norms differ, the longest vectors are starts of every walk as well: inner products favour them.
+HEADS = 64
 LISTS = "node long, nbrs binary, scores binary"
 LISTS_ARROW = pa.schema([("node", pa.int64()), ("nbrs", pa.binary()), ("scores", pa.binary())])
 
@@ -158,8 +160,8 @@ def descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
 class Index:
     """Nodes with their original and 8-bit vectors, the copies of each, and the graph."""
 
-    def __init__(self, nodes: DataFrame, copies: DataFrame, codes: DataFrame, graph: DataFrame):
-        self.nodes, self.copies, self.codes, self.graph = nodes, copies, codes, graph
+    def __init__(self, nodes: DataFrame, copies: DataFrame, codes: DataFrame, graph: DataFrame, heads: DataFrame | None = None):
+        self.nodes, self.copies, self.codes, self.graph, self.heads = nodes, copies, codes, graph, heads
 
 
 def build(vectors: DataFrame) -> Index:
@@ -173,7 +175,9 @@ def build(vectors: DataFrame) -> Index:
     rows = rows.where(F.size("embedding") == (length["d"] if length else 0))
     nodes = written(rows.groupBy("h", "embedding").agg(F.min("vec_id").alias("node")), "nodes")
     copies = written(rows.join(nodes, ["h", "embedding"]).select("vec_id", "node"), "copies")
-    n, top = nodes.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))).first()
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    n, top, low = nodes.agg(F.count("*"), F.max(norm), F.min(norm)).first()
+    heads = written(nodes.orderBy(norm.desc(), "node").limit(HEADS).select("node"), "heads") if n and low < 0.9 * top else None
     planes = max(0, round(math.log2(n / BLOCK))) if n else 0
     trees = TREES if planes else 1
     codes = written(packed(nodes, top or 0.0, trees, planes), "codes")
@@ -189,7 +193,7 @@ def build(vectors: DataFrame) -> Index:
         graph = written(by_key(graph.unionByName(found), "node", merged, LISTS), "graph")
         if found.count() < CHANGES * n:
             break
-    return Index(nodes, copies, codes, graph)
+    return Index(nodes, copies, codes, graph, heads)
 
 
 BEAM_SCHEMA = "query long, q binary, qscale double, ids binary, scores binary, done binary"
@@ -268,6 +272,8 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     nothing = F.lit(b"")
     beams = starts.select(F.col("node").alias("query"), F.col("code").alias("q"), F.col("scale").alias("qscale"), nothing.alias("ids"), nothing.alias("scores"), nothing.alias("done"))
     frontier = starts.select(F.col("node").alias("query"), F.col("code").alias("q"), F.col("scale").alias("qscale"), "node")
+    if index.heads is not None:
+        frontier = frontier.unionByName(frontier.drop("node").join(F.broadcast(index.heads)))  # HEADS rows
     for _ in range(ROUNDS + 1):
         found = frontier.join(near, "node").select("query", "q", "qscale", "nbrs", "codes", "scales").mapInArrow(expand, "query long, ids binary, scores binary")
         missing = found.select("query", F.lit(None).cast("binary").alias("q"), F.lit(None).cast("double").alias("qscale"), "ids", "scores", F.lit(None).cast("binary").alias("done"))
