@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and random strings told from identifiers by two character Markov models.
 
 Two first-order character models, one of random strings (the values the patterns find) and one of
-ordinary identifiers (other words, digits at most a quarter), are counted by Spark over a bounded sample of labelled rows.  A
+ordinary identifiers (other words, digits at most at their end), are counted by Spark over a bounded sample of labelled rows.  A
 candidate token is a secret where the log-likelihood ratio of the two models, a character, is high.
 
 Null and empty texts have no spans; null ids are passed through; repeated rows are scanned one by one.
@@ -10,6 +10,7 @@ Null and empty texts have no spans; null ids are passed through; repeated rows a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ KINDS = ("assign", "access", "hex")
 HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{6,}")
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z_-]{6,}[0-9]{0,2}(?![A-Za-z0-9_-])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.full(128, -1, dtype=np.int64)
 for _i, _c in enumerate(ALPHABET):
@@ -37,6 +38,8 @@ N = len(ALPHABET)
 
 #: Training documents at most (about); LLR a character and in all from which a candidate is a secret.
 TRAIN_DOCS, MIN_RATE, MIN_TOTAL = 20_000, 0.6, 15.0
+#: Rows whose texts are rewritten at once.
+SLICE = 1_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -70,10 +73,15 @@ class MarkovPair:
 
     @staticmethod
     def of(random: np.ndarray, ident: np.ndarray) -> MarkovPair:
-        """Counts of character pairs, shape (N * N). The random model is mixed with the uniform one."""
-        r, i = random.reshape(N, N) + 0.02, ident.reshape(N, N) + 0.02
-        p = 0.5 * r / r.sum(1, keepdims=True) + 0.5 / N
-        q = i / i.sum(1, keepdims=True)
+        """Counts of character pairs, shape (N * N).
+
+        Pairs back off to single characters: of identifiers, and evenly for random strings, whose model is
+        mixed with the even one, as the patterns find mostly hexadecimal values.
+        """
+        r, i = random.reshape(N, N), ident.reshape(N, N)
+        single = (i.sum(0) + 0.02) / (i.sum() + 0.02 * N)
+        p = 0.5 * (r + 5 / N) / (r.sum(1, keepdims=True) + 5) + 0.5 / N
+        q = (i + 5 * single) / (i.sum(1, keepdims=True) + 5)
         return MarkovPair(np.log(p / q).ravel(), bool(random.sum() and ident.sum()))
 
 
@@ -88,7 +96,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> MarkovPair:
                 continue
             base = base_spans(text)
             random += [v for *_, v in base if len(v) >= 16]
-            ident += {m[0] for m in IDENTIFIER.finditer(text) if 4 * sum(c.isdigit() for c in m[0]) <= len(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base)}
+            ident += {m[0] for m in IDENTIFIER.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e, _ in base)}
         sums = np.stack([np.bincount(_pairs(*x), minlength=N * N) for x in (random, ident)])
         label, pair = np.nonzero(sums)
         return pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(sums[label, pair])], names=["label", "pair", "n"])
@@ -133,21 +141,26 @@ def redact(docs: DataFrame, model: MarkovPair | None = None, mark: str = "[SECRE
     """Documents with every secret replaced by ``mark`` (overlapping spans as one) and ``n_chars`` recounted; columns stay."""
     model = model or fit(docs)
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
-        def one(text):
-            out, at = [], 0
-            for s in find(text, model):
-                if s["start"] >= at:
-                    out += [text[at : s["start"]], mark]
-                at = max(at, s["end"])
-            return text if not out else "".join(out) + text[at:]
-
-        return texts.map(one, na_action="ignore")
-
-    columns = docs.columns
-    out = docs.withColumn("text", cleaned(F.col("text")))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out).select(*columns)
+    def cleaned(text: str | None) -> str | None:
+        out, at = [], 0
+        for s in find(text, model):
+            if s["start"] >= at:
+                out += [text[at : s["start"]], mark]
+            at = max(at, s["end"])
+        return text if not out else "".join(out) + text[at:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                at = b.schema.get_field_index("text")
+                texts = [cleaned(t) for t in b.column(at).to_pylist()]
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                if (at := b.schema.get_field_index("n_chars")) >= 0:
+                    b = b.set_column(at, b.schema.field(at), pa.array([None if t is None else len(t) for t in texts], b.schema.field(at).type))
+                yield b
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
