@@ -1,52 +1,20 @@
-"""What the operators share: the folder for written tables, digests of spans, partition counts."""
+"""What the operators share: written tables, samples, whole groups in batches, digests of spans."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The A-Z and the white space that split words: fixed values of the word definition.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from tessera.functions.tables import new_path, written  # noqa: F401  (the operators take them from here)
 
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes the rows to the shared folder and reads them again.
-
-    Unlike cached blocks, the table survives lost executors, and later plans see its real size.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def parts(df: DataFrame) -> int:
-    """Partitions for a shuffle that moves about as much as ``df`` reads: grows with the input."""
-    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def sample_by_key(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows (all, if there are no more), chosen by a hash of ``key``: the same on every run."""
     total = df.count()

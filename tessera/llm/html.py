@@ -40,7 +40,7 @@ STRONG, WEAK, BONUS = -9.0, -3.0, 3.0
 #: Labelled pages (about) that weights are counted on, and the bounds of a learned weight.
 TRAIN_PAGES, CLIP = 5_000, 4.0
 #: Scores of a word (before its containers), of a usual and of the worst tag, of being a link, and of the worst word.
-WORD, TAG, DEEPEST_TAG, LINK, WORST_WORD = 1.0, -0.05, -0.6, -0.5, -0.5
+WORD, TAG, DEEPEST_TAG, LINK, WORST_WORD = 1.0, -0.05, -0.6, -0.5, -0.2
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

@@ -150,7 +150,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS, top_g
     for i, order, k, n in rows:
         row = i + size * (order > 0)
         table[row, k], order_of[row] = n, order
-    denominator = np.array([[total.get((o, x), 0) for x in languages] for o in range(max(ORDERS) + 1)], dtype=float).reshape(-1, len(languages))
+    denominator = np.array([[total.get((o, x), 0) for x in languages] for o in range(max(ORDERS) + 1)], dtype=float).reshape(max(ORDERS) + 1, len(languages))
     table = np.log((table + 0.5) / (denominator[order_of] + 0.5 * max(1, size))) if len(languages) else table
     return Backoff(languages, index[0], {g: i + size for g, i in index[1].items()}, table)
 
