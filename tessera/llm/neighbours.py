@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a graph, queries walk it greedily.
 
 1. Equal vectors become one node.  For the graph, vectors get one more coordinate that makes all norms equal, so
-   that inner products of any norms are near exactly where the extended vectors are.
+   that inner products of any norms are near exactly where the extended vectors are.  With E the largest norm, the
+   coordinate is E - gap, and products less E^2 are x.y + gap gap' - E gap - E gap': no large numbers cancel.
 2. The first graph comes from TREES random partitions: a partition deals nodes by the signs of random projections
    to blocks of about BLOCK nodes; within a block each node finds its K nearest.
 3. NN-descent: every node gathers the vectors of its neighbours and (K at most, by hash) reverse neighbours, and
@@ -10,9 +11,10 @@
    longest vectors, where norms differ); each of ROUNDS rounds expands the best EXPAND nodes that weren't expanded yet, by one join with the graph.
 5. The best BEAM are scored with the original vectors in double precision, and copies are listed by id.
 
-Steps 2 to 4 use 8-bit vectors; only step 5's scores are returned.  Vectors that are null, zero, hold null or
-non-finite components, or have another length than most take no part, nor do rows with a null id; of rows that
-share an id the smallest vector counts.  Fewer candidates than asked for are all returned.
+Steps 2 to 4 use vectors of 16 bits a component with a scale and gap of their own; only step 5's scores are
+returned.  Vectors that are null, zero, hold null or non-finite components, or have another length than most take
+no part, nor do rows with a null id; of rows that share an id the smallest vector counts.  Fewer candidates than
+asked for are all returned.
 """
 
 from __future__ import annotations
@@ -41,38 +43,50 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype=kind).reshape(len(values), -1)
 
 
-def _floats(codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    return codes.astype(np.float32) * scale[:, None].astype(np.float32)
+def _coded(x: np.ndarray, top: float) -> list[bytes]:
+    """16-bit components, then scale, gap and E * gap as floats."""
+    square = (x * x).sum(1)
+    gap = square / (math.sqrt(top) + np.sqrt(np.maximum(0.0, top - square)))
+    scale = np.maximum(np.abs(x).max(1), 1e-300) / 32767
+    code = np.rint(x / scale[:, None]).astype(np.int16)
+    tail = np.stack((scale, gap, math.sqrt(top) * gap), 1).astype(np.float32)
+    return [c.tobytes() + t.tobytes() for c, t in zip(code, tail, strict=True)]
+
+
+def _decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors with their gap as the last component, and E * gap, from rows of bytes."""
+    tail = np.ascontiguousarray(codes[:, -12:]).view(np.float32)
+    x = np.ascontiguousarray(codes[:, :-12]).view(np.int16).astype(np.float32) * tail[:, :1]
+    return np.concatenate((x, tail[:, 1:2]), 1), tail[:, 2]
 
 
 def packed(vectors: DataFrame, top: float, trees: int, planes: int) -> DataFrame:
-    """node, code (8-bit extended vector), scale, and cells: the block of the node in each tree."""
+    """node, code, and cells: the block of the node in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array(b.column(1).to_pylist(), dtype=np.float64)
             if not len(x):
                 continue
+            code = _coded(x, top)
             x = np.concatenate((x, np.sqrt(np.maximum(0.0, top - (x * x).sum(1)))[:, None]), 1)
-            scale = np.maximum(np.abs(x).max(1), 1e-300) / 127
-            code = np.rint(x / scale[:, None]).astype(np.int8)
             cells = []
             for t in range(trees):
                 sides = np.random.default_rng(1000 + t).normal(size=(x.shape[1], planes))
                 cells.append(((x @ sides) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(x), np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(scale, pa.float64()), pa.array(list(np.stack(cells, 1)), pa.list_(pa.int64()))], names=["node", "code", "scale", "cells"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.binary()), pa.array(list(np.stack(cells, 1)), pa.list_(pa.int64()))], names=["node", "code", "cells"])
 
-    return vectors.select("node", "embedding").mapInArrow(run, "node long, code binary, scale double, cells array<long>")
+    return vectors.select("node", "embedding").mapInArrow(run, "node long, code binary, cells array<long>")
 
 
 def block_lists(table: pa.Table) -> pa.Table:
     """The K nearest of each node within a block."""
     node = table.column("node").to_numpy()
-    x = _floats(_matrix(table.column("code"), np.int8), table.column("scale").to_numpy())
+    x, bias = _decoded(_matrix(table.column("code"), np.uint8))
     k = min(K, len(node) - 1)
     nbrs, scores = [], []
     for i in range(0, len(node), 512) if k else ():
-        s = x[i : i + 512] @ x.T
+        s = x[i : i + 512] @ x.T - bias - bias[i : i + 512, None]
         rows = np.arange(len(s))
         s[rows, rows + i] = -np.inf
         best = np.argpartition(-s, k - 1, 1)[:, :k]
@@ -125,11 +139,11 @@ def proposals(table: pa.Table) -> pa.Table:
     """Local joins of many centers: pairs of members nearer than the worst either has, as lists by member."""
     center, member = table.column("center").to_numpy(), table.column("member").to_numpy()
     worst = table.column("worst").to_numpy()
-    x = _floats(_matrix(table.column("code"), np.int8), table.column("scale").to_numpy())
+    x, bias = _decoded(_matrix(table.column("code"), np.uint8))
     start = np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1])))
     out = []
     for i, j in zip(start, np.append(start[1:], len(center)), strict=True):
-        s = x[i:j] @ x[i:j].T
+        s = x[i:j] @ x[i:j].T - bias[i:j] - bias[i:j, None]
         a, b = np.nonzero(s > worst[i:j, None])
         keep = member[i + a] != member[i + b]
         out.append((i + a[keep], i + b[keep], s[a[keep], b[keep]]))
@@ -153,12 +167,12 @@ def descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(s.min()) if len(s) >= K else -1e30 for s in scores], pa.float64())], names=["member", "worst"])
 
     known = graph.select("node", "scores").mapInArrow(worst, "member long, worst double")
-    members = both.join(codes.select(F.col("node").alias("member"), "code", "scale"), "member").join(known, "member")
-    return by_key(members.select("center", "member", "worst", "code", "scale"), "center", proposals, LISTS, rows=60_000)
+    members = both.join(codes.select(F.col("node").alias("member"), "code"), "member").join(known, "member")
+    return by_key(members.select("center", "member", "worst", "code"), "center", proposals, LISTS, rows=60_000)
 
 
 class Index:
-    """Nodes with their original and 8-bit vectors, the copies of each, and the graph."""
+    """Nodes with their original and 16-bit vectors, the copies of each, and the graph."""
 
     def __init__(self, nodes: DataFrame, copies: DataFrame, codes: DataFrame, graph: DataFrame, heads: DataFrame | None = None):
         self.nodes, self.copies, self.codes, self.graph, self.heads = nodes, copies, codes, graph, heads
@@ -181,12 +195,12 @@ def build(vectors: DataFrame) -> Index:
     planes = max(0, round(math.log2(n / BLOCK))) if n else 0
     trees = TREES if planes else 1
     codes = written(packed(nodes, top or 0.0, trees, planes), "codes")
-    cells = codes.select("node", "code", "scale", F.posexplode("cells").alias("tree", "cell"))
+    cells = codes.select("node", "code", F.posexplode("cells").alias("tree", "cell"))
     sizes = cells.groupBy("tree", "cell").agg(F.count("*").alias("k"))
     # Crowded cells are split at random.
     part = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("k") / (2 * BLOCK)))
     blocks = cells.join(sizes, ["tree", "cell"]).withColumn("part", part)
-    lists = blocks.select("tree", "cell", "part", "node", "code", "scale").groupBy("tree", "cell", "part").applyInArrow(block_lists, LISTS)
+    lists = blocks.select("tree", "cell", "part", "node", "code").groupBy("tree", "cell", "part").applyInArrow(block_lists, LISTS)
     graph = written(by_key(lists, "node", merged, LISTS), "graph")
     for _ in range(ITERATIONS if planes else 0):
         found = written(descend(graph, codes), "proposals")
@@ -196,15 +210,16 @@ def build(vectors: DataFrame) -> Index:
     return Index(nodes, copies, codes, graph, heads)
 
 
-BEAM_SCHEMA = "query long, q binary, qscale double, ids binary, scores binary, done binary"
+BEAM_SCHEMA = "query long, q binary, ids binary, scores binary, done binary"
 
 
 def _expand(table: pa.Table) -> pa.Table:
     """Scores of the neighbours of expanded nodes for the query of each row."""
-    x = _floats(_matrix(table.column("q"), np.int8), table.column("qscale").to_numpy())
+    q = _matrix(table.column("q"), np.uint8)
+    x = _decoded(q)[0]
     out = []
-    for i, (codes, scales) in enumerate(zip(table.column("codes").to_pylist(), table.column("scales").to_pylist(), strict=True)):
-        y = _floats(np.frombuffer(codes, np.int8).reshape(len(scales) // 4, -1), np.frombuffer(scales, np.float32))
+    for i, codes in enumerate(table.column("codes").to_pylist()):
+        y = _decoded(np.frombuffer(codes, np.uint8).reshape(-1, q.shape[1]))[0]
         # Queries have no extra coordinate: the score is the inner product.
         out.append((y[:, :-1] @ x[i, :-1]).astype(np.float32).tobytes())
     return pa.table({"query": table.column("query"), "ids": table.column("nbrs"), "scores": pa.array(out, pa.binary())})
@@ -213,28 +228,28 @@ def _expand(table: pa.Table) -> pa.Table:
 def _beams(table: pa.Table) -> pa.Table:
     """One beam for each query: the best BEAM of the old one and of what was found, and what is expanded next."""
     rows: dict[int, list] = {}
-    for query, q, qscale, ids, scores, done in zip(*(table.column(c).to_pylist() for c in ("query", "q", "qscale", "ids", "scores", "done")), strict=True):
-        own = rows.setdefault(query, [None, None, [], [], b""])
+    for query, q, ids, scores, done in zip(*(table.column(c).to_pylist() for c in ("query", "q", "ids", "scores", "done")), strict=True):
+        own = rows.setdefault(query, [None, [], [], b""])
         if q is not None:
-            own[0], own[1], own[4] = q, qscale, done
-        own[2].append(ids)
-        own[3].append(scores)
+            own[0], own[3] = q, done
+        own[1].append(ids)
+        own[2].append(scores)
     out = []
-    for query, (q, qscale, ids, scores, done) in rows.items():
+    for query, (q, ids, scores, done) in rows.items():
         ids, scores = np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(scores), np.float32)
         node, nbr, score = best_of(np.full(len(ids), query), ids, scores, BEAM)
-        out.append((query, q, qscale, nbr.tobytes(), score.astype(np.float32).tobytes(), done))
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["query", "q", "qscale", "ids", "scores", "done"])
+        out.append((query, q, nbr.tobytes(), score.astype(np.float32).tobytes(), done))
+    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["query", "q", "ids", "scores", "done"])
 
 
 def _frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query, q, qscale, node) of the best nodes of each beam that weren't expanded."""
+    """(query, q, node) of the best nodes of each beam that weren't expanded."""
     for b in batches:
         out = []
-        for query, q, qscale, ids, done in zip(*(b.column(c).to_pylist() for c in ("query", "q", "qscale", "ids", "done")), strict=True):
-            out += [(query, q, qscale, int(n)) for n in _next(ids, done)]
+        for query, q, ids, done in zip(*(b.column(c).to_pylist() for c in ("query", "q", "ids", "done")), strict=True):
+            out += [(query, q, int(n)) for n in _next(ids, done)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.float64(), pa.int64()), strict=True)], names=["query", "q", "qscale", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["query", "q", "node"])
 
 
 def _next(ids: bytes, done: bytes) -> np.ndarray:
@@ -252,33 +267,32 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k nearest found of each query (query_id, a vec_id of the index): query_id, rank, vec_id, score; never itself."""
     asked = queries.select("query_id").distinct().join(index.copies.select(F.col("vec_id").alias("query_id"), "node"), "query_id")
-    starts = asked.select(F.col("node")).distinct().join(index.codes.select("node", "code", "scale"), "node")
+    starts = asked.select(F.col("node")).distinct().join(index.codes.select("node", "code"), "node")
 
     def with_vectors(table: pa.Table) -> pa.Table:
         node = table.column("node").to_numpy()
         start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         nbrs, codes = table.column("nbr").to_numpy(), table.column("code").to_pylist()
-        scales = table.column("scale").to_numpy().astype(np.float32)
         pairs = list(zip(start, np.append(start[1:], len(node)), strict=True))
-        return pa.table({"node": node[start], "nbrs": pa.array([nbrs[i:j].tobytes() for i, j in pairs], pa.binary()), "codes": pa.array([b"".join(codes[i:j]) for i, j in pairs], pa.binary()), "scales": pa.array([scales[i:j].tobytes() for i, j in pairs], pa.binary())})
+        return pa.table({"node": node[start], "nbrs": pa.array([nbrs[i:j].tobytes() for i, j in pairs], pa.binary()), "codes": pa.array([b"".join(codes[i:j]) for i, j in pairs], pa.binary())})
 
-    near = edges(index.graph).join(index.codes.select(F.col("node").alias("nbr"), "code", "scale"), "nbr")
-    near = written(by_key(near.select("node", "nbr", "code", "scale"), "node", with_vectors, "node long, nbrs binary, codes binary, scales binary", rows=60_000), "near")
+    near = edges(index.graph).join(index.codes.select(F.col("node").alias("nbr"), "code"), "nbr")
+    near = written(by_key(near.select("node", "nbr", "code"), "node", with_vectors, "node long, nbrs binary, codes binary", rows=60_000), "near")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from _expand(pa.Table.from_batches([b])).to_batches()
 
     nothing = F.lit(b"")
-    beams = starts.select(F.col("node").alias("query"), F.col("code").alias("q"), F.col("scale").alias("qscale"), nothing.alias("ids"), nothing.alias("scores"), nothing.alias("done"))
-    frontier = starts.select(F.col("node").alias("query"), F.col("code").alias("q"), F.col("scale").alias("qscale"), "node")
+    beams = starts.select(F.col("node").alias("query"), F.col("code").alias("q"), nothing.alias("ids"), nothing.alias("scores"), nothing.alias("done"))
+    frontier = starts.select(F.col("node").alias("query"), F.col("code").alias("q"), "node")
     if index.heads is not None:
         frontier = frontier.unionByName(frontier.drop("node").join(F.broadcast(index.heads)))  # HEADS rows
     for _ in range(ROUNDS + 1):
-        found = frontier.join(near, "node").select("query", "q", "qscale", "nbrs", "codes", "scales").mapInArrow(expand, "query long, ids binary, scores binary")
-        missing = found.select("query", F.lit(None).cast("binary").alias("q"), F.lit(None).cast("double").alias("qscale"), "ids", "scores", F.lit(None).cast("binary").alias("done"))
+        found = frontier.join(near, "node").select("query", "q", "nbrs", "codes").mapInArrow(expand, "query long, ids binary, scores binary")
+        missing = found.select("query", F.lit(None).cast("binary").alias("q"), "ids", "scores", F.lit(None).cast("binary").alias("done"))
         beams = written(by_key(beams.unionByName(missing), "query", _beams, BEAM_SCHEMA, rows=4_000), "beams")
-        frontier = beams.mapInArrow(_frontier, "query long, q binary, qscale double, node long")
+        frontier = beams.mapInArrow(_frontier, "query long, q binary, node long")
         beams = beams.mapInArrow(_mark, BEAM_SCHEMA)
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

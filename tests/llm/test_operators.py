@@ -300,6 +300,27 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert neighbours.search(neighbours.build(vectors.where("vec_id < 0")), few.select(F.col("vec_id").alias("query_id"))).count() == 0
 
 
+def recall_of(spark, x, ids=None, k=20):
+    """Share of the k true nearest that a search finds, over every tenth row."""
+    x = x.astype(np.float32).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    asked = [int(i) for i in (range(0, len(x), 10) if ids is None else ids)]
+    got = defaultdict(set)
+    for r in neighbours.search(neighbours.build(vectors), spark.createDataFrame([(i,) for i in asked], "query_id long"), k).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-s, axis=1)[:, :k]
+    return float(np.mean([len(got[q] & set(w.tolist())) / k for q, w in zip(asked, want, strict=True)]))
+
+
+def test_neighbours_beside_one_long_vector(spark):
+    x = np.random.default_rng(4).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 100
+    assert recall_of(spark, x) >= 0.95
+
+
 def test_packing(spark):
     rows = [(i, " ".join(words(i, 3 + i % 40)), "en", f"s{i % 5 if i % 3 else 0}") for i in range(200)]
     rows += [(300, " ".join(words(1, 500)), "en", "s0"), (301, None, "en", "s0"), (302, "", "en", None), (None, "a b", "en", None), *[(400 + i, "same words here", "en", f"t{i}") for i in range(10)]]
