@@ -3,8 +3,10 @@
 1. Equal vectors become one node.  For the graph, vectors get one more coordinate that makes all norms equal, so
    that inner products of any norms are near exactly where the extended vectors are.  With E the largest norm, the
    coordinate is E - gap, and products less E^2 are x.y + gap gap' - E gap - E gap': no large numbers cancel.
-2. The first graph comes from TREES random partitions: a partition deals nodes by the signs of random projections
-   to blocks of about BLOCK nodes; within a block each node finds its K nearest.
+2. The first graph comes from TREES random partitions: a partition deals nodes by the sides of random projections,
+   through the mean, to cells of about BLOCK nodes.  Cells of more than 2 * BLOCK are halved at the median of one more
+   projection, until all fit; only nodes that a projection can't tell apart are halved at random.  Within a cell
+   each node finds its K nearest.
 3. NN-descent: every node gathers the vectors of its neighbours and (K at most, by hash) reverse neighbours, and
    tells each pair of them that is nearer than what they have; rounds end when few changes are left.
 4. A query is a node of the index (every row is indexed).  Its beam starts with its own list (and those of the
@@ -60,25 +62,74 @@ def _decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((x, tail[:, 1:2]), 1), tail[:, 2]
 
 
-def packed(vectors: DataFrame, top: float, trees: int, planes: int) -> DataFrame:
-    """node, code, and cells: the block of the node in each tree."""
+def _embeddings(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(batch.column(1).to_pylist(), dtype=np.float64)
+
+
+def mean_of(vectors: DataFrame, n: int) -> np.ndarray:
+    """The mean vector, from a sum for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [_embeddings(b).sum(0) for b in batches if b.num_rows]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array([np.sum(sums, 0)], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = vectors.select("node", "embedding").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "x"))
+    return np.array([r["x"] for r in parts.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()]) / n
+
+
+def packed(vectors: DataFrame, top: float, trees: int, planes: int, mean: np.ndarray) -> DataFrame:
+    """node, code, and cells: the first cell of the node in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), dtype=np.float64)
+            x = _embeddings(b)
             if not len(x):
                 continue
             code = _coded(x, top)
-            x = np.concatenate((x, np.sqrt(np.maximum(0.0, top - (x * x).sum(1)))[:, None]), 1)
             cells = []
             for t in range(trees):
                 sides = np.random.default_rng(1000 + t).normal(size=(x.shape[1], planes))
-                cells.append(((x @ sides) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(x), np.int64))
+                cells.append((((x - mean) @ sides) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(x), np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.binary()), pa.array(list(np.stack(cells, 1)), pa.list_(pa.int64()))], names=["node", "code", "cells"])
 
     return vectors.select("node", "embedding").mapInArrow(run, "node long, code binary, cells array<long>")
 
 
+def projected(vectors: DataFrame, trees: int, level: int) -> DataFrame:
+    """node, p: its projection for each tree at a level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _embeddings(b)
+                p = x @ np.random.default_rng((level, trees)).normal(size=(x.shape[1], trees))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(p), pa.list_(pa.float64()))], names=["node", "p"])
+
+    return vectors.select("node", "embedding").mapInArrow(run, "node long, p array<double>")
+
+
+def fitting(cells: DataFrame, vectors: DataFrame, trees: int) -> DataFrame:
+    """(tree, cell, node) with every cell of more than 2 * BLOCK nodes halved until it fits."""
+    cells, fits, level = written(cells, "cells"), [], 0
+    while True:
+        level += 1
+        crowded = written(cells.groupBy("tree", "cell").agg(F.count("*").alias("k")).where(F.col("k") > 2 * BLOCK).select("tree", "cell"), "crowded")
+        fits.append(cells.join(crowded, ["tree", "cell"], "left_anti"))
+        if crowded.isEmpty():
+            break
+        p = F.element_at("p", F.col("tree") + 1).alias("p")
+        rows = written(cells.join(crowded, ["tree", "cell"]).join(projected(vectors, trees, level), "node").select("tree", "cell", "node", p), "projections")
+        cuts = rows.groupBy("tree", "cell").agg(F.percentile_approx("p", 0.5).alias("cut"), F.min("p").alias("low"), F.max("p").alias("high"))
+        chance = F.pmod(F.xxhash64("node", "tree", F.lit(level)), F.lit(2)) == 0
+        side = F.when(F.col("low") == F.col("high"), chance).when(F.col("cut") < F.col("high"), F.col("p") > F.col("cut")).otherwise(F.col("p") == F.col("high"))
+        cells = written(rows.join(cuts, ["tree", "cell"]).select("tree", F.xxhash64("cell", F.lit(level), side).alias("cell"), "node"), "cells")
+    out = fits[0]
+    for more in fits[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def block_lists(table: pa.Table) -> pa.Table:
     """The K nearest of each node within a block."""
     node = table.column("node").to_numpy()
@@ -194,13 +245,10 @@ def build(vectors: DataFrame) -> Index:
     heads = written(nodes.orderBy(norm.desc(), "node").limit(HEADS).select("node"), "heads") if n and low < 0.9 * top else None
     planes = max(0, round(math.log2(n / BLOCK))) if n else 0
     trees = TREES if planes else 1
-    codes = written(packed(nodes, top or 0.0, trees, planes), "codes")
-    cells = codes.select("node", "code", F.posexplode("cells").alias("tree", "cell"))
-    sizes = cells.groupBy("tree", "cell").agg(F.count("*").alias("k"))
-    # Crowded cells are split at random.
-    part = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("k") / (2 * BLOCK)))
-    blocks = cells.join(sizes, ["tree", "cell"]).withColumn("part", part)
-    lists = blocks.select("tree", "cell", "part", "node", "code").groupBy("tree", "cell", "part").applyInArrow(block_lists, LISTS)
+    mean = mean_of(nodes, n) if planes else np.zeros(1)
+    codes = written(packed(nodes, top or 0.0, trees, planes, mean), "codes")
+    blocks = fitting(codes.select("node", F.posexplode("cells").alias("tree", "cell")), nodes, trees).join(codes.select("node", "code"), "node")
+    lists = blocks.select("tree", "cell", "node", "code").groupBy("tree", "cell").applyInArrow(block_lists, LISTS)
     graph = written(by_key(lists, "node", merged, LISTS), "graph")
     for _ in range(ITERATIONS if planes else 0):
         found = written(descend(graph, codes), "proposals")

@@ -321,6 +321,22 @@ def test_neighbours_beside_one_long_vector(spark):
     assert recall_of(spark, x) >= 0.95
 
 
+def test_neighbours_in_a_tight_cluster(spark, monkeypatch):
+    for name, value in (("BLOCK", 60), ("TREES", 3), ("K", 12), ("BEAM", 40), ("EXPAND", 12)):
+        monkeypatch.setattr(neighbours, name, value)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hot = x[0] + 0.02 * r.normal(size=(2000, 6)) @ r.normal(size=(6, 32)) / 6
+    x[:2000] = hot / np.linalg.norm(hot, axis=1, keepdims=True)
+    assert recall_of(spark, x, range(0, 2000, 10)) >= 0.9
+    cells = spark.createDataFrame([(i, 0, 0) for i in range(6000)], "node long, tree int, cell long")
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, embedding array<double>")
+    sides = neighbours.fitting(cells, nodes, 1).groupBy("cell").agg(F.count("*").alias("k"), F.sum((F.col("node") < 2000).cast("int")).alias("hot")).collect()
+    assert sum(c["k"] for c in sides) == 6000 and max(c["k"] for c in sides) <= 120
+    assert sum(max(c["hot"], c["k"] - c["hot"]) for c in sides) >= 5000  # near nodes stay together
+
+
 def test_packing(spark):
     rows = [(i, " ".join(words(i, 3 + i % 40)), "en", f"s{i % 5 if i % 3 else 0}") for i in range(200)]
     rows += [(300, " ".join(words(1, 500)), "en", "s0"), (301, None, "en", "s0"), (302, "", "en", None), (None, "a b", "en", None), *[(400 + i, "same words here", "en", f"t{i}") for i in range(10)]]
