@@ -7,10 +7,12 @@
    through the mean, to cells of about BLOCK nodes.  Cells of more than 2 * BLOCK are halved at the median of one more
    projection, until all fit; only nodes that a projection can't tell apart are halved at random.  Within a cell
    each node finds its K nearest.
-3. NN-descent: every node gathers the vectors of its neighbours and (K at most, by hash) reverse neighbours, and
-   tells each pair of them that is nearer than what they have; rounds end when few changes are left.
+3. NN-descent: every node gathers the vectors of its neighbours and (K at most, new ones first, by hash) reverse
+   neighbours, and tells each pair of them with a new one that is nearer than what they have; rounds end when at most
+   CHANGES of the entries of all lists were changed, however many rounds that takes.
 4. A query is a node of the index (every row is indexed).  Its beam starts with its own list (and those of the
-   longest vectors, where norms differ); each of ROUNDS rounds expands the best EXPAND nodes that weren't expanded yet, by one join with the graph.
+   longest vectors, where norms differ); each round expands the best nodes that weren't expanded yet, by one join with
+   the graph, until every beam has only expanded nodes.  Trees and the beam grow with the logarithm of the nodes.
 5. The best BEAM are scored with the original vectors in double precision, and copies are listed by id.
 
 Steps 2 to 4 use vectors of 16 bits a component with a scale and gap of their own; only step 5's scores are
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import by_key, written
 
-K, TREES, BLOCK, ITERATIONS, CHANGES = 32, 6, 5000, 2, 0.002
-ROUNDS, EXPAND, BEAM = 3, 36, 64
+K, TREES, BLOCK, CHANGES = 32, 6, 5000, 0.002
+EXPAND, BEAM = 36, 64
 #: Where norms differ, the longest vectors are starts of every walk as well: inner products favour them.
 HEADS = 64
 LISTS = "node long, nbrs binary, scores binary"
+GRAPH = "node long, nbrs binary, scores binary, fresh binary, changes long"
 LISTS_ARROW = pa.schema([("node", pa.int64()), ("nbrs", pa.binary()), ("scores", pa.binary())])
 
 
@@ -166,36 +170,49 @@ def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(table.column("node").to_numpy(), lengths), np.frombuffer(b"".join(table.column("nbrs").to_pylist()), np.int64), np.frombuffer(b"".join(table.column("scores").to_pylist()), np.float32)
 
 
+def _among(node: np.ndarray, nbr: np.ndarray, known_node: np.ndarray, known_nbr: np.ndarray) -> np.ndarray:
+    """Which pairs are among the known ones; both hold a pair once."""
+    both, other = np.concatenate((known_node, node)), np.concatenate((known_nbr, nbr))
+    order = np.lexsort((np.arange(len(both)) >= len(known_node), other, both))
+    same = np.zeros(len(both), bool)
+    same[order[1:]] = (both[order[1:]] == both[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
+    return same[len(known_node) :]
+
+
 def merged(table: pa.Table) -> pa.Table | None:
+    """The K best of each node's lists; fresh marks those that the known list didn't have, changes counts them."""
     node, nbr, score = best_of(*_unpacked(table), K)
     if not len(node):
         return None
+    fresh = ~_among(node, nbr, *_unpacked(table.filter(table.column("known")))[:2])
     start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
     pairs = list(zip(start, np.append(start[1:], len(node)), strict=True))
-    return pa.table({"node": node[start], "nbrs": pa.array([nbr[i:j].tobytes() for i, j in pairs], pa.binary()), "scores": pa.array([score[i:j].astype(np.float32).tobytes() for i, j in pairs], pa.binary())}, schema=LISTS_ARROW)
+    lists = [pa.array([x[i:j].tobytes() for i, j in pairs], pa.binary()) for x in (nbr, score.astype(np.float32), fresh)]
+    return pa.table({"node": node[start], "nbrs": lists[0], "scores": lists[1], "fresh": lists[2], "changes": np.add.reduceat(fresh.astype(np.int64), start)})
 
 
 def edges(graph: DataFrame) -> DataFrame:
-    """(node, nbr) of every list."""
+    """(node, nbr, fresh) of every list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lengths = [len(x) // 8 for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64))], names=["node", "nbr"])
+            nbrs, fresh = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in ((1, np.int64), (2, np.bool_)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(nbrs), pa.array(fresh)], names=["node", "nbr", "fresh"])
 
-    return graph.select("node", "nbrs").mapInArrow(run, "node long, nbr long")
+    return graph.select("node", "nbrs", "fresh").mapInArrow(run, "node long, nbr long, fresh boolean")
 
 
 def proposals(table: pa.Table) -> pa.Table:
-    """Local joins of many centers: pairs of members nearer than the worst either has, as lists by member."""
+    """Local joins of many centers: pairs of members, one of them new, nearer than the worst either has, as lists by member."""
     center, member = table.column("center").to_numpy(), table.column("member").to_numpy()
-    worst = table.column("worst").to_numpy()
+    worst, fresh = table.column("worst").to_numpy(), table.column("fresh").to_numpy()
     x, bias = _decoded(_matrix(table.column("code"), np.uint8))
     start = np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1])))
     out = []
     for i, j in zip(start, np.append(start[1:], len(center)), strict=True):
         s = x[i:j] @ x[i:j].T - bias[i:j] - bias[i:j, None]
-        a, b = np.nonzero(s > worst[i:j, None])
+        a, b = np.nonzero((s > worst[i:j, None]) & (fresh[i:j, None] | fresh[None, i:j]))
         keep = member[i + a] != member[i + b]
         out.append((i + a[keep], i + b[keep], s[a[keep], b[keep]]))
     a, b, s = (np.concatenate(v) for v in zip(*out, strict=True))
@@ -208,9 +225,12 @@ def proposals(table: pa.Table) -> pa.Table:
 def descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
     """One round of NN-descent: the lists that the members of each neighbourhood propose to each other."""
     forward = edges(graph)
-    rank = F.row_number().over(Window.partitionBy("nbr").orderBy(F.xxhash64("node", "nbr")))
-    reverse = forward.withColumn("rank", rank).where(F.col("rank") <= K).select(F.col("nbr").alias("center"), F.col("node").alias("member"))
-    both = forward.select(F.col("node").alias("center"), F.col("nbr").alias("member")).unionByName(reverse).distinct()
+    rank = F.row_number().over(Window.partitionBy("nbr").orderBy(F.desc("fresh"), F.xxhash64("node", "nbr")))
+    reverse = forward.withColumn("rank", rank).where(F.col("rank") <= K).select(F.col("nbr").alias("center"), F.col("node").alias("member"), "fresh")
+    both = forward.select(F.col("node").alias("center"), F.col("nbr").alias("member"), "fresh").unionByName(reverse)
+    both = both.groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
+    # Neighbourhoods without a new member have told all before.
+    both = both.join(both.where("fresh").select("center").distinct(), "center", "left_semi")
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,7 +239,7 @@ def descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
 
     known = graph.select("node", "scores").mapInArrow(worst, "member long, worst double")
     members = both.join(codes.select(F.col("node").alias("member"), "code"), "member").join(known, "member")
-    return by_key(members.select("center", "member", "worst", "code"), "center", proposals, LISTS, rows=60_000)
+    return by_key(members.select("center", "member", "fresh", "worst", "code"), "center", proposals, LISTS, rows=60_000)
 
 
 class Index:
@@ -244,16 +264,16 @@ def build(vectors: DataFrame) -> Index:
     n, top, low = nodes.agg(F.count("*"), F.max(norm), F.min(norm)).first()
     heads = written(nodes.orderBy(norm.desc(), "node").limit(HEADS).select("node"), "heads") if n and low < 0.9 * top else None
     planes = max(0, round(math.log2(n / BLOCK))) if n else 0
-    trees = TREES if planes else 1
+    trees = max(TREES, planes) if planes else 1
     mean = mean_of(nodes, n) if planes else np.zeros(1)
     codes = written(packed(nodes, top or 0.0, trees, planes, mean), "codes")
     blocks = fitting(codes.select("node", F.posexplode("cells").alias("tree", "cell")), nodes, trees).join(codes.select("node", "code"), "node")
     lists = blocks.select("tree", "cell", "node", "code").groupBy("tree", "cell").applyInArrow(block_lists, LISTS)
-    graph = written(by_key(lists, "node", merged, LISTS), "graph")
-    for _ in range(ITERATIONS if planes else 0):
-        found = written(descend(graph, codes), "proposals")
-        graph = written(by_key(graph.unionByName(found), "node", merged, LISTS), "graph")
-        if found.count() < CHANGES * n:
+    graph = written(by_key(lists.withColumn("known", F.lit(False)), "node", merged, GRAPH), "graph")
+    while True:
+        lists = graph.select("node", "nbrs", "scores", F.lit(True).alias("known")).unionByName(descend(graph, codes).withColumn("known", F.lit(False)))
+        graph = written(by_key(lists, "node", merged, GRAPH), "graph")
+        if (graph.agg(F.sum("changes")).first()[0] or 0) <= CHANGES * n * K:
             break
     return Index(nodes, copies, codes, graph, heads)
 
@@ -273,8 +293,8 @@ def _expand(table: pa.Table) -> pa.Table:
     return pa.table({"query": table.column("query"), "ids": table.column("nbrs"), "scores": pa.array(out, pa.binary())})
 
 
-def _beams(table: pa.Table) -> pa.Table:
-    """One beam for each query: the best BEAM of the old one and of what was found, and what is expanded next."""
+def _beams(table: pa.Table, beam: int) -> pa.Table:
+    """One beam for each query: the best of the old one and of what was found, and what is expanded next."""
     rows: dict[int, list] = {}
     for query, q, ids, scores, done in zip(*(table.column(c).to_pylist() for c in ("query", "q", "ids", "scores", "done")), strict=True):
         own = rows.setdefault(query, [None, [], [], b""])
@@ -285,35 +305,38 @@ def _beams(table: pa.Table) -> pa.Table:
     out = []
     for query, (q, ids, scores, done) in rows.items():
         ids, scores = np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(scores), np.float32)
-        node, nbr, score = best_of(np.full(len(ids), query), ids, scores, BEAM)
+        node, nbr, score = best_of(np.full(len(ids), query), ids, scores, beam)
         out.append((query, q, nbr.tobytes(), score.astype(np.float32).tobytes(), done))
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["query", "q", "ids", "scores", "done"])
 
 
-def _frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frontier(batches: Iterator[pa.RecordBatch], expand: int) -> Iterator[pa.RecordBatch]:
     """(query, q, node) of the best nodes of each beam that weren't expanded."""
     for b in batches:
         out = []
         for query, q, ids, done in zip(*(b.column(c).to_pylist() for c in ("query", "q", "ids", "done")), strict=True):
-            out += [(query, q, int(n)) for n in _next(ids, done)]
+            out += [(query, q, int(n)) for n in _next(ids, done, expand)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["query", "q", "node"])
 
 
-def _next(ids: bytes, done: bytes) -> np.ndarray:
+def _next(ids: bytes, done: bytes, expand: int) -> np.ndarray:
     ids = np.frombuffer(ids, np.int64)
-    return ids[~np.isin(ids, np.frombuffer(done, np.int64))][:EXPAND]
+    return ids[~np.isin(ids, np.frombuffer(done, np.int64))][:expand]
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mark(batches: Iterator[pa.RecordBatch], expand: int) -> Iterator[pa.RecordBatch]:
     """The beams with what is expanded now marked."""
     for b in batches:
-        done = [d + _next(i, d).tobytes() for i, d in zip(b.column("ids").to_pylist(), b.column("done").to_pylist(), strict=True)]
+        done = [d + _next(i, d, expand).tobytes() for i, d in zip(b.column("ids").to_pylist(), b.column("done").to_pylist(), strict=True)]
         yield b.set_column(b.schema.get_field_index("done"), "done", pa.array(done, pa.binary()))
 
 
 def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k nearest found of each query (query_id, a vec_id of the index): query_id, rank, vec_id, score; never itself."""
+    n = index.nodes.count()
+    beam = max(3 * k, BEAM * max(1, round(math.log2(n / BLOCK)) - 1)) if n else BEAM
+    at_once, scored = max(EXPAND, beam // 2), max(3 * k, BEAM)
     asked = queries.select("query_id").distinct().join(index.copies.select(F.col("vec_id").alias("query_id"), "node"), "query_id")
     starts = asked.select(F.col("node")).distinct().join(index.codes.select("node", "code"), "node")
 
@@ -336,17 +359,19 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     frontier = starts.select(F.col("node").alias("query"), F.col("code").alias("q"), "node")
     if index.heads is not None:
         frontier = frontier.unionByName(frontier.drop("node").join(F.broadcast(index.heads)))  # HEADS rows
-    for _ in range(ROUNDS + 1):
+    while True:
         found = frontier.join(near, "node").select("query", "q", "nbrs", "codes").mapInArrow(expand, "query long, ids binary, scores binary")
         missing = found.select("query", F.lit(None).cast("binary").alias("q"), "ids", "scores", F.lit(None).cast("binary").alias("done"))
-        beams = written(by_key(beams.unionByName(missing), "query", _beams, BEAM_SCHEMA, rows=4_000), "beams")
-        frontier = beams.mapInArrow(_frontier, "query long, q binary, node long")
-        beams = beams.mapInArrow(_mark, BEAM_SCHEMA)
+        beams = written(by_key(beams.unionByName(missing), "query", partial(_beams, beam=beam), BEAM_SCHEMA, rows=4_000), "beams")
+        frontier = beams.mapInArrow(partial(_frontier, expand=at_once), "query long, q binary, node long")
+        if frontier.isEmpty():
+            break
+        beams = beams.mapInArrow(partial(_mark, expand=at_once), BEAM_SCHEMA)
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths = [len(x) // 8 for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64))], names=["query", "node"])
+            best = [np.frombuffer(x, np.int64)[:scored] for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in best])), pa.array(np.concatenate([np.zeros(0, np.int64), *best]))], names=["query", "node"])
 
     candidates = beams.select("query", "ids").mapInArrow(ids_of, "query long, node long").unionByName(starts.select(F.col("node").alias("query"), "node"))
     exact = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

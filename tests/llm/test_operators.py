@@ -337,6 +337,21 @@ def test_neighbours_in_a_tight_cluster(spark, monkeypatch):
     assert sum(max(c["hot"], c["k"] - c["hot"]) for c in sides) >= 5000  # near nodes stay together
 
 
+def test_descent_goes_on_until_lists_stay(spark, monkeypatch):
+    for name, value in (("K", 10), ("BLOCK", 500), ("TREES", 2)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.random.default_rng(6).normal(size=(1600, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    # Random cells of ten: all that is near must be found by descent.
+    monkeypatch.setattr(neighbours, "fitting", lambda cells, *_: cells.select("tree", F.pmod(F.xxhash64("node", "tree"), F.lit(160)).alias("cell"), "node"))
+    index = neighbours.build(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = {r["node"]: set(np.frombuffer(r["nbrs"], np.int64).tolist()) for r in index.graph.collect()}
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    true = np.argsort(-s, 1)[:, :10]
+    assert np.mean([len(got[i] & set(t.tolist())) / 10 for i, t in enumerate(true)]) >= 0.95
+
+
 def test_packing(spark):
     rows = [(i, " ".join(words(i, 3 + i % 40)), "en", f"s{i % 5 if i % 3 else 0}") for i in range(200)]
     rows += [(300, " ".join(words(1, 500)), "en", "s0"), (301, None, "en", "s0"), (302, "", "en", None), (None, "a b", "en", None), *[(400 + i, "same words here", "en", f"t{i}") for i in range(10)]]
