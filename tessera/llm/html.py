@@ -5,7 +5,8 @@ labelled pages show to be beside the content; tags score negative, the more the
 The contiguous stretch of the largest sum, found in one linear scan, is the content region; its words that score
 positive are the text.  Labelled pages are those that mark their content themselves (one article or main
 element); weights are log-odds of counts over a bounded sample of them, added to fixed priors for the names of
-boilerplate, so that other templates work too.
+boilerplate, so that other templates work too.  Fixed priors of what wraps a page don't count: of html, body, elements
+with nearly all of its words, and those around its only main or article.
 
 A null or empty html gives an empty text; null ids and urls are passed through; repeated rows are extracted one
 by one; an empty table gives an empty result.
@@ -28,12 +29,18 @@ from .common import map_batches, sample_by_key
 #: Elements without content of their own, elements within a line, raw elements that are dropped.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "select", "button", "audio", "video")
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "annotation", "annotation-xml", "object", "canvas", "select", "button", "audio", "video")
+#: Raw elements that go on to the end of a page when nothing closes them; those that never hold another of their name.
+TO_THE_END, FLAT = frozenset(("script", "style", "textarea")), frozenset(("noscript", "iframe", "select", "button", "audio", "video", "canvas"))
 CONTAINER = frozenset("article main aside nav header footer form head dialog menu".split())
 #: Words of names, classes, ids and roles that tell what a container holds.
 BESIDE = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation navi menu sidebar aside complementary footer foot form cookie cookies consent gdpr notice notices alert comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login search breadcrumb breadcrumbs pagination pager widget popup modal overlay dialog skip copyright".split())
 MILD = frozenset("header masthead head topbar toolbar meta byline tags".split())
 INSIDE = frozenset("article main content post entry story".split())
+#: Elements that don't wrap a page, whatever they hold.
+NEVER_WRAP = frozenset("nav aside footer menu".split())
+#: Share of a page's words that makes an element its wrapper, and that its only main or article must hold to count as such.
+NEARLY_ALL, MARKED = 0.9, 0.25
 #: Elements whose own name outweighs being within an article.
 STRONG, WEAK, BONUS = -9.0, -3.0, 3.0
 
@@ -45,6 +52,8 @@ WORD, TAG, DEEPEST_TAG, LINK, WORST_WORD = 1.0, -0.05, -0.6, -0.5, -0.2
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
+#: Class words that tell what a page has or lacks, not what an element is: taken whole.
+STATE = re.compile(r"(?:no|not|non|has|have|with|without|is|hide|hides|show|shows|enable|disable|support|supports)[-_]")
 
 
 @dataclass
@@ -68,7 +77,7 @@ class Weights:
 
 def tokens(html: str):
     """(tag name or None, is closing, features of an opening container, text) in page order; raw elements are left out."""
-    at = 0
+    at, ends = 0, {}
     while m := TOKEN.search(html, at):
         at = m.end()
         if (name := m["name"]) is None:
@@ -80,13 +89,17 @@ def tokens(html: str):
             yield name, True, (), ""
             continue
         if name in RAW and not m["rest"].endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            if name not in ends or ends[name] and ends[name].start() < at:
+                ends[name] = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+            if (end := ends[name]) is None:
+                at = len(html) if name in TO_THE_END else at
+            elif name not in FLAT or not re.compile(rf"<{name}[\s/>]", re.I).search(html, at, end.start()):
+                at = end.end()
             yield "raw", False, (), ""
             continue
         found: tuple[str, ...] = ()
         if name in CONTAINER or m["rest"]:
-            words = [p for v in NAMED.findall(m["rest"]) for p in PART.findall("".join(v).lower())] if m["rest"] else []
+            words = [p for v in NAMED.findall(m["rest"]) for w in "".join(v).lower().split() for p in ([w] if STATE.match(w) else PART.findall(w))] if m["rest"] else []
             found = (name, *words) if name in CONTAINER else tuple(words)
         yield name, False, found, ""
 
@@ -97,7 +110,7 @@ class Open:
     def __init__(self, weights: Weights):
         self.weights, self.names, self.sums, self.features = weights, [], [WORD], []
 
-    def tag(self, name: str, closing: bool, found: tuple[str, ...]) -> None:
+    def tag(self, name: str, closing: bool, found: tuple[str, ...], wraps: bool = False) -> None:
         if closing:
             if name in self.names:
                 k = len(self.names) - 1 - self.names[::-1].index(name)
@@ -105,25 +118,51 @@ class Open:
         elif name not in VOID and name != "raw":
             self.names.append(name)
             self.features.append(found)
-            self.sums.append(self.sums[-1] + sum(self.weights.of(f) for f in set(found)) + (LINK if name == "a" else 0.0))
+            self.sums.append(self.sums[-1] + sum(self.weights.container.get(f, 0.0) if wraps else self.weights.of(f) for f in set(found)) + (LINK if name == "a" else 0.0))
 
     def word(self) -> float:
         return max(WORST_WORD, min(WORD, self.sums[-1]))
 
 
+def wrappers(page: list[tuple]) -> set[int]:
+    """Positions of the opening tags of what wraps the page."""
+    names, opened, words, held, marks = [], [], 0, {}, {"main": [], "article": []}
+    for k, (name, closing, _, text) in enumerate(page):
+        if name is None:
+            words += len(text.split())
+        elif closing:
+            if name in names:
+                cut = len(names) - 1 - names[::-1].index(name)
+                held.update((at, words - before) for at, before in opened[cut:])
+                del names[cut:], opened[cut:]
+        elif name not in VOID and name != "raw":
+            if name in marks:
+                marks[name].append((k, [at for at, _ in opened]))
+            names.append(name)
+            opened.append((k, words))
+    held.update((at, words - before) for at, before in opened)
+    found = {k for k, n in held.items() if n >= NEARLY_ALL * words or page[k][0] in ("html", "body")}
+    for name in ("main", "article"):
+        if len(marks[name]) == 1 and held[marks[name][0][0]] >= MARKED * words:
+            found.update(marks[name][0][1])
+    return {k for k in found if page[k][0] not in NEVER_WRAP}
+
+
 def extract(html: str | None, weights: Weights) -> str:
     """The main text: blocks in page order, white space as one space."""
     if not html:
         return ""
     state = Open(weights)
     pieces: list[tuple[float, str]] = []  # score, text; a block's end is a space
-    for name, closing, found, text in tokens(html):
+    page = list(tokens(html))
+    wide = wrappers(page)
+    for k, (name, closing, found, text) in enumerate(page):
         if name is None:
             text = entities.unescape(text)
             n = len(text.split())
             pieces.append((n * state.word(), text))
         else:
-            state.tag(name, closing, found)
+            state.tag(name, closing, found, k in wide)
             pieces.append((weights.tag_score(name), "" if name in INLINE or name == "raw" else " "))
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for i, (score, _) in enumerate(pieces):

@@ -300,6 +300,28 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert neighbours.search(neighbours.build(vectors.where("vec_id < 0")), few.select(F.col("vec_id").alias("query_id"))).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        ('<body class="no-sidebar">', "</body>"),
+        ('<body class="sidebar has-comments">', "</body>"),
+        ('<body><form id="form1" class="footer-page">', "</form></body>"),
+        ('<body><div class="with-sidebar sidebar-layout">', "</div></body>"),
+        ("<body><button>", "</body>"),
+        ("<body><select>", "</body>"),
+        ("<body><svg>", "</body>"),
+    ],
+)
+def test_html_page_wrappers(before, after):
+    text = "Words of the article that go on and on for a while. " * 3
+    page = f'{before}<nav><a href="/">Home page</a></nav><article><p>{text}</p><p>Sum <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p></article><div class="sidebar">Other things</div>{after}'
+    assert html.extract(page, html.Weights()) == " ".join(text.split()) + " Sum x = 2 here."
+    assert html.extract("<body><p>Kept</p><script>lost", html.Weights()) == "Kept"
+    assert html.extract("<body><nav>All <b>links</b></nav></body>", html.Weights()) == ""
+    closed = "<body><p>Text <button>Press</button> goes <svg><text>drawn</text></svg> on</p></body>"
+    assert html.extract(closed, html.Weights()) == "Text goes on"
+
+
 def recall_of(spark, x, ids=None, k=20):
     """Share of the k true nearest that a search finds, over every tenth row."""
     x = x.astype(np.float32).astype(float)
