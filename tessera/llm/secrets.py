@@ -28,7 +28,8 @@ KINDS = ("assign", "access", "hex")
 #: A cheap test before ASSIGN, which has no literal start.
 HINTS = ("passw", "secret", "token", "api_key", "apikey")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}")
+JOINT = re.compile(r"[+/_=-]+")
 IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z_-]{6,}[0-9]{0,2}(?![A-Za-z0-9_-])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = np.full(128, -1, dtype=np.int64)
@@ -38,6 +39,8 @@ N = len(ALPHABET)
 
 #: Training documents at most (about); LLR a character and in all from which a candidate is a secret.
 TRAIN_DOCS, MIN_RATE, MIN_TOTAL = 20_000, 0.6, 15.0
+#: Shorter tokens, and those of letters alone, must be as unlike words without their case and joints too.
+LONG = 20
 #: Rows whose texts are rewritten at once.
 SLICE = 1_000
 
@@ -117,9 +120,11 @@ def find(text: str | None, model: MarkovPair) -> list[dict]:
     if model.trained:
         for m in CANDIDATE.finditer(text):
             v = m[0]
-            if any(s < m.end() and m.start() < e for s, _, e, _ in base) or v.isalpha() or not any(c.isalpha() for c in v):
+            if any(s < m.end() and m.start() < e for s, _, e, _ in base) or not any(c.isalpha() for c in v):
                 continue
             score = model.score(v)
+            if len(v) < LONG or v.isalpha():  # camel case, constants and paths are made of words
+                score = min(score, model.score(JOINT.sub(" ", v.lower())))
             if score >= max(MIN_TOTAL, MIN_RATE * (len(v) - 1)):
                 spans.append((m.start(), 3, m.end(), score))
     names = (*KINDS, "random")

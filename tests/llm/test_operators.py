@@ -176,6 +176,19 @@ def test_secrets(spark):
     assert secrets.scan(docs_of(spark, [])).collect() == []
 
 
+def test_secrets_of_letters_or_short(spark):
+    r = np.random.default_rng(8)
+    prose = "The quick handling of ordinary information about international transportation requires configuration and documentation of every account setting, user name, singleton factory, proxy listener, maximum retry count, source path, module file and average temperature. "
+    rows = [(i, prose + f" token={''.join(r.choice(list('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'), 32))} ") for i in range(50)]
+    model = secrets.fit(docs_of(spark, rows))
+    for letters, n in (("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 24), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 14)):
+        keys = ["".join(r.choice(list(letters), n)) for _ in range(100)]
+        found = [[(s["start"], s["end"]) for s in secrets.find(f"the key {k} is here", model)] for k in keys]
+        assert sum(f == [(8, 8 + n)] for f in found) >= 95
+    for word in "internationalTransportation sourceModuleFile MAXIMUM_RETRY_COUNT source/path/module documentation ============".split():
+        assert secrets.find(f"the word {word} is here", model) == []
+
+
 def test_personal_data(spark):
     text = "é mail a.b@c.example.com ip 10.0.0.255 not 1.2.3.256 card 4111 1111 1111 1111 call +1 (212) 555-0123 end"
     many = []
