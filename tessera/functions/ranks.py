@@ -1,11 +1,13 @@
-"""Global order without one task: gaps between neighbours and average ranks over range-partitioned values.
+"""Global order without one task: gaps, average ranks, running sums and exact quantiles.
 
 Values are counted first, so ties cost one row.  Counts are dealt by range; each partition's totals (a row for a
-partition) give the offsets, and windows run within partitions only.
+partition) give the offsets, and windows run within partitions only.  Quantiles need no shuffle at all.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,30 +15,102 @@ from .columns import q
 from .tables import written
 
 
-def _ranged(df: DataFrame, column: str) -> DataFrame:
-    """(value, n, part): distinct values dealt by range, part ascending with the value."""
-    counts = df.where(q(column).isNotNull()).groupBy(q(column).alias("value")).agg(F.count("*").alias("n"))
-    return written(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "ranged")
+def ranged(counts: DataFrame, column: str) -> DataFrame:
+    """Rows dealt by ranges of ``column``, with ``part`` ascending with it; written, so that parts don't change."""
+    return written(counts.repartitionByRange(column).withColumn("part", F.spark_partition_id()), "ranged")
+
+
+def _counted(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, part): distinct values dealt by range."""
+    return ranged(df.where(q(column).isNotNull()).groupBy(q(column).alias("value")).agg(F.count("*").alias("n")), "value")
 
 
 def gaps(df: DataFrame, column: str) -> DataFrame:
-    """(gap) in seconds between neighbouring times in order; equal times have gaps of 0."""
-    ranged = _ranged(df.select(F.unix_seconds(q(column).cast("timestamp")).alias("t")), "t")
+    """(gap, n): seconds between neighbouring times in order, with how many there are; equal times have gaps of 0."""
+    counts = _counted(df.select(F.unix_seconds(q(column).cast("timestamp")).alias("t")), "t")
     # The last value before each partition: one row a partition.
-    ends = ranged.groupBy("part").agg(F.max("value").alias("last"))
+    ends = counts.groupBy("part").agg(F.max("value").alias("last"))
     before = F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     carried = ends.select("part", before.alias("carried"))
     own = F.lag("value").over(Window.partitionBy("part").orderBy("value"))
-    rows = ranged.withColumn("previous", own).join(F.broadcast(carried), "part").withColumn("gap", F.col("value") - F.coalesce("previous", "carried"))
-    ties = rows.where("n > 1").select(F.explode(F.array_repeat(F.lit(0).cast("long"), (F.col("n") - 1).cast("int"))).alias("gap"))
-    return rows.where("gap IS NOT NULL").select("gap").unionByName(ties)
+    rows = counts.withColumn("previous", own).join(F.broadcast(carried), "part").withColumn("gap", F.col("value") - F.coalesce("previous", "carried"))
+    steps = rows.where("gap IS NOT NULL").select("gap", F.lit(1).cast("long").alias("n"))
+    ties = rows.where("n > 1").select(F.lit(0).cast("long").alias("gap"), (F.col("n") - 1).alias("n"))
+    return steps.unionByName(ties).groupBy("gap").agg(F.sum("n").alias("n"))
 
 
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """(value, n, rank): each distinct value with the average rank of its ties, from 1."""
-    ranged = _ranged(df, column)
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("rows"))
-    offset = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("part", offset.alias("offset"))
-    within = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("upto", within).join(F.broadcast(offsets), "part").select("value", "n", (F.col("offset") + F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+    counts = running(_counted(df, column), "value", {"upto": "n"})
+    return counts.select("value", "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+
+
+def running(parts: DataFrame, column: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """``parts`` (from ``ranged``) with running sums of columns in the order of ``column``, its own row included."""
+    order = lambda c: F.desc(c) if descending else F.col(c).asc()
+    totals = parts.groupBy("part").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
+    before = Window.orderBy(order("part")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    carried = totals.select("part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_c_{k}") for k in sums])
+    within = Window.partitionBy("part").orderBy(order(column)).rowsBetween(Window.unboundedPreceding, 0)
+    out = parts.select("*", *[F.sum(v).over(within).alias(f"_w_{k}") for k, v in sums.items()]).join(F.broadcast(carried), "part")
+    return out.withColumns({k: F.col(f"_w_{k}") + F.col(f"_c_{k}") for k in sums}).drop(*[f"_{x}_{k}" for x in "wc" for k in sums])
+
+
+#: Rows (of each column) that an exact percentile may hold at once, and the accuracy of the sketch that narrows more.
+AT_ONCE, ACCURACY = 50_000, 10_000
+
+
+def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact interpolated quantiles of numeric columns, nulls and NaN left out; null where there is no value.
+
+    Columns of many values are narrowed first: a mergeable sketch brackets the wanted ranks, one pass counts what lies
+    below and within, and only the values within (or one value that fills the bracket) are sorted.  No shuffle of
+    values, and no buffer that grows with the table.
+    """
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    if not columns or not probs:
+        return out
+    clean = lambda c: F.when(~F.isnan(q(c).cast("double")), q(c).cast("double"))
+    step = 2.0 / ACCURACY
+    edges = [min(max(p + s, 0.0), 1.0) for p in probs for s in (-step, step)]
+    first = df.agg(*[x for c in columns for x in (F.count(clean(c)), F.percentile_approx(clean(c), edges, ACCURACY))]).first()
+    n = {c: first[2 * i] for i, c in enumerate(columns)}
+    small = [c for c in columns if 0 < n[c] <= AT_ONCE]
+    if small:
+        row = df.agg(*[F.percentile(clean(c), probs) for c in small]).first()
+        out.update({c: list(row[i]) for i, c in enumerate(small)})
+    # (column, place in probs) -> the bracket that holds both ranks beside the wanted place.
+    open_ = {(c, j): (first[2 * i + 1][2 * j], first[2 * i + 1][2 * j + 1]) for i, c in enumerate(columns) for j in range(len(probs)) if n[c] > AT_ONCE}
+    while open_:
+        keys = list(open_)
+        x = {k: clean(k[0]) for k in keys}
+        inside = {k: (x[k] >= open_[k][0]) & (x[k] <= open_[k][1]) for k in keys}
+        row = df.agg(*[a for k in keys for a in (F.count_if(x[k] < open_[k][0]), F.count_if(inside[k]))]).first()
+        ready, narrower, wider = {}, [], {}
+        for i, k in enumerate(keys):
+            c, j = k
+            below, held = row[2 * i], row[2 * i + 1]
+            place = probs[j] * (n[c] - 1)
+            if not (below <= math.floor(place) and math.ceil(place) < below + held):
+                wider[k] = (float("-inf"), float("inf"))
+            elif open_[k][0] == open_[k][1]:
+                out[c][j] = open_[k][0]
+            elif held <= AT_ONCE:
+                ready[k] = (place - below) / (held - 1) if held > 1 else 0.0
+            else:
+                narrower.append((k, min(max((place - below) / (held - 1), 0.0), 1.0)))
+        if ready:
+            row = df.agg(*[F.percentile(F.when(inside[k], x[k]), F.lit(min(max(f, 0.0), 1.0))) for k, f in ready.items()]).first()
+            for i, (c, j) in enumerate(ready):
+                out[c][j] = row[i]
+        if narrower:
+            row = df.agg(*[F.percentile_approx(F.when(inside[k], x[k]), [max(f - step, 0.0), min(f + step, 1.0)], ACCURACY) for k, f in narrower]).first()
+        open_, before = dict(wider), open_
+        for i, (k, f) in enumerate(narrower):
+            bracket = (row[i][0], row[i][1])
+            if bracket == before[k]:  # few distinct values: an exact percentile counts each once
+                value = df.agg(F.percentile(F.when(inside[k], x[k]), F.lit(f))).first()[0]
+                out[k[0]][k[1]] = value
+            else:
+                open_[k] = bracket
+    return out

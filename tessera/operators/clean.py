@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import q
+from tessera.functions.ranks import quantiles
 from tessera.operators.profile import missing_summary
 
 NO_ANSWER = "no answer"
@@ -26,14 +27,13 @@ def drop_incomplete(df: DataFrame, important: list[str]) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    row = df.agg(*[F.percentile(q(c), 0.5).alias(str(i)) for i, c in enumerate(columns)]).first()
-    return {c: row[i] for i, c in enumerate(columns)}
+    return {c: v[0] for c, v in quantiles(df, columns, [0.5]).items()}
 
 
 def fill_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Numeric nulls as the column's median (exact)."""
     m = medians(df, columns)
-    return df.withColumns({c: F.coalesce(q(c).cast("double"), F.lit(m[c])) for c in columns})
+    return df.withColumns({c: F.coalesce(q(c).cast("double"), F.lit(m[c]).cast("double")) for c in columns})
 
 
 def expand_lists(df: DataFrame, column: str, separator: str = ",", limit: int = 200) -> DataFrame:

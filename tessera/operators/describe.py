@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import q
-from tessera.functions.ranks import gaps
+from tessera.functions.ranks import gaps, quantiles
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
@@ -28,7 +28,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 def box(df: DataFrame, column: str, outliers: int = 200) -> DataFrame:
     """Quartiles, and as rows of their own the ``outliers`` values farthest from the median, outside the fences."""
     x = q(column).cast("double")
-    a, m, b = df.agg(F.percentile(x, [0.25, 0.5, 0.75])).first()[0] or (None, None, None)
+    a, m, b = quantiles(df, [column], [0.25, 0.5, 0.75])[column]
     spark = df.sparkSession
     quartiles = spark.createDataFrame([("q1", a), ("median", m), ("q3", b)], "part string, value double")
     if a is None:
@@ -50,7 +50,7 @@ def two_levels(df: DataFrame, first: str, second: str) -> DataFrame:
 
 def date_describe(df: DataFrame, column: str) -> DataFrame:
     """First and last time, span in days and how often values come by the median gap of whole days."""
-    g = gaps(df, column).agg(F.percentile(F.floor(F.col("gap") / 86400), 0.5).alias("median_gap"), F.max(F.floor(F.col("gap") / 86400)).alias("max_gap"))
+    g = gaps(df, column).agg(F.percentile(F.floor(F.col("gap") / 86400), 0.5, F.col("n")).alias("median_gap"), F.max(F.floor(F.col("gap") / 86400)).alias("max_gap"))
     base = df.agg(F.count(q(column)).alias("n"), F.min(q(column)).cast("date").alias("first_day"), F.max(q(column)).cast("date").alias("last_day"))
     m = F.col("median_gap")
     often = F.when(m <= 1, "daily").when(m <= 7, "weekly").when(m <= 31, "monthly").otherwise(F.concat(m.cast("int").cast("string"), F.lit("-day")))

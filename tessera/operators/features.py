@@ -13,24 +13,23 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import numeric_columns, q, value_counts
 from tessera.functions.distributions import normal_ppf
-from tessera.operators.relate import gram
+from tessera.functions.ranks import quantiles
+from tessera.operators.relate import fold_grams
 
 MISSING = "missing"
 
 
 def impute_numbers(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
     """Nulls as the median (exact) or mean."""
-    pick = {"median": lambda c: F.percentile(c, 0.5), "mean": F.avg}[how]
-    row = df.agg(*[pick(q(c).cast("double")).alias(str(i)) for i, c in enumerate(columns)]).first()
-    return df.withColumns({c: F.coalesce(q(c).cast("double"), F.lit(row[i])) for i, c in enumerate(columns)})
+    row = [v[0] for v in quantiles(df, columns, [0.5]).values()] if how == "median" else df.agg(*[F.avg(q(c).cast("double")).alias(str(i)) for i, c in enumerate(columns)]).first()
+    return df.withColumns({c: F.coalesce(q(c).cast("double"), F.lit(row[i]).cast("double")) for i, c in enumerate(columns)})
 
 
 def impute_categories(df: DataFrame, columns: list[str], how: str = "most_frequent") -> DataFrame:
     """Nulls as the most frequent value (ties: the smallest) or as a word of their own."""
     if how == MISSING:
         return df.withColumns({c: F.coalesce(q(c), F.lit(MISSING)) for c in columns})
-    best = value_counts(df, columns).groupBy("column").agg(F.max_by(F.struct("value"), F.struct("n", F.lit(0))).alias("x"), F.max("n").alias("n"))
-    top = value_counts(df, columns).join(F.broadcast(best.select("column", "n")), ["column", "n"]).groupBy("column").agg(F.min("value").alias("value"))
+    top = value_counts(df, columns).groupBy("column").agg(F.min(F.struct(-F.col("n"), F.col("value"))).alias("b")).select("column", "b.value")
     mode = {r["column"]: r["value"] for r in top.collect()}
     return df.withColumns({c: F.coalesce(q(c), F.lit(mode.get(c))) for c in columns})
 
@@ -38,7 +37,7 @@ def impute_categories(df: DataFrame, columns: list[str], how: str = "most_freque
 def scale(df: DataFrame, columns: list[str], how: str = "standard", grid: int = 100) -> DataFrame:
     """standard ((x - mean) / population deviation), robust ((x - median) / IQR) or quantile (to normal scores)."""
     if how == "quantile":
-        row = df.agg(*[F.percentile(q(c).cast("double"), [i / grid for i in range(grid + 1)]) for c in columns]).first()
+        edges = quantiles(df, columns, [i / grid for i in range(grid + 1)])
 
         def normal(edges: list[float]):
             known, scores = np.array(edges), np.array([normal_ppf(min(max(i / grid, 1e-7), 1 - 1e-7)) for i in range(grid + 1)])
@@ -49,14 +48,13 @@ def scale(df: DataFrame, columns: list[str], how: str = "standard", grid: int =
 
             return run
 
-        return df.withColumns({c: normal(row[i])(q(c).cast("double")) for i, c in enumerate(columns) if row[i]})
+        return df.withColumns({c: normal(edges[c])(q(c).cast("double")) for c in columns if edges[c][0] is not None})
     if how == "standard":
         row = df.agg(*[x for c in columns for x in (F.avg(q(c)), F.stddev_pop(q(c)))]).first()
         by = {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(columns)}
     else:
-        row = df.agg(*[F.percentile(q(c).cast("double"), [0.25, 0.5, 0.75]) for c in columns]).first()
-        by = {c: (row[i][1], row[i][2] - row[i][0]) for i, c in enumerate(columns)}
-    return df.withColumns({c: (q(c) - F.lit(m)) / F.lit(s or 1.0) for c, (m, s) in by.items()})
+        by = {c: (m, None if m is None else b - a) for c, (a, m, b) in quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
+    return df.withColumns({c: (q(c) - F.lit(m).cast("double")) / F.lit(float(s or 1.0)) for c, (m, s) in by.items()})
 
 
 def one_hot(df: DataFrame, column: str, limit: int = 200) -> DataFrame:
@@ -114,10 +112,11 @@ def project(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
 def lasso_path(df: DataFrame, columns: list[str], target: str, key: str, folds: int = 5, alphas: int = 20) -> DataFrame:
     """Coefficients of the lasso (on standardized columns) with the penalty that cross-validates best.
 
-    One pass a fold gathers Gram matrices; training sets are the total less the fold; coordinate descent runs on k x k.
+    One pass gathers a Gram matrix for each fold; training sets are the total less the fold; coordinate descent runs on k x k.
     """
-    fold = F.pmod(F.xxhash64(q(key)), F.lit(folds))
-    grams = [gram(df.where(fold == f), [*columns, target]) for f in range(folds)]
+    grams = [g for g in fold_grams(df, key, [*columns, target], folds) if g[0]]
+    if not grams or not columns:
+        return df.sparkSession.createDataFrame([], "column string, coefficient double, selected boolean, alpha double")
     n_all, s_all, p_all = (sum(g[i] for g in grams) for i in range(3))
 
     def moments(n, s, p):
@@ -130,18 +129,20 @@ def lasso_path(df: DataFrame, columns: list[str], target: str, key: str, folds:
             old = b.copy()
             for j in range(len(b)):
                 rho = y[j] - c[j] @ b + c[j, j] * b[j]
-                b[j] = np.sign(rho) * max(abs(rho) - alpha, 0) / c[j, j]
+                b[j] = np.sign(rho) * max(abs(rho) - alpha, 0) / c[j, j] if c[j, j] > 1e-12 else 0.0
             if np.abs(b - old).max() < 1e-12:
                 break
         return b
 
     c, sd = moments(n_all, s_all, p_all)
     r = c / np.outer(sd, sd)
-    top = np.abs(r[:-1, -1]).max()
+    top = max(np.abs(r[:-1, -1]).max(), 1e-300)
     best, best_error = top, np.inf
     for alpha in np.geomspace(top, top / 1000, alphas):
         error = 0.0
         for n, s, p in grams:
+            if n == n_all:  # one fold holds all rows: nothing to validate with
+                continue
             ct, _ = moments(n_all - n, s_all - s, p_all - p)
             zt, zv = ct / np.outer(sd, sd), (p / n - np.outer(s, s) / n**2) / np.outer(sd, sd)
             b = descend(zt[:-1, :-1], zt[:-1, -1], alpha)
@@ -162,18 +163,49 @@ def target_candidates(df: DataFrame) -> DataFrame:
     return counts.select("column", "n_unique", rank.alias("rank"), at.alias("at")).where("rank IS NOT NULL").orderBy("rank", "at")
 
 
-def model_shortlist(df: DataFrame, target: str) -> DataFrame:
-    """Problem, rows, features, share of the rarest class, and the first rule that fits."""
-    kind = dict(df.dtypes)[target]
-    counts = df.where(q(target).isNotNull()).groupBy(q(target).cast("string").alias("v")).agg(F.count("*").alias("n"))
-    c = counts.agg(F.count("*").alias("classes"), F.sum("n").alias("n_rows"), F.min("n").alias("least"))
-    regression = F.lit(kind != "string") & (F.col("classes") > 20)
-    c = c.select(F.when(regression, "regression").otherwise("classification").alias("problem"), "n_rows", F.lit(len(df.columns) - 1).alias("features"), (F.col("least") / F.col("n_rows")).alias("least_share"))
-    rules = [
-        ((F.col("problem") == "regression") & (F.col("n_rows") > 100_000), "gradient boosting"),
-        (F.col("problem") == "regression", "elastic net"),
-        (F.col("least_share") < 0.2, "random forest, weighted classes"),
-        (F.col("n_rows") > 100_000, "gradient boosting"),
-    ]
-    first = F.coalesce(*[F.when(a, F.struct(F.lit(i + 1).alias("rule"), F.lit(m).alias("model"))) for i, (a, m) in enumerate(rules)], F.struct(F.lit(len(rules) + 1).alias("rule"), F.lit("logistic regression").alias("model")))
-    return c.withColumn("x", first).select("problem", "n_rows", "features", "least_share", "x.rule", "x.model")
+def lower_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Texts in lower case, for vectorizers; other columns stay."""
+    return df.withColumns({c: F.lower(q(c)) for c in columns})
+
+
+#: The ordered rules of the model shortlist. Condition on problem, n_rows, features, imbalanced, seasonal, arbitrary_shapes.
+SHORTLIST = (
+    ("problem = 'classification' AND n_rows < 1000 AND features < 20", "LogisticRegression SVC KNeighborsClassifier DecisionTreeClassifier"),
+    ("problem = 'classification' AND n_rows < 1000 AND features >= 20", "LogisticRegression LinearSVC NaiveBayes"),
+    ("problem = 'classification' AND n_rows < 5000 AND features > 100", "LinearSVC LogisticRegression XGBClassifier"),
+    ("problem = 'classification' AND imbalanced", "XGBClassifier LGBMClassifier CatBoostClassifier"),
+    ("problem = 'classification' AND n_rows >= 5000 AND features < 100", "RandomForestClassifier XGBClassifier LGBMClassifier CatBoostClassifier"),
+    ("problem = 'classification' AND n_rows >= 20000 AND features >= 100", "RandomForestClassifier XGBClassifier LGBMClassifier MLPClassifier"),
+    ("problem = 'regression' AND n_rows < 2000 AND features < 20", "LinearRegression Ridge Lasso ElasticNet SVR"),
+    ("problem = 'regression' AND n_rows < 2000 AND features >= 20", "Lasso ElasticNet SVR RandomForestRegressor"),
+    ("problem = 'regression' AND n_rows >= 2000 AND n_rows < 10000 AND features <= 50", "RandomForestRegressor XGBRegressor LGBMRegressor"),
+    ("problem = 'regression' AND n_rows >= 10000", "XGBRegressor LGBMRegressor CatBoostRegressor MLPRegressor"),
+    ("problem = 'time_series' AND n_rows < 5000 AND seasonal", "ARIMA SARIMA ExponentialSmoothing Prophet"),
+    ("problem = 'time_series' AND n_rows >= 5000 AND n_rows < 20000", "XGBRegressor LGBMRegressor Prophet"),
+    ("problem = 'time_series' AND n_rows >= 20000", "XGBRegressor LGBMRegressor LSTM GRU TCN"),
+    ("problem = 'clustering' AND arbitrary_shapes", "DBSCAN HDBSCAN OPTICS"),
+    ("problem = 'text' AND n_rows < 5000", "NaiveBayes LogisticRegression LinearSVC"),
+    ("problem = 'text' AND n_rows >= 50000", "Transformer BERT CNN_Text RNN_Text"),
+)
+FALLBACK = "RandomForest"
+
+
+def model_shortlist(df: DataFrame, target: str | None, problem: str | None = None, seasonal: bool = False, arbitrary_shapes: bool = False) -> DataFrame:
+    """Problem, rows, features, most categories, share of the rarest class, and the models of the first rule that fits.
+
+    Without a target the problem is clustering; a text target, or a number of at most 20 values, is classification.
+    """
+    schema = dict(df.dtypes)
+    texts = [c for c, t in schema.items() if t == "string" and c != target]
+    most = value_counts(df, texts).groupBy("column").agg(F.count("*").alias("k")).agg(F.coalesce(F.max("k"), F.lit(0)).cast("long").alias("max_categories")) if texts else df.sparkSession.range(1).select(F.lit(0).cast("long").alias("max_categories"))
+    if target is None:
+        c = df.agg(F.count("*").alias("n_rows")).withColumns({"classes": F.lit(0).cast("long"), "least": F.lit(None).cast("long")})
+        kind = F.lit(problem or "clustering")
+    else:
+        counts = df.where(q(target).isNotNull()).groupBy(q(target).cast("string").alias("v")).agg(F.count("*").alias("n"))
+        c = counts.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"), F.min("n").alias("least"))
+        kind = F.lit(problem) if problem else F.when(F.lit(schema[target] != "string") & (F.col("classes") > 20), "regression").otherwise("classification")
+    c = c.crossJoin(most).select(kind.alias("problem"), "n_rows", F.lit(len(df.columns) - (target is not None)).alias("features"), "max_categories", F.try_divide("least", "n_rows").alias("least_share"))  # single rows
+    c = c.withColumns({"imbalanced": F.coalesce((F.col("problem") == "classification") & (F.col("least_share") < 0.2), F.lit(False)), "seasonal": F.lit(seasonal), "arbitrary_shapes": F.lit(arbitrary_shapes)})
+    first = F.coalesce(*[F.when(F.expr(rule), F.struct(F.lit(i + 1).alias("rule"), F.lit(models).alias("models"))) for i, (rule, models) in enumerate(SHORTLIST)], F.struct(F.lit(len(SHORTLIST) + 1).alias("rule"), F.lit(FALLBACK).alias("models")))
+    return c.withColumn("x", first).select("problem", "n_rows", "features", "max_categories", "least_share", "imbalanced", "x.rule", "x.models")

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import q
+from tessera.functions.ranks import quantiles
+from tessera.functions.tables import written
 from tessera.operators.features import centered
 
 
@@ -24,7 +26,7 @@ def cluster(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42) -> tu
 
     The silhouette is the linear one (squared Euclidean).
     """
-    z = centered(df, columns).persist()
+    z = written(centered(df, columns), "centered")
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(z)
     rows = model.transform(z)
     silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(rows)
@@ -79,8 +81,9 @@ def isolation_scores(df: DataFrame, key: str, columns: list[str], trees: int = 1
 def anomalies(df: DataFrame, key: str, columns: list[str], contamination: float = 0.05) -> DataFrame:
     """Rows with ``score`` and ``is_anomaly``: beyond the share of ``contamination``."""
     scored = isolation_scores(df, key, columns)
-    cut = scored.agg(F.percentile("score", 1 - contamination)).first()[0]
-    return scored.withColumn("is_anomaly", F.col("score") > F.lit(cut))
+    scored = written(scored, "scored")
+    cut = quantiles(scored, ["score"], [1 - contamination])["score"][0]
+    return scored.withColumn("is_anomaly", F.col("score") > F.lit(cut).cast("double"))
 
 
 def importances(df: DataFrame, columns: list[str], target: str, trees: int = 50, seed: int = 42) -> DataFrame:
@@ -95,35 +98,75 @@ def importances(df: DataFrame, columns: list[str], target: str, trees: int = 50,
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "column string, importance double")
 
 
-def split(df: DataFrame, key: str, share: float = 0.2) -> DataFrame:
-    """Rows with ``is_validation`` by a hash of the key: the same rows each time, and of each class about the same share."""
-    return df.withColumn("is_validation", F.pmod(F.xxhash64(q(key)), F.lit(10_000)) < F.lit(int(share * 10_000)))
+def split(df: DataFrame, key: str, share: float = 0.2, target: str | None = None) -> DataFrame:
+    """Rows with ``is_validation``: by a hash of the key the same rows each time, and of each class of ``target`` exactly its share.
+
+    Classes are cut at their own quantile of the hash; one aggregation by class.  A class of one row stays in training.
+    """
+    h = F.pmod(F.xxhash64(q(key), F.lit(5)), F.lit(1 << 30))
+    if target is None:
+        return df.withColumn("is_validation", h < F.lit(int(share * (1 << 30))))
+    rows = df.withColumn("_h", h)
+    cuts = rows.groupBy(q(target).alias("_class")).agg(F.percentile_approx("_h", share, 10_000).alias("_cut"), F.count("*").alias("_k"))
+    joined = rows.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, q(target).eqNullSafe(F.col("_class")), "left")
+    return joined.withColumn("is_validation", (F.col("_h") <= F.col("_cut")) & (F.col("_k") > 1)).drop("_h", "_class", "_cut", "_k")
 
 
 REGRESSORS = {"linear": lambda **k: LinearRegression(**k), "ridge": lambda **k: LinearRegression(regParam=1.0, **k), "lasso": lambda **k: LinearRegression(regParam=0.1, elasticNetParam=1.0, **k), "elastic_net": lambda **k: LinearRegression(regParam=0.1, elasticNetParam=0.5, **k), "tree": lambda **k: DecisionTreeRegressor(seed=42, **k), "forest": lambda **k: RandomForestRegressor(seed=42, numTrees=20, **k), "boosting": lambda **k: GBTRegressor(seed=42, maxIter=10, **k)}
 CLASSIFIERS = {"logistic": lambda **k: LogisticRegression(**k), "svc": lambda **k: LinearSVC(maxIter=20, **k), "tree": lambda **k: DecisionTreeClassifier(seed=42, **k), "forest": lambda **k: RandomForestClassifier(seed=42, numTrees=20, **k), "boosting": lambda **k: GBTClassifier(seed=42, maxIter=10, **k), "naive_bayes": lambda **k: NaiveBayes(modelType="gaussian", **k)}
 
 
-def compare_models(df: DataFrame, key: str, columns: list[str], target: str, models: list[str] | None = None) -> DataFrame:
+def compare_models(df: DataFrame, key: str, columns: list[str], target: str, models: list[str] | None = None, params: dict | None = None) -> DataFrame:
     """(model, metric, value) on held-out rows: RMSE for numbers, accuracy for a text target."""
     classes = dict(df.dtypes)[target] == "string"
-    rows = split(df.dropna(subset=[*columns, target]), key)
+    rows = split(df.dropna(subset=[*columns, target]), key, target=target if classes else None)
     steps = [VectorAssembler(inputCols=columns, outputCol="_x")] + ([StringIndexer(inputCol=target, outputCol="_y")] if classes else [])
-    data = Pipeline(stages=steps).fit(rows).transform(rows).withColumnRenamed(target, "_y" if not classes else target).persist()
+    data = Pipeline(stages=steps).fit(rows).transform(rows).withColumnRenamed(target, "_y" if not classes else target)
+    data = written(data, "model-rows")
     chosen = CLASSIFIERS if classes else REGRESSORS
     judge = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy") if classes else RegressionEvaluator(labelCol="_y", metricName="rmse")
     found = []
     for name in models or list(chosen):
-        model = chosen[name](featuresCol="_x", labelCol="_y").fit(data.where("NOT is_validation"))
+        estimator = chosen[name](featuresCol="_x", labelCol="_y")
+        for k, v in (params or {}).items():
+            estimator.set(estimator.getParam(k), v)
+        model = estimator.fit(data.where("NOT is_validation"))
         found.append((name, "accuracy" if classes else "rmse", float(judge.evaluate(model.transform(data.where("is_validation"))))))
     return df.sparkSession.createDataFrame(found, "model string, metric string, value double")
 
 
+#: Candidate clusterings compare by silhouette; asked rows that are broadcast at most.
+CLUSTERS, ASKED = (2, 3, 4, 5, 6), 10_000
+
+
+def tuned(df: DataFrame, key: str, columns: list[str], target: str, model: str, grid: dict[str, list]) -> DataFrame:
+    """(parameters, metric, value) of every combination of a grid for one candidate model, best first, on held-out rows."""
+    from itertools import product
+
+    found = []
+    for values in product(*grid.values()):
+        params = dict(zip(grid, values, strict=True))
+        r = compare_models(df, key, columns, target, [model], params).first()
+        found.append((", ".join(f"{k}={v}" for k, v in params.items()), r["metric"], r["value"]))
+    best = lambda r: -r[2] if r[1] == "accuracy" else r[2]
+    return df.sparkSession.createDataFrame(sorted(found, key=best), "parameters string, metric string, value double")
+
+
+def cluster_candidates(df: DataFrame, columns: list[str], sizes: tuple[int, ...] = CLUSTERS, seed: int = 42) -> DataFrame:
+    """(k, silhouette) of k-means for each number of clusters, best first."""
+    z = written(centered(df, columns).select("features"), "centered")
+    judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
+    found = [(k, float(judge.evaluate(KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(z).transform(z)))) for k in sizes]
+    return df.sparkSession.createDataFrame(sorted(found, key=lambda r: -r[1]), "k int, silhouette double")
+
+
 def nearest_rows(df: DataFrame, key: str, columns: list[str], changed: str, pct: float, asked: DataFrame) -> DataFrame:
     """For asked keys (a small set): the real row nearest to the row with ``changed`` moved by ``pct``, standardized.
 
-    The asked rows are broadcast; each other row is compared with them once and only the nearest is kept.
+    The asked rows (an error beyond ASKED) are broadcast; each other row is compared with them once and only the nearest is kept.
     """
+    if (k := asked.select(q(key)).limit(ASKED + 1).count()) > ASKED:
+        raise ValueError(f"over {ASKED} asked rows ({k}): ask in blocks")
     row = df.agg(*[x for c in columns for x in (F.avg(q(c)), F.stddev_pop(q(c)))]).first()
     z = lambda c, i: (c - F.lit(row[2 * i])) / F.lit(row[2 * i + 1] or 1.0)
     rows = df.dropna(subset=columns)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import per_column, q, r6, value_counts
+from tessera.functions.columns import numeric_columns, per_column, q, r6, value_counts
+from tessera.functions.ranks import quantiles
 
 
 def numeric_describe(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,28 +21,27 @@ def numeric_describe(df: DataFrame, columns: list[str]) -> DataFrame:
         hi=lambda c: F.max(c).cast("double"),
         mean=lambda c: F.avg(c),
         std=lambda c: F.stddev_samp(c),
-        quartiles=lambda c: F.percentile(c, [0.25, 0.5, 0.75]),
         skew=lambda c: F.skewness(c),
         kurtosis=lambda c: F.kurtosis(c),
         zeros=lambda c: F.count_if(c == 0),
     )
-    fences = {r["column"]: r["quartiles"] for r in base.select("column", "quartiles").collect()}
+    at = quantiles(df, columns, [0.25, 0.5, 0.75])
 
     def outside(name: str) -> Column:
-        a, _, b = fences[name] or (None, None, None)
+        a, _, b = at[name]
         return F.lit(0).cast("long") if a is None else F.count_if((q(name) < a - 1.5 * (b - a)) | (q(name) > b + 1.5 * (b - a)))
 
     counts = df.agg(*[outside(c).alias(str(i)) for i, c in enumerate(columns)])
-    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{i}`").alias("outliers")) for i, c in enumerate(columns)])))
-    quartiles = [F.col("quartiles")[i].alias(m) for i, m in enumerate(("q1", "median", "q3"))]
-    return base.join(F.broadcast(rows), "column").select("column", "n", "lo", *quartiles, "hi", "mean", "std", "skew", "kurtosis", "zeros", "outliers")
+    fixed = lambda c: [F.lit(v).cast("double").alias(k) for k, v in zip(("q1", "median", "q3"), at[c], strict=True)]
+    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{i}`").alias("outliers"), *fixed(c)) for i, c in enumerate(columns)])))
+    return base.join(F.broadcast(rows), "column").select("column", "n", "lo", "q1", "median", "q3", "hi", "mean", "std", "skew", "kurtosis", "zeros", "outliers")
 
 
 def corrected_moments(df: DataFrame) -> DataFrame:
     """Bias-corrected skew and kurtosis beside the population ones of ``numeric_describe``."""
     n = F.col("n").cast("double")
-    skew = F.when(n > 2, F.col("skew") * F.sqrt(n * (n - 1)) / (n - 2))
-    kurtosis = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("kurtosis") + 6))
+    skew = F.when(n > 2, F.col("skew") * F.try_divide(F.sqrt(n * (n - 1)), n - 2))
+    kurtosis = F.when(n > 3, F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("kurtosis") + 6))
     return df.withColumns({"skew_corrected": skew, "kurtosis_corrected": kurtosis})
 
 
@@ -113,21 +113,25 @@ def multi_select(df: DataFrame, columns: list[str], least: float = 0.2) -> DataF
 
 
 def numeric_advanced(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Percentiles 1 and 99, coefficient of variation, |z| over 2 and 3, largest |z|, and the shape by skew."""
-    base = per_column(df, columns, n=lambda c: F.count(c), mean=lambda c: F.avg(c), std=lambda c: F.stddev_samp(c), p=lambda c: F.percentile(c, [0.01, 0.99]), skew=lambda c: F.skewness(c), lo=lambda c: F.min(c).cast("double"), hi=lambda c: F.max(c).cast("double"))
+    """Percentiles 1 and 99, coefficient of variation, |z| over 2 and 3, largest |z|, and the shape by skew.
+
+    What a constant column or few rows leave undefined is null (the shape: strong).
+    """
+    base = per_column(df, columns, n=lambda c: F.count(c), mean=lambda c: F.avg(c), std=lambda c: F.stddev_samp(c), skew=lambda c: F.skewness(c), lo=lambda c: F.min(c).cast("double"), hi=lambda c: F.max(c).cast("double"))
     at = {r["column"]: (r["mean"], r["std"]) for r in base.select("column", "mean", "std").collect()}
+    tails = quantiles(df, columns, [0.01, 0.99])
 
     def over(name: str, z: int) -> Column:
         mean, std = at[name]
         return F.lit(0).cast("long") if not std else F.count_if(F.abs((q(name) - mean) / std) > z)
 
     counts = df.agg(*[over(c, z).alias(f"{i}_{z}") for i, c in enumerate(columns) for z in (2, 3)])
-    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{i}_2").alias("z2"), F.col(f"{i}_3").alias("z3")) for i, c in enumerate(columns)])))
+    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{i}_2").alias("z2"), F.col(f"{i}_3").alias("z3"), F.lit(tails[c][0]).cast("double").alias("p01"), F.lit(tails[c][1]).cast("double").alias("p99")) for i, c in enumerate(columns)])))
     n = F.col("n").cast("double")
-    skew = F.col("skew") * F.sqrt(n * (n - 1)) / (n - 2)
+    skew = F.col("skew") * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
     shape = F.when(F.abs(skew) < 0.5, "symmetric").when(F.abs(skew) < 1, "moderate").otherwise("strong")
-    top = F.greatest(F.col("hi") - F.col("mean"), F.col("mean") - F.col("lo")) / F.col("std")
-    return base.join(F.broadcast(rows), "column").select("column", F.col("p")[0].alias("p01"), F.col("p")[1].alias("p99"), F.try_divide("std", "mean").alias("cv"), "z2", "z3", top.alias("max_z"), shape.alias("shape"))
+    top = F.try_divide(F.greatest(F.col("hi") - F.col("mean"), F.col("mean") - F.col("lo")), F.col("std"))
+    return base.join(F.broadcast(rows), "column").select("column", "p01", "p99", F.try_divide("std", "mean").alias("cv"), "z2", "z3", top.alias("max_z"), shape.alias("shape"))
 
 
 def benford(df: DataFrame, column: str, flag: float = 0.15) -> DataFrame:
@@ -160,58 +164,115 @@ def target_correlation(df: DataFrame, columns: list[str], target: str) -> DataFr
 
 
 def suggested_actions(profile: DataFrame) -> DataFrame:
-    """(column, rule) from a profile with missing_pct, unique_share, n_unique, outlier_share, skew."""
+    """(column, rule) from a ``column_profile``, in the order of the rules."""
+    number = F.coalesce(F.col("numeric") > 0.5, F.lit(False))
     rules = {
         "drop_or_impute": F.col("missing_pct") > 50,
-        "identifier": F.col("unique_share") == 1,
+        "identifier": F.col("is_id"),
         "constant": F.col("n_unique") <= 1,
-        "review_outliers": F.col("outlier_share") > 0.01,
-        "high_cardinality": F.col("unique_share") > 0.95,
+        "review_outliers": number & (F.col("outlier_share") > 0.01),
+        "multi_select": F.col("multi"),
+        "mixed_types": F.col("mixed"),
+        "high_cardinality": (F.col("unique_share") > 0.95) & (F.col("n_unique") > 50) & (F.col("numeric") < 0.2),
         "transform_skew": F.abs("skew") > 2,
+        "odd_dates": (F.col("first_day") < F.lit("1900-01-01").cast("date")) | (F.col("last_day") > F.lit("2100-01-01").cast("date")),
     }
     found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
     return profile.select("column", F.explode(found).alias("rule"))
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """What the rules need to know about numeric columns."""
-    n = numeric_describe(df, columns)
-    c = cardinality(df, columns)
-    m = missing_summary(df.select(*[q(x) for x in columns])).where(F.col("column") != "*").select("column", "missing_pct")
-    return corrected_moments(n).select("column", "n", F.col("skew_corrected").alias("skew"), F.try_divide("outliers", "n").alias("outlier_share")).join(F.broadcast(c), "column").join(F.broadcast(m), "column")
+    """What the rules need to know about columns of any type: a row for each.
+
+    Shares are of all rows; numbers are native ones or texts that parse as such, dates likewise.
+    """
+    from tessera.operators.types import as_date, mixed_types
+
+    kinds = dict(df.dtypes)
+    view = df.select(*[q(x) for x in columns])
+    text = lambda x: q(x).cast("string")
+    dates = [x for x in columns if kinds[x].startswith(("date", "timestamp"))]
+    native = set(numeric_columns(view))
+    numbers = view.select(*[(q(x).cast("double") if x in native else F.lit(None).cast("double") if x in dates else F.trim(text(x)).try_cast("double")).alias(x) for x in columns])
+    days = view.select(*[(q(x).cast("date") if x in dates else F.lit(None).cast("date") if x in native else as_date(text(x)).cast("date")).alias(x) for x in columns])
+    d = numeric_describe(numbers, columns)
+    c = cardinality(view, columns)
+    m = missing_summary(view).where(F.col("column") != "*").select("column", "missing_pct", F.col("cells").alias("n_rows"))
+    r = date_ranges(days, columns).select("column", "first_day", "last_day")
+    texts = [x for x in columns if kinds[x] == "string"]
+    base = corrected_moments(d).select("column", "n", F.col("skew_corrected").alias("skew"), "outliers")
+    out = base.join(F.broadcast(c), "column").join(F.broadcast(m), "column").join(F.broadcast(r), "column")
+    if texts:
+        out = out.join(F.broadcast(multi_select(view, texts).select("column", F.col("is_multi").alias("multi"))), "column", "left").join(F.broadcast(mixed_types(view, texts).select("column", F.col("is_mixed").alias("mixed"))), "column", "left")
+    else:
+        out = out.withColumns({"multi": F.lit(False), "mixed": F.lit(False)})
+    share = lambda x: F.try_divide(x, "n_rows")
+    none = F.lit(False)
+    is_id = (F.col("n_unique") == F.col("n_rows")) & (F.col("n_rows") > 1)
+    return out.select("column", "n", "n_rows", "skew", share("outliers").alias("outlier_share"), share("n").alias("numeric"), "n_unique", "unique_share", "cardinality", is_id.alias("is_id"), "missing_pct", F.coalesce("multi", none).alias("multi"), F.coalesce("mixed", none).alias("mixed"), "first_day", "last_day")
 
 
 def quality_score(df: DataFrame) -> DataFrame:
-    """0 to 10 from missing cells, duplicate rows and constant columns, with a grade."""
+    """10 less what missing cells (20 %: 4, 5 %: 2), duplicate rows (5 %: 3, any: 1) and constant columns (over 2: 2, any: 1) cost, with a grade."""
     m = missing_summary(df).where(F.col("column") == "*").select("missing_pct")
     d = duplicate_rows(df).select((F.try_divide("duplicates", "n_rows") * 100).alias("duplicate_pct"))
     c = cardinality(df, df.columns).agg(F.count_if(F.col("cardinality") == "constant").alias("constants"))
     one = m.crossJoin(d).crossJoin(c)  # three single rows
-    lost = F.least(F.col("missing_pct") / 10, F.lit(4.0)) + F.least(F.col("duplicate_pct") / 10, F.lit(3.0)) + F.least(F.col("constants") * 0.5, F.lit(3.0))
-    score = F.greatest(10 - lost, F.lit(0.0))
-    grade = F.when(score >= 9, "A").when(score >= 7.5, "B").when(score >= 5, "C").otherwise("D")
-    return one.select("missing_pct", "duplicate_pct", "constants", score.alias("score"), grade.alias("grade"))
+    steps = lambda x, hard, soft, a, b: F.when(F.col(x) > hard, a).when(F.col(x) > soft, b).otherwise(0)
+    score = 10 - steps("missing_pct", 20, 5, 4, 2) - steps("duplicate_pct", 5, 0, 3, 1) - steps("constants", 2, 0, 2, 1)
+    grade = F.when(score >= 9, "very good").when(score >= 7, "good").when(score >= 5, "fair").otherwise("poor")
+    return one.select("missing_pct", "duplicate_pct", "constants", score.cast("int").alias("score"), grade.alias("grade"))
+
 
+def _level(value: Column, steps: dict[str, float], least: str) -> Column:
+    return reduce(lambda w, k: w.when(value >= steps[k], k), steps, F.when(F.lit(False), "")).otherwise(least)
+
+
+ETA = {"large": 0.14, "medium": 0.06, "small": 0.01}
+CRAMER = {"very strong": 0.5, "moderate to strong": 0.3, "weak to moderate": 0.1}
+
+
+def insight_flags(df: DataFrame, numeric: list[str], categorical: list[str], tested: int = 3, silhouette: float | None = None, anomaly_share: float | None = None) -> DataFrame:
+    """(rule, column, value, level) of what stands out in a table.
+
+    Significance is tested between the first ``tested`` columns of each kind.  A clustering's silhouette and the share of
+    anomalies count where they are given (see ``models``).
+    """
+    from tessera.operators.relate import anova, chi_square, vif
 
-def insight_flags(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
-    """(rule, column, value) of what stands out in a table."""
     n = column_profile(df, numeric)
     t = top_values(df, categorical, 1)
     c = cardinality(df, categorical)
     m = missing_summary(df.select(*[q(x) for x in numeric + categorical])).where(F.col("column") != "*")
     d = duplicate_rows(df)
+    none = F.lit(None).cast("string").alias("level")
     v = lambda x: F.col(x).cast("double").alias("value")
     rule = lambda name: F.lit(name).alias("rule")
     found = [
-        m.where("missing_pct > 30").select(rule("missing"), "column", v("missing_pct")),
-        d.where("duplicates > 0").select(rule("duplicates"), F.lit("*").alias("column"), v("duplicates")),
-        n.where(F.abs("skew") > 1).select(rule("skew"), "column", v("skew")),
-        n.where("outlier_share > 0.05").select(rule("outliers"), "column", v("outlier_share")),
-        t.where("percent > 80").select(rule("dominant_value"), "column", v("percent")),
-        c.where("cardinality = 'constant'").select(rule("constant"), "column", v("n_unique")),
-        c.where("unique_share > 0.9").select(rule("near_unique"), "column", v("unique_share")),
-        d.where("n_rows < 50").select(rule("few_rows"), F.lit("*").alias("column"), v("n_rows")),
+        m.where("missing_pct > 30").select(rule("missing"), "column", v("missing_pct"), none),
+        d.where("duplicates > 0").select(rule("duplicates"), F.lit("*").alias("column"), v("duplicates"), none),
+        n.where(F.abs("skew") > 1).select(rule("skew"), "column", v("skew"), F.when(F.col("skew") > 0, "right").otherwise("left").alias("level")),
+        n.where("outlier_share * n_rows > 0.05 * n").select(rule("outliers"), "column", (F.col("outlier_share") * F.col("n_rows") / F.col("n")).alias("value"), none),
+        t.where("percent > 80").select(rule("dominant_value"), "column", v("percent"), none),
+        c.where("cardinality = 'constant'").select(rule("constant"), "column", v("n_unique"), none),
+        c.where("unique_share > 0.9 AND n_unique > 50").select(rule("near_unique"), "column", v("unique_share"), none),
+        d.where("n_rows < 50").select(rule("few_rows"), F.lit("*").alias("column"), v("n_rows"), none),
     ]
+    levels = {r["column"]: r["n_unique"] for r in c.collect()}
+    groups = [x for x in categorical if 2 <= levels[x] <= 50][:tested]
+    pair = lambda a, b: F.lit(f"{a}~{b}").alias("column")
+    for a in groups:
+        for b in numeric[:tested]:
+            found.append(anova(df, a, b).where("p < 0.05").select(rule("anova"), pair(a, b), v("eta2"), _level(F.col("eta2"), ETA, "very small").alias("level")))
+    for i, a in enumerate(groups):
+        for b in groups[i + 1 :]:
+            found.append(chi_square(df, a, b).where("p < 0.05").select(rule("chi_square"), pair(a, b), v("cramers_v"), _level(F.col("cramers_v"), CRAMER, "very weak").alias("level")))
+    if len(numeric) > 1:
+        found.append(vif(df, numeric).where("vif > 5").select(rule("vif"), "column", v("vif"), none))
+    given = [("silhouette", silhouette, "clear" if silhouette > 0.5 else "weak")] if silhouette is not None and not 0.2 <= silhouette <= 0.5 else []
+    given += [("anomalies", anomaly_share, None)] if anomaly_share else []
+    if given:
+        found.append(df.sparkSession.createDataFrame([(k, "*", float(x), y) for k, x, y in given], "rule string, column string, value double, level string"))
     return reduce(DataFrame.unionByName, found)
 
 

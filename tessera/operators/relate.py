@@ -11,35 +11,67 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import per_column, q
 from tessera.functions.distributions import chi2_sf, f_sf, normal_sf, on_rows, t_two_sided
-from tessera.functions.ranks import average_ranks
+from tessera.functions.ranks import average_ranks, quantiles
+from tessera.functions.tables import written
 from tessera.operators.describe import bins_of
 
 
 def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """n, sums and sums of products of complete rows: one native aggregation, k x k numbers on the driver."""
+    """n, means, and sums of products of centered complete rows: two native aggregations, k x k numbers on the driver.
+
+    Columns are centered first, so that large means cost no digits.
+    """
+    n, means, folds = _products(df, columns, None)
+    return n, means, folds[0][2] if folds else np.zeros((len(columns), len(columns)))
+
+
+def fold_grams(df: DataFrame, key: str, columns: list[str], folds: int = 5) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """n, sums and sums of products of each fold (by a hash of ``key``), all columns less their mean over all rows: one pass for all folds."""
+    _, _, rows = _products(df, columns, F.pmod(F.xxhash64(q(key)), F.lit(folds)))
+    empty = (0, np.zeros(len(columns)), np.zeros((len(columns), len(columns))))
+    return [rows.get(f, empty) for f in range(folds)]
+
+
+def _products(df: DataFrame, columns: list[str], fold: Column | None) -> tuple[int, np.ndarray, dict[int, tuple[int, np.ndarray, np.ndarray]]]:
     x = [q(c).cast("double") for c in columns]
-    whole = df.where(reduce(lambda a, b: a & b, [c.isNotNull() for c in x]))
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    row = whole.agg(F.count(F.lit(1)), *[F.sum(c) for c in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).first()
+    whole = df.where(reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in x]))
+    first = whole.agg(F.count(F.lit(1)), *[F.avg(c) for c in x]).first()
+    means = np.array([v or 0.0 for v in first[1:]])
+    if not first[0]:
+        return 0, means, {}
+    x = [c - F.lit(float(m)) for c, m in zip(x, means, strict=True)]
     k = len(x)
-    products = np.zeros((k, k))
-    for (i, j), v in zip(pairs, row[1 + k :], strict=True):
-        products[i, j] = products[j, i] = v or 0.0
-    return row[0], np.array([v or 0.0 for v in row[1 : 1 + k]]), products
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    out = {}
+    for row in whole.groupBy((F.lit(0) if fold is None else fold).alias("fold")).agg(F.count(F.lit(1)), *[F.sum(c) for c in x], *[F.sum(x[i] * x[j]) for i, j in pairs]).collect():
+        products = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row[2 + k :], strict=True):
+            products[i, j] = products[j, i] = v or 0.0
+        out[int(row[0])] = (row[1], np.array([v or 0.0 for v in row[2 : 2 + k]]), products)
+    return first[0], means, out
+
+
+#: Levels of each side of a table of all cells: beyond, its cells would grow with the square of the data.
+MAX_LEVELS = 1_000
 
 
-def crosstab(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Row shares of each pair of values, zero cells included."""
+def crosstab(df: DataFrame, first: str, second: str, max_levels: int = MAX_LEVELS) -> DataFrame:
+    """Row shares of each pair of values, zero cells included; more than ``max_levels`` values a side raise an error."""
     rows = df.where(q(first).isNotNull() & q(second).isNotNull())
-    counts = rows.groupBy(q(first).alias("first"), q(second).alias("second")).agg(F.count("*").alias("n"))
-    grid = counts.select("first").distinct().join(F.broadcast(counts.select(F.col("second")).distinct()))  # levels only
-    cells = grid.join(counts, ["first", "second"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    counts = written(rows.groupBy(q(first).alias("first"), q(second).alias("second")).agg(F.count("*").alias("n")), "cells")
+    a, b = counts.select("first").distinct(), counts.select("second").distinct()
+    for side, name in ((a, first), (b, second)):
+        if (k := side.count()) > max_levels:
+            raise ValueError(f"{name} has {k} levels, over {max_levels}")
+    cells = a.join(F.broadcast(b)).join(counts, ["first", "second"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("first")))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of each pair, complete pairs only, by one aggregation."""
     pairs = list(combinations(columns, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
     row = df.agg(*[F.corr(q(a).cast("double"), q(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
@@ -69,36 +101,43 @@ def by_category(df: DataFrame, categories: list[str], numbers: list[str]) -> Dat
     return b.groupBy("by", "category", "column").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.count("*").alias("n"))
 
 
+def inner_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
+    """Distinct inner quantile edges of each column, in order."""
+    found = quantiles(df, columns, [i / bins for i in range(1, bins)])
+    return {c: sorted({v for v in found[c] if v is not None}) for c in columns}
+
+
 def sankey(df: DataFrame, category: str, column: str, bins: int = 5) -> DataFrame:
     """Counts of category by quantile bin (right-closed, equal edges merged)."""
     x = q(column).cast("double")
-    edges = df.agg(F.percentile(x, [i / bins for i in range(1, bins)])).first()[0] or []
-    return df.where(x.isNotNull() & q(category).isNotNull()).groupBy(q(category).alias("category"), bins_of(x, sorted(set(edges))).alias("bin")).agg(F.count("*").alias("n"))
+    edges = inner_edges(df, [column], bins)[column]
+    return df.where(x.isNotNull() & q(category).isNotNull()).groupBy(q(category).alias("category"), bins_of(x, edges).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def chi_square(df: DataFrame, first: str, second: str) -> DataFrame:
-    """Chi-square of independence (Yates correction for 2 x 2), degrees, p and Cramer's V from the corrected value."""
+    """Chi-square of independence (Yates correction for 2 x 2), degrees, p and Cramer's V from the corrected value; no row for one level."""
     cells = crosstab(df, first, second)
     by = lambda c: F.sum("n").over(Window.partitionBy(c))
     total = cells.agg(F.sum("n").alias("total"), F.countDistinct("first").alias("k1"), F.countDistinct("second").alias("k2"))
     e = cells.withColumns({"r": by("first"), "c": by("second")}).join(F.broadcast(total)).withColumn("e", F.col("r") * F.col("c") / F.col("total"))  # one row
     d = F.abs(F.col("n") - F.col("e"))
     d = d - F.when((F.col("k1") == 2) & (F.col("k2") == 2), F.least(F.lit(0.5), d)).otherwise(0.0)
-    s = e.groupBy("total", "k1", "k2").agg(F.sum(d * d / F.col("e")).alias("chi2"))
+    s = e.groupBy("total", "k1", "k2").agg(F.sum(F.try_divide(d * d, F.col("e"))).alias("chi2"))
     degrees = ((F.col("k1") - 1) * (F.col("k2") - 1)).cast("long")
-    return s.select("chi2", degrees.alias("degrees"), on_rows(chi2_sf)("chi2", degrees).alias("p"), F.sqrt(F.col("chi2") / F.col("total") / (F.least("k1", "k2") - 1)).alias("cramers_v"))
+    s = s.where(degrees > 0)
+    return s.select("chi2", degrees.alias("degrees"), on_rows(chi2_sf)("chi2", degrees).alias("p"), F.sqrt(F.try_divide(F.col("chi2"), F.col("total") * (F.least("k1", "k2") - 1))).alias("cramers_v"))
 
 
 def anova(df: DataFrame, category: str, column: str) -> DataFrame:
-    """One-way F, p and eta squared; nothing if a group has fewer than two values. Within degrees count all rows."""
+    """One-way F, p and eta squared; nothing if a group has fewer than two values, F null without spread within groups. Within degrees count all rows."""
     x = q(column).cast("double")
     rows = df.count()
     g = df.where(x.isNotNull() & q(category).isNotNull()).groupBy(q(category).alias("g")).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("v"))
-    grand = F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    grand = F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n"))
     s = g.agg(F.count("*").alias("k"), F.min("n").alias("least"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum("n") * grand * grand).alias("ssb"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
     s = s.where((F.col("least") >= 2) & (F.col("k") >= 2)).withColumns({"d1": F.col("k") - 1, "d2": F.lit(rows) - F.col("k")})
-    f = (F.col("ssb") / F.col("d1")) / (F.col("ssw") / F.col("d2"))
-    return s.select(f.alias("f"), "d1", "d2", on_rows(f_sf)(f, "d1", "d2").alias("p"), (F.col("ssb") / (F.col("ssb") + F.col("ssw"))).alias("eta2"))
+    f = F.try_divide(F.try_divide(F.greatest("ssb", F.lit(0.0)), F.col("d1")), F.try_divide("ssw", "d2"))
+    return s.select(f.alias("f"), "d1", "d2", on_rows(f_sf)(f, "d1", "d2").alias("p"), F.try_divide("ssb", F.col("ssb") + F.col("ssw")).alias("eta2"))
 
 
 def category_impact(df: DataFrame, category: str | Column, columns: list[str], min_count: int = 10) -> DataFrame:
@@ -113,14 +152,14 @@ def category_impact(df: DataFrame, category: str | Column, columns: list[str], m
     t = long.groupBy("column").agg(F.count("*").alias("tn"), F.avg(x).alias("tm"), F.var_samp(x).alias("tv"))
     both = g.join(F.broadcast(t), "column").where(F.col("n") >= min_count)
     rn = F.col("tn") - F.col("n")
-    rm = (F.col("tn") * F.col("tm") - F.col("n") * F.col("m")) / rn
+    rm = F.try_divide(F.col("tn") * F.col("tm") - F.col("n") * F.col("m"), rn)
     ss = (F.col("tn") - 1) * F.col("tv") - (F.col("n") - 1) * F.col("v") - F.col("n") * rn / F.col("tn") * (F.col("m") - rm) * (F.col("m") - rm)
-    both = both.where(rn > 1).withColumns({"rn": rn, "rm": rm, "rv": ss / (rn - 1)})
-    pooled = F.sqrt(((F.col("n") - 1) * F.col("v") + (F.col("rn") - 1) * F.col("rv")) / (F.col("n") + F.col("rn") - 2))
+    both = both.where(rn > 1).withColumns({"rn": rn, "rm": rm, "rv": F.greatest(F.try_divide(ss, rn - 1), F.lit(0.0))})
+    pooled = F.sqrt(F.try_divide((F.col("n") - 1) * F.col("v") + (F.col("rn") - 1) * F.col("rv"), F.col("n") + F.col("rn") - 2))
     a, b = F.col("v") / F.col("n"), F.col("rv") / F.col("rn")
-    t_value = (F.col("m") - F.col("rm")) / F.sqrt(a + b)
-    degrees = (a + b) * (a + b) / (a * a / (F.col("n") - 1) + b * b / (F.col("rn") - 1))
-    return both.select("value", "column", "n", F.col("m").alias("group_mean"), F.col("tm").alias("overall_mean"), (F.col("m") - F.col("tm")).alias("delta"), ((F.col("m") - F.col("rm")) / pooled).alias("cohens_d"), t_value.alias("t"), degrees.alias("degrees"), on_rows(t_two_sided)(t_value, degrees).alias("p"))
+    t_value = F.try_divide(F.col("m") - F.col("rm"), F.sqrt(a + b))
+    degrees = F.try_divide((a + b) * (a + b), F.try_divide(a * a, F.col("n") - 1) + F.try_divide(b * b, F.col("rn") - 1))
+    return both.select("value", "column", "n", F.col("m").alias("group_mean"), F.col("tm").alias("overall_mean"), (F.col("m") - F.col("tm")).alias("delta"), F.try_divide(F.col("m") - F.col("rm"), pooled).alias("cohens_d"), t_value.alias("t"), degrees.alias("degrees"), on_rows(t_two_sided)(t_value, degrees).alias("p"))
 
 
 def strongest_impact(impact: DataFrame) -> DataFrame:
@@ -149,23 +188,23 @@ def _rank_sums(df: DataFrame, group: str, column: str) -> tuple[DataFrame, DataF
 
 
 def kruskal(df: DataFrame, group: str, column: str) -> DataFrame:
-    """Kruskal-Wallis H with tie correction, degrees and p."""
+    """Kruskal-Wallis H with tie correction, degrees and p; H null where all values are equal, no row without values."""
     sums, ties = _rank_sums(df, group, column)
-    s = sums.agg(F.count("*").alias("k"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("r2")).join(ties)  # single rows
+    s = sums.agg(F.count("*").alias("k"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("r2")).where("k > 0").join(ties)  # single rows
     n = F.col("total")
-    h = (12 / (n * (n + 1)) * F.col("r2") - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = F.try_divide(12 / (n * (n + 1)) * F.col("r2") - 3 * (n + 1), 1 - F.try_divide("ties", n * n * n - n))
     degrees = (F.col("k") - 1).cast("long")
     return s.select(h.alias("h"), degrees.alias("degrees"), on_rows(chi2_sf)(h, degrees).alias("p"))
 
 
 def mann_whitney(df: DataFrame, group: str, column: str) -> DataFrame:
-    """U of the smaller group name, z with tie and continuity correction, two-sided p; two groups only."""
+    """U of the smaller group name, z with tie and continuity correction (null where all values are equal), two-sided p; two groups only."""
     sums, ties = _rank_sums(df, group, column)
     s = sums.agg(F.count("*").alias("k"), F.min_by("n", "g").cast("double").alias("n1"), F.max_by("n", "g").cast("double").alias("n2"), F.min_by("rank_sum", "g").alias("r1")).where("k = 2").join(ties)
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     mean, n = F.col("n1") * F.col("n2") / 2, F.col("total")
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    z = (F.abs(u - mean) - 0.5) / sd
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * F.greatest(n + 1 - F.try_divide("ties", n * (n - 1)), F.lit(0.0)))
+    z = F.try_divide(F.abs(u - mean) - 0.5, sd)
     return s.select(u.alias("u"), z.alias("z"), F.least(F.lit(1.0), 2 * on_rows(normal_sf)(z)).alias("p"))
 
 
@@ -175,16 +214,16 @@ def group_medians(df: DataFrame, group: str, column: str) -> DataFrame:
 
 def vif(df: DataFrame, columns: list[str], centered: bool = False) -> DataFrame:
     """Variance inflation from the inverse of the Gram matrix; uncentered (no constant) unless asked otherwise."""
-    n, sums, products = gram(df, columns)
-    m = products - np.outer(sums, sums) / max(n, 1) if centered else products
+    n, means, m = gram(df, columns)
+    m = m if centered else m + n * np.outer(means, means)
     inverse = np.linalg.pinv(m)
     return df.sparkSession.createDataFrame([(c, float(m[i, i] * inverse[i, i])) for i, c in enumerate(columns)], "column string, vif double")
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:
     """Mutual information (nats) of quantile bins of each number with a target: a binned estimator."""
-    row = df.agg(*[F.percentile(q(c).cast("double"), [i / bins for i in range(1, bins)]) for c in columns]).first()
-    parts = [bins_of(q(c).cast("double"), sorted(set(row[i] or []))).alias(c) for i, c in enumerate(columns)]
+    edges = inner_edges(df, columns, bins)
+    parts = [bins_of(q(c).cast("double"), edges[c]).alias(c) for c in columns]
     long = df.where(q(target).isNotNull()).select(q(target).cast("string").alias("target"), *parts).unpivot(["target"], columns, "column", "bin").where(F.col("bin").isNotNull())
     joint = long.groupBy("column", "bin", "target").agg(F.count("*").alias("n"))
     by = lambda *k: F.sum("n").over(Window.partitionBy("column", *k))
@@ -196,7 +235,7 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
 def scale_economies(df: DataFrame, driver: str, outcome: str) -> DataFrame:
     """Correlations of a driver with the outcome and the outcome a unit, and the change of the outcome for 10 % more driver."""
     x, y = q(driver).cast("double"), q(outcome).cast("double")
-    return df.agg(F.corr(x, y).alias("r"), F.corr(x, F.try_divide(y, x)).alias("r_unit"), (F.regr_slope(y, x) * 0.1 * F.avg(x) / F.avg(y) * 100).alias("change_pct"))
+    return df.agg(F.corr(x, y).alias("r"), F.corr(x, F.try_divide(y, x)).alias("r_unit"), (F.try_divide(F.regr_slope(y, x) * 0.1 * F.avg(x), F.avg(y)) * 100).alias("change_pct"))
 
 
 def counterintuitive(df: DataFrame, metric: str, value: str, sign: str) -> DataFrame:

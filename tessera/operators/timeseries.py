@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import q
+from tessera.functions.ranks import ranged, running
 
 PERIODS = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 
@@ -65,9 +66,13 @@ def cohort_retention(df: DataFrame, user: str, date: str, period: str = "M") ->
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str) -> DataFrame:
-    """Survival at each time with an event: at risk, events and the running product, over distinct times."""
+    """Survival at each time with an event: at risk, events and the running product, over distinct times dealt by range.
+
+    Products run as sums of logarithms; a time at which all at risk have the event ends them at 0.
+    """
     t = df.where(q(duration).isNotNull()).groupBy(q(duration).cast("double").alias("time")).agg(F.count("*").alias("n"), F.count_if(q(event) == 1).alias("events"))
-    at_risk = F.sum("n").over(Window.orderBy(F.desc("time")))
-    upto = Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    s = t.withColumn("at_risk", at_risk).withColumn("survival", F.product(1 - F.col("events") / F.col("at_risk")).over(upto))
-    return s.where("events > 0").select("time", "at_risk", "events", "survival")
+    s = running(ranged(t, "time"), "time", {"at_risk": "n"}, descending=True)
+    left = 1 - F.col("events") / F.col("at_risk")
+    s = s.withColumns({"all": (left == 0).cast("long"), "log": F.when(left > 0, F.log(left)).otherwise(0.0)})
+    s = running(s, "time", {"logs": "log", "ended": "all"})
+    return s.where("events > 0").select("time", "at_risk", "events", F.when(F.col("ended") > 0, 0.0).otherwise(F.exp("logs")).alias("survival"))
