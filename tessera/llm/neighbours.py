@@ -3,50 +3,73 @@
 1. Equal vectors become one node.  For the graph, vectors get one more coordinate that makes all norms equal, so
    that inner products of any norms are near exactly where the extended vectors are.  With E the largest norm, the
    coordinate is E - gap, and products less E^2 are x.y + gap gap' - E gap - E gap': no large numbers cancel.
-2. The first graph comes from TREES random partitions: a partition deals nodes by the sides of random projections,
-   through the mean, to cells of about BLOCK nodes.  Cells of more than 2 * BLOCK are halved at the median of one more
-   projection, until all fit; only nodes that a projection can't tell apart are halved at random.  Within a cell
-   each node finds its K nearest.
-3. NN-descent: every node gathers the vectors of its neighbours and (K at most, new ones first, by hash) reverse
-   neighbours, and tells each pair of them with a new one that is nearer than what they have; rounds end when at most
-   CHANGES of the entries of all lists were changed, however many rounds that takes.
-4. A query is a node of the index (every row is indexed).  Its beam starts with its own list (and those of the
-   longest vectors, where norms differ); each round expands the best nodes that weren't expanded yet, by one join with
-   the graph, until every beam has only expanded nodes.  Trees and the beam grow with the logarithm of the nodes.
-5. The best BEAM are scored with the original vectors in double precision, and copies are listed by id.
-
-Steps 2 to 4 use vectors of 16 bits a component with a scale and gap of their own; only step 5's scores are
-returned.  Vectors that are null, zero, hold null or non-finite components, or have another length than most take
-no part, nor do rows with a null id; of rows that share an id the smallest vector counts.  Fewer candidates than
-asked for are all returned.
+2. Nodes are numbered within parts of about PART nodes, by the sides of a few random projections (a crowded side is
+   dealt further by hash).  A part is what one task joins: it asks for each vector it needs once.
+3. The first graph comes from a few random partitions.  Each orders the nodes by the sides of random projections and
+   by one more projection; ranges of that order are dealt to tasks, and runs of CELL nodes are compared.  However
+   crowded a region is, a run has CELL nodes at most.
+4. NN-descent: every node gathers its neighbours and (K at most, new ones first, by hash) reverse neighbours, and
+   tells each pair of them with a new one that is nearer than what they have; rounds end when at most CHANGES of
+   the entries of all lists were changed, however many rounds that takes.
+5. A query is a node of the index (every row is indexed).  Its beam starts with its own list (and the longest
+   vectors, where norms differ); each round expands the nodes of the beam that weren't expanded yet, asking for the
+   lists and vectors of those alone, until every beam has only expanded nodes.
+6. The best of the beam are scored with the original vectors in double precision, and copies are listed by id.
+
+Partitions and beams grow with the logarithm of the nodes; nothing else depends on the size.  Steps 2 to 5 use
+vectors of 16 bits a component with a scale and gap of their own; only step 6's scores are returned.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id; shorter
+vectors count as filled up with zeros; of rows that share an id the smallest vector counts.  Fewer candidates than
+asked for are all returned, ties by the smaller id.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import partial
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_key, written
 
-K, TREES, BLOCK, CHANGES = 32, 6, 5000, 0.002
-EXPAND, BEAM = 36, 64
+#: Length of lists, nodes of a run, nodes of a part (about), share of changed entries at which descent ends.
+K, CELL, PART, CHANGES = 40, 256, 4096, 0.02
+#: Beam for each doubling of the nodes; candidates that are scored exactly for each that is asked for.
+BEAM, SCORED = 6, 3
 #: Where norms differ, the longest vectors are starts of every walk as well: inner products favour them.
 HEADS = 64
-LISTS = "node long, nbrs binary, scores binary"
-GRAPH = "node long, nbrs binary, scores binary, fresh binary, changes long"
-LISTS_ARROW = pa.schema([("node", pa.int64()), ("nbrs", pa.binary()), ("scores", pa.binary())])
+#: Entries that a task holds before it keeps the best ones alone, and lists that it joins at once.
+HELD, AT_ONCE = 2_000_000, 512
+BITS = 32
+LISTS = pa.schema([("node", pa.int64()), ("code", pa.binary()), ("nbrs", pa.binary()), ("scores", pa.binary()), ("known", pa.bool_())])
+GRAPH = "node long, code binary, nbrs binary, scores binary, fresh binary, worst double, changes long"
+PACKS = pa.schema([("part", pa.int64()), ("centers", pa.binary()), ("sizes", pa.binary()), ("members", pa.binary()), ("fresh", pa.binary())])
+BEAMS = pa.schema([("part", pa.int64()), ("query", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary()), ("done", pa.binary()), ("found", pa.binary())])
+_TYPES = {pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean"}
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
-    """Rows of equal length from a column of binaries."""
-    values = column.to_pylist()
-    return np.frombuffer(b"".join(values), dtype=kind).reshape(len(values), -1)
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_TYPES[f.type]}" for f in schema)
+
+
+def part_of(node: str) -> Column:
+    return F.shiftright(node, BITS)
+
+
+def _blobs(column: pa.ChunkedArray | pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of binaries, and how many each row has; nulls have none."""
+    values = [x or b"" for x in column.to_pylist()]
+    return np.frombuffer(b"".join(values), kind), np.array([len(x) for x in values], np.int64) // np.dtype(kind).itemsize
+
+
+def _cut(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary of each stretch of values."""
+    data, end = values.tobytes(), np.cumsum(sizes) * values.itemsize
+    return pa.array([data[i:j] for i, j in zip([0, *end[:-1]], end, strict=True)] if len(end) else [], pa.binary())
 
 
 def _coded(x: np.ndarray, top: float) -> list[bytes]:
@@ -59,8 +82,10 @@ def _coded(x: np.ndarray, top: float) -> list[bytes]:
     return [c.tobytes() + t.tobytes() for c, t in zip(code, tail, strict=True)]
 
 
-def _decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors with their gap as the last component, and E * gap, from rows of bytes."""
+def _decoded(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors with their gap as the last component, and E * gap."""
+    values = column.to_pylist()
+    codes = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
     tail = np.ascontiguousarray(codes[:, -12:]).view(np.float32)
     x = np.ascontiguousarray(codes[:, :-12]).view(np.int16).astype(np.float32) * tail[:, :1]
     return np.concatenate((x, tail[:, 1:2]), 1), tail[:, 2]
@@ -70,6 +95,11 @@ def _embeddings(batch: pa.RecordBatch) -> np.ndarray:
     return np.array(batch.column(1).to_pylist(), dtype=np.float64)
 
 
+def _sides(x: np.ndarray, seed: int, planes: int) -> np.ndarray:
+    """A number of ``planes`` bits for each vector: its sides of random planes."""
+    return ((x @ np.random.default_rng(seed).normal(size=(x.shape[1], planes))) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(x), np.int64)
+
+
 def mean_of(vectors: DataFrame, n: int) -> np.ndarray:
     """The mean vector, from a sum for each task."""
 
@@ -78,117 +108,125 @@ def mean_of(vectors: DataFrame, n: int) -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([np.sum(sums, 0)], pa.list_(pa.float64()))], names=["sums"])
 
-    parts = vectors.select("node", "embedding").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "x"))
+    parts = vectors.select("first_id", "embedding").mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "x"))
     return np.array([r["x"] for r in parts.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()]) / n
 
 
-def packed(vectors: DataFrame, top: float, trees: int, planes: int, mean: np.ndarray) -> DataFrame:
-    """node, code, and cells: the first cell of the node in each tree."""
+def numbered(distinct: DataFrame, n: int, mean: np.ndarray) -> DataFrame:
+    """Adds node: the part in the upper bits, a number within the part in the lower BITS."""
+    planes = max(0, round(math.log2(n / PART)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _embeddings(b)
-            if not len(x):
-                continue
-            code = _coded(x, top)
-            cells = []
-            for t in range(trees):
-                sides = np.random.default_rng(1000 + t).normal(size=(x.shape[1], planes))
-                cells.append((((x - mean) @ sides) > 0) @ (1 << np.arange(planes, dtype=np.int64)) if planes else np.zeros(len(x), np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.binary()), pa.array(list(np.stack(cells, 1)), pa.list_(pa.int64()))], names=["node", "code", "cells"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sides(_embeddings(b) - mean, 999, planes))], names=["first_id", "side"])
 
-    return vectors.select("node", "embedding").mapInArrow(run, "node long, code binary, cells array<long>")
+    sides = written(distinct.select("first_id", "embedding").mapInArrow(run, "first_id long, side long"), "sides")
+    crowd = sides.groupBy("side").agg(F.ceil(F.count("*") / PART).cast("int").alias("pieces"))
+    part = F.pmod(F.xxhash64("side", F.pmod(F.xxhash64("first_id"), F.col("pieces"))), F.lit(1 << 30)).alias("part")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("first_id")).cast("long")
+    parts = sides.join(crowd, "side").select("first_id", part).withColumn("node", F.shiftleft("part", BITS).bitwiseOR(rank))
+    return distinct.join(parts.select("first_id", "node"), "first_id")
 
 
-def projected(vectors: DataFrame, trees: int, level: int) -> DataFrame:
-    """node, p: its projection for each tree at a level."""
+def coded(nodes: DataFrame, top: float, trees: int, planes: int, mean: np.ndarray) -> DataFrame:
+    """node, code, and places: sides and one more projection for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x = _embeddings(b)
-                p = x @ np.random.default_rng((level, trees)).normal(size=(x.shape[1], trees))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(p), pa.list_(pa.float64()))], names=["node", "p"])
+            x = _embeddings(b)
+            if not len(x):
+                continue
+            code, centered = _coded(x, top), x - mean
+            sides = np.stack([_sides(centered, 1000 + t, planes) for t in range(trees)], 1)
+            along = centered @ np.random.default_rng(7).normal(size=(x.shape[1], trees))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(code, pa.binary()), pa.array(list(sides), pa.list_(pa.int64())), pa.array(list(along), pa.list_(pa.float64()))], names=["node", "code", "sides", "along"])
+
+    return nodes.select("node", "embedding").mapInArrow(run, "node long, code binary, sides array<long>, along array<double>")
+
+
+def best_of(u: np.ndarray, v: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k best distinct v of each u (numbers under 2^31), in order of u, best first; ties to the smaller v."""
+    _, first = np.unique(u.astype(np.int64) << 32 | v, return_index=True)
+    u, v, score = u[first], v[first], score[first].astype(np.float32)
+    bits = score.view(np.int32).astype(np.int64)
+    rising = np.where(bits >= 0, bits + (1 << 31), ~bits & 0x7FFFFFFF)  # floats in the order of whole numbers
+    order = np.argsort(u.astype(np.int64) << 32 | (0xFFFFFFFF - rising), kind="stable")
+    u, v, score = u[order], v[order], score[order]
+    start = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))[: len(u)]
+    rank = np.arange(len(u)) - np.repeat(start, np.diff(np.append(start, len(u))))
+    keep = rank < k
+    return u[keep], v[keep], score[keep]
 
-    return vectors.select("node", "embedding").mapInArrow(run, "node long, p array<double>")
 
+def _lists(ids: np.ndarray, u: np.ndarray, v: np.ndarray, score: np.ndarray) -> pa.Table:
+    """A row for each u, of entries in order of u."""
+    start = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))[: len(u)]
+    sizes = np.diff(np.append(start, len(u)))
+    nothing = pa.nulls(len(start), pa.binary())
+    return pa.Table.from_arrays([pa.array(ids[u[start]]), nothing, _cut(ids[v], sizes), _cut(score, sizes), pa.array([False] * len(start))], schema=LISTS)
 
-def fitting(cells: DataFrame, vectors: DataFrame, trees: int) -> DataFrame:
-    """(tree, cell, node) with every cell of more than 2 * BLOCK nodes halved until it fits."""
-    cells, fits, level = written(cells, "cells"), [], 0
-    while True:
-        level += 1
-        crowded = written(cells.groupBy("tree", "cell").agg(F.count("*").alias("k")).where(F.col("k") > 2 * BLOCK).select("tree", "cell"), "crowded")
-        fits.append(cells.join(crowded, ["tree", "cell"], "left_anti"))
-        if crowded.isEmpty():
-            break
-        p = F.element_at("p", F.col("tree") + 1).alias("p")
-        rows = written(cells.join(crowded, ["tree", "cell"]).join(projected(vectors, trees, level), "node").select("tree", "cell", "node", p), "projections")
-        cuts = rows.groupBy("tree", "cell").agg(F.percentile_approx("p", 0.5).alias("cut"), F.min("p").alias("low"), F.max("p").alias("high"))
-        chance = F.pmod(F.xxhash64("node", "tree", F.lit(level)), F.lit(2)) == 0
-        side = F.when(F.col("low") == F.col("high"), chance).when(F.col("cut") < F.col("high"), F.col("p") > F.col("cut")).otherwise(F.col("p") == F.col("high"))
-        cells = written(rows.join(cuts, ["tree", "cell"]).select("tree", F.xxhash64("cell", F.lit(level), side).alias("cell"), "node"), "cells")
-    out = fits[0]
-    for more in fits[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def block_lists(table: pa.Table) -> pa.Table:
-    """The K nearest of each node within a block."""
+
+def run_lists(table: pa.Table) -> pa.Table:
+    """The K nearest of each node within a run, with its code."""
     node = table.column("node").to_numpy()
-    x, bias = _decoded(_matrix(table.column("code"), np.uint8))
+    x, bias = _decoded(table.column("code"))
+    s = x @ x.T - bias - bias[:, None]
+    np.fill_diagonal(s, -np.inf)
     k = min(K, len(node) - 1)
-    nbrs, scores = [], []
-    for i in range(0, len(node), 512) if k else ():
-        s = x[i : i + 512] @ x.T - bias - bias[i : i + 512, None]
-        rows = np.arange(len(s))
-        s[rows, rows + i] = -np.inf
-        best = np.argpartition(-s, k - 1, 1)[:, :k]
-        nbrs += [n.tobytes() for n in node[best]]
-        scores += [v.tobytes() for v in np.take_along_axis(s, best, 1)]
-    return pa.table({"node": node[: len(nbrs)], "nbrs": pa.array(nbrs, pa.binary()), "scores": pa.array(scores, pa.binary())}, schema=LISTS_ARROW)
-
-
-def best_of(node: np.ndarray, nbr: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best distinct neighbours of each node, best first."""
-    order = np.lexsort((-score, nbr, node))
-    node, nbr, score = node[order], nbr[order], score[order]
-    keep = np.concatenate(([True], (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])))[: len(node)] & (node != nbr)
-    node, nbr, score = node[keep], nbr[keep], score[keep]
-    order = np.lexsort((nbr, -score, node))
-    node, nbr, score = node[order], nbr[order], score[order]
-    first = np.concatenate(([True], node[1:] != node[:-1]))[: len(node)]
-    start = np.flatnonzero(first)
-    rank = np.arange(len(node)) - np.repeat(start, np.diff(np.append(start, len(node))))
-    keep = rank < k
-    return node[keep], nbr[keep], score[keep]
-
+    best = np.argpartition(-s, k - 1, 1)[:, :k] if k else np.zeros((len(node), 0), np.int64)
+    sizes = np.full(len(node), k)
+    return pa.Table.from_arrays([table.column("node"), table.column("code"), _cut(node[best].ravel(), sizes), _cut(np.take_along_axis(s, best, 1).ravel(), sizes), pa.array([False] * len(node))], schema=LISTS)
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = [len(x) // 8 for x in table.column("nbrs").to_pylist()]
-    return np.repeat(table.column("node").to_numpy(), lengths), np.frombuffer(b"".join(table.column("nbrs").to_pylist()), np.int64), np.frombuffer(b"".join(table.column("scores").to_pylist()), np.float32)
 
+def first_lists(codes: DataFrame) -> DataFrame:
+    """Lists from runs of CELL nodes in the order of each partition."""
 
-def _among(node: np.ndarray, nbr: np.ndarray, known_node: np.ndarray, known_nbr: np.ndarray) -> np.ndarray:
-    """Which pairs are among the known ones; both hold a pair once."""
-    both, other = np.concatenate((known_node, node)), np.concatenate((known_nbr, nbr))
-    order = np.lexsort((np.arange(len(both)) >= len(known_node), other, both))
-    same = np.zeros(len(both), bool)
-    same[order[1:]] = (both[order[1:]] == both[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
-    return same[len(known_node) :]
-
-
-def merged(table: pa.Table) -> pa.Table | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= 2 * CELL:  # the last run of a task has CELL to 2 * CELL nodes
+                table = pa.Table.from_batches(held)
+                at = 0
+                while n - at >= 2 * CELL:
+                    yield from run_lists(table.slice(at, CELL)).to_batches()
+                    at += CELL
+                held, n = table.slice(at).to_batches(), n - at
+        table = pa.Table.from_batches(held) if n else None
+        for at in range(0, n, CELL):
+            yield from run_lists(table.slice(at, CELL)).to_batches()
+
+    places = F.explode(F.arrays_zip(F.transform("sides", lambda s, t: t).alias("tree"), F.col("sides").alias("side"), F.col("along").alias("along"))).alias("p")
+    rows = codes.select("node", "code", places).select("node", "code", "p.tree", "p.side", "p.along")
+    return rows.repartitionByRange("tree", "side", "along").sortWithinPartitions("tree", "side", "along").select("node", "code").mapInArrow(run, _ddl(LISTS))
+
+
+def merged(table: pa.Table) -> pa.Table:
     """The K best of each node's lists; fresh marks those that the known list didn't have, changes counts them."""
-    node, nbr, score = best_of(*_unpacked(table), K)
-    if not len(node):
-        return None
-    fresh = ~_among(node, nbr, *_unpacked(table.filter(table.column("known")))[:2])
-    start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-    pairs = list(zip(start, np.append(start[1:], len(node)), strict=True))
-    lists = [pa.array([x[i:j].tobytes() for i, j in pairs], pa.binary()) for x in (nbr, score.astype(np.float32), fresh)]
-    return pa.table({"node": node[start], "nbrs": lists[0], "scores": lists[1], "fresh": lists[2], "changes": np.add.reduceat(fresh.astype(np.int64), start)})
+    node = table.column("node").to_numpy()
+    nbrs, sizes = _blobs(table.column("nbrs"), np.int64)
+    scores, _ = _blobs(table.column("scores"), np.float32)
+    own, at = np.unique(node, return_inverse=True)
+    ids, v = np.unique(nbrs, return_inverse=True)
+    u = np.repeat(at, sizes)
+    known = np.repeat(table.column("known").to_numpy(zero_copy_only=False), sizes)
+    before = np.sort(u[known].astype(np.int64) << 32 | v[known])
+    u, v, s = best_of(u, v, scores, K)
+    pairs = u.astype(np.int64) << 32 | v
+    fresh = before[np.minimum(np.searchsorted(before, pairs), len(before) - 1)] != pairs if len(before) else np.ones(len(u), bool)
+    count = np.bincount(u, minlength=len(own))
+    changes = np.bincount(u, weights=fresh, minlength=len(own)).astype(np.int64)
+    worst = np.full(len(own), -1e30)
+    last = np.cumsum(count) - 1
+    worst[count >= K] = s[last[count >= K]]
+    code = [b""] * len(own)
+    for i, c in zip(at.tolist(), table.column("code").to_pylist(), strict=True):
+        if c is not None:
+            code[i] = c
+    return pa.table({"node": own, "code": pa.array(code, pa.binary()), "nbrs": _cut(ids[v], count), "scores": _cut(s, count), "fresh": _cut(fresh, count), "worst": worst, "changes": changes})
 
 
 def edges(graph: DataFrame) -> DataFrame:
@@ -196,57 +234,96 @@ def edges(graph: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lengths = [len(x) // 8 for x in b.column(1).to_pylist()]
-            nbrs, fresh = (np.frombuffer(b"".join(b.column(c).to_pylist()), t) for c, t in ((1, np.int64), (2, np.bool_)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), lengths)), pa.array(nbrs), pa.array(fresh)], names=["node", "nbr", "fresh"])
+            nbrs, sizes = _blobs(b.column(1), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(nbrs), pa.array(_blobs(b.column(2), np.bool_)[0])], names=["node", "nbr", "fresh"])
 
     return graph.select("node", "nbrs", "fresh").mapInArrow(run, "node long, nbr long, fresh boolean")
 
 
-def proposals(table: pa.Table) -> pa.Table:
-    """Local joins of many centers: pairs of members, one of them new, nearer than the worst either has, as lists by member."""
-    center, member = table.column("center").to_numpy(), table.column("member").to_numpy()
-    worst, fresh = table.column("worst").to_numpy(), table.column("fresh").to_numpy()
-    x, bias = _decoded(_matrix(table.column("code"), np.uint8))
+def packed(table: pa.Table) -> pa.Table:
+    """A row for each part: its centers with a new member, and the members of each."""
+    part, center, member, fresh = (table.column(c).to_numpy(zero_copy_only=False) for c in ("part", "center", "member", "fresh"))
+    order = np.lexsort((~fresh, member, center))
+    part, center, member, fresh = part[order], center[order], member[order], fresh[order]
+    new = np.concatenate(([True], (center[1:] != center[:-1]) | (member[1:] != member[:-1])))
+    part, center, member, fresh = part[new], center[new], member[new], fresh[new]
     start = np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1])))
-    out = []
-    for i, j in zip(start, np.append(start[1:], len(center)), strict=True):
-        s = x[i:j] @ x[i:j].T - bias[i:j] - bias[i:j, None]
-        a, b = np.nonzero((s > worst[i:j, None]) & (fresh[i:j, None] | fresh[None, i:j]))
-        keep = member[i + a] != member[i + b]
-        out.append((i + a[keep], i + b[keep], s[a[keep], b[keep]]))
-    a, b, s = (np.concatenate(v) for v in zip(*out, strict=True))
-    node, nbr, score = best_of(member[a], member[b], s.astype(np.float32), K)
-    first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))[: len(node)])
-    pairs = list(zip(first, np.append(first[1:], len(node)), strict=True))
-    return pa.table({"node": node[first], "nbrs": pa.array([nbr[i:j].tobytes() for i, j in pairs], pa.binary()), "scores": pa.array([score[i:j].tobytes() for i, j in pairs], pa.binary())}, schema=LISTS_ARROW)
-
-
-def descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
+    live = np.repeat(np.logical_or.reduceat(fresh, start), np.diff(np.append(start, len(center))))
+    part, center, member, fresh = part[live], center[live], member[live], fresh[live]
+    start = np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1])))[: len(center)]
+    sizes = np.diff(np.append(start, len(center)))
+    # Parts are the upper bits of centers, so they are in order, too.
+    own, rows = np.unique(part[start], return_counts=True)
+    many = np.unique(part, return_counts=True)[1]
+    return pa.Table.from_arrays([pa.array(own), _cut(center[start], rows), _cut(sizes, rows), _cut(member, many), _cut(fresh, many)], schema=PACKS)
+
+
+def requests(packs: DataFrame, column: str, key: str = "part") -> DataFrame:
+    """(part, node): every node that a row's list of nodes holds, once a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                nodes = np.unique(np.frombuffer(blob or b"", np.int64))
+                for i in range(0, len(nodes), 100_000):
+                    own = nodes[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part)), pa.array(own)], names=["part", "node"])
+
+    return packs.select(key, column).mapInArrow(run, "part long, node long")
+
+
+def proposals(packs: pa.Table, vectors: pa.Table) -> pa.Table:
+    """Local joins of a part's centers: pairs of members, one of them new, nearer than the worst either has, as lists by member."""
+    if not len(packs) or not len(vectors):
+        return LISTS.empty_table()
+    order = np.argsort(vectors.column("node").to_numpy())
+    vectors = vectors.take(pa.array(order))
+    ids, worst = vectors.column("node").to_numpy(), vectors.column("worst").to_numpy().copy()
+    x, bias = _decoded(vectors.column("code"))
+    sizes, member, fresh = (_blobs(packs.column(c), t)[0] for c, t in (("sizes", np.int64), ("members", np.int64), ("fresh", np.bool_)))
+    member, begin = np.searchsorted(ids, member), np.cumsum(sizes) - sizes
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
+    for i in range(0, len(sizes), AT_ONCE):
+        own, width = sizes[i : i + AT_ONCE], int(sizes[i : i + AT_ONCE].max())
+        at = begin[i : i + AT_ONCE, None] + np.arange(width)
+        real = np.arange(width) < own[:, None]
+        at = np.where(real, at, begin[i])
+        m, new = member[at], fresh[at]
+        y = x[m]
+        s = y @ y.transpose(0, 2, 1) - bias[m][:, :, None] - bias[m][:, None, :]
+        good = (s > worst[m][:, :, None]) & (new[:, :, None] | new[:, None, :]) & real[:, :, None] & real[:, None, :]
+        good[:, np.arange(width), np.arange(width)] = False
+        c, a, b = np.nonzero(good)
+        held.append((m[c, a], m[c, b], s[c, a, b]))
+        n += len(c)
+        if n > HELD:
+            u, v, s = best_of(*(np.concatenate(z) for z in zip(*held, strict=True)), K)
+            count = np.bincount(u, minlength=len(ids))
+            last = np.cumsum(count) - 1
+            full = count >= K
+            worst[full] = np.maximum(worst[full], s[last[full]])
+            held, n = [(u, v, s)], len(u)
+    u, v, s = best_of(*(np.concatenate(z) for z in zip(*held, strict=True)), K)
+    return _lists(ids, u, v, s)
+
+
+def descend(graph: DataFrame) -> DataFrame:
     """One round of NN-descent: the lists that the members of each neighbourhood propose to each other."""
     forward = edges(graph)
     rank = F.row_number().over(Window.partitionBy("nbr").orderBy(F.desc("fresh"), F.xxhash64("node", "nbr")))
     reverse = forward.withColumn("rank", rank).where(F.col("rank") <= K).select(F.col("nbr").alias("center"), F.col("node").alias("member"), "fresh")
     both = forward.select(F.col("node").alias("center"), F.col("nbr").alias("member"), "fresh").unionByName(reverse)
-    both = both.groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
-    # Neighbourhoods without a new member have told all before.
-    both = both.join(both.where("fresh").select("center").distinct(), "center", "left_semi")
-
-    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = [np.frombuffer(x, np.float32) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(s.min()) if len(s) >= K else -1e30 for s in scores], pa.float64())], names=["member", "worst"])
-
-    known = graph.select("node", "scores").mapInArrow(worst, "member long, worst double")
-    members = both.join(codes.select(F.col("node").alias("member"), "code"), "member").join(known, "member")
-    return by_key(members.select("center", "member", "fresh", "worst", "code"), "center", proposals, LISTS, rows=60_000)
+    packs = written(by_key(both.withColumn("part", part_of("center")), "part", packed, _ddl(PACKS), rows=1), "packs")
+    vectors = requests(packs, "members").join(graph.select("node", "code", "worst"), "node")
+    return packs.groupBy("part").cogroup(vectors.groupBy("part")).applyInArrow(proposals, _ddl(LISTS))
 
 
 class Index:
-    """Nodes with their original and 16-bit vectors, the copies of each, and the graph."""
+    """Nodes with their original vectors, the copies of each, and the graph of lists and 16-bit vectors."""
 
-    def __init__(self, nodes: DataFrame, copies: DataFrame, codes: DataFrame, graph: DataFrame, heads: DataFrame | None = None):
-        self.nodes, self.copies, self.codes, self.graph, self.heads = nodes, copies, codes, graph, heads
+    def __init__(self, nodes: DataFrame, copies: DataFrame, graph: DataFrame | None, size: int = 0, heads: DataFrame | None = None):
+        self.nodes, self.copies, self.graph, self.size, self.heads, self.changes = nodes, copies, graph, size, heads, []
 
 
 def build(vectors: DataFrame) -> Index:
@@ -255,128 +332,138 @@ def build(vectors: DataFrame) -> Index:
     rows = vectors.select(F.col("vec_id").cast("long"), e.alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.where(usable).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = written(rows.withColumn("h", F.xxhash64("embedding")), "vectors")
-    length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.where(F.size("embedding") == (length["d"] if length else 0))
-    nodes = written(rows.groupBy("h", "embedding").agg(F.min("vec_id").alias("node")), "nodes")
-    copies = written(rows.join(nodes, ["h", "embedding"]).select("vec_id", "node"), "copies")
+    rows = written(rows, "vectors")
+    longest = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    filled = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("embedding"))).alias("embedding")
+    rows = rows.select("vec_id", filled).withColumn("h", F.xxhash64("embedding"))
+    distinct = written(rows.groupBy("h", "embedding").agg(F.min("vec_id").alias("first_id")), "distinct")
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    n, top, low = nodes.agg(F.count("*"), F.max(norm), F.min(norm)).first()
-    heads = written(nodes.orderBy(norm.desc(), "node").limit(HEADS).select("node"), "heads") if n and low < 0.9 * top else None
-    planes = max(0, round(math.log2(n / BLOCK))) if n else 0
-    trees = max(TREES, planes) if planes else 1
-    mean = mean_of(nodes, n) if planes else np.zeros(1)
-    codes = written(packed(nodes, top or 0.0, trees, planes, mean), "codes")
-    blocks = fitting(codes.select("node", F.posexplode("cells").alias("tree", "cell")), nodes, trees).join(codes.select("node", "code"), "node")
-    lists = blocks.select("tree", "cell", "node", "code").groupBy("tree", "cell").applyInArrow(block_lists, LISTS)
-    graph = written(by_key(lists.withColumn("known", F.lit(False)), "node", merged, GRAPH), "graph")
+    n, top, low = distinct.agg(F.count("*"), F.max(norm), F.min(norm)).first()
+    if not n:
+        return Index(distinct.withColumn("node", F.col("first_id")), rows.select("vec_id", F.col("vec_id").alias("node")), None)
+    mean = mean_of(distinct, n)
+    nodes = written(numbered(distinct, n, mean), "nodes")
+    copies = written(rows.join(nodes.select("h", "embedding", "node"), ["h", "embedding"]).select("vec_id", "node"), "copies")
+    heads = written(nodes.orderBy(norm.desc(), "node").limit(HEADS).select("node"), "heads") if low < 0.9 * top else None
+    codes = written(coded(nodes, top, max(2, round(math.log2(n) / 4)), max(0, round(math.log2(n / CELL))), mean), "codes")
+    graph = written(by_key(first_lists(codes), "node", merged, GRAPH), "graph")
+    index = Index(nodes, copies, graph, n, heads)
     while True:
-        lists = graph.select("node", "nbrs", "scores", F.lit(True).alias("known")).unionByName(descend(graph, codes).withColumn("known", F.lit(False)))
+        lists = graph.select("node", "code", "nbrs", "scores", F.lit(True).alias("known")).unionByName(descend(graph))
         graph = written(by_key(lists, "node", merged, GRAPH), "graph")
-        if (graph.agg(F.sum("changes")).first()[0] or 0) <= CHANGES * n * K:
-            break
-    return Index(nodes, copies, codes, graph, heads)
-
-
-BEAM_SCHEMA = "query long, q binary, ids binary, scores binary, done binary"
-
-
-def _expand(table: pa.Table) -> pa.Table:
-    """Scores of the neighbours of expanded nodes for the query of each row."""
-    q = _matrix(table.column("q"), np.uint8)
-    x = _decoded(q)[0]
-    out = []
-    for i, codes in enumerate(table.column("codes").to_pylist()):
-        y = _decoded(np.frombuffer(codes, np.uint8).reshape(-1, q.shape[1]))[0]
-        # Queries have no extra coordinate: the score is the inner product.
-        out.append((y[:, :-1] @ x[i, :-1]).astype(np.float32).tobytes())
-    return pa.table({"query": table.column("query"), "ids": table.column("nbrs"), "scores": pa.array(out, pa.binary())})
-
-
-def _beams(table: pa.Table, beam: int) -> pa.Table:
-    """One beam for each query: the best of the old one and of what was found, and what is expanded next."""
-    rows: dict[int, list] = {}
-    for query, q, ids, scores, done in zip(*(table.column(c).to_pylist() for c in ("query", "q", "ids", "scores", "done")), strict=True):
-        own = rows.setdefault(query, [None, [], [], b""])
-        if q is not None:
-            own[0], own[3] = q, done
-        own[1].append(ids)
-        own[2].append(scores)
-    out = []
-    for query, (q, ids, scores, done) in rows.items():
-        ids, scores = np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(scores), np.float32)
-        node, nbr, score = best_of(np.full(len(ids), query), ids, scores, beam)
-        out.append((query, q, nbr.tobytes(), score.astype(np.float32).tobytes(), done))
-    return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["query", "q", "ids", "scores", "done"])
-
+        index.changes.append(graph.agg(F.sum("changes")).first()[0])
+        if index.changes[-1] <= CHANGES * n * K:
+            index.graph = graph
+            return index
+
+
+def _split(blob: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(blob or b"", kind)
+
+
+def walk(beams: pa.Table, lists: pa.Table) -> pa.Table:
+    """Expands every node of each beam that wasn't: found has the neighbours that aren't in the beam."""
+    near = dict(zip(lists.column("node").to_pylist(), lists.column("nbrs").to_pylist(), strict=True))
+    done, found = [], []
+    for ids, old in zip(beams.column("ids").to_pylist(), beams.column("done").to_pylist(), strict=True):
+        ids, old = _split(ids), _split(old)
+        new = ids[~np.isin(ids, old)]
+        done.append(np.concatenate((old, new)).tobytes())
+        found.append(np.setdiff1d(_split(b"".join([near[i] for i in new.tolist()])), ids).tobytes())
+    return pa.Table.from_arrays([*(beams.column(c) for c in BEAMS.names[:4]), pa.array(done, pa.binary()), pa.array(found, pa.binary())], schema=BEAMS)
+
+
+def widened(beam: int) -> Callable:
+    """The best ``beam`` of each beam and what it found."""
+
+    def run(beams: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not len(beams):
+            return BEAMS.empty_table()
+        vectors = vectors.take(pa.array(np.argsort(vectors.column("node").to_numpy())))
+        known = vectors.column("node").to_numpy()
+        x = _decoded(vectors.column("code"))[0] if len(known) else None
+        ids, scores, done = [], [], []
+        for query, own, s, old, found in zip(*(beams.column(c).to_pylist() for c in BEAMS.names[1:]), strict=True):
+            if not found:
+                ids.append(own)
+                scores.append(s)
+                done.append(old)
+                continue
+            found = _split(found)
+            at = np.searchsorted(known, found)
+            # Queries have no extra coordinate: the score is the inner product.
+            more = x[at, :-1] @ x[np.searchsorted(known, query), :-1]
+            keep = found != query
+            own, s = np.concatenate((_split(own), found[keep])), np.concatenate((_split(s, np.float32), more[keep]))
+            best = np.lexsort((own, -s))[:beam]
+            ids.append(own[best].tobytes())
+            scores.append(s[best].astype(np.float32).tobytes())
+            old = _split(old)
+            done.append(old[np.isin(old, own[best]) | (old == query)].tobytes())
+        return pa.Table.from_arrays([beams.column("part"), beams.column("query"), pa.array(ids, pa.binary()), pa.array(scores, pa.binary()), pa.array(done, pa.binary()), pa.nulls(len(ids), pa.binary())], schema=BEAMS)
 
-def _frontier(batches: Iterator[pa.RecordBatch], expand: int) -> Iterator[pa.RecordBatch]:
-    """(query, q, node) of the best nodes of each beam that weren't expanded."""
-    for b in batches:
-        out = []
-        for query, q, ids, done in zip(*(b.column(c).to_pylist() for c in ("query", "q", "ids", "done")), strict=True):
-            out += [(query, q, int(n)) for n in _next(ids, done, expand)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["query", "q", "node"])
+    return run
 
 
-def _next(ids: bytes, done: bytes, expand: int) -> np.ndarray:
-    ids = np.frombuffer(ids, np.int64)
-    return ids[~np.isin(ids, np.frombuffer(done, np.int64))][:expand]
+def frontier(beams: DataFrame) -> DataFrame:
+    """(part, node) of the nodes of beams that weren't expanded."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [np.setdiff1d(_split(i), _split(d)) for i, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            sizes = [len(x) for x in new]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), sizes)), pa.array(np.concatenate(new))], names=["part", "node"])
 
-def _mark(batches: Iterator[pa.RecordBatch], expand: int) -> Iterator[pa.RecordBatch]:
-    """The beams with what is expanded now marked."""
-    for b in batches:
-        done = [d + _next(i, d, expand).tobytes() for i, d in zip(b.column("ids").to_pylist(), b.column("done").to_pylist(), strict=True)]
-        yield b.set_column(b.schema.get_field_index("done"), "done", pa.array(done, pa.binary()))
+    return beams.select("part", "ids", "done").mapInArrow(run, "part long, node long")
 
 
 def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k nearest found of each query (query_id, a vec_id of the index): query_id, rank, vec_id, score; never itself."""
-    n = index.nodes.count()
-    beam = max(3 * k, BEAM * max(1, round(math.log2(n / BLOCK)) - 1)) if n else BEAM
-    at_once, scored = max(EXPAND, beam // 2), max(3 * k, BEAM)
     asked = queries.select("query_id").distinct().join(index.copies.select(F.col("vec_id").alias("query_id"), "node"), "query_id")
-    starts = asked.select(F.col("node")).distinct().join(index.codes.select("node", "code"), "node")
-
-    def with_vectors(table: pa.Table) -> pa.Table:
-        node = table.column("node").to_numpy()
-        start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-        nbrs, codes = table.column("nbr").to_numpy(), table.column("code").to_pylist()
-        pairs = list(zip(start, np.append(start[1:], len(node)), strict=True))
-        return pa.table({"node": node[start], "nbrs": pa.array([nbrs[i:j].tobytes() for i, j in pairs], pa.binary()), "codes": pa.array([b"".join(codes[i:j]) for i, j in pairs], pa.binary())})
-
-    near = edges(index.graph).join(index.codes.select(F.col("node").alias("nbr"), "code"), "nbr")
-    near = written(by_key(near.select("node", "nbr", "code"), "node", with_vectors, "node long, nbrs binary, codes binary", rows=60_000), "near")
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield from _expand(pa.Table.from_batches([b])).to_batches()
-
-    nothing = F.lit(b"")
-    beams = starts.select(F.col("node").alias("query"), F.col("code").alias("q"), nothing.alias("ids"), nothing.alias("scores"), nothing.alias("done"))
-    frontier = starts.select(F.col("node").alias("query"), F.col("code").alias("q"), "node")
+    if index.graph is None:
+        return asked.select("query_id", F.lit(1).alias("rank"), F.col("node").alias("vec_id"), F.lit(0.0).alias("score")).where(F.lit(False))
+    beam, scored = max(SCORED * k, BEAM * math.ceil(math.log2(index.size + 1))), SCORED * k
+    starts = written(asked.select("node").distinct(), "starts")
+    part, nothing = part_of("node").alias("part"), F.lit(None).cast("binary")
+    # A beam begins with the query itself (and the longest vectors) to be expanded.
+    first = starts.select(part, F.col("node").alias("query"), "node")
     if index.heads is not None:
-        frontier = frontier.unionByName(frontier.drop("node").join(F.broadcast(index.heads)))  # HEADS rows
-    while True:
-        found = frontier.join(near, "node").select("query", "q", "nbrs", "codes").mapInArrow(expand, "query long, ids binary, scores binary")
-        missing = found.select("query", F.lit(None).cast("binary").alias("q"), "ids", "scores", F.lit(None).cast("binary").alias("done"))
-        beams = written(by_key(beams.unionByName(missing), "query", partial(_beams, beam=beam), BEAM_SCHEMA, rows=4_000), "beams")
-        frontier = beams.mapInArrow(partial(_frontier, expand=at_once), "query long, q binary, node long")
-        if frontier.isEmpty():
-            break
-        beams = beams.mapInArrow(partial(_mark, expand=at_once), BEAM_SCHEMA)
+        first = first.unionByName(first.drop("node").join(F.broadcast(index.heads)))  # HEADS rows
+
+    def begun(table: pa.Table) -> pa.Table:
+        part, query, node = (table.column(c).to_numpy() for c in ("part", "query", "node"))
+        order = np.lexsort((node, query))
+        start = np.flatnonzero(np.concatenate(([True], query[order][1:] != query[order][:-1])))
+        ids = _cut(node[order], np.diff(np.append(start, len(node))))
+        empty = pa.array([b""] * len(start), pa.binary())
+        return pa.Table.from_arrays([pa.array(part[order][start]), pa.array(query[order][start]), ids, empty, empty, pa.nulls(len(start), pa.binary())], schema=BEAMS)
+
+    beams = written(by_key(first, "query", begun, _ddl(BEAMS)), "beams")
+    graph = index.graph
+    started = False
+    while not frontier(beams).isEmpty():
+        lists = frontier(beams).distinct().join(graph.select("node", "nbrs"), "node")
+        asks = beams.groupBy("part").cogroup(lists.groupBy("part")).applyInArrow(walk, _ddl(BEAMS))
+        if not started:  # the starts themselves have no score yet
+            asks, started = asks.withColumns({"found": F.concat("found", "ids"), "ids": F.lit(b"")}), True
+        asks = written(asks, "asks")
+        walking = asks.where(F.length("found") > 0)
+        wanted = requests(walking, "found").unionByName(walking.select("part", F.col("query").alias("node"))).distinct()
+        vectors = wanted.join(graph.select("node", "code"), "node")
+        beams = written(asks.groupBy("part").cogroup(vectors.groupBy("part")).applyInArrow(widened(beam), _ddl(BEAMS)), "beams")
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best = [np.frombuffer(x, np.int64)[:scored] for x in b.column(1).to_pylist()]
+            best = [_split(x)[:scored] for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in best])), pa.array(np.concatenate([np.zeros(0, np.int64), *best]))], names=["query", "node"])
 
     candidates = beams.select("query", "ids").mapInArrow(ids_of, "query long, node long").unionByName(starts.select(F.col("node").alias("query"), "node"))
     exact = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     pairs = candidates.join(index.nodes.select("node", F.col("embedding").alias("a")), "node").join(index.nodes.select(F.col("node").alias("query"), F.col("embedding").alias("b")), "query").select("query", "node", exact.alias("score"))
-    pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "node"))).where(F.col("r") <= k + 1)
+    # Ties are broken by the smallest vec_id of the copies.
+    pairs = pairs.join(index.nodes.select("node", "first_id"), "node")
+    pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first_id"))).where(F.col("r") <= k + 1)
     few = index.copies.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("node", "vec_id")
     listed = asked.withColumnRenamed("node", "query").join(pairs.select("query", "node", "score"), "query").join(few, "node").where(F.col("vec_id") != F.col("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
