@@ -45,7 +45,7 @@ HEADS = 64
 #: Entries that a task holds before it keeps the best ones alone, and lists that it joins at once.
 HELD, AT_ONCE = 2_000_000, 512
 BITS = 32
-LISTS = pa.schema([("node", pa.int64()), ("code", pa.binary()), ("nbrs", pa.binary()), ("scores", pa.binary()), ("known", pa.bool_())])
+LISTS = pa.schema([("part", pa.int64()), ("nodes", pa.binary()), ("code", pa.binary()), ("sizes", pa.binary()), ("nbrs", pa.binary()), ("scores", pa.binary())])
 GRAPH = "node long, code binary, nbrs binary, scores binary, fresh binary, worst double, changes long"
 PACKS = pa.schema([("part", pa.int64()), ("centers", pa.binary()), ("sizes", pa.binary()), ("members", pa.binary()), ("fresh", pa.binary())])
 BEAMS = pa.schema([("part", pa.int64()), ("query", pa.int64()), ("ids", pa.binary()), ("scores", pa.binary()), ("done", pa.binary()), ("found", pa.binary())])
@@ -159,12 +159,13 @@ def best_of(u: np.ndarray, v: np.ndarray, score: np.ndarray, k: int) -> tuple[np
     return u[keep], v[keep], score[keep]
 
 
-def _lists(ids: np.ndarray, u: np.ndarray, v: np.ndarray, score: np.ndarray) -> pa.Table:
-    """A row for each u, of entries in order of u."""
-    start = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))[: len(u)]
-    sizes = np.diff(np.append(start, len(u)))
-    nothing = pa.nulls(len(start), pa.binary())
-    return pa.Table.from_arrays([pa.array(ids[u[start]]), nothing, _cut(ids[v], sizes), _cut(score, sizes), pa.array([False] * len(start))], schema=LISTS)
+def _lists(node: np.ndarray, nbr: np.ndarray, score: np.ndarray) -> pa.Table:
+    """A row for each part of the nodes: entries in order of node."""
+    start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))[: len(node)]
+    sizes = np.diff(np.append(start, len(node)))
+    own, rows = np.unique(node[start] >> BITS, return_counts=True)
+    many = np.unique(node >> BITS, return_counts=True)[1]
+    return pa.Table.from_arrays([pa.array(own), _cut(node[start], rows), pa.nulls(len(own), pa.binary()), _cut(sizes, rows), _cut(nbr, many), _cut(score, many)], schema=LISTS)
 
 
 def run_lists(table: pa.Table) -> pa.Table:
@@ -175,8 +176,8 @@ def run_lists(table: pa.Table) -> pa.Table:
     np.fill_diagonal(s, -np.inf)
     k = min(K, len(node) - 1)
     best = np.argpartition(-s, k - 1, 1)[:, :k] if k else np.zeros((len(node), 0), np.int64)
-    sizes = np.full(len(node), k)
-    return pa.Table.from_arrays([table.column("node"), table.column("code"), _cut(node[best].ravel(), sizes), _cut(np.take_along_axis(s, best, 1).ravel(), sizes), pa.array([False] * len(node))], schema=LISTS)
+    sizes, one = np.full(len(node), k), np.ones(len(node), np.int64)
+    return pa.Table.from_arrays([pa.array(node >> BITS), _cut(node, one), table.column("code"), _cut(sizes, one), _cut(node[best].ravel(), sizes), _cut(np.take_along_axis(s, best, 1).ravel(), sizes)], schema=LISTS)
 
 
 def first_lists(codes: DataFrame) -> DataFrame:
@@ -205,14 +206,15 @@ def first_lists(codes: DataFrame) -> DataFrame:
 
 
 def merged(table: pa.Table) -> pa.Table:
-    """The K best of each node's lists; fresh marks those that the known list didn't have, changes counts them."""
-    node = table.column("node").to_numpy()
-    nbrs, sizes = _blobs(table.column("nbrs"), np.int64)
+    """The K best of each node's lists; fresh marks those that its known list (the row that has ``known``) didn't have, changes counts them."""
+    nodes, rows = _blobs(table.column("nodes"), np.int64)
+    sizes, _ = _blobs(table.column("sizes"), np.int64)
+    nbrs, _ = _blobs(table.column("nbrs"), np.int64)
     scores, _ = _blobs(table.column("scores"), np.float32)
-    own, at = np.unique(node, return_inverse=True)
+    own, at = np.unique(nodes, return_inverse=True)
     ids, v = np.unique(nbrs, return_inverse=True)
     u = np.repeat(at, sizes)
-    known = np.repeat(table.column("known").to_numpy(zero_copy_only=False), sizes)
+    known = np.repeat(np.repeat(table.column("known").to_numpy(zero_copy_only=False), rows), sizes)
     before = np.sort(u[known].astype(np.int64) << 32 | v[known])
     u, v, s = best_of(u, v, scores, K)
     pairs = u.astype(np.int64) << 32 | v
@@ -222,13 +224,25 @@ def merged(table: pa.Table) -> pa.Table:
     worst = np.full(len(own), -1e30)
     last = np.cumsum(count) - 1
     worst[count >= K] = s[last[count >= K]]
-    code = [b""] * len(own)
-    for i, c in zip(at.tolist(), table.column("code").to_pylist(), strict=True):
-        if c is not None:
+    code: list[bytes] = [b""] * len(own)
+    for i, c in zip(at[np.cumsum(rows) - rows].tolist(), table.column("code").to_pylist(), strict=True):
+        if c is not None:  # rows with a code are of one node
             code[i] = c
     return pa.table({"node": own, "code": pa.array(code, pa.binary()), "nbrs": _cut(ids[v], count), "scores": _cut(s, count), "fresh": _cut(fresh, count), "worst": worst, "changes": changes})
 
 
+def lists_of(graph: DataFrame) -> DataFrame:
+    """A graph's lists as rows to merge."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, sizes = b.column(0).to_numpy(), [len(x) // 8 for x in b.column(2).to_pylist()]
+            one = np.ones(len(node), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node >> BITS), _cut(node, one), b.column(1), _cut(np.array(sizes, np.int64), one), b.column(2), b.column(3)], names=LISTS.names)
+
+    return graph.select("node", "code", "nbrs", "scores").mapInArrow(run, _ddl(LISTS))
+
+
 def edges(graph: DataFrame) -> DataFrame:
     """(node, nbr, fresh) of every list."""
 
@@ -273,7 +287,7 @@ def requests(packs: DataFrame, column: str, key: str = "part") -> DataFrame:
 
 
 def proposals(packs: pa.Table, vectors: pa.Table) -> pa.Table:
-    """Local joins of a part's centers: pairs of members, one of them new, nearer than the worst either has, as lists by member."""
+    """Local joins of a part's centers: pairs of members, one of them new, nearer than the worst either has, as lists by part of the member."""
     if not len(packs) or not len(vectors):
         return LISTS.empty_table()
     order = np.argsort(vectors.column("node").to_numpy())
@@ -305,7 +319,7 @@ def proposals(packs: pa.Table, vectors: pa.Table) -> pa.Table:
             worst[full] = np.maximum(worst[full], s[last[full]])
             held, n = [(u, v, s)], len(u)
     u, v, s = best_of(*(np.concatenate(z) for z in zip(*held, strict=True)), K)
-    return _lists(ids, u, v, s)
+    return _lists(ids[u], ids[v], s)
 
 
 def descend(graph: DataFrame) -> DataFrame:
@@ -346,11 +360,11 @@ def build(vectors: DataFrame) -> Index:
     copies = written(rows.join(nodes.select("h", "embedding", "node"), ["h", "embedding"]).select("vec_id", "node"), "copies")
     heads = written(nodes.orderBy(norm.desc(), "node").limit(HEADS).select("node"), "heads") if low < 0.9 * top else None
     codes = written(coded(nodes, top, max(2, round(math.log2(n) / 4)), max(0, round(math.log2(n / CELL))), mean), "codes")
-    graph = written(by_key(first_lists(codes), "node", merged, GRAPH), "graph")
+    join = lambda lists: written(by_key(lists, "part", merged, GRAPH, rows=1), "graph")
+    graph = join(first_lists(codes).withColumn("known", F.lit(False)))
     index = Index(nodes, copies, graph, n, heads)
     while True:
-        lists = graph.select("node", "code", "nbrs", "scores", F.lit(True).alias("known")).unionByName(descend(graph))
-        graph = written(by_key(lists, "node", merged, GRAPH), "graph")
+        graph = join(lists_of(graph).withColumn("known", F.lit(True)).unionByName(descend(graph).withColumn("known", F.lit(False))))
         index.changes.append(graph.agg(F.sum("changes")).first()[0])
         if index.changes[-1] <= CHANGES * n * K:
             index.graph = graph
