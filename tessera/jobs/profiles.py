@@ -82,14 +82,19 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
 
 def insight_flags(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumns({"one": F.lit(1), "skewed": F.pow("o_totalprice", F.lit(3.0))})
-    return p.rounded(p.insight_flags(c.withColumn("gap", F.when(F.col("o_orderkey") % 2 == 0, F.col("c_acctbal"))), ["o_totalprice", "skewed", "gap"], ["o_orderstatus", "one", "c_name"]), 4)
+    return p.rounded(p.insight_flags(c.withColumn("gap", F.when(F.col("o_orderkey") % 2 == 0, F.col("c_acctbal"))), ["o_totalprice", "skewed", "gap"], ["o_orderstatus", "one", "c_name"], tested=0), 4)
+
+
+def tested_flags(spark: SparkSession, d: str) -> DataFrame:
+    l = table(spark, d, "lineitem").withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return p.rounded(p.insight_flags(l, ["l_extendedprice", "l_quantity", "net"], ["l_returnflag", "l_linestatus"], silhouette=0.6, anomaly_share=0.05).where(F.col("rule").isin("anova", "chi_square", "silhouette", "anomalies")).drop("value"), 4)
 
 
 def footprint(spark: SparkSession, d: str) -> DataFrame:
     return p.footprint(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (profile_numeric, missing_tables, duplicates, duplicate_sample, cardinality, top_values, diversity, parse_fractions, multi_select, numeric_advanced, benford, date_ranges, target_correlation, suggested_actions, quality_score, insight_flags, footprint)}
+QUERIES = {f.__name__: f for f in (profile_numeric, missing_tables, duplicates, duplicate_sample, cardinality, top_values, diversity, parse_fractions, multi_select, numeric_advanced, benford, date_ranges, target_correlation, suggested_actions, quality_score, insight_flags, tested_flags, footprint)}
 
 
 def describe_sql(columns: list[str], source: str) -> str:
@@ -126,7 +131,7 @@ LABELLED = "(SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels
 SCORED = "(SELECT doc_id, lang, source, 'x' AS one, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))"
 CUBED = "(SELECT l_orderkey, l_quantity, l_extendedprice * l_extendedprice * l_extendedprice AS cubed, 1.0::DOUBLE AS one, CASE WHEN l_discount < 0.01 THEN l_discount END AS rarely FROM lineitem)"
 FLAGGED = "(SELECT *, 1 AS one, pow(o_totalprice, 3.0) AS skewed, CASE WHEN o_orderkey % 2 = 0 THEN c_acctbal END AS gap FROM orders JOIN customer ON o_custkey = c_custkey)"
-PROFILE = 'SELECT d."column", d.n, d.skew_corrected AS skew, d.outliers::DOUBLE / d.n AS outlier_share, c.n_unique, c.unique_share, m.missing_pct FROM ({describe}) d JOIN ({cardinality}) c USING ("column") JOIN ({missing}) m USING ("column")'
+PROFILE = 'SELECT d."column", d.n, d.skew_corrected AS skew, d.outliers::DOUBLE / m.cells AS outlier_share, m.cells AS n_rows, c.n_unique, c.unique_share, m.missing_pct FROM ({describe}) d JOIN ({cardinality}) c USING ("column") JOIN ({missing}) m USING ("column")'
 
 
 def profile_sql(columns: list[str], source: str) -> str:
@@ -159,17 +164,20 @@ s AS (SELECT digit, count(*)::DOUBLE / (SELECT count(*) FROM d) AS share FROM d
 SELECT round(sum(abs(coalesce(share, 0) - log10(1 + 1.0::DOUBLE / k))), 6) AS deviation, sum(abs(coalesce(share, 0) - log10(1 + 1.0::DOUBLE / k))) > 0.15 AS is_unusual FROM range(1, 10) r(k) LEFT JOIN s ON digit = k""",
     "date_ranges": union(f"""SELECT '{c}' AS "column", min({c})::DATE AS first_day, max({c})::DATE AS last_day, count({c}) AS n, year(min({c})) < 1900 OR year(max({c})) > 2100 AS is_odd FROM {t}""" for c, t in (("l_shipdate", "lineitem"), ("ts", "events"))),
     "target_correlation": union(f"""SELECT '{c}' AS "column", round(corr({x}, l_extendedprice), 6) AS r FROM lineitem""" for c, x in (("l_quantity", "l_quantity"), ("l_discount", "l_discount"), ("l_shipdate", "epoch(l_shipdate)::DOUBLE"))),
-    "suggested_actions": f"""SELECT "column", unnest(list_filter([CASE WHEN missing_pct > 50 THEN 'drop_or_impute' END, CASE WHEN unique_share = 1 THEN 'identifier' END, CASE WHEN n_unique <= 1 THEN 'constant' END,
- CASE WHEN outlier_share > 0.01 THEN 'review_outliers' END, CASE WHEN unique_share > 0.95 THEN 'high_cardinality' END, CASE WHEN abs(skew) > 2 THEN 'transform_skew' END], lambda x: x IS NOT NULL)) AS rule FROM ({profile_sql(["l_orderkey", "l_quantity", "cubed", "one", "rarely"], CUBED)})""",
+    "suggested_actions": f"""SELECT "column", unnest(list_filter([CASE WHEN missing_pct > 50 THEN 'drop_or_impute' END, CASE WHEN n_unique = n_rows AND n_rows > 1 THEN 'identifier' END, CASE WHEN n_unique <= 1 THEN 'constant' END,
+ CASE WHEN n::DOUBLE / n_rows > 0.5 AND outlier_share > 0.01 THEN 'review_outliers' END, CASE WHEN unique_share > 0.95 AND n_unique > 50 AND n::DOUBLE / n_rows < 0.2 THEN 'high_cardinality' END, CASE WHEN abs(skew) > 2 THEN 'transform_skew' END], lambda x: x IS NOT NULL)) AS rule FROM ({profile_sql(["l_orderkey", "l_quantity", "cubed", "one", "rarely"], CUBED)})""",
     "quality_score": f"""WITH v AS (SELECT (SELECT missing_pct FROM ({missing_sql(["doc_id", "lang", "source", "one", "quality", "toxic"], SCORED)}) WHERE "column" = '*') AS missing_pct,
  (SELECT duplicates * 100.0::DOUBLE / n_rows FROM ({DUPLICATES.format(SCORED)})) AS duplicate_pct, (SELECT count(*) FILTER (WHERE cardinality = 'constant') FROM ({cardinality_sql(["doc_id", "lang", "source", "one", "quality", "toxic"], SCORED)})) AS constants),
-s AS (SELECT *, greatest(10 - (least(missing_pct / 10, 4.0) + least(duplicate_pct / 10, 3.0) + least(constants * 0.5, 3.0)), 0.0)::DOUBLE AS score FROM v)
-SELECT round(missing_pct, 6) AS missing_pct, round(duplicate_pct, 6) AS duplicate_pct, constants, round(score, 6) AS score, CASE WHEN score >= 9 THEN 'A' WHEN score >= 7.5 THEN 'B' WHEN score >= 5 THEN 'C' ELSE 'D' END AS grade FROM s""",
+s AS (SELECT *, (10 - CASE WHEN missing_pct > 20 THEN 4 WHEN missing_pct > 5 THEN 2 ELSE 0 END - CASE WHEN duplicate_pct > 5 THEN 3 WHEN duplicate_pct > 0 THEN 1 ELSE 0 END - CASE WHEN constants > 2 THEN 2 WHEN constants > 0 THEN 1 ELSE 0 END)::INT AS score FROM v)
+SELECT round(missing_pct, 6) AS missing_pct, round(duplicate_pct, 6) AS duplicate_pct, constants, score, CASE WHEN score >= 9 THEN 'very good' WHEN score >= 7 THEN 'good' WHEN score >= 5 THEN 'fair' ELSE 'poor' END AS grade FROM s""",
     "insight_flags": f"""WITH s AS {FLAGGED}, n AS ({profile_sql(FLAG_NUM, "s")}), c AS ({cardinality_sql(FLAG_CAT, "s")}), m AS ({missing_sql(FLAG_NUM + FLAG_CAT, "s")}),
-v AS ({counts_sql(FLAG_CAT, "s")}), t AS (SELECT "column", max(n) * 100.0::DOUBLE / sum(n) AS percent FROM v GROUP BY 1), d AS ({DUPLICATES.format("s")})
-SELECT rule, "column", round(value, 4) AS value FROM (
+v AS ({counts_sql(FLAG_CAT, "s")}), t AS (SELECT "column", max(n) * 100.0::DOUBLE / sum(n) AS percent FROM v GROUP BY 1), d AS ({DUPLICATES.format("s")}),
+g AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(c * c) AS cc, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * c) AS bc FROM (SELECT o_totalprice / 1e5 AS a, skewed / 1e15 AS b, gap / 1e4 AS c FROM s WHERE gap IS NOT NULL)),
+e AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM g),
+f AS (SELECT 'o_totalprice' AS "column", aa * (bb * cc - bc * bc) / det AS vif FROM e UNION ALL SELECT 'skewed', bb * (aa * cc - ac * ac) / det FROM e UNION ALL SELECT 'gap', cc * (aa * bb - ab * ab) / det FROM e)
+SELECT rule, "column", round(value, 4) AS value, CASE WHEN rule = 'skew' THEN CASE WHEN value > 0 THEN 'right' ELSE 'left' END END AS level FROM (
 SELECT 'missing' AS rule, "column", missing_pct::DOUBLE AS value FROM m WHERE "column" <> '*' AND missing_pct > 30 UNION ALL SELECT 'duplicates', '*', duplicates FROM d WHERE duplicates > 0
-UNION ALL SELECT 'skew', "column", skew FROM n WHERE abs(skew) > 1 UNION ALL SELECT 'outliers', "column", outlier_share FROM n WHERE outlier_share > 0.05 UNION ALL SELECT 'dominant_value', "column", percent FROM t WHERE percent > 80
-UNION ALL SELECT 'constant', "column", n_unique FROM c WHERE cardinality = 'constant' UNION ALL SELECT 'near_unique', "column", unique_share FROM c WHERE unique_share > 0.9 UNION ALL SELECT 'few_rows', '*', n_rows FROM d WHERE n_rows < 50)""",
+UNION ALL SELECT 'skew', "column", skew FROM n WHERE abs(skew) > 1 UNION ALL SELECT 'outliers', "column", outlier_share * n_rows / n FROM n WHERE outlier_share * n_rows > 0.05 * n UNION ALL SELECT 'dominant_value', "column", percent FROM t WHERE percent > 80
+UNION ALL SELECT 'constant', "column", n_unique FROM c WHERE cardinality = 'constant' UNION ALL SELECT 'near_unique', "column", unique_share FROM c WHERE unique_share > 0.9 AND n_unique > 50 UNION ALL SELECT 'vif', "column", vif FROM f WHERE vif > 5 UNION ALL SELECT 'few_rows', '*', n_rows FROM d WHERE n_rows < 50)""",
     "footprint": union(f"""SELECT '{c}' AS "column", coalesce(sum({x}), 0)::BIGINT AS n_bytes FROM documents""" for c, x in (("doc_id", "8"), ("text", "octet_length(encode(text))"), ("lang", "octet_length(encode(lang))"), ("source", "octet_length(encode(source))"), ("n_chars", "8"))),
 }

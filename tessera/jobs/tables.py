@@ -21,12 +21,18 @@ def raw_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as texts, with bad tokens mixed in."""
     bad = F.when(F.col("o_orderkey") % 50 == 0, F.lit("N/A")).when(F.col("o_orderkey") % 50 == 1, F.lit("  "))
     o = table(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").cast("string").alias("key"), F.coalesce(bad, F.col("o_custkey").cast("string")).alias("cust"), F.coalesce(bad, F.date_format("o_orderdate", "dd/MM/yyyy")).alias("day"), F.col("o_orderpriority").alias("priority"), F.concat(F.lit("flag"), F.col("o_orderkey").cast("string")).alias("note"))
+    # Days come with and without a time, ISO and day-first.
+    k = F.col("o_orderkey") % 5
+    stamp = F.when(k == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 3, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise(F.date_format("o_orderdate", "dd-MM-yyyy HH:mm"))
+    o = o.withColumn("stamp", F.coalesce(bad, stamp))
+    return o.select("stamp", F.col("o_orderkey").cast("string").alias("key"), F.coalesce(bad, F.col("o_custkey").cast("string")).alias("cust"), F.coalesce(bad, F.date_format("o_orderdate", "dd/MM/yyyy")).alias("day"), F.col("o_orderpriority").alias("priority"), F.concat(F.lit("flag"), F.col("o_orderkey").cast("string")).alias("note"))
 
 
 RAW = """(SELECT o_orderkey::VARCHAR AS key, CASE WHEN o_orderkey % 50 = 0 THEN 'N/A' WHEN o_orderkey % 50 = 1 THEN '  ' ELSE o_custkey::VARCHAR END AS cust,
- CASE WHEN o_orderkey % 50 = 0 THEN 'N/A' WHEN o_orderkey % 50 = 1 THEN '  ' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS day, o_orderpriority AS priority, 'flag' || o_orderkey AS note FROM orders)"""
-RAW_CLEAN = f"(SELECT {', '.join(f'''CASE WHEN trim({x}) NOT IN ('', 'null', 'NULL', 'n/a', 'N/A') THEN trim({x}) END AS {x}''' for x in ('key', 'cust', 'day', 'priority', 'note'))} FROM {RAW})"
+ CASE WHEN o_orderkey % 50 = 0 THEN 'N/A' WHEN o_orderkey % 50 = 1 THEN '  ' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS day, o_orderpriority AS priority, 'flag' || o_orderkey AS note,
+ CASE WHEN o_orderkey % 50 = 0 THEN 'N/A' WHEN o_orderkey % 50 = 1 THEN '  ' WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN o_orderkey % 5 = 1 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') WHEN o_orderkey % 5 = 2 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')
+ WHEN o_orderkey % 5 = 3 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%d-%m-%Y %H:%M') END AS stamp FROM orders)"""
+RAW_CLEAN = f"(SELECT {', '.join(f'''CASE WHEN trim({x}) NOT IN ('', 'null', 'NULL', 'n/a', 'N/A') THEN trim({x}) END AS {x}''' for x in ('key', 'cust', 'day', 'priority', 'note', 'stamp'))} FROM {RAW})"
 
 
 def read_csv_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,19 +67,28 @@ def sink_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def null_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return per_column(t.normalize_nulls(raw_orders(spark, sf)), ["key", "cust", "day", "priority", "note"], n=lambda x: F.count(x))
+    return per_column(t.normalize_nulls(raw_orders(spark, sf)), list(COLS), n=lambda x: F.count(x))
 
 
 def inferred_types(spark: SparkSession, sf: str) -> DataFrame:
-    return p.rounded(t.infer_types(t.normalize_nulls(raw_orders(spark, sf)), ["key", "cust", "day", "priority", "note"]))
+    return p.rounded(t.infer_types(t.normalize_nulls(raw_orders(spark, sf)), list(COLS)))
 
 
 def date_readings(spark: SparkSession, sf: str) -> DataFrame:
     return p.rounded(t.date_readings(t.normalize_nulls(raw_orders(spark, sf)), "day"))
 
 
+def standardized_times(spark: SparkSession, sf: str) -> DataFrame:
+    s = t.standardize(t.normalize_nulls(raw_orders(spark, sf)).select("key", "stamp"))
+    return s.groupBy(F.year("stamp").alias("year"), F.month("stamp").alias("month")).agg(F.count("*").alias("n"), F.sum(F.dayofmonth("stamp")).alias("days"))
+
+
+def file_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return p.file_summary(table(spark, sf, "orders"))
+
+
 def column_schema(spark: SparkSession, sf: str) -> DataFrame:
-    return p.rounded(t.column_schema(table(spark, sf, "part").select("p_partkey", "p_name", "p_size")))
+    return p.rounded(t.column_schema(table(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_type").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")))))
 
 
 def date_format(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,11 +96,11 @@ def date_format(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def understood(spark: SparkSession, sf: str) -> DataFrame:
-    return t.understand(raw_orders(spark, sf).withColumn("list", F.concat_ws(",", "priority", "key")), ["key", "cust", "day", "priority", "note", "list"])
+    return p.rounded(t.understand(raw_orders(spark, sf).withColumn("list", F.concat_ws(",", "priority", "key")), [*COLS, "list"]))
 
 
 def semantic_types(spark: SparkSession, sf: str) -> DataFrame:
-    return t.semantic_types(table(spark, sf, "orders").withColumn("late", (F.col("o_orderkey") % 2).cast("int")))
+    return p.rounded(t.semantic_types(table(spark, sf, "orders").withColumn("late", (F.col("o_orderkey") % 2).cast("int"))))
 
 
 def downcast_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,11 +183,21 @@ def two_levels(spark: SparkSession, sf: str) -> DataFrame:
     return d.two_levels(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-QUERIES = {f.__name__: f for f in (read_csv_table, read_json_table, json_props, head_and_tail, sink_round_trip, null_tokens, inferred_types, date_readings, column_schema, date_format, understood, semantic_types, downcast_plan, pattern_columns, mixed_types, clean_names, cleaned_texts, dropped_incomplete, filled_median, expanded_lists, change_report, describe_categories, describe_dates, date_shares, histogram, box_plot, bar_counts, density_sample, two_levels)}
+QUERIES = {f.__name__: f for f in (read_csv_table, read_json_table, json_props, head_and_tail, sink_round_trip, null_tokens, inferred_types, standardized_times, file_summary, date_readings, column_schema, date_format, understood, semantic_types, downcast_plan, pattern_columns, mixed_types, clean_names, cleaned_texts, dropped_incomplete, filled_median, expanded_lists, change_report, describe_categories, describe_dates, date_shares, histogram, box_plot, bar_counts, density_sample, two_levels)}
+
+COLS = ("key", "cust", "day", "priority", "note", "stamp")
+NUMBER = r"regexp_matches({}, '^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$')"
+CLOCKS = ("", " %H:%M", " %H:%M:%S", "T%H:%M", "T%H:%M:%S")
 
-COLS = ("key", "cust", "day", "priority", "note")
-NUMBER, DAY = r"regexp_matches({}, '^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$')", "CASE WHEN NOT regexp_matches({0}, '^\\s*[+-]?[0-9]+(\\.[0-9]*)?\\s*$') THEN try_strptime({0}, ['%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%d.%m.%Y']) END"
-MONTH = "CASE WHEN NOT regexp_matches({0}, '^\\s*[+-]?[0-9]+(\\.[0-9]*)?\\s*$') THEN try_strptime({0}, ['%Y-%m-%d', '%m/%d/%Y', '%m-%d-%Y', '%m.%d.%Y']) END"
+
+def parsed_sql(*days: str) -> str:
+    """A text, if it isn't a plain number, by the first of the formats of a day, with or without a time."""
+    formats = ", ".join(f"'{d}{c}'" for d in days for c in CLOCKS)
+    return "CASE WHEN NOT regexp_matches({0}, '^\\s*[+-]?[0-9]+(\\.[0-9]*)?\\s*$') THEN try_strptime({0}, [" + formats + "]) END"
+
+
+DAY = parsed_sql("%Y-%m-%d", "%Y/%m/%d", "%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y")
+MONTH = parsed_sql("%Y-%m-%d", "%Y/%m/%d", "%m/%d/%Y", "%m-%d-%Y", "%m.%d.%Y")
 
 
 def ratios_sql(columns, source) -> str:
@@ -216,19 +241,24 @@ ORACLES = {
     "inferred_types": f"""SELECT "column", n, round(numeric, 6) AS numeric, round(dates, 6) AS dates, round(booleans, 6) AS booleans, n_unique,
  CASE WHEN n = 0 THEN 'categorical' WHEN numeric >= 0.9 THEN 'numeric' WHEN dates >= 0.9 THEN 'datetime' WHEN booleans > 0.95 THEN 'boolean' WHEN n_unique::DOUBLE / n < 0.1 THEN 'categorical' ELSE 'string' END AS type FROM ({ratios_sql(COLS, RAW_CLEAN)})""",
     "date_readings": f"SELECT count(day) AS n, round(count(coalesce({DAY.format('day')}, {MONTH.format('day')}))::DOUBLE / count(day), 6) AS success_ratio, round(count(*) FILTER (WHERE ({DAY.format('day')}) <> ({MONTH.format('day')}))::DOUBLE / count(day), 6) AS ambiguous_ratio FROM {RAW_CLEAN}",
-    "column_schema": union(f"""SELECT '{x}' AS "column", '{k}' AS type, min({x})::VARCHAR AS lo, max({x})::VARCHAR AS hi, count({x}) AS non_null, count(*) - count({x}) AS nulls, round(avg(length({x}::VARCHAR)), 6) AS avg_length, count(DISTINCT {x}) AS n_unique FROM part""" for x, k in (("p_partkey", "bigint"), ("p_name", "string"), ("p_size", "int"))),
+    "standardized_times": f"SELECT year(d)::INT AS year, month(d)::INT AS month, count(*) AS n, sum(day(d))::BIGINT AS days FROM (SELECT {DAY.format('stamp')} AS d FROM {RAW_CLEAN}) GROUP BY 1, 2",
+    "file_summary": union(f"SELECT {i} AS at, '{x}' AS \"column\", '{k}' AS kind, {f'count(DISTINCT {x})' if k == 'categorical' else 'NULL::BIGINT'} AS n_unique, count(*) AS n_rows, 6 AS n_columns FROM orders" for i, (x, k) in enumerate((("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "categorical"), ("o_totalprice", "numeric"), ("o_orderdate", "datetime"), ("o_orderpriority", "categorical")))),
+    "column_schema": "WITH s AS (SELECT p_partkey, p_name, p_size, p_type, DATE '2020-01-01' + p_size AS day FROM part)\n" + union(f"""SELECT '{x}' AS "column", '{k}' AS type, {"'date-time'" if k == "date" else "NULL"} AS format, min({x})::VARCHAR AS lo, max({x})::VARCHAR AS hi, list_sort(list(DISTINCT {x}::VARCHAR))[1:3] AS examples, CASE WHEN '{k}' = 'string' AND count(DISTINCT {x}) < 0.1 * count({x}) AND count(DISTINCT {x}) <= 1000 THEN list_sort(list(DISTINCT {x}::VARCHAR)) END AS enum,
+ count({x}) AS non_null, count(*) - count({x}) AS nulls, round(avg(length({x}::VARCHAR)), 6) AS avg_length, count(DISTINCT {x}) AS n_unique FROM s""" for x, k in (("p_partkey", "bigint"), ("p_name", "string"), ("p_size", "int"), ("p_type", "string"), ("day", "date"))),
     "date_format": """WITH f AS (SELECT strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders ORDER BY o_orderkey LIMIT 100),
 s AS (SELECT * FROM (SELECT 'dd/MM/yyyy' AS format, 1 AS i, count(try_strptime(day, '%d/%m/%Y'))::DOUBLE / count(*) AS share FROM f UNION ALL SELECT 'MM/dd/yyyy', 2, count(try_strptime(day, '%m/%d/%Y'))::DOUBLE / count(*) FROM f) WHERE share >= 0.5)
 SELECT format, round(share, 6) AS share FROM s ORDER BY share DESC, i LIMIT 1""",
     "understood": f"""WITH w AS (SELECT {', '.join(f"CASE WHEN trim({x}) NOT IN ('', ' ', 'NA', 'N/A', 'null', 'NULL', '-', '--') THEN trim({x}) END AS {x}" for x in (*COLS, 'list'))} FROM (SELECT *, priority || ',' || key AS list FROM {RAW})),
-r AS ({ratios_sql((*COLS, 'list'), 'w')}), m AS ({union(f"SELECT '{x}' AS " + '"column"' + f", coalesce(bool_or(regexp_matches({x}, '[;,|]')), false) AS multi, count(*) AS n_rows FROM w" for x in (*COLS, 'list'))})
-SELECT "column", n, n_unique, CASE WHEN numeric > 0.6 THEN 'numeric' WHEN dates > 0.8 THEN 'datetime' WHEN booleans = 1 THEN 'boolean' WHEN multi AND n_unique > 50 THEN 'multi-select'
- WHEN n_unique <= 50 OR (n_rows > 100 AND n_unique::DOUBLE / n_rows < 0.05) THEN 'categorical' ELSE 'text' END AS kind FROM r JOIN m USING ("column")""",
-    "semantic_types": union(
-        f"""SELECT '{x}' AS "column", count({x}) AS n, count(DISTINCT {x}) AS n_unique, CASE WHEN '{k}' = 'date' THEN 'time_series' WHEN count(DISTINCT {x})::DOUBLE / count({x}) >= 0.9 THEN 'id_like' WHEN count(*) FILTER (WHERE {x}::VARCHAR NOT IN ('0', '1', 'true', 'false')) = 0 THEN 'boolean'
+r AS ({ratios_sql((*COLS, 'list'), 'w')}), m AS ({union(f"SELECT '{x}' AS " + '"column"' + f", coalesce(bool_or(regexp_matches({x}, '[;,|]')), false) AS multi, count(*) AS n_rows, min(try_cast({x} AS DOUBLE)) AS lo, max(try_cast({x} AS DOUBLE)) AS hi, round(avg(try_cast({x} AS DOUBLE)), 6) AS mean, round(stddev_samp(try_cast({x} AS DOUBLE)), 6) AS std, min({DAY.format(x)})::DATE AS first_day, max({DAY.format(x)})::DATE AS last_day, round(avg(length({x})), 6) AS avg_length, (SELECT list(v ORDER BY n DESC, v)[1:5] FROM (SELECT {x} AS v, count(*) AS n FROM w WHERE {x} IS NOT NULL GROUP BY 1)) AS top FROM w" for x in (*COLS, 'list'))}),
+k AS (SELECT *, CASE WHEN booleans = 1 AND n_unique <= 2 THEN 'boolean' WHEN numeric > 0.6 THEN 'numeric' WHEN dates > 0.8 THEN 'datetime' WHEN n_unique <= 50 OR (n_rows > 100 AND n_unique::DOUBLE / n_rows < 0.05) THEN 'categorical' WHEN multi THEN 'multi-select' ELSE 'text' END AS kind FROM r JOIN m USING ("column"))
+SELECT "column", n, n_unique, kind, CASE WHEN kind = 'numeric' THEN lo END AS lo, CASE WHEN kind = 'numeric' THEN hi END AS hi, CASE WHEN kind = 'numeric' THEN mean END AS mean, CASE WHEN kind = 'numeric' THEN std END AS std, CASE WHEN kind = 'datetime' THEN first_day END AS first_day, CASE WHEN kind = 'datetime' THEN last_day END AS last_day,
+ CASE WHEN kind = 'categorical' THEN top END AS top, CASE WHEN kind IN ('text', 'multi-select', 'boolean') THEN avg_length END AS avg_length FROM k""",
+    "semantic_types": "SELECT *, CASE semantic_type WHEN 'id_like' THEN 'id' WHEN 'time_series' THEN 'time_index' WHEN 'numeric' THEN 'numeric' WHEN 'text' THEN 'text' ELSE 'categorical' END AS role FROM (" + union(
+        f"""SELECT '{x}' AS "column", count({x}) AS n, count(DISTINCT {x}) AS n_unique, round(avg({"19" if k == "date" else f"length({x}::VARCHAR)"}), 6) AS avg_length, CASE WHEN count(DISTINCT {x})::DOUBLE / count(*) >= 0.9 THEN 'id_like' WHEN '{k}' = 'date' THEN 'time_series' WHEN count(*) FILTER (WHERE {x}::VARCHAR NOT IN ('0', '1', 'true', 'false')) = 0 THEN 'boolean'
  WHEN '{k}' = 'number' THEN 'numeric' WHEN avg(length({x}::VARCHAR)) > 50 OR count(DISTINCT {x}) > 100 THEN 'text' ELSE 'categorical' END AS semantic_type FROM (SELECT *, o_orderkey % 2 AS late FROM orders)"""
         for x, k in (("o_orderkey", "number"), ("o_custkey", "number"), ("o_orderstatus", "text"), ("o_totalprice", "number"), ("o_orderdate", "date"), ("o_orderpriority", "text"), ("late", "number"))
-    ),
+    )
+    + ")",
     "downcast_plan": union(
         f"""SELECT '{x}' AS "column", min({x})::DOUBLE AS lo, max({x})::DOUBLE AS hi, CASE WHEN count(*) FILTER (WHERE {x}::DOUBLE <> floor({x}::DOUBLE)) = 0 THEN CASE WHEN min({x}) >= -128 AND max({x}) <= 127 THEN 'tinyint' WHEN min({x}) >= -32768 AND max({x}) <= 32767 THEN 'smallint'
  WHEN min({x}) >= -2147483648 AND max({x}) <= 2147483647 THEN 'int' ELSE 'bigint' END WHEN count(*) FILTER (WHERE {x}::FLOAT::DOUBLE <> {x}::DOUBLE) = 0 THEN 'float' ELSE 'double' END AS smallest_type FROM lineitem"""

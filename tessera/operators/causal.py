@@ -16,7 +16,7 @@ from tessera.functions.columns import numeric_columns, per_column, q, value_coun
 from tessera.functions.distributions import normal_ppf, on_rows, t_two_sided
 from tessera.functions.tables import written
 from tessera.operators.describe import bins_of
-from tessera.operators.relate import correlations, fold_grams, gram
+from tessera.operators.relate import correlations, fold_grams, gram, inverse
 
 
 #: Levels of a covariate that become columns at most: a plan has one expression for each.
@@ -108,7 +108,7 @@ def instrument_effect(df: DataFrame, outcome: str, treatment: str, instrument: s
     k, t, y = len(names), len(names), len(names) + 1
     if not n or n <= k + 1 or not own or m[t, t] <= 0:
         return nothing
-    first = np.linalg.pinv(m[:k, :k]) @ m[:k, t]
+    first = inverse(m[:k, :k]) @ m[:k, t]
     explained = float(first @ m[:k, t])
     rest = float(m[t, t]) - explained
     # The second stage's columns: the predicted treatment and the covariates.
@@ -120,16 +120,16 @@ def instrument_effect(df: DataFrame, outcome: str, treatment: str, instrument: s
     xy = np.array([first @ m[:k, y], *m[at, y]])
     if np.linalg.matrix_rank(xx) < len(xx) or explained <= 1e-12 * m[t, t]:
         return nothing
-    inverse = np.linalg.inv(xx)
-    b = inverse @ xy
+    inv = np.linalg.inv(xx)
+    b = inv @ xy
     c = [q(x).cast("double") - F.lit(float(v)) for x, v in zip([*names, treatment, outcome], means, strict=True)]
     predicted = reduce(lambda a, x: a + x, [F.lit(float(v)) * x for v, x in zip(first, c[:k], strict=True)])
     e = c[y] - F.lit(float(b[0])) * c[t]
     for v, i in zip(b[1:], at, strict=True):
         e = e - F.lit(float(v)) * c[i]
     # The influence of a row on the coefficient: the first row of the inverse times its second-stage columns.
-    d = F.lit(float(inverse[0, 0])) * predicted
-    for v, i in zip(inverse[0, 1:], at, strict=True):
+    d = F.lit(float(inv[0, 0])) * predicted
+    for v, i in zip(inv[0, 1:], at, strict=True):
         d = d + F.lit(float(v)) * c[i]
     se = F.sqrt(F.sum(d * d * e * e) * F.lit(n / (n - len(xx) - 1)))
     f = (explained / k) / (rest / (n - k - 1)) if rest > 0 else None
@@ -165,8 +165,8 @@ def ols(df: DataFrame, outcome: str, columns: list[str], weight: str | None = No
         return m
 
     row = one.agg(F.sum(w * y * y), *[F.sum(w * c * y) for c in x], *[F.sum(w * x[i] * x[j]) for i, j in pairs]).first()
-    inverse = np.linalg.pinv(square(row[1 + k :]))
-    b = inverse @ np.array([a or 0.0 for a in row[1 : 1 + k]])
+    inv = inverse(square(row[1 + k :]))
+    b = inv @ np.array([a or 0.0 for a in row[1 : 1 + k]])
     e = y - reduce(lambda a, c: a + c, [F.lit(float(a)) * c for a, c in zip(b, x, strict=True)])
     if cluster:
         sums = one.groupBy(q(cluster).alias("_g")).agg(F.sum(w * e * e).alias("_e"), *[F.sum(w * e * c).alias(f"_{i}") for i, c in enumerate(x)])
@@ -176,7 +176,7 @@ def ols(df: DataFrame, outcome: str, columns: list[str], weight: str | None = No
     else:
         row2 = one.agg(F.sum(w * e * e), F.count(F.lit(1)), *[F.sum(w * w * e * e * x[i] * x[j]) for i, j in pairs]).first()
         scale = n / max(n - k, 1)
-    cov = inverse @ square(row2[2:]) @ inverse * scale
+    cov = inv @ square(row2[2:]) @ inv * scale
     # The constant of the columns as they are, not centered.
     back = np.eye(k)
     back[0, 1:] = [-m for m in means[:-1]]
@@ -384,7 +384,7 @@ def model_effects(df: DataFrame, columns: list[str], target: str, spread: float
         df = encode(df, target).withColumn(target, q(f"{target}_code"))
     rows = df.dropna(subset=[target]).withColumns({c: F.coalesce(q(c).cast("double"), F.lit(0.0)) for c in columns})
     _, means, m = gram(rows, [*columns, target])
-    b = np.linalg.pinv(m[:-1, :-1]) @ m[:-1, -1]
+    b = inverse(m[:-1, :-1]) @ m[:-1, -1]
     share = {r["column"]: r["importance"] for r in importances(rows, columns, target, trees).collect()}
     plain = per_column(df, columns, mean=lambda c: F.avg(c)).collect()
     mean = {r["column"]: r["mean"] for r in plain}
@@ -422,7 +422,7 @@ def coefficient_stability(df: DataFrame, key: str, columns: list[str], target: s
 
     def fit(n, s, p):
         c = p / n - np.outer(s, s) / n**2
-        return np.linalg.pinv(c[:-1, :-1]) @ c[:-1, -1]
+        return inverse(c[:-1, :-1]) @ c[:-1, -1]
 
     if not n:
         return df.sparkSession.createDataFrame([], "column string, coefficient double, stability double")

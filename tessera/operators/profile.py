@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns, per_column, q, r6, value_counts
+from tessera.functions.columns import date_columns, numeric_columns, per_column, q, r6, value_counts
 from tessera.functions.ranks import quantiles
 
 
@@ -80,6 +80,17 @@ def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.join(F.broadcast(counts), "column", "left").select("column", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"), share.alias("unique_share"), kind.alias("cardinality"))
 
 
+def file_summary(df: DataFrame) -> DataFrame:
+    """A row for each column: numeric, datetime or categorical, unique values of the categorical ones, and the table's rows and columns."""
+    numbers, dates = numeric_columns(df), date_columns(df)
+    texts = [c for c in df.columns if c not in numbers and c not in dates]
+    kind = lambda c: "numeric" if c in numbers else "datetime" if c in dates else "categorical"
+    out = df.sparkSession.createDataFrame([(i, c, kind(c)) for i, c in enumerate(df.columns)], "at int, column string, kind string")
+    n = df.agg(F.count("*").alias("n_rows"))
+    unique = cardinality(df, texts).select("column", "n_unique") if texts else df.sparkSession.createDataFrame([], "column string, n_unique long")
+    return out.join(F.broadcast(unique), "column", "left").join(F.broadcast(n)).select("at", "column", "kind", "n_unique", "n_rows", F.lit(len(df.columns)).alias("n_columns"))  # n is one row
+
+
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """The k most frequent values of each column, ties by value, with their share of the non-null rows."""
     counts = value_counts(df, columns)

@@ -16,6 +16,13 @@ from tessera.functions.tables import written
 from tessera.operators.describe import bins_of
 
 
+def inverse(m: np.ndarray) -> np.ndarray:
+    """The (pseudo-)inverse of a Gram matrix, scaled to a unit diagonal first: columns of different units would fall under its cutoff."""
+    d = np.sqrt(np.diag(m))
+    d = np.where(d > 0, d, 1.0)
+    return np.linalg.pinv(m / np.outer(d, d)) / np.outer(d, d)
+
+
 def gram(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """n, means, and sums of products of centered complete rows: two native aggregations, k x k numbers on the driver.
 
@@ -216,8 +223,8 @@ def vif(df: DataFrame, columns: list[str], centered: bool = False) -> DataFrame:
     """Variance inflation from the inverse of the Gram matrix; uncentered (no constant) unless asked otherwise."""
     n, means, m = gram(df, columns)
     m = m if centered else m + n * np.outer(means, means)
-    inverse = np.linalg.pinv(m)
-    return df.sparkSession.createDataFrame([(c, float(m[i, i] * inverse[i, i])) for i, c in enumerate(columns)], "column string, vif double")
+    inv = inverse(m)
+    return df.sparkSession.createDataFrame([(c, float(m[i, i] * inv[i, i])) for i, c in enumerate(columns)], "column string, vif double")
 
 
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 10) -> DataFrame:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import no_nan, per_column, q, value_counts
+from tessera.functions.columns import no_nan, numeric_columns, per_column, q, value_counts
 
 #: Texts that mean null when tables are read, and when columns are understood.
 NULL_TOKENS = ("", "null", "NULL", "n/a", "N/A")
 LOOSE_NULL_TOKENS = ("", " ", "NA", "N/A", "null", "NULL", "-", "--")
-DAY_FIRST = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy")
-MONTH_FIRST = ("yyyy-MM-dd", "MM/dd/yyyy", "MM-dd-yyyy", "MM.dd.yyyy")
-FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm")
+#: A time of day that may follow a date, after a space or a T, with seconds, fractions and a zone.
+TIME = "[ HH:mm[:ss[.SSSSSS]]]['T'HH:mm[:ss[.SSSSSS]][XXX]]"
+DAY_FIRST = tuple(d + TIME for d in ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy"))
+MONTH_FIRST = tuple(d + TIME for d in ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MM-dd-yyyy", "MM.dd.yyyy"))
+#: The formats among which the commonest is sought.
+FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXX")
 PATTERNS = {"email": r"^[\w.+-]+@[\w-]+\.[\w.-]+$", "phone": r"^\+?[0-9][0-9 ()-]{6,}$", "uuid": r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", "zipcode": r"^[0-9]{5}(-[0-9]{4})?$"}
 BOOLEAN = ("true", "false", "0", "1")
 PLAIN_NUMBER = r"^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$"
@@ -84,14 +87,27 @@ def date_readings(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(c).alias("n"), F.try_divide(parsed, F.count(c)).alias("success_ratio"), F.try_divide(F.count_if(day != month), F.count(c)).alias("ambiguous_ratio"))
 
 
-def column_schema(df: DataFrame) -> DataFrame:
-    """Type, smallest and largest value, non-nulls, nulls, unique values and average length of each column."""
+#: Values that a column's enumeration holds at most; a column of more has none.
+MAX_ENUM = 1000
+
+
+def column_schema(df: DataFrame, examples: int = 3) -> DataFrame:
+    """Type, format, smallest and largest value, examples (the smallest texts), enumeration, non-nulls, nulls, unique values and average length of each column.
+
+    A text whose values are less than a tenth unique is categorical and has its values, in order, as its enumeration.
+    """
     columns = df.columns
     kinds = dict(df.dtypes)
     base = per_column(df, columns, lo=lambda c: F.min(c).cast("string"), hi=lambda c: F.max(c).cast("string"), non_null=lambda c: F.count(c), nulls=lambda c: F.count_if(c.isNull()), avg_length=lambda c: F.avg(F.length(c.cast("string"))))
-    unique = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("n_unique"))
-    kind = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(kinds[c]))])
-    return base.join(F.broadcast(unique), "column", "left").withColumns({"type": kind[F.col("column")], "n_unique": F.coalesce("n_unique", F.lit(0)).cast("long")})
+    counts = value_counts(df, columns)
+    unique = counts.groupBy("column").agg(F.count("*").alias("n_unique"))
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    few = counts.withColumn("r", rank).where(F.col("r") <= MAX_ENUM).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    kind = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(kinds[c]))])[F.col("column")]
+    out = base.join(F.broadcast(unique), "column", "left").join(few, "column", "left").withColumns({"type": kind, "n_unique": F.coalesce("n_unique", F.lit(0)).cast("long")})
+    listed = (F.col("type") == "string") & (F.col("n_unique") < 0.1 * F.col("non_null")) & (F.col("n_unique") <= MAX_ENUM)
+    form = F.when(F.col("type").rlike("^(date|timestamp)"), "date-time")
+    return out.select("column", "type", form.alias("format"), "lo", "hi", F.coalesce(F.slice("values", 1, examples), F.array()).alias("examples"), F.when(listed, F.col("values")).alias("enum"), "non_null", "nulls", "avg_length", "n_unique")
 
 
 def date_format(df: DataFrame, column: str, key: str, formats: tuple[str, ...] = FORMATS, rows: int = 100, least: float = 0.5) -> DataFrame:
@@ -102,37 +118,61 @@ def date_format(df: DataFrame, column: str, key: str, formats: tuple[str, ...] =
     return rows_.where(F.col("share") >= least).orderBy(F.desc("share"), "i").limit(1).select("format", "share")
 
 
-def understand(df: DataFrame, columns: list[str]) -> DataFrame:
-    """numeric, datetime, boolean, categorical, multi-select or text, after loose null tokens are dropped."""
+def understand(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
+    """numeric, datetime, boolean, categorical, multi-select or text, after loose null tokens are dropped, with the figures of that kind.
+
+    lo, hi, mean and std of numbers, first and last day of dates, the ``top`` values of categories, the average length of others.
+    """
+    native = set(numeric_columns(df))
     clean = normalize_nulls(df.select(*[q(c).cast("string").alias(c) for c in columns]), LOOSE_NULL_TOKENS)
     r = parse_ratios(clean, columns)
-    lists = per_column(clean, columns, multi=lambda c: F.coalesce(F.bool_or(c.rlike("[;,|]")), F.lit(False)), n_rows=lambda c: F.count(F.lit(1)))
+    number = lambda c: c.try_cast("double")
+    stats = per_column(
+        clean,
+        columns,
+        multi=lambda c: F.coalesce(F.bool_or(c.rlike("[;,|]")), F.lit(False)),
+        n_rows=lambda c: F.count(F.lit(1)),
+        lo=lambda c: F.min(number(c)),
+        hi=lambda c: F.max(number(c)),
+        mean=lambda c: F.avg(number(c)),
+        std=lambda c: F.stddev_samp(number(c)),
+        first_day=lambda c: F.min(as_date(c)).cast("date"),
+        last_day=lambda c: F.max(as_date(c)).cast("date"),
+        avg_length=lambda c: F.avg(F.length(c)),
+    )
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
+    best = value_counts(clean, columns).withColumn("r", rank).where(F.col("r") <= top).groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("top"))
     kind = (
-        F.when(F.col("numeric") > 0.6, "numeric")
+        F.when(F.col("column").isin(*native), "numeric")
+        .when((F.col("booleans") == 1) & (F.col("n_unique") <= 2), "boolean")
+        .when(F.col("numeric") > 0.6, "numeric")
         .when(F.col("dates") > 0.8, "datetime")
-        .when(F.col("booleans") == 1, "boolean")
-        .when(F.col("multi") & (F.col("n_unique") > 50), "multi-select")
         .when((F.col("n_unique") <= 50) | ((F.col("n_rows") > 100) & (F.col("n_unique") / F.col("n_rows") < 0.05)), "categorical")
+        .when(F.col("multi"), "multi-select")
         .otherwise("text")
     )
-    return r.join(F.broadcast(lists), "column").select("column", "n", "n_unique", kind.alias("kind"))
+    out = r.join(F.broadcast(stats), "column").join(best, "column", "left").withColumn("kind", kind)
+    only = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), F.col(c)).alias(c)
+    return out.select("column", "n", "n_unique", "kind", *[only(c, "numeric") for c in ("lo", "hi", "mean", "std")], only("first_day", "datetime"), only("last_day", "datetime"), only("top", "categorical"), only("avg_length", "text", "multi-select", "boolean"))
 
 
 def semantic_types(df: DataFrame) -> DataFrame:
-    """id_like, time_series, boolean, numeric, text or categorical, from native types and one value count."""
+    """id_like, time_series, boolean, numeric, text or categorical, in that order of tests, with role, average length and unique values."""
     kinds = dict(df.dtypes)
-    base = per_column(df, df.columns, n=lambda c: F.count(c), avg_length=lambda c: F.avg(F.length(c.cast("string"))), others=lambda c: F.count_if(~c.cast("string").isin("0", "1", "true", "false")))
+    base = per_column(df, df.columns, n=lambda c: F.count(c), n_rows=lambda c: F.count(F.lit(1)), avg_length=lambda c: F.avg(F.length(c.cast("string"))), others=lambda c: F.count_if(~c.cast("string").isin("0", "1", "true", "false")))
     unique = value_counts(df, df.columns).groupBy("column").agg(F.count("*").alias("n_unique"))
     native = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit("date" if kinds[c].startswith(("date", "timestamp")) else "text" if kinds[c] == "string" else "number"))])[F.col("column")]
     kind = (
-        F.when(native == "date", "time_series")
-        .when(F.col("n_unique") / F.col("n") >= 0.9, "id_like")
+        F.when(F.try_divide("n_unique", "n_rows") >= 0.9, "id_like")
+        .when(native == "date", "time_series")
         .when(F.col("others") == 0, "boolean")
         .when(native == "number", "numeric")
         .when((F.col("avg_length") > 50) | (F.col("n_unique") > 100), "text")
         .otherwise("categorical")
     )
-    return base.join(F.broadcast(unique), "column", "left").select("column", "n", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"), kind.alias("semantic_type"))
+    role = F.create_map(*[F.lit(x) for pair in {"id_like": "id", "time_series": "time_index", "boolean": "categorical", "numeric": "numeric", "text": "text", "categorical": "categorical"}.items() for x in pair])
+    out = base.join(F.broadcast(unique), "column", "left").withColumns({"n_unique": F.coalesce("n_unique", F.lit(0)).cast("long")}).withColumn("semantic_type", kind)
+    return out.select("column", "n", "n_unique", "avg_length", "semantic_type", role[F.col("semantic_type")].alias("role"))
 
 
 def downcast_plan(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -151,11 +191,12 @@ def patterns(df: DataFrame, columns: list[str], least: float = 0.8) -> DataFrame
 
 
 def mixed_types(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Values that read as integers, other numbers, booleans, dates and texts; mixed if more than one kind occurs."""
+    """Values that read as integers, other numbers, booleans, dates and texts; mixed if more than one kind occurs. A value's kind is found once."""
     c_int, c_num = r"^[+-]?[0-9]+$", r"^[+-]?[0-9]*\.?[0-9]+([eE][+-]?[0-9]+)?$"
     kind = lambda c: F.when(c.rlike(c_int), "int").when(c.rlike(c_num), "double").when(F.lower(c).isin("true", "false"), "bool").when(as_date(c).isNotNull(), "date").when(c.isNotNull(), "text")
     names = ("int", "double", "bool", "date", "text")
-    out = per_column(df, columns, **{f"n_{k}": (lambda k: lambda c: F.count_if(kind(c) == k))(k) for k in names})
+    long = df.select(*[kind(q(c)).alias(c) for c in columns]).unpivot([], [q(c) for c in columns], "column", "kind")
+    out = long.groupBy("column").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in names])
     n = sum(((F.col(f"n_{k}") > 0).cast("int") for k in names), F.lit(0))
     return out.withColumn("is_mixed", n > 1)
 
