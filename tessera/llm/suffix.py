@@ -5,16 +5,18 @@ UTF-8; matches never cross documents.
 
 1. Documents are dealt to batches of bounded size.  A batch samples its suffixes by winnowing: each WIDTH-byte
    window owns the suffix at its smallest GRAM-byte hash, so two equal windows own equal suffixes, and about one
-   position in fourteen is kept.  Batches send sorted 32-bit keys of their suffixes to shards by key.
-2. A shard tells each batch which of its keys lie in more than one document.  Colliding keys only add work.
-3. Batches send those suffixes' windows, one copy for equal contexts (the smallest id; later copies in the batch
-   are removed as a whole there and then).
-4. A shard takes them in order of document: each run of new documents gets a suffix array (its windows sorted by
-   64 bits of their WIDTH bytes), is merge-scanned against the levels that exist, and becomes a level; levels of
-   about equal size merge, so there are logarithmically many.
+   position in fourteen is kept.  Batches send sorted 32-bit keys of their suffixes to key shards.
+2. A key shard tells each batch which of its keys lie in more than one document.  Colliding keys only add work.
+3. Batches send those suffixes' windows to shards, one copy for equal contexts (the smallest id; later copies in
+   the batch, compared byte by byte, are removed as a whole there and then).
+4. A shard takes them in order of document: each run of new documents gets a suffix array (the places of its
+   windows in the order of their WIDTH bytes), is merge-scanned against the arrays of the levels that exist, and
+   becomes a level; levels of about equal size merge, so there are logarithmically many.  Matches are equal bytes.
 5. Matches go back to their batches, which cut the documents.
 
-A key of a third of all documents costs a shard at most one entry a batch in (1), one context a batch in (3).
+Messages have a row for a batch and a shard that share something: fewer than the sampled suffixes at any size, and
+batches and shards are as few as memory allows.  A key of a third of all documents costs a shard at most one entry a
+batch in (1), one context a batch in (3).
 
 Null and empty texts have nothing to remove.  Rows with a null id neither lose bytes nor make others lose some.
 Rows with the same id don't affect each other.  An empty table gives an empty result.
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 WIDTH, GRAM = 50, 24
 WINDOW = WIDTH - GRAM + 1
-#: Bytes of text of a batch, and windows of a run of new documents.
-BATCH_BYTES, RUN_WINDOWS = 6_000_000, 1 << 18
+#: Bytes of text of a batch, for a key shard and for a shard, and windows of a run of new documents.
+BATCH_BYTES, KEY_BYTES, SHARD_BYTES, RUN_WINDOWS = 8_000_000, 48_000_000, 4_000_000, 1 << 18
 CHUNK = 1 << 18
 U = np.uint64
 ODD = (np.random.default_rng(23).integers(1, 1 << 63, size=8, dtype=np.uint64) << U(1)) | U(1)
@@ -51,6 +53,11 @@ def at_every_byte(data: bytes) -> np.ndarray:
     return np.ndarray(shape=(len(data) - 8,), dtype="<u8", buffer=data, strides=(1,))
 
 
+def windows_of(data: bytes) -> np.ndarray:
+    """The WIDTH bytes from each position, as an unaligned view; ``data`` is padded by 64 bytes."""
+    return np.ndarray(shape=(len(data) - WIDTH,), dtype=f"S{WIDTH}", buffer=data, strides=(1,))
+
+
 def gram_hashes(view: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(view[at] * ODD[0] + view[at + 8] * ODD[1] + view[at + 16] * ODD[2])
 
@@ -159,23 +166,29 @@ def answer_keys(table: pa.Table) -> pa.Table:
 CONTEXTS = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("done", pa.bool_()), ("row", pa.binary()), ("first", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("context", pa.binary())])
 
 
-def send_contexts(shards: int) -> Callable:
+def send_contexts(key_shards: int, shards: int) -> Callable:
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(answers) or not len(table):
             return CONTEXTS.empty_table()
         batch = Batch(table)
         row, s, n, h = batch.suffixes()
-        v = shard_key(h, shards)
+        v = shard_key(h, key_shards)
         wanted = np.sort(np.concatenate([np.frombuffer(k.as_py(), np.uint32).astype(np.uint64) | U(i.as_py() << 32) for k, i in zip(answers.column("keys"), answers.column("shard"), strict=True)]))
         at = np.minimum(np.searchsorted(wanted, v), len(wanted) - 1)
         hit = np.flatnonzero(wanted[at] == v)
-        row, s, n, v = row[hit], s[hit], n[hit], v[hit]
+        row, s, n, v = row[hit], s[hit], n[hit], shard_key(h[hit], shards)
         doc = batch.doc[row]
         # Equal contexts: the windows at both ends cover all of one.
         context = mixed(window_hashes(batch.view, s) * ODD[3] + window_hashes(batch.view, s + n - 1) * ODD[4] + n.astype(np.uint64) * ODD[5])
         order = np.lexsort((s, doc, context, v >> U(32)))
         row, s, n, v, doc, context = row[order], s[order], n[order], v[order], doc[order], context[order]
         new = np.concatenate(([True], (context[1:] != context[:-1]) | (v[1:] >> U(32) != v[:-1] >> U(32))))
+        same = np.flatnonzero(~new)
+        if len(same):  # the windows at both ends hold all bytes of a context
+            windows = windows_of(batch.data)
+            for i in range(0, len(same), CHUNK):
+                k = same[i : i + CHUNK]
+                new[k] = (n[k] != n[k - 1]) | (windows[s[k]] != windows[s[k - 1]]) | (windows[s[k] + n[k] - 1] != windows[s[k - 1] + n[k - 1] - 1])
         lowest = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
         first = s - batch.begin[row]
         rows = []
@@ -195,45 +208,59 @@ def send_contexts(shards: int) -> Callable:
 
 
 class Family:
-    """Sorted levels of the windows of earlier documents, each at least twice the size of the next."""
+    """Suffix arrays of the windows of earlier documents: places in the order of their bytes, each level at least twice the size of the next."""
 
-    def __init__(self) -> None:
+    def __init__(self, windows: np.ndarray) -> None:
+        self.windows = windows
         self.levels: list[np.ndarray] = []
 
-    def scan(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted keys a level holds."""
-        found = np.zeros(len(keys), dtype=bool)
+    def _merged(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two arrays in one order, ``one`` first among equals: a stable sort of two sorted runs is one merge. And where the next is equal."""
+        keys = self.windows[np.concatenate((one, two))]
+        order = np.argsort(keys, kind="stable")
+        same = np.zeros(len(order), dtype=bool)
+        for i in range(0, len(order) - 1, CHUNK):
+            part = keys[order[i : i + CHUNK + 1]]
+            same[i : i + len(part) - 1] = part[1:] == part[:-1]
+        return order, same
+
+    def scan(self, array: np.ndarray) -> np.ndarray:
+        """Which windows of a suffix array a level holds, by a merge scan of each level."""
+        found = np.zeros(len(array), dtype=bool)
         for level in self.levels:
-            found |= level[np.minimum(np.searchsorted(level, keys), len(level) - 1)] == keys
+            order, same = self._merged(level, array)
+            found[order[np.flatnonzero(same) + 1] - len(level)] = True
         return found
 
-    def add(self, keys: np.ndarray) -> None:
-        """A new level of sorted keys that no level holds; merges levels of about equal size."""
-        if len(keys):
-            self.levels.append(keys)
+    def add(self, array: np.ndarray) -> None:
+        """A new level of windows that no level holds; merges levels of about equal size."""
+        if len(array):
+            self.levels.append(array)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             last = self.levels.pop()
-            self.levels[-1] = np.sort(np.concatenate((self.levels[-1], last)), kind="stable")
+            self.levels[-1] = np.concatenate((self.levels[-1], last))[self._merged(self.levels[-1], last)[0]]
 
 
-def earlier(keys_of: Callable[[int, int], tuple[np.ndarray, np.ndarray]], ends: np.ndarray, docs: np.ndarray, run_windows: int = RUN_WINDOWS) -> Iterator[np.ndarray]:
+def earlier(windows: np.ndarray, places_of: Callable[[int, int], tuple[np.ndarray, np.ndarray]], ends: np.ndarray, docs: np.ndarray, run_windows: int | None = None) -> Iterator[np.ndarray]:
     """For entries in order of document: which of their windows does an earlier document hold?
 
-    ``ends``: windows up to the end of each entry; ``keys_of(i, j)``: the keys of the windows of entries i to j,
+    ``ends``: windows up to the end of each entry; ``places_of(i, j)``: where the windows of entries i to j lie,
     and the document of each.  Yields a mask of windows for each run, so only a run's windows are held at once.
     """
-    family, i, before = Family(), 0, 0
+    family, i, before = Family(windows), 0, 0
     while i < len(ends):
-        j = min(int(np.searchsorted(ends, before + run_windows)) + 1, len(ends))
+        j = min(int(np.searchsorted(ends, before + (run_windows or RUN_WINDOWS))) + 1, len(ends))
         j = int(np.searchsorted(docs, docs[j - 1], "right"))  # a document is never split
-        keys, doc = keys_of(i, j)
-        order = np.argsort(keys, kind="stable")
-        k, d = keys[order], doc[order]
-        new = np.concatenate(([True], k[1:] != k[:-1]))
+        places, doc = places_of(i, j)
+        keys = windows[places]
+        order = np.argsort(keys, kind="stable")  # in order of document among equals
+        keys = keys[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        del keys
         group = np.cumsum(new) - 1
-        array = k[new]
+        array, d = places[order][new], doc[order]
         old = family.scan(array)
-        out = np.zeros(len(keys), dtype=bool)
+        out = np.zeros(len(places), dtype=bool)
         out[order] = old[group] | (d > d[new][group])
         family.add(array[~old])
         yield out
@@ -260,7 +287,7 @@ def match(table: pa.Table) -> pa.Table:
         begin = np.cumsum(length) - length
         order = np.argsort(doc, kind="stable")
         n, doc, begin = n[order], doc[order], begin[order]
-        ends, view = np.cumsum(n), at_every_byte(data)
+        ends = np.cumsum(n)
         mask = np.zeros(len(n), dtype=np.int64)
 
         def places(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,12 +295,12 @@ def match(table: pa.Table) -> pa.Table:
             count = n[i:j]
             return np.repeat(np.arange(i, j), count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
-        def keys_of(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        def places_of(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
             entry, offset = places(i, j)
-            return window_hashes(view, begin[entry] + offset), doc[entry]
+            return begin[entry] + offset, doc[entry]
 
         at = 0
-        for hit in earlier(keys_of, ends, doc):
+        for hit in earlier(windows_of(data), places_of, ends, doc):
             to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + len(hit))) + 1
             entry, offset = places(at, to)
             np.add.at(mask, entry[hit], np.int64(1) << offset[hit])
@@ -327,13 +354,13 @@ def remove_repeats(docs: DataFrame, digest: bool = False, batch_bytes: int = BAT
     """Per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), and kept (bytes) or, with ``digest``, kept_sha256."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // batch_bytes))
+    n, key_shards, shards = (max(1, -(-size // b)) for b in (batch_bytes, KEY_BYTES, SHARD_BYTES))
     batch = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)).cast("int")
     dealt = docs.withColumn("batch", batch).repartition(n, "batch")
     own = lambda df: df.groupBy("batch")
-    keys = own(dealt).applyInArrow(send_keys(n), "shard int, batch int, one binary, several binary")
+    keys = own(dealt).applyInArrow(send_keys(key_shards), "shard int, batch int, one binary, several binary")
     answers = keys.groupBy("shard").applyInArrow(answer_keys, "batch int, shard int, keys binary")
-    contexts = own(dealt).cogroup(own(answers)).applyInArrow(send_contexts(n), "shard int, batch int, done boolean, row binary, first binary, n binary, doc binary, context binary")
+    contexts = own(dealt).cogroup(own(answers)).applyInArrow(send_contexts(key_shards, shards), "shard int, batch int, done boolean, row binary, first binary, n binary, doc binary, context binary")
     matches = contexts.groupBy("shard").applyInArrow(match, "batch int, row binary, first binary, mask binary")
     schema = CUT.replace("kept binary", "kept_sha256 string") if digest else CUT
     return own(dealt).cogroup(own(matches)).applyInArrow(digested(cut) if digest else cut, schema)

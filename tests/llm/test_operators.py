@@ -134,11 +134,34 @@ def test_suffix_edges(spark):
 
 
 def test_family_levels_are_logarithmic():
-    family, keys = suffix.Family(), np.arange(4096, dtype=np.uint64)
+    data = np.random.default_rng(4).bytes(4096 + 50)
+    windows = suffix.windows_of(data + bytes(64))
+    family = suffix.Family(windows)
     for i in range(0, 4096, 16):
-        assert not family.scan(keys[i : i + 16]).any()
-        family.add(keys[i : i + 16])
-    assert len(family.levels) <= 12 and family.scan(keys).all()
+        array = np.arange(i, i + 16)[np.argsort(windows[i : i + 16])]
+        assert not family.scan(array).any()
+        family.add(array)
+    assert len(family.levels) <= 12 and family.scan(np.argsort(windows[:4096])).all()
+
+
+def test_suffix_messages_are_fewer_than_suffixes():
+    for docs in (20, 80):
+        table = suffix.pa.table({"batch": [0] * docs, "doc_id": list(range(docs)), "text": [" ".join(words(i, 300)) for i in range(docs)]})
+        sent = suffix.send_keys(1000)(table)
+        keys = sum(len(x.as_py()) // 4 for c in ("one", "several") for x in sent.column(c))
+        assert len(sent) <= min(1000, keys)
+
+
+def test_equal_hashes_of_other_bytes_stay(spark, monkeypatch):
+    """Matches are of bytes: with hashes that all collide, nothing but equal windows goes."""
+    rows = [(1, " ".join(words(1, 60))), (2, " ".join(words(2, 60))), (3, " ".join(words(1, 60)))]
+    table = suffix.pa.table({"batch": [0] * 3, "doc_id": [1, 2, 3], "text": [t for _, t in rows]})
+    monkeypatch.setattr(suffix, "window_hashes", lambda view, at: np.zeros(len(at), dtype=np.uint64))
+    keys = suffix.send_keys(1)(table)
+    answers = suffix.answer_keys(keys)
+    contexts = suffix.send_contexts(1, 1)(table, answers)
+    cut = suffix.digested(suffix.cut)(table, suffix.match(contexts))
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in cut.to_pylist()} == brute_cut(rows)
 
 
 def benchmark_of(spark, items):
