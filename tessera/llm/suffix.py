@@ -8,7 +8,7 @@ UTF-8; matches never cross documents.
    position in fourteen is kept.  Batches send sorted 32-bit keys of their suffixes to key shards.
 2. A key shard tells each batch which of its keys lie in more than one document.  Colliding keys only add work.
 3. Batches send those suffixes' windows to shards, one copy for equal contexts (the smallest id; later copies in
-   the batch, compared byte by byte, are removed as a whole there and then).
+   the batch, compared byte by byte, are removed as a whole there and then, and later ones of other batches in 4).
 4. A shard takes them in order of document: each run of new documents gets a suffix array (the places of its
    windows in the order of their WIDTH bytes), is merge-scanned against the arrays of the levels that exist, and
    becomes a level; levels of about equal size merge, so there are logarithmically many.  Matches are equal bytes.
@@ -163,6 +163,22 @@ def answer_keys(table: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array([batch[i] for i in keep], pa.int32()), "shard": pa.array([shard] * len(keep), pa.int32()), "keys": pa.array([_blob(own[i]) for i in keep], pa.binary())})
 
 
+def copies(view: np.ndarray, windows: np.ndarray, s: np.ndarray, n: np.ndarray, doc: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal contexts (the bytes of n windows from s) of a group follow each other, and the smallest document of each.
+
+    The windows at both ends hold all bytes of a context: hashes bring likely copies together, bytes decide.
+    """
+    context = mixed(window_hashes(view, s) * ODD[3] + window_hashes(view, s + n - 1) * ODD[4] + n.astype(np.uint64) * ODD[5])
+    order = np.lexsort((s, doc, context, group))
+    s, n, doc, context, group = s[order], n[order], doc[order], context[order], group[order]
+    new = np.concatenate(([True], (context[1:] != context[:-1]) | (group[1:] != group[:-1])))[: len(s)]
+    same = np.flatnonzero(~new)
+    for i in range(0, len(same), CHUNK):
+        k = same[i : i + CHUNK]
+        new[k] = (n[k] != n[k - 1]) | (windows[s[k]] != windows[s[k - 1]]) | (windows[s[k] + n[k] - 1] != windows[s[k - 1] + n[k - 1] - 1])
+    return order, doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+
+
 CONTEXTS = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("done", pa.bool_()), ("row", pa.binary()), ("first", pa.binary()), ("n", pa.binary()), ("doc", pa.binary()), ("context", pa.binary())])
 
 
@@ -178,18 +194,8 @@ def send_contexts(key_shards: int, shards: int) -> Callable:
         hit = np.flatnonzero(wanted[at] == v)
         row, s, n, v = row[hit], s[hit], n[hit], shard_key(h[hit], shards)
         doc = batch.doc[row]
-        # Equal contexts: the windows at both ends cover all of one.
-        context = mixed(window_hashes(batch.view, s) * ODD[3] + window_hashes(batch.view, s + n - 1) * ODD[4] + n.astype(np.uint64) * ODD[5])
-        order = np.lexsort((s, doc, context, v >> U(32)))
-        row, s, n, v, doc, context = row[order], s[order], n[order], v[order], doc[order], context[order]
-        new = np.concatenate(([True], (context[1:] != context[:-1]) | (v[1:] >> U(32) != v[:-1] >> U(32))))
-        same = np.flatnonzero(~new)
-        if len(same):  # the windows at both ends hold all bytes of a context
-            windows = windows_of(batch.data)
-            for i in range(0, len(same), CHUNK):
-                k = same[i : i + CHUNK]
-                new[k] = (n[k] != n[k - 1]) | (windows[s[k]] != windows[s[k - 1]]) | (windows[s[k] + n[k] - 1] != windows[s[k - 1] + n[k - 1] - 1])
-        lowest = doc[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        order, lowest = copies(batch.view, windows_of(batch.data), s, n, doc, v >> U(32))
+        row, s, n, v, doc = row[order], s[order], n[order], v[order], doc[order]
         first = s - batch.begin[row]
         rows = []
         name = table.column("batch")[0].as_py()
@@ -285,7 +291,14 @@ def match(table: pa.Table) -> pa.Table:
         row, first, n, doc = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
         length = n + WIDTH - 1
         begin = np.cumsum(length) - length
-        order = np.argsort(doc, kind="stable")
+        windows = windows_of(data)
+        # Later copies of a whole context are matched as a whole; the arrays take the others.
+        order, lowest = copies(at_every_byte(data), windows, begin, n, doc, np.zeros(len(n), np.uint64))
+        late = doc[order] > lowest
+        back = np.zeros(len(n), dtype=np.int64)
+        back[order[late]] = (1 << n[order[late]]) - 1
+        order = order[~late]
+        order = order[np.argsort(doc[order], kind="stable")]
         n, doc, begin = n[order], doc[order], begin[order]
         ends = np.cumsum(n)
         mask = np.zeros(len(n), dtype=np.int64)
@@ -300,12 +313,11 @@ def match(table: pa.Table) -> pa.Table:
             return begin[entry] + offset, doc[entry]
 
         at = 0
-        for hit in earlier(windows_of(data), places_of, ends, doc):
+        for hit in earlier(windows, places_of, ends, doc):
             to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + len(hit))) + 1
             entry, offset = places(at, to)
             np.add.at(mask, entry[hit], np.int64(1) << offset[hit])
             at = to
-        back = np.empty_like(mask)
         back[order] = mask
         upto = np.cumsum([len(p[1]) for p in parts])
         for p, x, y in zip(parts, upto - [len(p[1]) for p in parts], upto, strict=True):
