@@ -8,7 +8,8 @@ element); weights are log-odds of counts over a bounded sample of them, added to
 boilerplate, so that other templates work too.  Fixed priors of what wraps a page don't count: of html, body, elements
 with nearly all of its words, and those around its only main or article.
 
-A null or empty html gives an empty text; null ids and urls are passed through; repeated rows are extracted one
+The tokenizer and the scan are linear in the page, whatever is left unclosed; paragraphs, list items, cells and the like
+end where HTML implies it.  A null or empty html gives an empty text; null ids and urls are passed through; repeated rows are extracted one
 by one; an empty table gives an empty result.
 """
 
@@ -49,7 +50,14 @@ TRAIN_PAGES, CLIP = 5_000, 4.0
 #: Scores of a word (before its containers), of a usual and of the worst tag, of being a link, and of the worst word.
 WORD, TAG, DEEPEST_TAG, LINK, WORST_WORD = 1.0, -0.05, -0.6, -0.5, -0.2
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S)
+OPENING = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+#: The rest of a tag, in one pass: quoted values may hold a ">".
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: Opening tags that end an open paragraph, and those that end an open element of their own kind within a list or table.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: Elements beyond which an opening tag ends nothing.
+SCOPE = frozenset("html body article aside blockquote button caption details div fieldset figure footer form header main nav object section td th ul ol dl table menu".split())
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[a-z]+")
 #: Class words that tell what a page has or lacks, not what an element is: taken whole.
@@ -75,49 +83,123 @@ class Weights:
         return max(DEEPEST_TAG, min(TAG, self.tag.get(name, TAG)))
 
 
+def lexed(html: str):
+    """(tag name or None, is closing, attributes of an opening tag, text, where it ends) in page order; linear in the page."""
+    at, last, n = 0, html.rfind(">"), len(html)
+    while at < n:
+        begin = html.find("<", at)
+        if begin < 0 or begin > last:  # no tag can end any more
+            yield None, False, "", html[at:], n
+            return
+        if begin > at:
+            yield None, False, "", html[at:begin], begin
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = n if end < 0 else end + 3
+        elif html.startswith(("<!", "<?"), begin):
+            at = html.find(">", begin) + 1
+        elif (m := OPENING.match(html, begin)) is None:
+            yield None, False, "", "<", begin + 1
+            at = begin + 1
+        else:
+            rest = REST.match(html, m.end())
+            # A quote that nothing closes: the tag ends at the next ">".
+            at = rest.end() if rest else html.find(">", m.end()) + 1
+            at = (yield m[2].lower(), bool(m[1]), html[m.end() : at - 1], "", at) or at
+
+
 def tokens(html: str):
-    """(tag name or None, is closing, features of an opening container, text) in page order; raw elements are left out."""
-    at, ends = 0, {}
-    while m := TOKEN.search(html, at):
-        at = m.end()
-        if (name := m["name"]) is None:
-            if (text := m["text"]) is not None:
-                yield None, False, (), text
+    """(tag name or None, is closing, features of an opening container, text) in page order; raw elements are left out, and end tags that HTML implies are told."""
+    ends: dict[str, re.Match | None] = {}
+    opened = Stack()
+    source = lexed(html)
+    skip = None
+    while True:
+        try:
+            name, closing, rest, text, at = source.send(skip)
+        except StopIteration:
+            return
+        skip = None
+        if name is None:
+            yield None, False, (), text
             continue
-        name = name.lower()
-        if m["close"]:
+        if closing:
+            opened.close(name)
             yield name, True, (), ""
             continue
-        if name in RAW and not m["rest"].endswith("/"):
+        if name in RAW and not rest.endswith("/"):
             if name not in ends or ends[name] and ends[name].start() < at:
                 ends[name] = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             if (end := ends[name]) is None:
-                at = len(html) if name in TO_THE_END else at
+                skip = len(html) if name in TO_THE_END else None
             elif name not in FLAT or not re.compile(rf"<{name}[\s/>]", re.I).search(html, at, end.start()):
-                at = end.end()
+                skip = end.end()
             yield "raw", False, (), ""
             continue
+        for implied in (("p",) if name in ENDS_P else ()) + ENDS_OWN.get(name, ()):
+            if opened.within(implied, name):
+                opened.close(implied)
+                yield implied, True, (), ""
+        if name not in VOID:
+            opened.open(name)
         found: tuple[str, ...] = ()
-        if name in CONTAINER or m["rest"]:
-            words = [p for v in NAMED.findall(m["rest"]) for w in "".join(v).lower().split() for p in ([w] if STATE.match(w) else PART.findall(w))] if m["rest"] else []
+        if name in CONTAINER or rest:
+            words = [p for v in NAMED.findall(rest) for w in "".join(v).lower().split() for p in ([w] if STATE.match(w) else PART.findall(w))] if rest else []
             found = (name, *words) if name in CONTAINER else tuple(words)
         yield name, False, found, ""
 
 
+class Stack:
+    """Open elements, with the places of each name: closing costs what it closes."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+
+    def open(self, name: str) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+
+    def close(self, name: str) -> int | None:
+        """Closes the last open element of a name and all within it: its place, None if there is none."""
+        if not (own := self.at.get(name)):
+            return None
+        k = own[-1]
+        while len(self.names) > k:
+            self.at[self.names.pop()].pop()
+        return k
+
+    def holds(self, name: str) -> bool:
+        return bool(self.at.get(name))
+
+    def within(self, name: str, opening: str) -> bool:
+        """Whether an element of a name is open with no element of SCOPE within it (but, for rows of a table, their cells)."""
+        if not (own := self.at.get(name)):
+            return False
+        cells = ("td", "th") if opening == "tr" else ()
+        return all((self.at.get(s) or (-1,))[-1] <= own[-1] for s in SCOPE if s != name and s not in cells)
+
+
 class Open:
     """The open elements of a page, with what each adds to the score of a word."""
 
     def __init__(self, weights: Weights):
-        self.weights, self.names, self.sums, self.features = weights, [], [WORD], []
+        self.weights, self.opened, self.sums, self.features = weights, Stack(), [WORD], []
+        self.live: dict[str, int] = {}  # features of open elements, each with how many have it
 
     def tag(self, name: str, closing: bool, found: tuple[str, ...], wraps: bool = False) -> None:
         if closing:
-            if name in self.names:
-                k = len(self.names) - 1 - self.names[::-1].index(name)
-                del self.names[k:], self.sums[k + 1 :], self.features[k:]
+            if (k := self.opened.close(name)) is not None:
+                for f in (f for x in self.features[k:] for f in set(x)):
+                    self.live[f] -= 1
+                    if not self.live[f]:
+                        del self.live[f]
+                del self.sums[k + 1 :], self.features[k:]
         elif name not in VOID and name != "raw":
-            self.names.append(name)
+            self.opened.open(name)
             self.features.append(found)
+            for f in set(found):
+                self.live[f] = self.live.get(f, 0) + 1
             self.sums.append(self.sums[-1] + sum(self.weights.container.get(f, 0.0) if wraps else self.weights.of(f) for f in set(found)) + (LINK if name == "a" else 0.0))
 
     def word(self) -> float:
@@ -126,19 +208,18 @@ class Open:
 
 def wrappers(page: list[tuple]) -> set[int]:
     """Positions of the opening tags of what wraps the page."""
-    names, opened, words, held, marks = [], [], 0, {}, {"main": [], "article": []}
+    names, opened, words, held, marks = Stack(), [], 0, {}, {"main": [], "article": []}
     for k, (name, closing, _, text) in enumerate(page):
         if name is None:
             words += len(text.split())
         elif closing:
-            if name in names:
-                cut = len(names) - 1 - names[::-1].index(name)
+            if (cut := names.close(name)) is not None:
                 held.update((at, words - before) for at, before in opened[cut:])
-                del names[cut:], opened[cut:]
+                del opened[cut:]
         elif name not in VOID and name != "raw":
             if name in marks:
-                marks[name].append((k, [at for at, _ in opened]))
-            names.append(name)
+                marks[name].append((k, [at for at, _ in opened] if not marks[name] else []))
+            names.open(name)
             opened.append((k, words))
     held.update((at, words - before) for at, before in opened)
     found = {k for k, n in held.items() if n >= NEARLY_ALL * words or page[k][0] in ("html", "body")}
@@ -186,15 +267,15 @@ def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
         mark, state = names[0], Open(Weights())
         for name, closing, features, text in t:
             if name is None:
-                n, inside = len(text.split()), mark in state.names
-                for f in {f for x in state.features for f in x} if n else ():
+                n, inside = len(text.split()), state.opened.holds(mark)
+                for f in state.live if n else ():
                     found["container", f, inside] += n
                 found["container", "", inside] += n
             else:
                 state.tag(name, closing, features)
                 if name != mark:
-                    found["tag", name, mark in state.names] += 1
-                    found["tag", "", mark in state.names] += 1
+                    found["tag", name, state.opened.holds(mark)] += 1
+                    found["tag", "", state.opened.holds(mark)] += 1
     keys = list(zip(*found, strict=True)) or [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(keys[2], pa.bool_()), pa.array(list(found.values()), pa.int64())], names=["kind", "name", "inside", "n"])
 

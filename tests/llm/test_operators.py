@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -454,3 +455,49 @@ def test_pipeline_stages(spark):
     first = set(brute_components(sorted(left.items())).values())
     dirty = {r["doc_id"] for r in decontaminate.contaminated(docs.where(F.col("doc_id").isin(*first)), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert packed == first - dirty
+
+
+ARTICLE = " ".join(f"word{i}" for i in range(100))
+PAGES = {
+    "body class": f'<body class="has-sidebar"><nav>Home About</nav><article>{ARTICLE}</article><footer>c</footer></body>',
+    "layout class": f'<body><nav>Home</nav><div class="layout with-sidebar"><article><p>{ARTICLE}</p></article><aside>x y z</aside></div></body>',
+    "name of parts": f'<body><nav>Home</nav><article id="article-notice-of-form"><p>{ARTICLE}</p></article></body>',
+    "form around": f'<html><body><form id="aspnetForm"><nav>Home About</nav><article><p>{ARTICLE}</p></article><footer>c d e</footer></form></body></html>',
+    "unclosed notice": f"<body><p class=notice>Watch out here<p>{ARTICLE}</body>",
+    "unclosed related": f'<body><p class="related">See also that<p>{ARTICLE}</p></body>',
+    "comments open": f'<body><article class="post comments-open"><p>{ARTICLE}</p></article><section class="comments">so nice a text indeed</section></body>',
+    "menu without ends": f'<body><ul class="menu"><li>Home<li>About<li>Contact</ul><div>{ARTICLE}</div></body>',
+    "aside between": f'<body><article><p>{ARTICLE[:400]}</p><aside>{"side " * 60}</aside><p>{ARTICLE[400:]}</p></article></body>',
+    "quoted end": f'<body><article><p title="a > b">{ARTICLE}</p></article></body>',
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_articles_are_whole(name):
+    assert html.extract(PAGES[name], html.Weights()).replace(" ", "") == ARTICLE.replace(" ", "")
+
+
+def test_region_is_the_best_of_all():
+    """The scan's region against all contiguous regions, on pages of random words and containers."""
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        page = "".join(f'<div class="{r.choice(["ad", "x", "menu", "y"])}">' + " ".join(f"w{k}" for k in r.integers(0, 99, r.integers(1, 30))) + "</div>" for _ in range(12))
+        state, pieces = html.Open(html.Weights()), []
+        t = list(html.tokens(page))
+        wide = html.wrappers(t)
+        for k, (name, closing, found, text) in enumerate(t):
+            if name is None:
+                pieces.append((len(text.split()) * state.word(), text))
+            else:
+                state.tag(name, closing, found, k in wide)
+                pieces.append((html.Weights().tag_score(name), " "))
+        best = max(((sum(s for s, _ in pieces[i:j]), -i, -j) for i in range(len(pieces)) for j in range(i + 1, len(pieces) + 1)), default=(0, 0, 0))
+        want = " ".join("".join(x for s, x in pieces[-best[1] : -best[2]] if s > 0 or not x.strip()).split()) if best[0] > 0 else ""
+        assert html.extract(page, html.Weights()) == want
+
+
+@pytest.mark.parametrize("page", ["<div class=a>word " * 60000, '<a href="x ' * 90000, "<" * 1000000, "<a " + "b " * 500000, "<ul><li>a " * 90000, "<p class=x>word " * 60000, "<div>" * 90000 + "</p>" * 200000, "<!--" * 200000, "<svg>" * 100000])
+def test_hostile_pages_take_seconds(page):
+    began = time.time()
+    html.extract(page, html.Weights())
+    assert time.time() - began < 15
