@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,11 +17,15 @@ SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()),
 
 
 def sample_by_key(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows (all, if there are no more), chosen by a hash of ``key``: the same on every run."""
+    """About ``rows`` rows (all, if there are no more), chosen by a hash of ``key`` and the other columns: the same on every run.
+
+    Rows of one key, null included, are chosen apart unless they are equal.
+    """
     total = df.count()
     if total <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < F.lit(int(1_000_000 * rows / total)))
+    others = [c for c in df.columns if c != key]
+    return df.where(F.pmod(F.xxhash64(key, *others, F.lit(17)), F.lit(1_000_000)) < F.lit(int(1_000_000 * rows / total)))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -57,6 +62,24 @@ def by_key(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.Table | None], s
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
+class Covered:
+    """Whether a stretch meets any of some spans (start, end): they are joined once, then looked up."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted(spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+
 def span_text(spans: Column) -> Column:
     """``kind:start:end`` of every span, comma-joined."""
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))

@@ -26,6 +26,8 @@ WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
 #: The bounds of the model: labelled documents (about), words and grams of an order kept for a language, languages.
 TRAIN_DOCS, WORDS, GRAMS, LANGUAGES = 20_000, 40_000, 10_000, 200
+#: Words, and grams of an order, of all languages together: with many languages each keeps fewer.
+ENTRIES = 1_000_000
 #: Counts that a training task holds before it hands them on.
 FLUSH = 300_000
 #: The evidence of a text counts as that of so many words at most, so that scores stay apart from 1.
@@ -43,14 +45,30 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case; other signs that count as parts of words (superscripts, fractions) split them."""
+    found = WORD.findall(text.lower())
+    if "".join(found).isalpha():
+        return found
+    return [x for w in found for x in ((w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 @dataclass
 class Backoff:
-    """Log frequencies by language: a row of ``table`` for each word, and for each gram of each order."""
+    """Log frequencies by language: a row for each word and each gram, which holds only the languages that have it.
+
+    ``begin[i]`` to ``begin[i + 1]`` are the entries of row i: a language and how much its log frequency lies above that of
+    an unseen row of the same order.
+    """
 
     languages: list[str]
     words: dict[str, int]
     grams: dict[str, int]
-    table: np.ndarray
+    begin: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+    order: np.ndarray
+    unseen: np.ndarray
     cache: dict[str, list[int]] = field(default_factory=dict)
 
     def rows_of(self, word: str) -> list[int]:
@@ -65,8 +83,15 @@ class Backoff:
             self.cache[word] = out
         return out
 
+    def evidence(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The weighted sum of the rows' log frequencies, by language."""
+        first, many = self.begin[rows], self.begin[rows + 1] - self.begin[rows]
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        seen = np.bincount(self.lang[at], weights=self.above[at] * np.repeat(weights, many), minlength=len(self.languages))
+        return seen + np.bincount(self.order[rows], weights=weights, minlength=len(self.unseen)) @ self.unseen
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = WORD.findall(text.lower()) if text else None
+        found = words_of(text) if text else None
         if not found or not self.languages:
             return "und", 0.0
         rows, weights, seen = [], [], 0
@@ -79,7 +104,7 @@ class Backoff:
                 rows += own
                 weights += [n / len(own)] * len(own)
                 seen += n
-        total = np.array(weights) @ self.table[rows] if rows else np.zeros(len(self.languages))
+        total = self.evidence(np.array(rows), np.array(weights, dtype=float)) if rows else np.zeros(len(self.languages))
         if seen > EVIDENCE:
             total *= EVIDENCE / seen
         p = np.exp(total - total.max())
@@ -109,7 +134,7 @@ def _summed(df: DataFrame, add: Callable[[Counter, pa.RecordBatch], None]) -> Da
 def _add_words(found: Counter, batch: pa.RecordBatch) -> None:
     for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         if text:
-            for word, n in Counter(WORD.findall(text.lower())).items():
+            for word, n in Counter(words_of(text)).items():
                 found[lang, 0, word] += n
 
 
@@ -128,14 +153,16 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS, top_g
     """
     usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & ~held_out())
     words_seen = written(_summed(sample_by_key(usable, "doc_id", train_docs).select("lang", "text"), _add_words), "words")
-    both = words_seen.unionByName(_summed(words_seen.select("lang", "gram", "n"), _add_grams))
+    both = written(words_seen.unionByName(_summed(words_seen.select("lang", "gram", "n"), _add_grams)), "grams")
     total = {(r["order"], r["lang"]): r["n"] for r in both.groupBy("lang", "order").agg(F.sum("n").alias("n")).collect()}
     rank = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram")
+    per_lang = {lang: n for (order, lang), n in total.items() if order == 0}
+    languages = sorted(sorted(per_lang, key=lambda x: (-per_lang[x], x))[:LANGUAGES])
+    words, top_grams = (min(x, max(1, ENTRIES // max(1, len(languages)))) for x in (words, top_grams))
+    both = both.where(F.col("lang").isin(languages))
     best = [x.select("*", F.row_number().over(rank).alias("k")).where(F.col("k") <= k).drop("k") for x, k in ((both.where("order = 0"), words), (both.where("order > 0"), top_grams))]
     found = best[0].unionByName(best[1]).toArrow().to_pydict()
 
-    per_lang = {lang: n for (order, lang), n in total.items() if order == 0}
-    languages = sorted(sorted(per_lang, key=lambda x: (-per_lang[x], x))[:LANGUAGES])
     at = {x: i for i, x in enumerate(languages)}
     index: tuple[dict[str, int], dict[str, int]] = ({}, {})
     rows = []
@@ -143,16 +170,19 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS, top_g
         if lang in at:
             own = index[order > 0]
             rows.append((own.setdefault(gram, len(own)), order, at[lang], n))
-    # Words come first in the table; grams follow.
-    size = len(index[0])
-    table = np.zeros((size + len(index[1]), len(languages)))
-    order_of = np.zeros(len(table), dtype=int)
-    for i, order, k, n in rows:
-        row = i + size * (order > 0)
-        table[row, k], order_of[row] = n, order
+    # Words come first; grams follow.
+    size, n_rows = len(index[0]), len(index[0]) + len(index[1])
+    smooth = 0.5 * max(1, size)
     denominator = np.array([[total.get((o, x), 0) for x in languages] for o in range(max(ORDERS) + 1)], dtype=float).reshape(max(ORDERS) + 1, len(languages))
-    table = np.log((table + 0.5) / (denominator[order_of] + 0.5 * max(1, size))) if len(languages) else table
-    return Backoff(languages, index[0], {g: i + size for g, i in index[1].items()}, table)
+    row, order, lang, n = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
+    row = row + size * (order > 0)
+    sort = np.argsort(row, kind="stable")
+    row, order, lang, n = row[sort], order[sort], lang[sort], n[sort]
+    order_of = np.zeros(n_rows, dtype=np.int64)
+    order_of[row] = order
+    begin = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n_rows)))).astype(np.int64)
+    # log((n + 0.5) / d) lies log(2 n + 1) above log(0.5 / d), whatever d is.
+    return Backoff(languages, index[0], {g: i + size for g, i in index[1].items()}, begin, lang.astype(np.int32), np.log(2.0 * n + 1).astype(np.float32), order_of, np.log(0.5 / (denominator + smooth)))
 
 
 def identify(docs: DataFrame, model: Backoff | None = None) -> DataFrame:

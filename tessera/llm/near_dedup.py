@@ -4,7 +4,8 @@ A document's set holds its distinct 5-word shingles (hashed to 64 bits).  Its sk
 in round i each shingle is placed in one hashed bin with the value (i, hash), and the rounds end once every
 bin is filled; from round BINS on, round i fills bin i - BINS alone, so all bins are filled for certain.
 BANDS bands of ROWS coordinates make buckets: a pair of similarity 0.75 shares none with probability
-(1 - 0.75^4)^32, 5 in a million; more similar pairs less.  Candidates are confirmed on full sets.
+(1 - 0.75^4)^32, 5 in a million; more similar pairs less: a stated recall of at least 0.99999 a pair, and higher for a
+group, whose members need one path only.  Candidates are confirmed on full sets.
 
 Equal sets become one node first, so a group of copies costs one.  Within a bucket every node is first confirmed
 against a leader, then against LEADERS others, and links merge components: this unites large groups of near
@@ -92,21 +93,21 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (128 bits of the set; null if empty), bands, short (8 bits of each coordinate)."""
+    """doc_id, key (of the text), n_shingles, fp (128 bits of the set; null if empty), bands, short (8 bits of each coordinate)."""
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, fp, own, short = [], [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             s = shingles(text.as_py(), hashes)
             n.append(len(s))
             fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             coordinates = sketch(s) if len(s) else None
             own.append(bands(coordinates) if len(s) else None)
             short.append((coordinates & U(255)).astype(np.uint8).tobytes() if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "n_shingles", "fp", "bands", "short"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "key", "n_shingles", "fp", "bands", "short"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_shingles long, fp binary, bands array<long>, short binary")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string")), run, "doc_id long, key long, n_shingles long, fp binary, bands array<long>, short binary")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -184,8 +185,8 @@ def chunk_pairs(rows: DataFrame) -> DataFrame:
     return by_key(work, "work", compare, "a long, b long, ca long, cb long").dropDuplicates(["a", "b"])
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, n_same_set."""
+def linked(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, key (of the text), n_shingles, fp, component (null without words), component_id (the smallest doc_id reachable), n_same_set."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = written(sketched(docs), "sketches")
     distinct = rows.where(F.col("fp").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same_set"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short"))
@@ -230,19 +231,34 @@ def link(docs: DataFrame) -> DataFrame:
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
     ids = nodes.join(merged, "node")
     low = ids.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = ids.join(low, "component").select("fp", "component_id", "n_same_set")
-    out = rows.select("doc_id", "n_shingles", "fp").join(found, "fp", "left")
+    found = ids.join(low, "component").select("fp", "component", "component_id", "n_same_set")
+    return rows.select("doc_id", "key", "n_shingles", "fp").join(found, "fp", "left")
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept, n_same_set."""
+    out = linked(docs)
     component = F.when(F.col("fp").isNull() | F.col("doc_id").isNull() & F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False)).alias("kept"), F.coalesce("n_same_set", F.lit(1)).cast("long").alias("n_same_set"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group stays (that of the smallest id, once), and every document without words; the columns stay.
+    """One row of each group stays, and every row without words; the columns stay.
 
-    Rows with null ids stay: they can't be told apart by id.
+    It is the row of the smallest id (null ids last, then by the text's hash); of rows repeated with that id and text one stays.
+    Rows are told apart by id and text, so that a row that shares a dropped one's id but not its text isn't dropped with it.
     """
-    dropped = link(docs.where(F.col("doc_id").isNotNull())).where(~F.col("kept")).select("doc_id")
-    return docs.join(dropped.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows = written(linked(docs).where(F.col("component").isNotNull()).select("doc_id", "key", "component"), "linked")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
+    told = written(rows.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n")).join(best, "component").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), kept.alias("kept"), "n"), "told")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
+    out = docs.join(told.where(~F.col("kept")), same, "left_anti")
+    repeated = told.where(F.col("kept") & (F.col("n") > 1)).select("_id", "_key")
+    if repeated.isEmpty():
+        return out.select(*docs.columns)
+    once = out.join(repeated, same).dropDuplicates(["_id", "_key"]).select(*docs.columns)
+    return out.join(repeated, same, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

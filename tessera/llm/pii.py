@@ -3,10 +3,10 @@
 Nodes are the white-space tokens that hold a digit or an @; labels are none and the four kinds.  Besides chain
 potentials between neighbouring tokens, tokens of a document with the same or nearly the same content share skip
 potentials, however far apart; loopy message passing makes labels agree across the whole document.  The unary
-weights (multinomial logistic) and both potentials are learned from tokens that the patterns label, over a bounded
-sample of documents.  Tokens that the field labels and no pattern covers become spans of kind crf_<kind>.
+weights and both potentials are learned together, by pseudo-likelihood, from tokens that the patterns label, over a
+bounded sample of documents.  Tokens that the field labels and no pattern covers become spans of kind crf_<kind>.
 
-Null and empty texts have no spans; null ids are passed through; repeated rows are searched one by one; an empty
+Texts are searched in time linear in their length.  Null and empty texts have no spans; null ids are passed through; repeated rows are searched one by one; an empty
 table gives an empty result.
 """
 
@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPANS, SPANS_ARROW, map_batches, sample_by_key, span_digest
+from .common import SPANS, SPANS_ARROW, Covered, map_batches, sample_by_key, span_digest
 
 #: The base patterns, in the order in which kinds are listed.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
@@ -35,6 +35,8 @@ TOKEN = re.compile(r"\S+")
 EDGE = " \t\n.,;:!?\"'<>[]{}|"
 #: Training documents (about) and tokens of a training document's kind, passes of messages, certainty of a span.
 TRAIN_DOCS, TRAIN_TOKENS, PASSES, CERTAIN = 20_000, 40_000, 8, 0.9
+#: The bound of a pair potential.
+PAIR = 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -48,11 +50,25 @@ def _small(part: str) -> bool:
     return len(p) <= 3 and int(p or 0) <= 255
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of LOCAL+ @ DOMAIN: around each @, so that long runs without one cost nothing."""
+    found, last, at = [], 0, text.find("@")
+    while at >= 0:
+        s = at
+        while s > last and LOCAL.match(text[s - 1]):
+            s -= 1
+        if s < at and (m := DOMAIN.match(text, at + 1)):
+            found.append((s, m.end()))
+            last = m.end()
+        at = text.find("@", at + 1)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, order of the kind, end) of the base matches."""
     found = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        found += [(s, 0, e) for s, e in emails(text)]
     if "." in text:
         found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(_small, m[0].split(".")))]
     for m in CARD.finditer(text):
@@ -111,13 +127,16 @@ def graph(text: str) -> tuple[list[tuple[int, int]], list[str], np.ndarray, np.n
 
 
 def gold(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
-    """The label of each token by the pattern that covers most of it, 0 for none."""
+    """The label of each token by the first pattern that covers most of it, 0 for none; both in order of start."""
     y = np.zeros(len(spans), dtype=np.int64)
+    near: list[tuple[int, int, int]] = []
+    k = 0
     for i, (s, e) in enumerate(spans):
-        for b, k, f in base:
-            if min(e, f) - max(s, b) > 0.5 * (e - s):
-                y[i] = k + 1
-                break
+        while k < len(base) and base[k][0] < e:
+            near.append(base[k])
+            k += 1
+        near = [x for x in near if x[2] > s]  # of each kind one at most goes on
+        y[i] = next((kind + 1 for b, kind, f in near if min(e, f) - max(s, b) > 0.5 * (e - s)), 0)
     return y
 
 
@@ -169,11 +188,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 300) ->
     return theta
 
 
+def beside(edges: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many neighbours of each label every token has, two at most."""
+    out = np.zeros((len(y), len(LABELS)))
+    for a, b in ((0, 1), (1, 0)):
+        np.add.at(out, (edges[:, a], y[edges[:, b]]), 1)
+    return np.minimum(out, 2)
+
+
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN_TOKENS) -> Field:
-    """Learns from about ``train_docs`` documents.
+    """Learns unary weights and both pair potentials from about ``train_docs`` documents by the field's pseudo-likelihood.
 
-    Tokens reach the driver as counts of distinct (features, label), ``train_tokens`` of them at most, the most
-    frequent ones; pairs as counts by labels.
+    That is the likelihood of each token's label given its features and its neighbours' labels.  Tokens reach the driver
+    as counts of distinct (features, labels beside, label), ``train_tokens`` of them at most, the most frequent ones.
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -183,36 +210,23 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN
                 continue
             spans, tokens, chain, skip = graph(text)
             y = gold(spans, base_spans(text))
-            for row, label in zip(features(tokens), y, strict=True):
-                key = ("token", row.astype(np.uint8).tobytes(), int(label), 0)
+            rows = np.concatenate((features(tokens), beside(chain, y), beside(skip, y)), 1).astype(np.uint8)
+            for row, label in zip(rows, y, strict=True):
+                key = (row.tobytes(), int(label))
                 found[key] = found.get(key, 0) + 1
-            for kind, edges in (("chain", chain), ("skip", skip)):
-                for i, j in edges:
-                    key = (kind, b"", int(y[i]), int(y[j]))
-                    found[key] = found.get(key, 0) + 1
-        columns = list(zip(*found, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["kind", "x", "a", "b", "n"])
+        columns = list(zip(*found, strict=True)) or [(), ()]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["x", "y", "n"])
 
     sample = sample_by_key(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id", train_docs).select("text")
-    sums = map_batches(sample, count, "kind string, x binary, a int, b int, n long").groupBy("kind", "x", "a", "b").agg(F.sum("n").alias("n"))
-    rows = sums.orderBy(F.col("kind") == "token", F.desc("n"), "x", "a").limit(train_tokens + 2 * len(LABELS) ** 2).collect()
-    pairs = {"chain": np.ones((len(LABELS),) * 2), "skip": np.ones((len(LABELS),) * 2)}
-    for r in rows:
-        if r["kind"] != "token":
-            pairs[r["kind"]][r["a"], r["b"]] += r["n"]
-    tokens = [r for r in rows if r["kind"] == "token"]
+    sums = map_batches(sample, count, "x binary, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    tokens = sums.orderBy(F.desc("n"), "x", "y").limit(train_tokens).collect()
+    size = len(LABELS)
     if not tokens:
-        return Field(np.zeros((WIDTH, len(LABELS))), np.zeros((len(LABELS),) * 2), np.zeros((len(LABELS),) * 2), False)
-
-    def association(n: np.ndarray) -> np.ndarray:
-        """Log of how much more often labels meet than by chance, symmetric and bounded."""
-        n = n + n.T
-        p = n / n.sum()
-        return np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -2.0, 2.0)
-
+        return Field(np.zeros((WIDTH, size)), np.zeros((size, size)), np.zeros((size, size)), False)
     x = np.stack([np.frombuffer(r["x"], np.uint8) for r in tokens]).astype(float)
-    unary = _logistic(x, np.array([r["a"] for r in tokens]), np.array([r["n"] for r in tokens], dtype=float))
-    return Field(unary, association(pairs["chain"]), association(pairs["skip"]), True)
+    theta = _logistic(x, np.array([r["y"] for r in tokens]), np.array([r["n"] for r in tokens], dtype=float))
+    pair = lambda m: np.clip((m + m.T) / 2, -PAIR, PAIR)  # noqa: E731  (a potential has no direction)
+    return Field(theta[:WIDTH], pair(theta[WIDTH : WIDTH + size]), pair(theta[WIDTH + size :]), True)
 
 
 def find(text: str | None, model: Field) -> list[dict]:
@@ -226,9 +240,10 @@ def find(text: str | None, model: Field) -> list[dict]:
         p = model.marginals(tokens, chain, skip)
         label, sure = p.argmax(1), p.max(1)
         linked = {(int(i), int(j)) for i, j in chain}
+        covered = Covered([(s, e) for s, _, e in base])
         run: list | None = None
         for i, (s, e) in enumerate(places):
-            if not label[i] or sure[i] < CERTAIN or any(b < e and s < f for b, _, f in base):
+            if not label[i] or sure[i] < CERTAIN or covered.meets(s, e):
                 run = None
                 continue
             s += len(text[s:e]) - len(text[s:e].lstrip(EDGE))

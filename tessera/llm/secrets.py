@@ -4,7 +4,8 @@ Two first-order character models, one of random strings (the values the patterns
 ordinary identifiers (other words, digits at most at their end), are counted by Spark over a bounded sample of labelled rows.  A
 candidate token is a secret where the log-likelihood ratio of the two models, a character, is high.
 
-Null and empty texts have no spans; null ids are passed through; repeated rows are scanned one by one.
+Null and empty texts have no spans; null ids are passed through; repeated rows are scanned one by one; texts are scanned
+in time linear in their length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPANS, SPANS_ARROW, map_batches, sample_by_key, span_digest
+from .common import SPANS, SPANS_ARROW, Covered, map_batches, sample_by_key, span_digest
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -98,8 +99,9 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> MarkovPair:
             if not text:
                 continue
             base = base_spans(text)
+            covered = Covered([(s, e) for s, _, e, _ in base])
             random += [v for *_, v in base if len(v) >= 16]
-            ident += {m[0] for m in IDENTIFIER.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e, _ in base)}
+            ident += {m[0] for m in IDENTIFIER.finditer(text) if not covered.meets(m.start(), m.end())}
         sums = np.stack([np.bincount(_pairs(*x), minlength=N * N) for x in (random, ident)])
         label, pair = np.nonzero(sums)
         return pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(sums[label, pair])], names=["label", "pair", "n"])
@@ -117,10 +119,11 @@ def find(text: str | None, model: MarkovPair) -> list[dict]:
         return []
     base = base_spans(text)
     spans = [(s, k, e, 0.0) for s, k, e, _ in base]
+    covered = Covered([(s, e) for s, _, e, _ in base])
     if model.trained:
         for m in CANDIDATE.finditer(text):
             v = m[0]
-            if any(s < m.end() and m.start() < e for s, _, e, _ in base) or not any(c.isalpha() for c in v):
+            if covered.meets(m.start(), m.end()) or not any(c.isalpha() for c in v):
                 continue
             score = model.score(v)
             if len(v) < LONG or v.isalpha():  # camel case, constants and paths are made of words

@@ -5,7 +5,7 @@ feed is the line end), so commits, retries and any Hadoop file system work as us
 ``MIN_REVISIT`` bytes or more, the one with the smallest id is a ``response``; the others are ``revisit``
 records that refer to it.
 
-The reader takes one file at a time (files hold a bounded number of records), plain or gzip members.  After
+The reader takes one file at a time (files hold few records where pages are long), plain or gzip members.  After
 a failed check it searches for the next member or version line, recovers what follows and logs the bytes in
 between as a gap.  A record of right length whose digest fails is quarantined as a whole, so that text inside
 its payload is never taken for a record.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import new_path, written
 
-MIN_REVISIT, RECORDS_PER_FILE, MAX_MEMBER = 100, 1000, 1 << 28
+MIN_REVISIT, MAX_MEMBER = 100, 1 << 28
+#: Records of a file by the bytes of their payloads: a file is read as one row, of far less than 2 GB.
+RECORDS_PER_FILE, LONG_BYTES, LONG_PER_FILE = 1000, 256_000, 4
 #: Repeated payloads up to which their digests are broadcast (about 150 bytes each).
 BROADCAST_ROWS = 100_000
 DATE = "1970-01-01T00:00:00Z"
@@ -51,8 +53,14 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, date: str = DATE) -> None:
-    """Writes a record per row of ``pages`` (page_id, url, html) to WARC files under ``path``."""
+    """Writes a record per row of ``pages`` (page_id, url, html) to WARC files under ``path``; pages over LONG_BYTES to files of few records."""
     rows = with_revisits(pages)
+    long = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) > LONG_BYTES
+    _write(rows.where(~long), f"{path}/short", records_per_file, date)
+    _write(rows.where(long), f"{path}/long", min(records_per_file, LONG_PER_FILE), date)
+
+
+def _write(rows: DataFrame, path: str, records_per_file: int, date: str) -> None:
     revisit, end = F.col("refers_to").isNotNull(), "\r\n"
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{end}Content-Type: text/html; charset=utf-8{end}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(end * 2))
@@ -165,13 +173,14 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
                 for i in range(0, len(rows), 2000):
                     yield pa.RecordBatch.from_pylist(rows[i : i + 2000], schema=READ_ARROW)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, READ)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content").mapInArrow(run, READ)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    records = read(spark, path, payload=False).where(F.col("kind") != "gap")
+    broken = F.concat(F.lit("damaged archive "), "path", F.lit(" from byte "), F.col("first").cast("string"), F.lit(": "), "reason")
+    records = read(spark, path, payload=False).where(F.when(F.col("kind") == "gap", F.raise_error(broken).cast("boolean")).otherwise(True))
     number = lambda c: F.regexp_extract(c, "(-?[0-9]+)>$", 1).try_cast("long")
     return records.select(number("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), number("refers_to").alias("refers_to"))
 
