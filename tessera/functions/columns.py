@@ -49,3 +49,11 @@ def no_nan(c: Column) -> Column:
 
 def r6(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)
+
+
+def corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson's r over pairs without null; null, not an error, where one of the two doesn't vary."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    a, b = a.cast("double"), b.cast("double")
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)

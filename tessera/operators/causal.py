@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns, per_column, q, value_counts
+from tessera.functions.columns import corr, numeric_columns, per_column, q, value_counts
 from tessera.functions.distributions import normal_ppf, on_rows, t_two_sided
 from tessera.functions.tables import written
 from tessera.operators.describe import bins_of
@@ -322,7 +322,7 @@ def business_effect(df: DataFrame, effect: str, base: str, scale: float = 1.0) -
     """Totals of effect x base, the new base and mean ROI (null for a zero base), with their correlation and p."""
     e, b = q(effect).cast("double"), q(base).cast("double")
     impact = e * b * F.lit(scale)
-    r, n = F.corr(e, b), F.count(F.lit(1)).cast("double")
+    r, n = corr(e, b), F.count(F.lit(1)).cast("double")
     one = df.where(e.isNotNull() & b.isNotNull()).agg(F.sum(impact).alias("total_impact"), F.sum(b + impact).alias("new_total"), F.avg(F.when(b != 0, impact / b)).alias("mean_roi"), r.alias("r"), n.alias("n"))
     t = F.col("r") * F.sqrt(F.try_divide(F.greatest(F.col("n") - 2, F.lit(0.0)), 1 - F.col("r") * F.col("r")))
     return one.select("total_impact", "new_total", "mean_roi", "r", on_rows(t_two_sided)(t, F.col("n") - 2).alias("p"))
@@ -434,7 +434,7 @@ def coefficient_stability(df: DataFrame, key: str, columns: list[str], target: s
 
 def pick_driver(df: DataFrame, columns: list[str], outcome: str) -> DataFrame:
     """The column of the largest |r| > 0.3 with the outcome, of some spread and little skew."""
-    s = per_column(df, columns, v=lambda c: F.var_samp(c), lo=lambda c: F.min(c).cast("double"), hi=lambda c: F.max(c).cast("double"), skew=lambda c: F.skewness(c), r=lambda c: F.corr(c, q(outcome)))
+    s = per_column(df, columns, v=lambda c: F.var_samp(c), lo=lambda c: F.min(c).cast("double"), hi=lambda c: F.max(c).cast("double"), skew=lambda c: F.skewness(c), r=lambda c: corr(c, q(outcome)))
     fit = s.where((F.try_divide("v", F.col("hi") - F.col("lo")) > 0.1) & (F.abs("skew") < 2) & (F.abs("r") > 0.3))
     return fit.orderBy(F.desc(F.abs("r")), "column").limit(1).select("column", "r")
 

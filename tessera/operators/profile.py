@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import date_columns, numeric_columns, per_column, q, r6, value_counts
+from tessera.functions.columns import corr, date_columns, numeric_columns, per_column, q, r6, value_counts
 from tessera.functions.ranks import quantiles
 
 
@@ -170,7 +170,7 @@ def target_correlation(df: DataFrame, columns: list[str], target: str) -> DataFr
     """Pearson correlation of each number, or of a date as an epoch, with the target."""
     kinds = dict(df.dtypes)
     as_number = lambda c: F.unix_seconds(q(c).cast("timestamp")).cast("double") if kinds[c].startswith(("timestamp", "date")) else q(c).cast("double")
-    row = df.agg(*[F.corr(as_number(c), q(target).cast("double")).alias(str(i)) for i, c in enumerate(columns)])
+    row = df.agg(*[corr(as_number(c), q(target).cast("double")).alias(str(i)) for i, c in enumerate(columns)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{i}`").alias("r")) for i, c in enumerate(columns)])))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import per_column, q
+from tessera.functions.columns import corr, per_column, q
 from tessera.functions.distributions import chi2_sf, f_sf, normal_sf, on_rows, t_two_sided
 from tessera.functions.ranks import average_ranks, quantiles
 from tessera.functions.tables import written
@@ -79,7 +79,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    row = df.agg(*[F.corr(q(a).cast("double"), q(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[corr(q(a).cast("double"), q(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
 
@@ -183,7 +183,7 @@ def with_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     whole = df.where(q(a).isNotNull() & q(b).isNotNull()).select(q(a).alias("a"), q(b).alias("b"))
-    return with_ranks(with_ranks(whole, "a", "ra"), "b", "rb").agg(F.corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    return with_ranks(with_ranks(whole, "a", "ra"), "b", "rb").agg(corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
 
 
 def _rank_sums(df: DataFrame, group: str, column: str) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +242,7 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
 def scale_economies(df: DataFrame, driver: str, outcome: str) -> DataFrame:
     """Correlations of a driver with the outcome and the outcome a unit, and the change of the outcome for 10 % more driver."""
     x, y = q(driver).cast("double"), q(outcome).cast("double")
-    return df.agg(F.corr(x, y).alias("r"), F.corr(x, F.try_divide(y, x)).alias("r_unit"), (F.try_divide(F.regr_slope(y, x) * 0.1 * F.avg(x), F.avg(y)) * 100).alias("change_pct"))
+    return df.agg(corr(x, y).alias("r"), corr(x, F.try_divide(y, x)).alias("r_unit"), (F.try_divide(F.regr_slope(y, x) * 0.1 * F.avg(x), F.avg(y)) * 100).alias("change_pct"))
 
 
 def counterintuitive(df: DataFrame, metric: str, value: str, sign: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import date_columns, numeric_columns, per_column, q, value_counts
+from tessera.functions.columns import corr, date_columns, numeric_columns, per_column, q, value_counts
 from tessera.functions.distributions import f_sf, on_rows
 from tessera.operators.relate import chi_square, correlations
 from tessera.operators.types import as_date
@@ -138,7 +138,7 @@ def time_scores(df: DataFrame) -> DataFrame:
 
 def instrument_scores(df: DataFrame, columns: list[str], treatment: str, outcome: str) -> DataFrame:
     """|r(z, t)| (1 - |r(z, y)|)."""
-    s = per_column(df, columns, rt=lambda c: F.corr(c.cast("double"), q(treatment).cast("double")), ry=lambda c: F.corr(c.cast("double"), q(outcome).cast("double")))
+    s = per_column(df, columns, rt=lambda c: corr(c.cast("double"), q(treatment).cast("double")), ry=lambda c: corr(c.cast("double"), q(outcome).cast("double")))
     return s.select("column", F.coalesce(_within(F.abs("rt") * (1 - F.abs("ry"))), F.lit(0.0)).alias("score"))
 
 
@@ -218,7 +218,7 @@ def auto_config(df: DataFrame) -> DataFrame:
         plain = [c for c in numbers if levels(c) >= 2 and c != outcome]
         parts = []
         if plain:
-            parts.append(per_column(coded, plain, t=lambda c: F.corr(c.cast("double"), q(t).cast("double")), y=lambda c: F.corr(c.cast("double"), q(outcome).cast("double")) if outcome else F.lit(0.0)))
+            parts.append(per_column(coded, plain, t=lambda c: corr(c.cast("double"), q(t).cast("double")), y=lambda c: corr(c.cast("double"), q(outcome).cast("double")) if outcome else F.lit(0.0)))
         if few:
             own = level_moments(coded, few, t).select("column", F.col("r").alias("t"))
             parts.append(own.join(level_moments(coded, few, outcome).select("column", F.col("r").alias("y")), "column") if outcome else own.withColumn("y", F.lit(0.0)))
