@@ -1,6 +1,7 @@
 """Best-fit packing of documents into training sequences, with conflicts.
 
-Documents are dealt by a hash to shards of bounded size; each shard packs its own, longest first.  A
+Documents are dealt by a hash of what packing knows of them to shards of bounded size, rows alike in turns to shard after
+shard; each shard packs its own, longest first, so that the layout doesn't depend on how the input is partitioned.  A
 sequence (bin) carries bitmaps of the sources and duplicate clusters it holds, and takes a document only
 if neither bit is set.  Bins are ordered by residual room; the search starts at the smallest residual
 that fits and goes to the next one until a compatible bin is found: the tightest one.  Bins of one
@@ -93,8 +94,9 @@ class Bins:
 
 
 def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Packs one shard: rows of (shard, doc_id, source, cluster, n_words), in any order."""
-    pdf = pdf.sort_values(["n_words", "doc_id"], ascending=[False, True], na_position="last", kind="stable")
+    """Packs one shard: rows of (shard, doc_id, source, cluster, n_words, copies), in any order."""
+    pdf = pdf.sort_values(["n_words", "doc_id", "source", "cluster"], ascending=[False, True, True, True], na_position="last", kind="stable")
+    pdf = pdf.loc[pdf.index.repeat(pdf["copies"].astype("int64"))]
     repeated = pdf["cluster"].dropna().value_counts()
     bit = {c: 1 << i for i, c in enumerate(sorted(repeated[repeated > 1].index))}
     name = {s: 1 << i for i, s in enumerate(sorted(pdf["source"].dropna().unique()))}
@@ -122,16 +124,26 @@ def pack_shard(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, shard_words: int = SHARD_WORDS, cluster: str | None = None) -> DataFrame:
     """A row for each piece of each document: where it lies (bin_id, bin_offset in words)."""
-    sized = written(measured(docs, cluster), "sizes")
-    total = sized.agg(F.sum(F.col("n_words") + 1).alias("n"), F.count("*").alias("rows")).first()
+    alike = ["doc_id", "source", "cluster", "n_words"]
+    sized = written(measured(docs, cluster).groupBy(*alike).agg(F.count("*").alias("copies")), "sizes")
+    total = sized.agg(F.sum((F.col("n_words") + 1) * F.col("copies")).alias("n"), F.sum("copies").alias("rows")).first()
     # Rows count too, so that shards of many short documents stay small.
-    shards = max(1, -(-int(total["n"] or 0) // shard_words), -(-total["rows"] // 50_000))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n_words", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
-    spread = dealt.repartition(shards, "shard")
+    shards = max(1, -(-int(total["n"] or 0) // shard_words), -(-int(total["rows"] or 0) // 50_000))
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.least("copies", F.lit(shards)) - 1))
+    dealt = sized.withColumn("turn", turn).withColumn("shard", F.pmod(F.pmod(F.xxhash64(*alike), F.lit(shards)) + F.col("turn"), F.lit(shards)).cast("int"))
+    share = F.floor(F.col("copies") / shards) + F.when(F.col("turn") < F.col("copies") % shards, 1).otherwise(0)
+    spread = dealt.select("shard", *alike, share.cast("long").alias("copies")).repartition(shards, "shard")
     # Positions in Int64 columns, since pandas would turn nullable longs into doubles.
     return spread.groupBy("shard").applyInArrow(lambda t: pa.Table.from_pandas(pack_shard(t.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get), capacity), schema=ARROW, preserve_index=False), PACKED)
 
 
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row of what ``pack`` returned: bins, pieces, words, and the share of the bins' room that words and separators take (null without bins)."""
+    bins = packed.where(F.col("bin_id").isNotNull()).groupBy("bin_id").agg(F.count("*").alias("pieces"), F.sum("n_words").alias("words"))
+    used = F.sum("words") + F.sum("pieces")
+    return bins.agg(F.count("*").alias("bins"), F.sum("pieces").alias("pieces"), F.sum("words").alias("words"), F.try_divide(used, F.count("*") * capacity).alias("fill"))
+
+
 ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_words", pa.int64()), ("source", pa.string()), ("cluster", pa.int64()), ("bin_id", pa.string()), ("bin_offset", pa.int32())])
 
 
