@@ -60,7 +60,7 @@ def nearest(x: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parts, _, width = books.shape
     codes = np.zeros((len(x), parts), np.int64)
     error = np.zeros(len(x), np.int64)
-    for p in range(parts):
+    for p in range(parts if len(x) else 0):
         own = x[:, p * width : (p + 1) * width]
         far = (books[p] ** 2).sum(1) - 2 * (own @ books[p].T)
         codes[:, p] = far.argmin(1)
