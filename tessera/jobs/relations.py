@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.selection import group_quantiles
 from tessera.jobs.profiles import union
 from tessera.operators import profile as p
 from tessera.operators import relate as r
@@ -32,6 +33,28 @@ def correlations(spark, sf):
     return p.rounded(r.correlations(lines(spark, sf), [*NUM, "net"]))
 
 
+#: Columns of ``wide``: as many as make an expression for each pair a large plan; some have nulls, one doesn't vary.
+WIDE = {f"w{i}": f"nullif(({x} * {7 * i + 3}) % {11 + i}, {i % 5})" for i, x in enumerate(["l_quantity", "l_linenumber", "l_partkey", "l_suppkey"] * 6)} | {"same": "l_linenumber * 0 + 3"}
+
+
+def wide(spark, sf):
+    return table(spark, sf, "lineitem").select(*[F.expr(x).cast("double").alias(k) for k, x in WIDE.items()])
+
+
+WIDE_SQL = "(SELECT " + ", ".join(f"({x})::DOUBLE AS {k}" for k, x in WIDE.items()) + " FROM lineitem)"
+
+
+def wide_correlations(spark, sf):
+    """Correlations of 25 columns with nulls, by blocks of matrices."""
+    return p.rounded(r.correlations(wide(spark, sf), list(WIDE)))
+
+
+def group_quartiles(spark, sf):
+    """Exact quartiles of prices by ship mode, the groups narrowed as large ones are."""
+    found = group_quantiles(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.0, 0.25, 0.5, 0.75, 1.0], most=500)
+    return found.select("l_returnflag", "l_linestatus", "n", *[F.round(F.col("quantiles")[i], 6).alias(f"q{i}") for i in range(5)])
+
+
 def correlated_pairs(spark, sf):
     return p.rounded(r.correlated(lines(spark, sf), [*NUM, "net"]))
 
@@ -164,7 +187,7 @@ def kaplan_meier(spark, sf):
     return p.rounded(ts.kaplan_meier(lifetimes(spark, sf), "duration", "event"))
 
 
-QUERIES = {f.__name__: f for f in (crosstab, correlations, correlated_pairs, correlation_clusters, numbers_by_category, sankey, chi_square, chi_square_p, anova, category_impact, strongest_impact, spearman, kruskal, mann_whitney, group_medians, vif_two, mutual_information, scale_economies, counterintuitive, list_values, top_variance, scatter_sample, period_sums, decomposition, rolling_outliers, outcome_by_time, impact_by_year, calendar, cohorts_monthly, cohorts_daily, kaplan_meier)}
+QUERIES = {f.__name__: f for f in (crosstab, correlations, wide_correlations, group_quartiles, correlated_pairs, correlation_clusters, numbers_by_category, sankey, chi_square, chi_square_p, anova, category_impact, strongest_impact, spearman, kruskal, mann_whitney, group_medians, vif_two, mutual_information, scale_economies, counterintuitive, list_values, top_variance, scatter_sample, period_sums, decomposition, rolling_outliers, outcome_by_time, impact_by_year, calendar, cohorts_monthly, cohorts_daily, kaplan_meier)}
 
 
 def corr_sql(source: str) -> str:
@@ -207,6 +230,8 @@ SELECT c.cohort, c.period_number, c.users, round(c.users::DOUBLE / b.users, 6) A
 
 
 ORACLES = {
+    "wide_correlations": "SELECT unnest([" + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': {'NULL::DOUBLE' if 'same' in (a, b) else f'round(corr({a}, {b}), 6)'}}}" for a, b in combinations(WIDE, 2)) + f"], recursive := true) FROM {WIDE_SQL}",
+    "group_quartiles": "SELECT l_returnflag, l_linestatus, count(*) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice, {x}), 6) AS q{i}" for i, x in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))) + " FROM lineitem GROUP BY ALL",
     "crosstab": """WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2) SELECT x.a AS first, y.b AS second, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY x.a)::DOUBLE, 6) AS share
 FROM (SELECT DISTINCT a FROM c) x CROSS JOIN (SELECT DISTINCT b FROM c) y LEFT JOIN c ON c.a = x.a AND c.b = y.b""",
     "correlations": rounded_sql(corr_sql(LINES), "a b", "r"),

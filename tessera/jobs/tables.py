@@ -14,6 +14,7 @@ from tessera.operators import clean as c
 from tessera.operators import describe as d
 from tessera.operators import profile as p
 from tessera.operators import types as t
+from tessera.operators.dates import orders, shapes
 from tessera.sources import head, read_csv, read_json, sink, table, tail
 
 
@@ -78,6 +79,53 @@ def date_readings(spark: SparkSession, sf: str) -> DataFrame:
     return p.rounded(t.date_readings(t.normalize_nulls(raw_orders(spark, sf)), "day"))
 
 
+#: Ways that exports write a day, with the same in SQL; the columns of ``exported``.
+WRITTEN = {
+    "us": ("MM/dd/yyyy", "strftime(o_orderdate, '%m/%d/%Y')"),
+    "us_short": ("M/d/yy", "month(o_orderdate) || '/' || day(o_orderdate) || '/' || strftime(o_orderdate, '%y')"),
+    "clock": ("MM/dd/yyyy h:mm a", "strftime(o_orderdate, '%m/%d/%Y') || ' 3:04 PM'"),
+    "single": ("yyyy-M-d", "year(o_orderdate) || '-' || month(o_orderdate) || '-' || day(o_orderdate)"),
+    "named": ("MMM d, yyyy", "strftime(o_orderdate, '%b ') || day(o_orderdate) || strftime(o_orderdate, ', %Y')"),
+    "spelled": ("d MMMM yyyy", "day(o_orderdate) || strftime(o_orderdate, ' %B %Y')"),
+    "zoned": ("yyyy-MM-dd HH:mm:ss+00:00", "strftime(o_orderdate, '%Y-%m-%d 23:04:05+02:00')"),
+    "basic": ("yyyy-MM-ddTHH:mm:ss+0000", "strftime(o_orderdate, '%Y-%m-%dT01:04:05-0330')"),
+    "european": ("dd.MM.yyyy", "strftime(o_orderdate, '%d.%m.%Y')"),
+}
+
+
+def exported(spark: SparkSession, sf: str) -> DataFrame:
+    """Order dates as texts in nine ways; every fiftieth is missing."""
+    day = F.col("o_orderdate")
+    text = lambda f: F.date_format(day, f)
+    own = {"clock": F.concat(text("MM/dd/yyyy"), F.lit(" 3:04 PM")), "zoned": F.concat(text("yyyy-MM-dd"), F.lit(" 23:04:05+02:00")), "basic": F.concat(text("yyyy-MM-dd"), F.lit("T01:04:05-0330"))}
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderdate", *[F.when(F.col("o_orderkey") % 50 == 0, F.lit("n/a")).otherwise(own.get(k, text(f))).alias(k) for k, (f, _) in WRITTEN.items()])
+
+
+EXPORTED = "(SELECT o_orderkey, o_orderdate, " + ", ".join(f"CASE WHEN o_orderkey % 50 <> 0 THEN {x} END AS {k}" for k, (_, x) in WRITTEN.items()) + " FROM orders)"
+
+
+def date_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The order of day and month of each exported column."""
+    return orders(shapes(t.normalize_nulls(exported(spark, sf)), list(WRITTEN)))
+
+
+def date_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapes of the dates of mixed columns."""
+    o = exported(spark, sf)
+    k = F.col("o_orderkey") % 6
+    mixed = o.select(F.when(k == 0, F.col("us")).when(k == 1, F.col("named")).when(k == 2, F.col("clock")).when(k == 3, F.col("basic")).when(k == 4, F.lit("soon")).otherwise(F.col("spelled")).alias("mixed"), F.col("us_short"))
+    return shapes(t.normalize_nulls(mixed), ["mixed", "us_short"])
+
+
+def exported_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported columns after standardizing: their types, and how many values are the day they were written from."""
+    s = t.standardize(t.normalize_nulls(exported(spark, sf)))
+    kinds = dict(s.dtypes)
+    one = per_column(s, list(WRITTEN), n=lambda x: F.count(x), right_day=lambda x: F.count_if(F.to_date(x) == F.to_date("o_orderdate")), hours=lambda x: F.coalesce(F.sum(F.hour(x)), F.lit(0)))
+    kind = F.create_map(*[x for c in WRITTEN for x in (F.lit(c), F.lit(kinds[c]))])[F.col("column")]
+    return one.withColumn("type", kind)
+
+
 def standardized_times(spark: SparkSession, sf: str) -> DataFrame:
     s = t.standardize(t.normalize_nulls(raw_orders(spark, sf)).select("key", "stamp"))
     return s.groupBy(F.year("stamp").alias("year"), F.month("stamp").alias("month")).agg(F.count("*").alias("n"), F.sum(F.dayofmonth("stamp")).alias("days"))
@@ -183,7 +231,7 @@ def two_levels(spark: SparkSession, sf: str) -> DataFrame:
     return d.two_levels(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-QUERIES = {f.__name__: f for f in (read_csv_table, read_json_table, json_props, head_and_tail, sink_round_trip, null_tokens, inferred_types, standardized_times, file_summary, date_readings, column_schema, date_format, understood, semantic_types, downcast_plan, pattern_columns, mixed_types, clean_names, cleaned_texts, dropped_incomplete, filled_median, expanded_lists, change_report, describe_categories, describe_dates, date_shares, histogram, box_plot, bar_counts, density_sample, two_levels)}
+QUERIES = {f.__name__: f for f in (read_csv_table, read_json_table, json_props, head_and_tail, sink_round_trip, null_tokens, inferred_types, standardized_times, date_orders, date_shapes, exported_dates, file_summary, date_readings, column_schema, date_format, understood, semantic_types, downcast_plan, pattern_columns, mixed_types, clean_names, cleaned_texts, dropped_incomplete, filled_median, expanded_lists, change_report, describe_categories, describe_dates, date_shares, histogram, box_plot, bar_counts, density_sample, two_levels)}
 
 COLS = ("key", "cust", "day", "priority", "note", "stamp")
 NUMBER = r"regexp_matches({}, '^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$')"
@@ -242,6 +290,18 @@ ORACLES = {
  CASE WHEN n = 0 THEN 'categorical' WHEN numeric >= 0.9 THEN 'numeric' WHEN dates >= 0.9 THEN 'datetime' WHEN booleans > 0.95 THEN 'boolean' WHEN n_unique::DOUBLE / n < 0.1 THEN 'categorical' ELSE 'string' END AS type FROM ({ratios_sql(COLS, RAW_CLEAN)})""",
     "date_readings": f"SELECT count(day) AS n, round(count(coalesce({DAY.format('day')}, {MONTH.format('day')}))::DOUBLE / count(day), 6) AS success_ratio, round(count(*) FILTER (WHERE ({DAY.format('day')}) <> ({MONTH.format('day')}))::DOUBLE / count(day), 6) AS ambiguous_ratio FROM {RAW_CLEAN}",
     "standardized_times": f"SELECT year(d)::INT AS year, month(d)::INT AS month, count(*) AS n, sum(day(d))::BIGINT AS days FROM (SELECT {DAY.format('stamp')} AS d FROM {RAW_CLEAN}) GROUP BY 1, 2",
+    "date_orders": union(
+        f"""SELECT '{x}' AS "column", count({x}) AS n, count({x}) AS dates, {1} AS n_shapes, {day} AS day_over, {month} AS month_over, {either} AS either, {first} AS month_first FROM {EXPORTED}"""
+        for x, day, month, either, first in (
+            (k, *(("0::BIGINT",) * 3 if k not in ("us", "us_short", "clock", "european") else (over if k == "european" else "0::BIGINT", "0::BIGINT" if k == "european" else over, f"count({k}) FILTER (day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate))")), str(k in ("us", "us_short", "clock")).lower())
+            for k in WRITTEN
+            for over in (f"count({k}) FILTER (day(o_orderdate) > 12)",)
+        )
+    ),
+    "date_shapes": f"""WITH m AS (SELECT *, CASE o_orderkey % 6 WHEN 0 THEN 'd/d/yyyy' WHEN 1 THEN 'Mon d, yyyy' WHEN 2 THEN 'd/d/yyyy d:d am' WHEN 3 THEN 'yyyy-d-dtd:d:d zone' WHEN 4 THEN 'other' ELSE 'd Mon yyyy' END AS shape, o_orderkey % 6 IN (0, 2) AS numbers FROM {EXPORTED} WHERE us IS NOT NULL OR o_orderkey % 6 = 4)
+SELECT 'mixed' AS "column", shape, count(*) AS n, 0::BIGINT AS day_over, count(*) FILTER (numbers AND day(o_orderdate) > 12) AS month_over, count(*) FILTER (numbers AND day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)) AS either FROM m GROUP BY shape
+UNION ALL SELECT 'us_short', 'd/d/d', count(*), 0, count(*) FILTER (day(o_orderdate) > 12), count(*) FILTER (day(o_orderdate) <= 12 AND day(o_orderdate) <> month(o_orderdate)) FROM {EXPORTED} WHERE us IS NOT NULL""",
+    "exported_dates": union(f"""SELECT '{k}' AS "column", count({k}) AS n, count({k}) AS right_day, (count({k}) * { {'clock': 15, 'zoned': 21, 'basic': 4}.get(k, 0) })::BIGINT AS hours, 'timestamp' AS type FROM {EXPORTED}""" for k in WRITTEN),
     "file_summary": union(f"SELECT {i} AS at, '{x}' AS \"column\", '{k}' AS kind, {f'count(DISTINCT {x})' if k == 'categorical' else 'NULL::BIGINT'} AS n_unique, count(*) AS n_rows, 6 AS n_columns FROM orders" for i, (x, k) in enumerate((("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "categorical"), ("o_totalprice", "numeric"), ("o_orderdate", "datetime"), ("o_orderpriority", "categorical")))),
     "column_schema": "WITH s AS (SELECT p_partkey, p_name, p_size, p_type, DATE '2020-01-01' + p_size AS day FROM part)\n" + union(f"""SELECT '{x}' AS "column", '{k}' AS type, {"'date-time'" if k == "date" else "NULL"} AS format, min({x})::VARCHAR AS lo, max({x})::VARCHAR AS hi, list_sort(list(DISTINCT {x}::VARCHAR))[1:3] AS examples, CASE WHEN '{k}' = 'string' AND count(DISTINCT {x}) < 0.1 * count({x}) AND count(DISTINCT {x}) <= 1000 THEN list_sort(list(DISTINCT {x}::VARCHAR)) END AS enum,
  count({x}) AS non_null, count(*) - count({x}) AS nulls, round(avg(length({x}::VARCHAR)), 6) AS avg_length, count(DISTINCT {x}) AS n_unique FROM s""" for x, k in (("p_partkey", "bigint"), ("p_name", "string"), ("p_size", "int"), ("p_type", "string"), ("day", "date"))),

@@ -11,7 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import numeric_columns, q, value_counts
+from tessera.functions.columns import numeric_columns, q
+from tessera.functions.frequencies import distinct_values, hashed_counts, most_frequent
 from tessera.functions.distributions import normal_ppf
 from tessera.functions.ranks import quantiles
 from tessera.operators.relate import fold_grams
@@ -29,7 +30,7 @@ def impute_categories(df: DataFrame, columns: list[str], how: str = "most_freque
     """Nulls as the most frequent value (ties: the smallest) or as a word of their own."""
     if how == MISSING:
         return df.withColumns({c: F.coalesce(q(c), F.lit(MISSING)) for c in columns})
-    top = value_counts(df, columns).groupBy("column").agg(F.min(F.struct(-F.col("n"), F.col("value"))).alias("b")).select("column", "b.value")
+    top = most_frequent(df, columns, 1).select("column", "value")
     mode = {r["column"]: r["value"] for r in top.collect()}
     return df.withColumns({c: F.coalesce(q(c), F.lit(mode.get(c))) for c in columns})
 
@@ -156,7 +157,7 @@ def lasso_path(df: DataFrame, columns: list[str], target: str, key: str, folds:
 def target_candidates(df: DataFrame) -> DataFrame:
     """Columns that could be a target: numbers of more than 20 values, else categories of 2 to 10; best first."""
     kinds = dict(df.dtypes)
-    counts = value_counts(df, df.columns).groupBy("column").agg(F.count("*").alias("n_unique"), F.sum("n").alias("n"))
+    counts = hashed_counts(df, df.columns).groupBy("column").agg(F.count("*").alias("n_unique"), F.sum("n").alias("n"))
     number = F.col("column").isin(*numeric_columns(df))
     at = F.create_map(*[x for i, c in enumerate(kinds) for x in (F.lit(c), F.lit(i))])[F.col("column")]
     rank = F.when(number & (F.col("n_unique") > 20) & (F.col("n_unique") < 0.95 * F.col("n")), 1).when(F.col("n_unique").between(2, 10), 2)
@@ -197,7 +198,7 @@ def model_shortlist(df: DataFrame, target: str | None, problem: str | None = Non
     """
     schema = dict(df.dtypes)
     texts = [c for c, t in schema.items() if t == "string" and c != target]
-    most = value_counts(df, texts).groupBy("column").agg(F.count("*").alias("k")).agg(F.coalesce(F.max("k"), F.lit(0)).cast("long").alias("max_categories")) if texts else df.sparkSession.range(1).select(F.lit(0).cast("long").alias("max_categories"))
+    most = distinct_values(df, texts).select(F.col("n_unique").alias("k")).agg(F.coalesce(F.max("k"), F.lit(0)).cast("long").alias("max_categories")) if texts else df.sparkSession.range(1).select(F.lit(0).cast("long").alias("max_categories"))
     if target is None:
         c = df.agg(F.count("*").alias("n_rows")).withColumns({"classes": F.lit(0).cast("long"), "least": F.lit(None).cast("long")})
         kind = F.lit(problem or "clustering")

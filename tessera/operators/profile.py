@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import corr, date_columns, numeric_columns, per_column, q, r6, value_counts
+from tessera.functions.columns import corr, date_columns, numeric_columns, per_column, q, r6
+from tessera.functions.frequencies import hashed_counts, most_frequent, value_numbers
 from tessera.functions.ranks import quantiles
 
 
@@ -73,11 +74,9 @@ def duplicate_sample(df: DataFrame, rows: int = 5) -> DataFrame:
 
 def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct values, their share of all rows, and a class: constant, id, high (> 0.7), low (< 0.05) or medium."""
-    counts = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("n_unique"))
-    rows = per_column(df, columns, n_rows=lambda c: F.count(F.lit(1)))
-    share = F.try_divide(F.coalesce("n_unique", F.lit(0)), F.col("n_rows"))
-    kind = F.when(F.coalesce("n_unique", F.lit(0)) <= 1, "constant").when(share == 1, "id").when(share > 0.7, "high").when(share < 0.05, "low").otherwise("medium")
-    return rows.join(F.broadcast(counts), "column", "left").select("column", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique"), share.alias("unique_share"), kind.alias("cardinality"))
+    share = F.try_divide("n_unique", "n_rows")
+    kind = F.when(F.col("n_unique") <= 1, "constant").when(share == 1, "id").when(share > 0.7, "high").when(share < 0.05, "low").otherwise("medium")
+    return value_numbers(df, columns).select("column", "n_unique", share.alias("unique_share"), kind.alias("cardinality"))
 
 
 def file_summary(df: DataFrame) -> DataFrame:
@@ -93,16 +92,12 @@ def file_summary(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     """The k most frequent values of each column, ties by value, with their share of the non-null rows."""
-    counts = value_counts(df, columns)
-    total = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
-    best = counts.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.join(F.broadcast(total), "column").select("column", "rank", "value", "n", (F.col("n") / F.col("total") * 100).alias("percent"))
+    return most_frequent(df, columns, k).select("column", "rank", "value", "n", (F.col("n") / F.col("total") * 100).alias("percent"))
 
 
 def diversity(df: DataFrame, columns: list[str], rare: float = 0.01) -> DataFrame:
     """Entropy (bits), Gini impurity, categories and the share of rare ones."""
-    counts = value_counts(df, columns)
+    counts = hashed_counts(df, columns)
     total = counts.groupBy("column").agg(F.sum("n").alias("total"))
     p = F.col("n") / F.col("total")
     return counts.join(F.broadcast(total), "column").groupBy("column").agg(F.count("*").alias("n_unique"), (-F.sum(p * F.log2(p))).alias("entropy"), (1 - F.sum(p * p)).alias("gini"), F.avg((p < rare).cast("double")).alias("rare_share"))

@@ -6,12 +6,15 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import grams
 from tessera.functions.columns import corr, per_column, q
 from tessera.functions.distributions import chi2_sf, f_sf, normal_sf, on_rows, t_two_sided
 from tessera.functions.ranks import average_ranks, quantiles
+from tessera.functions.selection import group_quantiles
 from tessera.functions.tables import written
 from tessera.operators.describe import bins_of
 
@@ -39,7 +42,13 @@ def fold_grams(df: DataFrame, key: str, columns: list[str], folds: int = 5) -> l
     return [rows.get(f, empty) for f in range(folds)]
 
 
+#: Columns up to which an expression for each pair is a small plan; beyond, matrices are added (``functions.grams``).
+NARROW = 12
+
+
 def _products(df: DataFrame, columns: list[str], fold: Column | None) -> tuple[int, np.ndarray, dict[int, tuple[int, np.ndarray, np.ndarray]]]:
+    if len(columns) > NARROW:
+        return grams.products(df, columns, fold)
     x = [q(c).cast("double") for c in columns]
     whole = df.where(reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) for c in x]))
     first = whole.agg(F.count(F.lit(1)), *[F.avg(c) for c in x]).first()
@@ -75,10 +84,17 @@ def crosstab(df: DataFrame, first: str, second: str, max_levels: int = MAX_LEVEL
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of each pair, complete pairs only, by one aggregation."""
+    """Pearson correlation of each pair over the rows where both have a value; null where one of the two doesn't vary there.
+
+    A few columns are one aggregation, more of them blocks of matrices; NaN and infinities count as missing then.
+    """
     pairs = list(combinations(columns, 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    if len(columns) > NARROW:
+        r = grams.correlation_matrix(df, columns)[np.triu_indices(len(columns), 1)]
+        found = pa.table({"a": pa.array([a for a, _ in pairs]), "b": pa.array([b for _, b in pairs]), "r": pa.array(r, mask=np.isnan(r))})
+        return df.sparkSession.createDataFrame(found)
     row = df.agg(*[corr(q(a).cast("double"), q(b).cast("double")).alias(str(i)) for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
@@ -105,7 +121,10 @@ def by_category(df: DataFrame, categories: list[str], numbers: list[str]) -> Dat
     long = df.select(*[q(c).cast("string").alias(c) for c in categories], *[q(c).cast("double").alias(c) for c in numbers])
     a = long.unpivot(numbers, categories, "by", "category").where(F.col("category").isNotNull())
     b = a.unpivot(["by", "category"], numbers, "column", "value").where(F.col("value").isNotNull())
-    return b.groupBy("by", "category", "column").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.count("*").alias("n"))
+    keys = ["by", "category", "column"]
+    means = b.groupBy(*keys).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    medians = group_quantiles(b, keys, "value", [0.5]).select(*keys, F.col("quantiles")[0].alias("median"))
+    return means.join(medians, keys, "left").select(*keys, "mean", "median", "n")
 
 
 def inner_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
@@ -216,7 +235,10 @@ def mann_whitney(df: DataFrame, group: str, column: str) -> DataFrame:
 
 
 def group_medians(df: DataFrame, group: str, column: str) -> DataFrame:
-    return df.where(q(group).isNotNull()).groupBy(q(group).alias("group")).agg(F.percentile(q(column).cast("double"), 0.5).alias("median"), F.count(q(column)).alias("n"))
+    """Exact median and number of values of each group; a group without values has a null median."""
+    rows = df.where(q(group).isNotNull()).select(q(group).alias("group"), q(column).cast("double").alias("x"))
+    medians = group_quantiles(rows, ["group"], "x", [0.5]).select("group", F.col("quantiles")[0].alias("median"))
+    return rows.groupBy("group").agg(F.count("x").alias("n")).join(medians, "group", "left").select("group", "median", "n")
 
 
 def vif(df: DataFrame, columns: list[str], centered: bool = False) -> DataFrame:

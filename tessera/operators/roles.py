@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import corr, date_columns, numeric_columns, per_column, q, value_counts
+from tessera.functions.columns import corr, date_columns, numeric_columns, per_column, q
+from tessera.functions.frequencies import hashed_counts
 from tessera.functions.distributions import f_sf, on_rows
 from tessera.operators.relate import chi_square, correlations
 from tessera.operators.types import as_date
@@ -29,7 +30,7 @@ def _skew(n: Column, g: Column) -> Column:
 
 def _uniques(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n_unique, entropy (bits), the count of the most and of the least frequent value, and of all."""
-    c = value_counts(df, columns)
+    c = hashed_counts(df, columns)
     t = c.groupBy("column").agg(F.sum("n").alias("n"), F.count("*").alias("n_unique"), F.max("n").alias("most"), F.min("n").alias("least"), (F.sum(F.col("n") * F.log2("n"))).alias("s"))
     return t.withColumn("entropy", F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).drop("s")
 

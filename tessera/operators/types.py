@@ -4,23 +4,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import no_nan, numeric_columns, per_column, q, value_counts
+from tessera.functions.frequencies import distinct_values, most_frequent, smallest_values
+from tessera.functions.tables import written
+from tessera.operators.dates import as_date, month_first_columns, reading
 
 #: Texts that mean null when tables are read, and when columns are understood.
 NULL_TOKENS = ("", "null", "NULL", "n/a", "N/A")
 LOOSE_NULL_TOKENS = ("", " ", "NA", "N/A", "null", "NULL", "-", "--")
-#: A time of day that may follow a date, after a space or a T, with seconds, fractions and a zone.
-TIME = "[ HH:mm[:ss[.SSSSSS]]]['T'HH:mm[:ss[.SSSSSS]][XXX]]"
-DAY_FIRST = tuple(d + TIME for d in ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy"))
-MONTH_FIRST = tuple(d + TIME for d in ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MM-dd-yyyy", "MM.dd.yyyy"))
 #: The formats among which the commonest is sought.
 FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXX")
 PATTERNS = {"email": r"^[\w.+-]+@[\w-]+\.[\w.-]+$", "phone": r"^\+?[0-9][0-9 ()-]{6,}$", "uuid": r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", "zipcode": r"^[0-9]{5}(-[0-9]{4})?$"}
 BOOLEAN = ("true", "false", "0", "1")
-PLAIN_NUMBER = r"^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$"
 
 
 def normalize_nulls(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
@@ -37,12 +35,7 @@ def normalize_nulls(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> Dat
     return df.select(*[one(c).alias(c) for c in df.columns])
 
 
-def as_date(c: Column, formats: tuple[str, ...] = DAY_FIRST) -> Column:
-    """A text as a timestamp by the first format that fits; plain numbers are none."""
-    return F.when(~c.rlike(PLAIN_NUMBER), F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]))
-
-
-def parse_ratios(df: DataFrame, columns: list[str], formats: tuple[str, ...] = DAY_FIRST) -> DataFrame:
+def parse_ratios(df: DataFrame, columns: list[str]) -> DataFrame:
     """For each text column: non-null values and the shares that parse as number, date and boolean, and unique values."""
     share = lambda c, x: F.try_divide(F.count(x), F.count(c))
     base = per_column(
@@ -50,16 +43,16 @@ def parse_ratios(df: DataFrame, columns: list[str], formats: tuple[str, ...] = D
         columns,
         n=lambda c: F.count(c),
         numeric=lambda c: share(c, c.try_cast("double")),
-        dates=lambda c: share(c, as_date(c, formats)),
+        dates=lambda c: share(c, as_date(c)),
         booleans=lambda c: share(c, F.when(F.lower(c).isin(*BOOLEAN), 1)),
     )
-    unique = value_counts(df, columns).groupBy("column").agg(F.count("*").alias("n_unique"))
+    unique = distinct_values(df, columns)
     return base.join(F.broadcast(unique), "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)).cast("long"))
 
 
-def infer_types(df: DataFrame, columns: list[str], numeric: float = 0.9, dates: float = 0.9, formats: tuple[str, ...] = DAY_FIRST) -> DataFrame:
+def infer_types(df: DataFrame, columns: list[str], numeric: float = 0.9, dates: float = 0.9) -> DataFrame:
     """numeric, datetime, boolean, categorical or string for each text column, in that order of tests."""
-    r = parse_ratios(df, columns, formats)
+    r = parse_ratios(df, columns)
     kind = (
         F.when(F.col("n") == 0, "categorical")
         .when(F.col("numeric") >= numeric, "numeric")
@@ -71,20 +64,28 @@ def infer_types(df: DataFrame, columns: list[str], numeric: float = 0.9, dates:
     return r.withColumn("type", kind)
 
 
-def standardize(df: DataFrame, formats: tuple[str, ...] = DAY_FIRST) -> DataFrame:
-    """Text columns cast to their inferred types; values that don't parse become null; native types stay."""
+def standardize(df: DataFrame) -> DataFrame:
+    """Text columns cast to their inferred types; values that don't parse become null; native types stay.
+
+    Dates are read in the order of day and month that the column's own values show, day first where they show none.
+    """
     texts = [c for c, t in df.dtypes if t == "string"]
-    kinds = {r["column"]: r["type"] for r in infer_types(df, texts, formats=formats).select("column", "type").collect()} if texts else {}
-    cast = {"numeric": lambda c: c.try_cast("double"), "datetime": lambda c: as_date(c, formats), "boolean": lambda c: F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False)}
-    return df.select(*[cast.get(kinds.get(c, ""), lambda x: x)(q(c)).alias(c) for c in df.columns])
+    kinds = {r["column"]: r["type"] for r in infer_types(df, texts).select("column", "type").collect()} if texts else {}
+    month_first = month_first_columns(df, [c for c in texts if kinds.get(c) == "datetime"])
+    boolean = lambda c: F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False)
+
+    def cast(name: str) -> Column:
+        kind, c = kinds.get(name, ""), q(name)
+        return c.try_cast("double") if kind == "numeric" else as_date(c, name in month_first) if kind == "datetime" else boolean(c) if kind == "boolean" else c
+
+    return df.select(*[cast(c).alias(c) for c in df.columns])
 
 
 def date_readings(df: DataFrame, column: str) -> DataFrame:
-    """Values, the share that parses either way, and the share whose day-first and month-first readings differ."""
+    """Values, the share that parses, and the share whose day-first and month-first readings differ."""
     c = q(column)
-    day, month = as_date(c, DAY_FIRST), as_date(c, MONTH_FIRST)
-    parsed = F.count(F.coalesce(day, month))
-    return df.agg(F.count(c).alias("n"), F.try_divide(parsed, F.count(c)).alias("success_ratio"), F.try_divide(F.count_if(day != month), F.count(c)).alias("ambiguous_ratio"))
+    day, month = as_date(c), as_date(c, month_first=True)
+    return df.agg(F.count(c).alias("n"), F.try_divide(F.count(F.coalesce(day, month)), F.count(c)).alias("success_ratio"), F.try_divide(F.count_if(day != month), F.count(c)).alias("ambiguous_ratio"))
 
 
 #: Values that a column's enumeration holds at most; a column of more has none.
@@ -99,15 +100,20 @@ def column_schema(df: DataFrame, examples: int = 3) -> DataFrame:
     columns = df.columns
     kinds = dict(df.dtypes)
     base = per_column(df, columns, lo=lambda c: F.min(c).cast("string"), hi=lambda c: F.max(c).cast("string"), non_null=lambda c: F.count(c), nulls=lambda c: F.count_if(c.isNull()), avg_length=lambda c: F.avg(F.length(c.cast("string"))))
-    counts = value_counts(df, columns)
-    unique = counts.groupBy("column").agg(F.count("*").alias("n_unique"))
-    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    few = counts.withColumn("r", rank).where(F.col("r") <= MAX_ENUM).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    unique = distinct_values(df, columns)
     kind = F.create_map(*[x for c in columns for x in (F.lit(c), F.lit(kinds[c]))])[F.col("column")]
-    out = base.join(F.broadcast(unique), "column", "left").join(few, "column", "left").withColumns({"type": kind, "n_unique": F.coalesce("n_unique", F.lit(0)).cast("long")})
-    listed = (F.col("type") == "string") & (F.col("n_unique") < 0.1 * F.col("non_null")) & (F.col("n_unique") <= MAX_ENUM)
+    out = base.join(F.broadcast(unique), "column", "left").withColumns({"type": kind, "n_unique": F.coalesce("n_unique", F.lit(0)).cast("long")})
+    out = written(out.withColumn("listed", (F.col("type") == "string") & (F.col("n_unique") < 0.1 * F.col("non_null")) & (F.col("n_unique") <= MAX_ENUM)), "schema")
+    # Only columns of few values are listed; the smallest values of the others are found without listing them.
+    lists = [r["column"] for r in out.where("listed").select("column").collect()]
+    if lists:
+        values = value_counts(df, lists).groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+        out = out.join(F.broadcast(values), "column", "left")
+    else:
+        out = out.withColumn("values", F.lit(None).cast("array<string>"))
+    out = out.join(F.broadcast(smallest_values(df, columns, examples)), "column", "left")
     form = F.when(F.col("type").rlike("^(date|timestamp)"), "date-time")
-    return out.select("column", "type", form.alias("format"), "lo", "hi", F.coalesce(F.slice("values", 1, examples), F.array()).alias("examples"), F.when(listed, F.col("values")).alias("enum"), "non_null", "nulls", "avg_length", "n_unique")
+    return out.select("column", "type", form.alias("format"), "lo", "hi", F.coalesce("smallest", F.array()).alias("examples"), F.when(F.col("listed"), F.col("values")).alias("enum"), "non_null", "nulls", "avg_length", "n_unique")
 
 
 def date_format(df: DataFrame, column: str, key: str, formats: tuple[str, ...] = FORMATS, rows: int = 100, least: float = 0.5) -> DataFrame:
@@ -136,12 +142,18 @@ def understand(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
         hi=lambda c: F.max(number(c)),
         mean=lambda c: F.avg(number(c)),
         std=lambda c: F.stddev_samp(number(c)),
-        first_day=lambda c: F.min(as_date(c)).cast("date"),
-        last_day=lambda c: F.max(as_date(c)).cast("date"),
         avg_length=lambda c: F.avg(F.length(c)),
     )
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
-    best = value_counts(clean, columns).withColumn("r", rank).where(F.col("r") <= top).groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("top"))
+    both = lambda c, name: F.struct(F.min(c[name]).cast("date").alias("first"), F.max(c[name]).cast("date").alias("last"))
+    days = per_column(
+        clean.select(*[reading(q(c)).alias(c) for c in columns]),
+        columns,
+        days=lambda c: both(c, "day_first"),
+        months=lambda c: both(c, "month_first"),
+        day_over=lambda c: F.count_if(c["day_over"]),
+        month_over=lambda c: F.count_if(c["month_over"]),
+    )
+    best = most_frequent(clean, columns, top).groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("top"))
     kind = (
         F.when(F.col("column").isin(*native), "numeric")
         .when((F.col("booleans") == 1) & (F.col("n_unique") <= 2), "boolean")
@@ -151,7 +163,8 @@ def understand(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
         .when(F.col("multi"), "multi-select")
         .otherwise("text")
     )
-    out = r.join(F.broadcast(stats), "column").join(best, "column", "left").withColumn("kind", kind)
+    read = F.when(F.col("month_over") > F.col("day_over"), F.col("months")).otherwise(F.col("days"))
+    out = r.join(F.broadcast(stats), "column").join(F.broadcast(days), "column").join(best, "column", "left").withColumns({"kind": kind, "first_day": read["first"], "last_day": read["last"]})
     only = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), F.col(c)).alias(c)
     return out.select("column", "n", "n_unique", "kind", *[only(c, "numeric") for c in ("lo", "hi", "mean", "std")], only("first_day", "datetime"), only("last_day", "datetime"), only("top", "categorical"), only("avg_length", "text", "multi-select", "boolean"))
 
@@ -160,7 +173,7 @@ def semantic_types(df: DataFrame) -> DataFrame:
     """id_like, time_series, boolean, numeric, text or categorical, in that order of tests, with role, average length and unique values."""
     kinds = dict(df.dtypes)
     base = per_column(df, df.columns, n=lambda c: F.count(c), n_rows=lambda c: F.count(F.lit(1)), avg_length=lambda c: F.avg(F.length(c.cast("string"))), others=lambda c: F.count_if(~c.cast("string").isin("0", "1", "true", "false")))
-    unique = value_counts(df, df.columns).groupBy("column").agg(F.count("*").alias("n_unique"))
+    unique = distinct_values(df, df.columns)
     native = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit("date" if kinds[c].startswith(("date", "timestamp")) else "text" if kinds[c] == "string" else "number"))])[F.col("column")]
     kind = (
         F.when(F.try_divide("n_unique", "n_rows") >= 0.9, "id_like")
