@@ -72,7 +72,7 @@ def null_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inferred_types(spark: SparkSession, sf: str) -> DataFrame:
-    return p.rounded(t.infer_types(t.normalize_nulls(raw_orders(spark, sf)), list(COLS)))
+    return p.rounded(t.infer_types(t.normalize_nulls(raw_orders(spark, sf)), list(COLS)).drop("month_first"))
 
 
 def date_readings(spark: SparkSession, sf: str) -> DataFrame:

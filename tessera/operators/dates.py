@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import q
+from tessera.functions.frequencies import SHORT, hashed_counts
 
 #: Names of months and days of the week, in full or by three letters.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -50,7 +50,7 @@ _REWRITES = (
     _UNIX,
 )
 #: Longer texts are no dates, nor are those that don't begin with a number or a name; told before any pattern is tried.
-LONGEST, _START = 64, r"^\s*(?:\d{1,4}\D|\d{8}t|[a-z]{3})"
+LONGEST, _START = SHORT, r"^\s*(?:\d{1,4}\D|\d{8}t|[a-z]{3})"
 
 
 def _let(c: Column, body: str) -> Column:
@@ -128,17 +128,34 @@ def shape(c: Column) -> Column:
     return out
 
 
+def read_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n, read) of distinct texts, ``read`` as of ``reading``: a value that is repeated is read once.
+
+    Texts that are too long to be a date are counted by their hash; their value is null.
+    """
+    counts = hashed_counts(df, columns)
+    return counts.select("column", F.when(F.col("h1").isNull(), F.col("head")).alias("value"), "n").withColumn("read", reading(F.col("value")))
+
+
+def _sum(where: str) -> Column:
+    return F.coalesce(F.sum(F.when(F.expr(where), F.col("n"))), F.lit(0)).cast("long")
+
+
 def shapes(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, shape, n, day_over, month_over, either) of non-null texts: one pass over all columns.
 
     Of values of two numbers and a year: ``day_over`` have a first number over 12 alone (day first), ``month_over`` a second one
     (month first), ``either`` can be read both ways with different results.  Values that are no date are of the shape ``other``.
     """
-    long = df.select(*[q(c).cast("string").alias(c) for c in columns]).unpivot([], [q(c) for c in columns], "column", "value").where(F.col("value").isNotNull())
-    read = long.select("column", "value", reading(F.col("value")).alias("read"))
-    told = read.select("column", F.when(F.col("read").isNotNull(), shape(F.col("value"))).otherwise("other").alias("shape"), "read.day_over", "read.month_over", "read.either")
-    counts = [F.count_if(c).alias(c) for c in ("day_over", "month_over", "either")]
-    return told.groupBy("column", "shape").agg(F.count("*").alias("n"), *counts)
+    told = read_values(df, columns).withColumn("shape", F.when(F.col("read").isNotNull(), shape(F.col("value"))).otherwise("other"))
+    return told.groupBy("column", "shape").agg(F.sum("n").alias("n"), *[_sum(f"read.{c}").alias(c) for c in ("day_over", "month_over", "either")])
+
+
+def date_figures(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n_unique, n_dates, month_first, first, last) of each column that has a value: dates in the order that the column shows."""
+    over = F.coalesce(_sum("read.month_over") > _sum("read.day_over"), F.lit(False))
+    edge = lambda f: F.when(over, f(F.col("read.month_first"))).otherwise(f(F.col("read.day_first")))
+    return read_values(df, columns).groupBy("column").agg(F.count("*").alias("n_unique"), _sum("read IS NOT NULL").alias("n_dates"), over.alias("month_first"), edge(F.min).alias("first"), edge(F.max).alias("last"))
 
 
 def orders(counted: DataFrame) -> DataFrame:
@@ -148,8 +165,3 @@ def orders(counted: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.coalesce(F.sum(F.when(dates, F.col("n"))), F.lit(0)).alias("dates"), F.count_if(dates).alias("n_shapes"), *[F.sum(c).alias(c) for c in ("day_over", "month_over", "either")]
     )
     return out.withColumn("month_first", F.col("month_over") > F.col("day_over"))
-
-
-def month_first_columns(df: DataFrame, columns: list[str]) -> set[str]:
-    """The columns whose values put the month first: a row for each column comes to the driver."""
-    return {r["column"] for r in orders(shapes(df, columns)).where("month_first").select("column").collect()} if columns else set()

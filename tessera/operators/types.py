@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import no_nan, numeric_columns, per_column, q, value_counts
 from tessera.functions.frequencies import distinct_values, most_frequent, smallest_values
 from tessera.functions.tables import written
-from tessera.operators.dates import as_date, month_first_columns, reading
+from tessera.operators.dates import as_date, date_figures, read_values
 
 #: Texts that mean null when tables are read, and when columns are understood.
 NULL_TOKENS = ("", "null", "NULL", "n/a", "N/A")
@@ -36,23 +36,25 @@ def normalize_nulls(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> Dat
 
 
 def parse_ratios(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For each text column: non-null values and the shares that parse as number, date and boolean, and unique values."""
+    """For each text column: non-null values and the shares that parse as number, date and boolean, unique values, and whether dates put the month first.
+
+    Dates are sought among distinct values.
+    """
     share = lambda c, x: F.try_divide(F.count(x), F.count(c))
     base = per_column(
         df,
         columns,
         n=lambda c: F.count(c),
         numeric=lambda c: share(c, c.try_cast("double")),
-        dates=lambda c: share(c, as_date(c)),
         booleans=lambda c: share(c, F.when(F.lower(c).isin(*BOOLEAN), 1)),
     )
-    unique = distinct_values(df, columns)
-    return base.join(F.broadcast(unique), "column", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0)).cast("long"))
+    out = base.join(F.broadcast(date_figures(df, columns)), "column", "left").withColumns({"n_unique": F.coalesce("n_unique", F.lit(0)).cast("long"), "month_first": F.coalesce("month_first", F.lit(False))})
+    return out.select("column", "n", "numeric", F.try_divide(F.coalesce("n_dates", F.lit(0)), F.col("n")).alias("dates"), "booleans", "n_unique", "month_first", "first", "last")
 
 
 def infer_types(df: DataFrame, columns: list[str], numeric: float = 0.9, dates: float = 0.9) -> DataFrame:
-    """numeric, datetime, boolean, categorical or string for each text column, in that order of tests."""
-    r = parse_ratios(df, columns)
+    """numeric, datetime, boolean, categorical or string for each text column, in that order of tests; ``month_first`` is the order of its dates."""
+    r = parse_ratios(df, columns).drop("first", "last")
     kind = (
         F.when(F.col("n") == 0, "categorical")
         .when(F.col("numeric") >= numeric, "numeric")
@@ -70,8 +72,9 @@ def standardize(df: DataFrame) -> DataFrame:
     Dates are read in the order of day and month that the column's own values show, day first where they show none.
     """
     texts = [c for c, t in df.dtypes if t == "string"]
-    kinds = {r["column"]: r["type"] for r in infer_types(df, texts).select("column", "type").collect()} if texts else {}
-    month_first = month_first_columns(df, [c for c in texts if kinds.get(c) == "datetime"])
+    found = infer_types(df, texts).select("column", "type", "month_first").collect() if texts else []
+    kinds = {r["column"]: r["type"] for r in found}
+    month_first = {r["column"] for r in found if r["month_first"]}
     boolean = lambda c: F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False)
 
     def cast(name: str) -> Column:
@@ -83,9 +86,8 @@ def standardize(df: DataFrame) -> DataFrame:
 
 def date_readings(df: DataFrame, column: str) -> DataFrame:
     """Values, the share that parses, and the share whose day-first and month-first readings differ."""
-    c = q(column)
-    day, month = as_date(c), as_date(c, month_first=True)
-    return df.agg(F.count(c).alias("n"), F.try_divide(F.count(F.coalesce(day, month)), F.count(c)).alias("success_ratio"), F.try_divide(F.count_if(day != month), F.count(c)).alias("ambiguous_ratio"))
+    share = lambda x: F.try_divide(F.sum(F.when(x, F.col("n")).otherwise(0)), F.sum("n"))
+    return read_values(df, [column]).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), share(F.col("read").isNotNull()).alias("success_ratio"), share(F.col("read.either")).alias("ambiguous_ratio"))
 
 
 #: Values that a column's enumeration holds at most; a column of more has none.
@@ -144,15 +146,6 @@ def understand(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
         std=lambda c: F.stddev_samp(number(c)),
         avg_length=lambda c: F.avg(F.length(c)),
     )
-    both = lambda c, name: F.struct(F.min(c[name]).cast("date").alias("first"), F.max(c[name]).cast("date").alias("last"))
-    days = per_column(
-        clean.select(*[reading(q(c)).alias(c) for c in columns]),
-        columns,
-        days=lambda c: both(c, "day_first"),
-        months=lambda c: both(c, "month_first"),
-        day_over=lambda c: F.count_if(c["day_over"]),
-        month_over=lambda c: F.count_if(c["month_over"]),
-    )
     best = most_frequent(clean, columns, top).groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("top"))
     kind = (
         F.when(F.col("column").isin(*native), "numeric")
@@ -163,8 +156,7 @@ def understand(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
         .when(F.col("multi"), "multi-select")
         .otherwise("text")
     )
-    read = F.when(F.col("month_over") > F.col("day_over"), F.col("months")).otherwise(F.col("days"))
-    out = r.join(F.broadcast(stats), "column").join(F.broadcast(days), "column").join(best, "column", "left").withColumns({"kind": kind, "first_day": read["first"], "last_day": read["last"]})
+    out = r.join(F.broadcast(stats), "column").join(best, "column", "left").withColumns({"kind": kind, "first_day": F.col("first").cast("date"), "last_day": F.col("last").cast("date")})
     only = lambda c, *kinds: F.when(F.col("kind").isin(*kinds), F.col(c)).alias(c)
     return out.select("column", "n", "n_unique", "kind", *[only(c, "numeric") for c in ("lo", "hi", "mean", "std")], only("first_day", "datetime"), only("last_day", "datetime"), only("top", "categorical"), only("avg_length", "text", "multi-select", "boolean"))
 
