@@ -16,16 +16,28 @@ SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 
+#: Hashes of a sample are of so many bits: enough to keep a few rows of any number.
+SAMPLE_BITS = 62
+
+
+def sampled(rows: int, total: int) -> int:
+    """Hashes below this number keep about ``rows`` of ``total`` rows."""
+    return min(1 << SAMPLE_BITS, -(-(rows << SAMPLE_BITS) // max(total, 1)))
+
+
 def sample_by_key(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows (all, if there are no more), chosen by a hash of ``key`` and the other columns: the same on every run.
 
-    Rows of one key, null included, are chosen apart unless they are equal.
+    Rows of one key, null included, are chosen apart unless they are equal.  No row of a table that has some is an error.
     """
     total = df.count()
     if total <= rows:
         return df
     others = [c for c in df.columns if c != key]
-    return df.where(F.pmod(F.xxhash64(key, *others, F.lit(17)), F.lit(1_000_000)) < F.lit(int(1_000_000 * rows / total)))
+    out = df.where(F.shiftrightunsigned(F.xxhash64(key, *others, F.lit(17)), 64 - SAMPLE_BITS) < F.lit(sampled(rows, total)))
+    if out.isEmpty():
+        raise ValueError(f"a sample of {rows} of {total} rows is empty: are they all equal?")
+    return out
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

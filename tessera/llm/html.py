@@ -6,7 +6,10 @@ The contiguous stretch of the largest sum, found in one linear scan, is the cont
 positive are the text.  Labelled pages are those that mark their content themselves (one article or main
 element); weights are log-odds of counts over a bounded sample of them, added to fixed priors for the names of
 boilerplate, so that other templates work too.  Fixed priors of what wraps a page don't count: of html, body, elements
-with nearly all of its words, and those around its only main or article.
+with nearly all of its words, those around its only main or article, and, on pages without one, of elements that hold most of
+the running text.  A compound name tells what its head says: "sidebar-left" is a sidebar, "content-with-sidebar" is content and
+"ad-free" neither; classes of a main or article itself never tell against it, nor does a prior that the labelled pages contradict.
+Boilerplate within the only main or article is passed over at no cost, so that an article goes on after it.
 
 The tokenizer and the scan are linear in the page, whatever is left unclosed; paragraphs, list items, cells and the like
 end where HTML implies it.  A null or empty html gives an empty text; null ids and urls are passed through; repeated rows are extracted one
@@ -36,6 +39,13 @@ TO_THE_END, FLAT = frozenset(("script", "style", "textarea")), frozenset(("noscr
 CONTAINER = frozenset("article main aside nav header footer form head dialog menu".split())
 #: Words of names, classes, ids and roles that tell what a container holds.
 BESIDE = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation navi menu sidebar aside complementary footer foot form cookie cookies consent gdpr notice notices alert comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login search breadcrumb breadcrumbs pagination pager widget popup modal overlay dialog skip copyright".split())
+#: Words of compound names that say where or what kind of box, not what it holds; those that say what is not there.
+BOX = frozenset("left right top bottom box list item items wrapper wrap container inner outer block section area bar link links site page global primary secondary panel button buttons form title div row col column grid global mobile desktop fixed sticky wide small large first last one two three old new default inline unit slot group set holder region zone placeholder".split())
+LACKS = frozenset("with without has have no not non free less hide hidden is".split())
+#: Names that tell comments and the like, which running text doesn't excuse.
+NEVER_SPARED = frozenset("comment comments commentlist disqus reply replies respond nav navbar navigation navi menu footer foot cookie cookies consent breadcrumb breadcrumbs pagination pager".split())
+#: Words of a block of running text at least, and the share of those that excuses a name.
+RUNNING, MOST = 8, 0.5
 MILD = frozenset("header masthead head topbar toolbar meta byline tags".split())
 INSIDE = frozenset("article main content post entry story".split())
 #: Elements that don't wrap a page, whatever they hold.
@@ -76,13 +86,25 @@ class Weights:
         """The weight of a container's name or class word: fixed prior and learned."""
         if (w := self.prior.get(name)) is None:
             fixed = STRONG if name in BESIDE else WEAK if name in MILD else BONUS if name in INSIDE else 0.0
-            w = self.prior[name] = fixed + self.container.get(name, 0.0)
+            learned = self.container.get(name, 0.0)
+            w = self.prior[name] = learned + (fixed if fixed * learned >= 0 else 0.0)
         return w
 
     def tag_score(self, name: str) -> float:
         return max(DEEPEST_TAG, min(TAG, self.tag.get(name, TAG)))
 
 
+def heads(name: str) -> tuple[str, ...]:
+    """What a class, id or role tells: itself, if it is one word; of a compound its head, the last word that is no box, and the whole."""
+    parts = PART.findall(name)
+    if len(parts) < 2:
+        return tuple(parts)
+    if STATE.match(name) or LACKS.intersection(parts):
+        return (name,)
+    head = next((p for p in reversed(parts) if p not in BOX), parts[-1])
+    return (name, head)
+
+
 def lexed(html: str):
     """(tag name or None, is closing, attributes of an opening tag, text, where it ends) in page order; linear in the page."""
     at, last, n = 0, html.rfind(">"), len(html)
@@ -144,7 +166,9 @@ def tokens(html: str):
             opened.open(name)
         found: tuple[str, ...] = ()
         if name in CONTAINER or rest:
-            words = [p for v in NAMED.findall(rest) for w in "".join(v).lower().split() for p in ([w] if STATE.match(w) else PART.findall(w))] if rest else []
+            words = [p for v in NAMED.findall(rest) for w in "".join(v).lower().split() for p in heads(w)] if rest else []
+            if name in ("main", "article"):
+                words = [w for w in words if w not in BESIDE and w not in MILD]
             found = (name, *words) if name in CONTAINER else tuple(words)
         yield name, False, found, ""
 
@@ -206,27 +230,43 @@ class Open:
         return max(WORST_WORD, min(WORD, self.sums[-1]))
 
 
-def wrappers(page: list[tuple]) -> set[int]:
-    """Positions of the opening tags of what wraps the page."""
-    names, opened, words, held, marks = Stack(), [], 0, {}, {"main": [], "article": []}
-    for k, (name, closing, _, text) in enumerate(page):
+def wrappers(page: list[tuple]) -> tuple[set[int], int | None]:
+    """Positions of the opening tags whose fixed priors don't count, and that of the page's only article (or main), if it holds enough of the text.
+
+    Words within comments and the like, or within nav, aside and footer, say nothing here.
+    """
+    names, opened, words, held, marks = Stack(), [], 0, {}, {"article": [], "main": []}
+    running, run, beside = 0, 0, 0  # words of running text, of the block so far, and open elements beside the text
+    for k, (name, closing, found, text) in enumerate(page):
         if name is None:
-            words += len(text.split())
-        elif closing:
+            n = 0 if beside else len(text.split())
+            words += n
+            run += n
+            continue
+        if name not in INLINE or name == "a":  # a link is no running text
+            running += run if run >= RUNNING else 0
+            run = 0
+        if closing:
             if (cut := names.close(name)) is not None:
-                held.update((at, words - before) for at, before in opened[cut:])
+                held.update((at, (words - before, running - ran)) for at, before, ran, _ in opened[cut:])
+                beside -= sum(b for *_, b in opened[cut:])
                 del opened[cut:]
         elif name not in VOID and name != "raw":
             if name in marks:
-                marks[name].append((k, [at for at, _ in opened] if not marks[name] else []))
+                marks[name].append((k, [at for at, *_ in opened] if not marks[name] else []))
             names.open(name)
-            opened.append((k, words))
-    held.update((at, words - before) for at, before in opened)
-    found = {k for k, n in held.items() if n >= NEARLY_ALL * words or page[k][0] in ("html", "body")}
-    for name in ("main", "article"):
-        if len(marks[name]) == 1 and held[marks[name][0][0]] >= MARKED * words:
-            found.update(marks[name][0][1])
-    return {k for k in found if page[k][0] not in NEVER_WRAP}
+            off = name in NEVER_WRAP or not NEVER_SPARED.isdisjoint(found)
+            beside += off
+            opened.append((k, words, running, off))
+    running += run if run >= RUNNING else 0
+    held.update((at, (words - before, running - ran)) for at, before, ran, _ in opened)
+    marked = {name: own[0][0] for name, own in marks.items() if len(own) == 1 and held[own[0][0]][0] >= MARKED * words and words}
+    spared = {k for k, (n, _) in held.items() if n >= NEARLY_ALL * words or page[k][0] in ("html", "body")}
+    for name in marked:
+        spared.update(marks[name][0][1])
+    if not marked:
+        spared.update(k for k, (_, n) in held.items() if running and n > MOST * running and NEVER_SPARED.isdisjoint(page[k][2]))
+    return {k for k in spared if page[k][0] not in NEVER_WRAP}, marked.get("article", marked.get("main"))
 
 
 def extract(html: str | None, weights: Weights) -> str:
@@ -236,15 +276,21 @@ def extract(html: str | None, weights: Weights) -> str:
     state = Open(weights)
     pieces: list[tuple[float, str]] = []  # score, text; a block's end is a space
     page = list(tokens(html))
-    wide = wrappers(page)
+    wide, mark = wrappers(page)
+    depth = None  # of the marked element, while it is open
     for k, (name, closing, found, text) in enumerate(page):
         if name is None:
             text = entities.unescape(text)
             n = len(text.split())
-            pieces.append((n * state.word(), text))
+            pieces.append((n * state.word() if depth is None else max(n * state.word(), 0.0), text))
         else:
+            beside = depth is not None and state.sums[-1] <= 0
+            if k == mark:
+                depth = len(state.sums)
             state.tag(name, closing, found, k in wide)
-            pieces.append((weights.tag_score(name), "" if name in INLINE or name == "raw" else " "))
+            if depth is not None and len(state.sums) <= depth:
+                depth = None
+            pieces.append((0.0 if beside and depth is not None else weights.tag_score(name), "" if name in INLINE or name == "raw" else " "))
     best, best_at, total, begin = 0.0, (0, 0), 0.0, 0
     for i, (score, _) in enumerate(pieces):
         if total <= 0:

@@ -24,8 +24,8 @@ from .common import map_batches, sample_by_key, written
 
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-#: The bounds of the model: labelled documents (about), words and grams of an order kept for a language, languages.
-TRAIN_DOCS, WORDS, GRAMS, LANGUAGES = 20_000, 40_000, 10_000, 200
+#: The bounds of the model: labelled documents (about), words and grams of an order kept for a language.
+TRAIN_DOCS, WORDS, GRAMS = 20_000, 40_000, 10_000
 #: Words, and grams of an order, of all languages together: with many languages each keeps fewer.
 ENTRIES = 1_000_000
 #: Counts that a training task holds before it hands them on.
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS, top_g
     """Learns from text and non-null lang of about ``train_docs`` documents that are not held out.
 
     The model is bounded: the ``words`` most frequent words and ``top_grams`` most frequent grams of
-    each order for a language, and the LANGUAGES most frequent languages, so collecting it is safe.
+    each order for a language, fewer where languages are many (there are no more of them than sampled documents), so collecting it is safe.
     """
     usable = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & ~held_out())
     words_seen = written(_summed(sample_by_key(usable, "doc_id", train_docs).select("lang", "text"), _add_words), "words")
@@ -157,9 +157,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, words: int = WORDS, top_g
     total = {(r["order"], r["lang"]): r["n"] for r in both.groupBy("lang", "order").agg(F.sum("n").alias("n")).collect()}
     rank = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "gram")
     per_lang = {lang: n for (order, lang), n in total.items() if order == 0}
-    languages = sorted(sorted(per_lang, key=lambda x: (-per_lang[x], x))[:LANGUAGES])
+    languages = sorted(per_lang)  # no more than the sample has documents
     words, top_grams = (min(x, max(1, ENTRIES // max(1, len(languages)))) for x in (words, top_grams))
-    both = both.where(F.col("lang").isin(languages))
     best = [x.select("*", F.row_number().over(rank).alias("k")).where(F.col("k") <= k).drop("k") for x, k in ((both.where("order = 0"), words), (both.where("order > 0"), top_grams))]
     found = best[0].unionByName(best[1]).toArrow().to_pydict()
 

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import new_path, written
 
-MIN_REVISIT, MAX_MEMBER = 100, 1 << 28
+MIN_REVISIT = 100
+#: Bytes that a gzip member is inflated by at once: records leave memory before the next ones come.
+PIECE = 1 << 24
 #: Records of a file by the bytes of their payloads: a file is read as one row, of far less than 2 GB.
 RECORDS_PER_FILE, LONG_BYTES, LONG_PER_FILE = 1000, 256_000, 4
 #: Repeated payloads up to which their digests are broadcast (about 150 bytes each).
@@ -81,21 +83,27 @@ def _write(rows: DataFrame, path: str, records_per_file: int, date: str) -> None
     rows.withColumn("block", block).select(record.alias("value")).write.option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """Fields (lower-case names) of the lines from ``at`` to the first empty one, and where the block begins."""
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        return None
-    fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
+def _header(data: bytes | bytearray, at: int) -> tuple[dict[bytes, bytes], int] | None:
+    """Fields (lower-case names) of the lines after the one at ``at`` to the first empty one, and where the block begins.
+
+    The first line without a colon ends the attempt, so that a stretch of version lines is read once.
+    """
+    fields: dict[bytes, bytes] = {}
+    begin = data.find(b"\r\n", at)
+    while begin >= 0:
+        begin += 2
+        end = data.find(b"\r\n", begin)
+        if end == begin:
+            return fields, begin + 2
+        colon = data.find(b":", begin, end) if end >= 0 else -1
+        if colon < 0:
             return None
-        fields[name.strip().lower()] = value.strip()
-    return fields, stop + 4
+        fields[bytes(data[begin:colon]).strip().lower()] = bytes(data[colon + 1 : end]).strip()
+        begin = end
+    return None
 
 
-def parse_record(data: bytes, at: int) -> tuple[int | None, dict | str]:
+def parse_record(data: bytes | bytearray, at: int) -> tuple[int | None, dict | str]:
     """The end of the record at ``at``, and the record or why it fails; no end: its length can't be trusted."""
     if not RECORD.match(data, at):
         return None, "no version line"
@@ -107,7 +115,7 @@ def parse_record(data: bytes, at: int) -> tuple[int | None, dict | str]:
     end = begin + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
         return None, "wrong length"
-    block = data[begin:end]
+    block = bytes(data[begin:end])
     wanted = fields.get(b"warc-block-digest", b"")
     if wanted.startswith(b"sha256:") and hashlib.sha256(block).hexdigest().encode() != wanted[7:]:
         return end + 4, "wrong block digest"
@@ -125,22 +133,58 @@ def parse_record(data: bytes, at: int) -> tuple[int | None, dict | str]:
     return end + 4, {"kind": kind, "record_id": text(b"warc-record-id"), "target": text(b"warc-target-uri"), "refers_to": text(b"warc-refers-to"), "digest": digest or None, "payload_bytes": n_bytes, "payload": payload}
 
 
-def salvage(data: bytes, max_member: int = MAX_MEMBER) -> Iterator[dict]:
+class Inflated:
+    """The text of the gzip member at ``at``, inflated piece by piece as it is asked for."""
+
+    def __init__(self, data: bytes, at: int, piece: int = PIECE):
+        self.unzip, self.rest, self.piece, self.size = zlib.decompressobj(31), memoryview(data)[at:], piece, len(data)
+
+    def more(self) -> bytes:
+        """The next piece; empty at the end of the member, an error where it is broken or cut."""
+        while not self.unzip.eof:
+            out = self.unzip.decompress(self.rest, self.piece)
+            self.rest = self.unzip.unconsumed_tail
+            if out:
+                return out
+            if not self.rest and not self.unzip.eof:
+                raise zlib.error("cut member")
+        return b""
+
+    def end(self) -> int:
+        return self.size - len(self.unzip.unused_data)
+
+
+def _member(data: bytes, at: int, piece: int) -> tuple[list[dict], int | None, str]:
+    """Records and gaps of the gzip member at ``at``, its end, and why it fails; a record is parsed when it has come whole."""
+    source, held, found, done = Inflated(data, at, piece), bytearray(), [], False
+    try:
+        while not done:
+            wanted = len(held) + piece  # twice as much each time: a long record is parsed a few times only
+            while len(held) < wanted and not done:
+                done = not (got := source.more())
+                held += got
+            place = 0
+            while not done and place < len(held):
+                end, got = parse_record(held, place)
+                if not isinstance(got, dict):
+                    break  # cut by the piece, or damaged: told when more has come
+                found.append(got)
+                place = end
+            del held[:place]
+            piece = max(piece, len(held))
+    except zlib.error:
+        return [], None, "broken member"
+    return found + list(salvage(bytes(held))), source.end(), ""
+
+
+def salvage(data: bytes, piece: int = PIECE) -> Iterator[dict]:
     """Records and gaps of an archive, in order; every byte belongs to one of them or to a good gzip member."""
     at, gap, why = 0, None, ""
     while at < len(data):
-        found, reason, end = [], "", None
+        found, reason = [], ""
         if data.startswith(b"\x1f\x8b", at):
-            unzip = zlib.decompressobj(31)
-            try:
-                member = unzip.decompress(memoryview(data)[at:], max_member)
-                if not unzip.eof:
-                    reason = "cut or oversized member"
-                else:
-                    end = len(data) - len(unzip.unused_data)
-                    found = [x | {"first": at, "last": end} for x in salvage(member, max_member)]
-            except zlib.error:
-                reason = "broken member"
+            own, end, reason = _member(data, at, piece)
+            found = [x | {"first": at, "last": end} for x in own]
         else:
             end, got = parse_record(data, at)
             if isinstance(got, dict):

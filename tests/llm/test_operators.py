@@ -546,7 +546,7 @@ def test_region_is_the_best_of_all():
         page = "".join(f'<div class="{r.choice(["ad", "x", "menu", "y"])}">' + " ".join(f"w{k}" for k in r.integers(0, 99, r.integers(1, 30))) + "</div>" for _ in range(12))
         state, pieces = html.Open(html.Weights()), []
         t = list(html.tokens(page))
-        wide = html.wrappers(t)
+        wide, _ = html.wrappers(t)
         for k, (name, closing, found, text) in enumerate(t):
             if name is None:
                 pieces.append((len(text.split()) * state.word(), text))
