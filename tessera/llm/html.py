@@ -230,13 +230,13 @@ class Open:
         return max(WORST_WORD, min(WORD, self.sums[-1]))
 
 
-def wrappers(page: list[tuple]) -> tuple[set[int], int | None]:
-    """Positions of the opening tags whose fixed priors don't count, and that of the page's only article (or main), if it holds enough of the text.
+def _held(page: list[tuple], within: set[int] | None) -> tuple[dict[int, tuple[int, int]], dict[str, list[tuple[int, list[int]]]], int, int]:
+    """Words and words of running text that each opening tag holds, article and main tags with what is open around them, and both sums.
 
-    Words within comments and the like, or within nav, aside and footer, say nothing here.
+    What nav, aside, footer, comments and the like hold isn't counted, unless they are ``within`` (None: all is counted).
     """
-    names, opened, words, held, marks = Stack(), [], 0, {}, {"article": [], "main": []}
-    running, run, beside = 0, 0, 0  # words of running text, of the block so far, and open elements beside the text
+    names, opened, held, marks = Stack(), [], {}, {"article": [], "main": []}
+    words, running, run, beside = 0, 0, 0, 0  # run: words of the block so far; beside: open elements beside the text
     for k, (name, closing, found, text) in enumerate(page):
         if name is None:
             n = 0 if beside else len(text.split())
@@ -255,13 +255,21 @@ def wrappers(page: list[tuple]) -> tuple[set[int], int | None]:
             if name in marks:
                 marks[name].append((k, [at for at, *_ in opened] if not marks[name] else []))
             names.open(name)
-            off = name in NEVER_WRAP or not NEVER_SPARED.isdisjoint(found)
+            off = within is not None and k not in within and (name in NEVER_WRAP or not NEVER_SPARED.isdisjoint(found))
             beside += off
             opened.append((k, words, running, off))
     running += run if run >= RUNNING else 0
     held.update((at, (words - before, running - ran)) for at, before, ran, _ in opened)
-    marked = {name: own[0][0] for name, own in marks.items() if len(own) == 1 and held[own[0][0]][0] >= MARKED * words and words}
+    return held, marks, words, running
+
+
+def wrappers(page: list[tuple]) -> tuple[set[int], int | None]:
+    """Positions of the opening tags whose fixed priors don't count, and that of the page's only article (or main), if it holds enough of the text."""
+    held, marks, words, _ = _held(page, None)
     spared = {k for k, (n, _) in held.items() if n >= NEARLY_ALL * words or page[k][0] in ("html", "body")}
+    around = {at for own in marks.values() if len(own) == 1 for at in own[0][1]}
+    held, marks, words, running = _held(page, {k for k in spared | around if page[k][0] not in NEVER_WRAP})
+    marked = {name: own[0][0] for name, own in marks.items() if len(own) == 1 and words and held[own[0][0]][0] >= MARKED * words}
     for name in marked:
         spared.update(marks[name][0][1])
     if not marked:
