@@ -35,6 +35,12 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
 
 ORDERS = "(SELECT *, (o_orderpriority IN ('1-URGENT', '2-HIGH'))::INT AS treated, 0.1::DOUBLE + 0.8::DOUBLE * ((o_orderkey * 37) % 1000) / 1000 AS score, c_nationkey::DOUBLE AS nation FROM orders JOIN customer ON o_custkey = c_custkey)"
 
+#: The four nearest controls of each treated order, by all pairs.
+FOUR = f"""SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY d, control_score, control_key) AS INTEGER) AS rank FROM (
+ SELECT a.o_orderkey AS key, a.o_totalprice AS y, b.o_orderkey AS control_key, b.o_totalprice AS cy, b.score AS control_score, abs(a.score - b.score) AS d FROM {ORDERS} a JOIN {ORDERS} b ON a.treated = 1 AND b.treated = 0 AND a.o_custkey % 4 = 0 AND b.o_custkey % 4 = 0)
+ QUALIFY rank <= 4 AND d <= 0.001"""
+
+
 def sums(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
     """Count, mean and deviation of columns: a digest of derived columns."""
     return p.rounded(per_column(df, columns, n=lambda x: F.count(x), mean=lambda x: F.avg(x), sd=lambda x: F.stddev_samp(x)), digits)
@@ -120,6 +126,16 @@ def matched_pairs(spark, sf):
     return p.rounded(x.select("key", "control_key", "control_score"), 9)
 
 
+def many_controls(spark, sf):
+    """The four controls nearest to each treated order, over scores that tie, within a caliper."""
+    x = c.match_controls(orders(spark, sf).where("o_custkey % 4 = 0"), "o_orderkey", "treated", "o_totalprice", "score", k=4, caliper=0.001)
+    return p.rounded(x.select("key", "rank", "control_key", "control_score"), 9)
+
+
+def many_controls_effect(spark, sf):
+    return p.rounded(c.controls_effect(c.match_controls(orders(spark, sf).where("o_custkey % 4 = 0"), "o_orderkey", "treated", "o_totalprice", "score", k=4, caliper=0.001)), 3)
+
+
 def matched_effect(spark, sf):
     o = c.propensity(orders(spark, sf), "treated", ["c_acctbal", "nation"], "p")
     return p.rounded(c.matched_effect(c.match_nearest(o, "o_orderkey", "treated", "o_totalprice", "p", caliper=0.05)), 2)
@@ -283,12 +299,18 @@ def nearest_rows(spark, sf):
     return p.rounded(m.nearest_rows(cust, "c_custkey", ["c_acctbal", "nation"], "c_acctbal", 0.1, cust.orderBy("c_custkey").limit(5)), 5)
 
 
+def nearest_of_each(spark, sf):
+    """The customer nearest to each customer with a tenth more on the account, by a tree of cells."""
+    cust = table(spark, sf, "customer").withColumn("nation", F.col("c_nationkey").cast("double"))
+    return p.rounded(m.nearest_rows(cust, "c_custkey", ["c_acctbal", "nation"], "c_acctbal", 0.1, cust), 5)
+
+
 def cox_hazards(spark, sf):
     x = lifetimes(spark, sf).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("balance", F.col("c_acctbal") / 1000)
     return p.rounded(cox(x, "duration", "event", ["balance"]), 3)
 
 
-QUERIES = {x.__name__: x for x in (upgraded_difference, clustered_regression, model_effects, forest_effects, auto_config, category_candidates, group_parts, imputed_numbers, imputed_categories, scaled_standard, scaled_robust, scaled_quantile, one_hot, feature_products, feature_crosses, without_constants, lower_texts, components, lasso, target_candidates, model_shortlist, weighted_effect, matched_pairs, matched_effect, instrument, difference_in_differences, did_regression, pre_trend, robustness, robustness_bootstrap, business_effect, effect_candidates, scenarios, sign_stability, coefficient_stability, driver, profit_proxies, key_results, outcome_ranking, outcome_scores, treatment_scores, time_scores, instrument_scores, group_scores, id_scores, category_codes, role_decisions, clusters, anomalies, importances, model_comparison, nearest_rows, cox_hazards)}
+QUERIES = {x.__name__: x for x in (upgraded_difference, clustered_regression, model_effects, forest_effects, auto_config, category_candidates, group_parts, imputed_numbers, imputed_categories, scaled_standard, scaled_robust, scaled_quantile, one_hot, feature_products, feature_crosses, without_constants, lower_texts, components, lasso, target_candidates, model_shortlist, weighted_effect, matched_pairs, many_controls, many_controls_effect, matched_effect, instrument, difference_in_differences, did_regression, pre_trend, robustness, robustness_bootstrap, business_effect, effect_candidates, scenarios, sign_stability, coefficient_stability, driver, profit_proxies, key_results, outcome_ranking, outcome_scores, treatment_scores, time_scores, instrument_scores, group_scores, id_scores, category_codes, role_decisions, clusters, anomalies, importances, model_comparison, nearest_rows, nearest_of_each, cox_hazards)}
 
 DID = "avg(o_totalprice) FILTER (WHERE {} (o_orderdate >= '1998-04-01') AND treated = {})"
 EFFECT = "avg(o_totalprice) FILTER (WHERE treated = 1) - avg(o_totalprice) FILTER (WHERE treated = 0)"
@@ -352,6 +374,11 @@ SELECT problem, n_rows, features, CASE WHEN problem = 'regression' THEN greatest
     "matched_pairs": f"""WITH s AS (SELECT o_orderkey AS key, treated AS t, score + o_orderkey / 1e9::DOUBLE AS p FROM {ORDERS}), a AS (SELECT * FROM s WHERE t = 1), b AS (SELECT p, min(key) AS key FROM s WHERE t = 0 GROUP BY 1),
 l AS (SELECT a.key, a.p, b.p AS l FROM a ASOF LEFT JOIN b ON a.p >= b.p), r AS (SELECT a.key, b.p AS r FROM a ASOF LEFT JOIN b ON a.p <= b.p), c AS (SELECT l.key, CASE WHEN l IS NOT NULL AND (r IS NULL OR l.p - l <= r - l.p) THEN l ELSE r END AS cp FROM l JOIN r ON l.key = r.key)
 SELECT c.key, b.key AS control_key, round(c.cp, 9) AS control_score FROM c JOIN b ON b.p = c.cp""",
+    "many_controls": f"SELECT key, rank, control_key, round(control_score, 9) AS control_score FROM ({FOUR})",
+    "many_controls_effect": f"""WITH m AS ({FOUR})
+SELECT (SELECT count(DISTINCT key) FROM m) AS treated, (SELECT count(DISTINCT control_key) FROM m) AS controls, round((SELECT avg(y) FROM (SELECT DISTINCT key, y FROM m)) - (SELECT avg(cy) FROM (SELECT DISTINCT control_key, cy FROM m)), 3) AS att, round((SELECT avg(gap) FROM (SELECT any_value(y) - avg(cy) AS gap FROM m GROUP BY key)), 3) AS att_own""",
+    "nearest_of_each": """WITH s AS (SELECT avg(c_acctbal) AS ma, stddev_pop(c_acctbal) AS sa, avg(c_nationkey) AS mn, stddev_pop(c_nationkey) AS sn FROM customer), z AS (SELECT c_custkey AS k, (c_acctbal - ma) / sa AS a, (c_acctbal * 1.1::DOUBLE - ma) / sa AS c, (c_nationkey - mn) / sn AS n FROM customer, s)
+SELECT asked_key, arg_min(k, (d, k)) AS nearest_key, round(min(d), 5) AS distance FROM (SELECT x.k AS asked_key, y.k, sqrt(pow(x.c - y.a, 2) + pow(x.n - y.n, 2)) AS d FROM z x JOIN z y ON x.k <> y.k) GROUP BY 1""",
     "instrument": f"""WITH s AS (SELECT l_extendedprice AS z, net AS t, net * (1 + l_tax) AS y FROM {LINES}), m AS (SELECT count(*) AS n, covar_samp(z, y) / covar_samp(z, t) AS b, corr(z, t) AS r, avg(y) AS my, avg(t) AS mt, avg(z) AS mz FROM s)
 SELECT round(any_value(b), 4) AS coefficient, round(any_value(r * r / (1 - r * r) * (n - 2)), 4) AS first_stage_f, round(sqrt(sum(pow((z - mz) * ((y - my) - b * (t - mt)), 2)) * any_value(n / (n - 2)::DOUBLE)) / abs(sum((z - mz) * (t - mt))), 4) AS se_hc1, count(*) AS n FROM s, m""",
     "difference_in_differences": f"""WITH c AS (SELECT {DID.format("", 1)} AS a, {DID.format("NOT", 1)} AS b, {DID.format("", 0)} AS c, {DID.format("NOT", 0)} AS d FROM {ORDERS})

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import corr, numeric_columns, per_column, q, value_counts
 from tessera.functions.distributions import normal_ppf, on_rows, t_two_sided
+from tessera.functions.ranks import ranged, running
 from tessera.functions.tables import written
 from tessera.operators.describe import bins_of
 from tessera.operators.relate import correlations, fold_grams, gram, inverse
@@ -88,6 +89,44 @@ def match_nearest(df: DataFrame, key: str, treatment: str, outcome: str, score:
     return rows.where("t = 1").join(picked, "p").select("key", "y", F.col("p").alias("score"), F.col("m.c.key").alias("control_key"), F.col("m.c.y").alias("control_y"), F.col("m.p").alias("control_score"))
 
 
+#: Control points that are looked through together.
+BLOCK = 64
+
+
+def match_controls(df: DataFrame, key: str, treatment: str, outcome: str, score: str, k: int = 1, caliper: float | None = None) -> DataFrame:
+    """The k controls nearest by score for each treated row, with replacement, nearest first; ties go to the smaller score, then key.
+
+    (key, y, score, rank, control_key, control_y, control_score); all controls, if there are fewer than k.  Control scores are
+    numbered in order across ranges.  A treated row needs the k points before and after its own place alone, so it is joined with
+    one block of points, which holds k points of its neighbours on either side: linear in the rows, whatever k.
+    """
+    rows = written(df.select(q(key).alias("key"), q(treatment).cast("int").alias("t"), q(outcome).cast("double").alias("y"), q(score).cast("double").alias("p")).where("p IS NOT NULL AND t IS NOT NULL"), "scores")
+    # Of many controls with one score, the k smallest keys can be chosen.
+    order = F.row_number().over(Window.partitionBy("p").orderBy("key", "y"))
+    few = rows.where("t = 0").withColumn("i", order).where(F.col("i") <= k).groupBy("p").agg(F.sort_array(F.collect_list(F.struct("key", "y"))).alias("controls"))
+    asked = rows.where("t = 1").select("p").distinct()
+    points = asked.withColumn("asked", F.lit(True)).join(few, "p", "full").withColumn("one", F.col("controls").isNotNull().cast("long"))
+    placed = written(running(ranged(points, "p"), "p", {"place": "one"}).select("p", "asked", "controls", "place"), "places")
+    block = lambda place: F.floor(place / BLOCK)
+    reached = F.explode(F.sequence(block(F.col("place") - k), block(F.col("place") + k))).alias("block")
+    blocks = placed.where("controls IS NOT NULL").select("p", "controls", "place", reached).groupBy("block").agg(F.collect_list(F.struct("place", "p", "controls")).alias("points"))
+    near = placed.where("asked").select(F.col("p").alias("at"), "place", block(F.col("place")).alias("block")).join(blocks, "block")
+    within = F.filter("points", lambda x: (x["place"] > F.col("place") - k) & (x["place"] <= F.col("place") + k))
+    each = F.flatten(F.transform(within, lambda x: F.transform(x["controls"], lambda c: F.struct(F.abs(F.col("at") - x["p"]).alias("d"), x["p"].alias("control_score"), c["key"].alias("control_key"), c["y"].alias("control_y")))))
+    best = near.select("at", F.posexplode(F.slice(F.array_sort(each), 1, k)).alias("i", "m"))
+    if caliper is not None:
+        best = best.where(F.col("m.d") <= caliper)
+    best = best.select(F.col("at").alias("p"), (F.col("i") + 1).alias("rank"), "m.control_key", "m.control_y", "m.control_score")
+    return rows.where("t = 1").join(best, "p").select("key", "y", F.col("p").alias("score"), "rank", "control_key", "control_y", "control_score")
+
+
+def controls_effect(matches: DataFrame) -> DataFrame:
+    """Of ``match_controls``: mean outcome of the distinct treated less that of the distinct controls, and the mean gap of a treated row to its own controls."""
+    own = matches.groupBy("key").agg(F.first("y").alias("y"), F.avg("control_y").alias("c")).agg(F.count("*").alias("treated"), F.avg("y").alias("treated_mean"), F.avg(F.col("y") - F.col("c")).alias("att_own"))
+    controls = matches.groupBy("control_key").agg(F.first("control_y").alias("y")).agg(F.count("*").alias("controls"), F.avg("y").alias("control_mean"))
+    return own.crossJoin(controls).select("treated", "controls", (F.col("treated_mean") - F.col("control_mean")).alias("att"), "att_own")  # single rows
+
+
 def matched_effect(matches: DataFrame) -> DataFrame:
     """Mean outcome of the treated less that of the distinct matched controls, and of the pairs."""
     controls = matches.groupBy("control_key").agg(F.first("control_y").alias("y")).agg(F.avg("y").alias("control_mean"), F.count("*").alias("controls"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
@@ -10,9 +12,9 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import q
@@ -135,8 +137,8 @@ def compare_models(df: DataFrame, key: str, columns: list[str], target: str, mod
     return df.sparkSession.createDataFrame(found, "model string, metric string, value double")
 
 
-#: Candidate clusterings compare by silhouette; asked rows that are broadcast at most.
-CLUSTERS, ASKED = (2, 3, 4, 5, 6), 10_000
+#: Candidate clusterings compare by silhouette.
+CLUSTERS = (2, 3, 4, 5, 6)
 
 
 def tuned(df: DataFrame, key: str, columns: list[str], target: str, model: str, grid: dict[str, list]) -> DataFrame:
@@ -160,18 +162,67 @@ def cluster_candidates(df: DataFrame, columns: list[str], sizes: tuple[int, ...]
     return df.sparkSession.createDataFrame(sorted(found, key=lambda r: -r[1]), "k int, silhouette double")
 
 
+#: Asked rows that are compared with every row; columns whose quantile bins make the cells of a tree, bins of each (a power of two), rows of a leaf (about).
+FEW, SPLIT, BIN_BITS, LEAF = 100, 3, 10, 32
+
+
 def nearest_rows(df: DataFrame, key: str, columns: list[str], changed: str, pct: float, asked: DataFrame) -> DataFrame:
-    """For asked keys (a small set): the real row nearest to the row with ``changed`` moved by ``pct``, standardized.
+    """For asked keys: the real row nearest to the row with ``changed`` moved by ``pct``, standardized; ties by the smaller key.
 
-    The asked rows (an error beyond ASKED) are broadcast; each other row is compared with them once and only the nearest is kept.
+    A few asked rows are broadcast.  More of them walk a tree of cells together (``_nearest_by_cells``): no nested loop.
     """
-    if (k := asked.select(q(key)).limit(ASKED + 1).count()) > ASKED:
-        raise ValueError(f"over {ASKED} asked rows ({k}): ask in blocks")
     row = df.agg(*[x for c in columns for x in (F.avg(q(c)), F.stddev_pop(q(c)))]).first()
     z = lambda c, i: (c - F.lit(row[2 * i])) / F.lit(row[2 * i + 1] or 1.0)
     rows = df.dropna(subset=columns)
-    base = rows.join(F.broadcast(asked.select(q(key))), key, "left_semi").select(q(key).alias("asked_key"), *[z(q(c) * (1 + pct) if c == changed else q(c), i).alias(f"a{i}") for i, c in enumerate(columns)])
-    other = rows.select(q(key).alias("nearest_key"), *[z(q(c), i).alias(f"b{i}") for i, c in enumerate(columns)])
-    d = F.sqrt(reduce(lambda a, b: a + b, [(F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(len(columns))]))
-    pairs = other.join(F.broadcast(base), F.col("nearest_key") != F.col("asked_key")).withColumn("distance", d)
-    return pairs.groupBy("asked_key").agg(F.min(F.struct("distance", "nearest_key")).alias("m")).select("asked_key", "m.nearest_key", "m.distance")
+    keys = asked.select(q(key).alias("asked_key")).distinct()
+    few = keys.limit(FEW + 1).count() <= FEW
+    own = rows.join(F.broadcast(keys) if few else keys, q(key) == F.col("asked_key"), "left_semi").select(q(key).alias("asked_key"), *[z(q(c) * (1 + pct) if c == changed else q(c), i).cast("double").alias(f"a{i}") for i, c in enumerate(columns)])
+    other = rows.select(q(key).alias("nearest_key"), *[z(q(c), i).cast("double").alias(f"b{i}") for i, c in enumerate(columns)])
+    if few:
+        pairs = other.join(F.broadcast(own), F.col("nearest_key") != F.col("asked_key"))
+    else:
+        pairs = _nearest_by_cells(own, other, len(columns))
+    near = pairs.withColumn("distance", F.sqrt(_sum((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(len(columns)))))
+    return near.groupBy("asked_key").agg(F.min(F.struct("distance", "nearest_key")).alias("m")).select("asked_key", "m.nearest_key", "m.distance")
+
+
+def _sum(terms: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
+def _nearest_by_cells(own: DataFrame, other: DataFrame, k: int) -> DataFrame:
+    """Pairs of asked rows (asked_key, a0..) and rows (nearest_key, b0..) among which each asked row's nearest is.
+
+    Rows get a code whose bits alternate between quantile bins of the first columns; its leading bits are a cell.  From the whole table down, an
+    asked row keeps the cells whose box could hold a nearer row than the farthest corner of the best box: bounds, so
+    nothing is lost.  All asked rows go down a level at once by an equi-join on the cell.
+    """
+    dims = range(min(k, SPLIT))
+    edges = other.agg(*[F.percentile_approx(f"b{i}", [j / (1 << BIN_BITS) for j in range(1, 1 << BIN_BITS)], 10_000) for i in dims]).first()
+    n = other.count()
+    coded = other
+    for i in dims:
+        splits = [float("-inf"), *sorted(set(edges[i] or [])), float("inf")]
+        binned = Bucketizer(splits=splits, inputCol=f"b{i}", outputCol=f"_bin{i}").transform(coded) if len(splits) > 2 else coded.withColumn(f"_bin{i}", F.lit(0))
+        coded = binned.withColumn(f"_bin{i}", F.col(f"_bin{i}").cast("int"))
+    bits = [F.shiftright(F.col(f"_bin{i}"), BIN_BITS - 1 - level).bitwiseAND(1).cast("long") for level in range(BIN_BITS) for i in dims]
+    depth = max(1, min(len(bits), math.ceil(math.log2(max(n, 2) / LEAF))))
+    code = reduce(lambda a, b: a * 2 + b, bits[:depth])
+    coded = written(coded.withColumn("leaf", code).drop(*[f"_bin{i}" for i in dims]), "coded")
+    box = [x for i in range(k) for x in (F.min(f"b{i}").alias(f"lo{i}"), F.max(f"b{i}").alias(f"hi{i}"))]
+    leaves = written(coded.groupBy("leaf").agg(F.min("nearest_key").alias("k0"), F.max("nearest_key").alias("k1"), *box), "leaves")
+    merged = [x for i in range(k) for x in (F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"))]
+    frontier = written(own.withColumn("cell", F.lit(0).cast("long")), "asked")
+    levels = [*range(2 * len(dims), depth, 2 * len(dims)), depth]
+    for above, level in zip([0, *levels[:-1]], levels, strict=True):
+        cell = F.shiftright("leaf", depth - level)
+        cells = leaves.groupBy(cell.alias("inner")).agg(F.min("k0").alias("k0"), F.max("k1").alias("k1"), *merged).withColumn("cell", F.shiftright("inner", level - above))
+        down = frontier.join(cells, "cell")
+        gap = lambda i: F.greatest(F.col(f"lo{i}") - F.col(f"a{i}"), F.col(f"a{i}") - F.col(f"hi{i}"), F.lit(0.0))
+        far = lambda i: F.greatest(F.abs(F.col(f"lo{i}") - F.col(f"a{i}")), F.abs(F.col(f"a{i}") - F.col(f"hi{i}")))
+        # A cell of one key may hold the asked row alone: no bound.
+        most = F.when(F.col("k0") != F.col("k1"), _sum(far(i) ** 2 for i in range(k))).otherwise(float("inf"))
+        told = down.withColumns({"least": _sum(gap(i) ** 2 for i in range(k)), "most": most})
+        bound = F.min("most").over(Window.partitionBy("asked_key"))
+        frontier = written(told.withColumn("bound", bound).where("least <= bound").select("asked_key", *[f"a{i}" for i in range(k)], F.col("inner").alias("cell")), "frontier")
+    return frontier.withColumnRenamed("cell", "leaf").join(coded, "leaf").where(F.col("nearest_key") != F.col("asked_key"))
