@@ -133,3 +133,47 @@ def products(df: DataFrame, columns: list[str], fold: Column | None) -> tuple[in
         full = np.concatenate([found[f * blocks + i].reshape(-1, k + 1) for i in range(blocks)])
         out[f] = (int(round(full[k, k])), full[k, :k].copy(), full[:k, :k].copy())
     return n, shift, out
+
+
+def _poisson_table(mean: float) -> np.ndarray:
+    """The Poisson count of each of 2^16 equal steps of (0, 1)."""
+    u, counts, term, at = (np.arange(1 << 16) + 0.5) / (1 << 16), np.zeros(1 << 16), np.exp(-mean), np.exp(-mean)
+    for i in range(1, 40):
+        counts += u >= at
+        term *= mean / i
+        at += term
+    return counts
+
+
+POISSON = _poisson_table(1.0)
+
+
+def replicate_weights(hashes: np.ndarray, replicates: int) -> np.ndarray:
+    """(rows, replicates): Poisson counts of mean 1 from 16 bits for each row and replicate, which a splitmix step draws from the row's hash."""
+    with np.errstate(over="ignore"):
+        x = hashes.astype(np.int64).view(np.uint64)[:, None] + (np.arange(1, -(-replicates // 4) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return POISSON[(x ^ (x >> np.uint64(31))).view("<u2")[:, :replicates]]
+
+
+def replicate_sums(df: DataFrame, key: Column, columns: list[str], pairs: list[tuple[int, int]], replicates: int) -> np.ndarray:
+    """(replicates, 1 + columns + pairs): sums of weights, weighted columns and weighted products on Poisson bootstraps.
+
+    The weights of a batch are a matrix, so all replicates are one product of matrices: rows are not repeated.  Rows with a missing
+    value are left out; columns should be near their means.
+    """
+    k, m = len(columns), 1 + len(columns) + len(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((replicates, m))
+        for b in batches:
+            x = _matrix(b, k)
+            whole = ~np.isnan(x).any(1)
+            x = x[whole]
+            z = np.column_stack([np.ones(len(x)), x, *[x[:, i] * x[:, j] for i, j in pairs]])
+            total += replicate_weights(b.column(k).to_numpy()[whole], replicates).T @ z
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["key", "data"])
+
+    found = _added(_doubles(df, columns, key.alias("_hash")).mapInArrow(run, "key long, data binary"))
+    return found.get(0, np.zeros(replicates * m)).reshape(replicates, m)

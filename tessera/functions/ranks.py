@@ -45,6 +45,44 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
     return counts.select("value", "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
+def ranked_rows(df: DataFrame, column: str) -> DataFrame:
+    """Rows with ``rank`` (average of ties, from 1), ``ties`` (how many rows share the value) and ``is_first`` (one row of each value).
+
+    Rows are dealt by ranges of the value and a number drawn for each row, so that a value of many rows is split over tasks
+    evenly.  Ranks and ties are counted within a range; a row for each range tells what comes before it, and how many ties of
+    its first and last value lie beyond its edges.  No join on values.  Rows without a value are left out.
+    """
+    rows = df.where(q(column).isNotNull()).withColumn("_x", q(column).cast("double")).withColumn("_salt", F.rand(17))
+    rows = written(rows.repartitionByRange("_x", "_salt").withColumn("_part", F.spark_partition_id()), "ranked")
+    within = Window.partitionBy("_part").orderBy("_x")
+    told = rows.withColumns({"_r": F.rank().over(within), "_e": F.count("*").over(Window.partitionBy("_part", "_x")), "_i": F.row_number().over(Window.partitionBy("_part", "_x").orderBy("_salt"))})
+    told = written(told, "ranks-in-parts")
+    ends = told.groupBy("_part").agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.min_by("_e", "_x").alias("n_lo"), F.max_by("_e", "_x").alias("n_hi")).orderBy("_part").collect()
+    carried, base = [], 0
+    for i, e in enumerate(ends):  # a row for each range
+        before = after = 0
+        for j in range(i - 1, -1, -1):
+            if ends[j]["hi"] != e["lo"]:
+                break
+            before += ends[j]["n_hi"]
+            if ends[j]["lo"] != e["lo"]:
+                break
+        for j in range(i + 1, len(ends)):
+            if ends[j]["lo"] != e["hi"]:
+                break
+            after += ends[j]["n_lo"]
+            if ends[j]["hi"] != e["hi"]:
+                break
+        carried.append((e["_part"], base, e["lo"], e["hi"], before, after))
+        base += e["n"]
+    edges = df.sparkSession.createDataFrame(carried, "_part int, _base long, _lo double, _hi double, _before long, _after long")
+    out = told.join(F.broadcast(edges), "_part")
+    earlier = F.when(F.col("_x") == F.col("_lo"), F.col("_before")).otherwise(0)
+    ties = F.col("_e") + earlier + F.when(F.col("_x") == F.col("_hi"), F.col("_after")).otherwise(0)
+    less = F.col("_base") + F.col("_r") - 1 - earlier
+    return out.select(*[q(c) for c in df.columns], (less + (ties + 1) / 2.0).alias("rank"), ties.alias("ties"), ((F.col("_i") == 1) & (earlier == 0)).alias("is_first"))
+
+
 def running(parts: DataFrame, column: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """``parts`` (from ``ranged``) with running sums of columns in the order of ``column``, its own row included."""
     order = lambda c: F.desc(c) if descending else F.col(c).asc()

@@ -94,7 +94,7 @@ def strongest_impact(spark, sf):
 
 
 def spearman(spark, sf):
-    return p.rounded(r.spearman(lines(spark, sf), "l_quantity", "net"))
+    return p.rounded(r.spearman(lines(spark, sf), "l_quantity", "net").drop("p"))
 
 
 def kruskal(spark, sf):

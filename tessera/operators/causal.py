@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import grams
 from tessera.functions.columns import corr, numeric_columns, per_column, q, value_counts
 from tessera.functions.distributions import normal_ppf, on_rows, t_two_sided
 from tessera.functions.ranks import ranged, running
@@ -437,21 +438,24 @@ def model_effects(df: DataFrame, columns: list[str], target: str, spread: float
 def sign_stability(df: DataFrame, key: str, columns: list[str], replicates: int = 200, least: float = 0.2) -> DataFrame:
     """The share of Poisson bootstrap replicates in which a correlation keeps its sign, for pairs of |r| >= least.
 
-    All pairs and replicates in one pass: weighted sums of products by replicate.
+    All pairs and replicates in one pass: weights of a batch are a matrix, and no row is repeated.
     """
     pairs = [(r["a"], r["b"], r["r"]) for r in correlations(df, columns).where(F.abs("r") >= least).collect()]
     spark = df.sparkSession
     if not pairs:
         return spark.createDataFrame([], "a string, b string, r double, stability double")
-    means = df.agg(*[F.avg(q(c)).alias(str(i)) for i, c in enumerate(columns)]).first()
-    x = {c: q(c).cast("double") - F.lit(means[i]) for i, c in enumerate(columns)}
     used = sorted({c for a, b, _ in pairs for c in (a, b)})
-    rows = df.dropna(subset=used).select(q(key).alias("_key"), *[x[c].alias(c) for c in used], F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
-    w = F.col("_w")
-    sums = rows.withColumn("_w", poisson(F.xxhash64("_key", "_r"))).groupBy("_r").agg(F.sum(w).alias("n"), *[F.sum(w * q(c)).alias(f"s_{c}") for c in used], *[F.sum(w * q(a) * q(b)).alias(f"p_{i}") for i, (a, b, _) in enumerate(pairs)])
-    cov = [(F.col(f"p_{i}") - q(f"s_{a}") * q(f"s_{b}") / F.col("n")).alias(f"c_{i}") for i, (a, b, _) in enumerate(pairs)]
-    one = sums.select(*cov).agg(*[F.avg((F.signum(f"c_{i}") == F.lit(float(np.sign(r)))).cast("double")).alias(str(i)) for i, (_, _, r) in enumerate(pairs)])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(r).alias("r"), F.col(f"`{i}`").alias("stability")) for i, (a, b, r) in enumerate(pairs)])))
+    means = df.agg(*[F.avg(q(c).cast("double")).alias(str(i)) for i, c in enumerate(used)]).first()
+    near = df.select(q(key).alias("_key"), *[(q(c).cast("double") - F.lit(means[i])).alias(c) for i, c in enumerate(used)])
+    at = {c: i for i, c in enumerate(used)}
+    sums = grams.replicate_sums(near, F.xxhash64("_key"), used, [(at[a], at[b]) for a, b, _ in pairs], replicates)
+    n, first, products = sums[:, :1], sums[:, 1 : 1 + len(used)], sums[:, 1 + len(used) :]
+    mean = first / np.maximum(n, 1)
+    rows = []
+    for i, (a, b, r) in enumerate(pairs):
+        cov = products[:, i] - mean[:, at[a]] * first[:, at[b]]
+        rows.append((a, b, r, float(np.mean(np.sign(cov) == np.sign(r)))))
+    return spark.createDataFrame(rows, "a string, b string, r double, stability double")
 
 
 def coefficient_stability(df: DataFrame, key: str, columns: list[str], target: str, folds: int = 5) -> DataFrame:

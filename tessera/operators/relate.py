@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import grams
 from tessera.functions.columns import corr, per_column, q
 from tessera.functions.distributions import chi2_sf, f_sf, normal_sf, on_rows, t_two_sided
-from tessera.functions.ranks import average_ranks, quantiles
+from tessera.functions.ranks import quantiles, ranked_rows
 from tessera.functions.selection import group_quantiles
 from tessera.functions.tables import written
 from tessera.operators.describe import bins_of
@@ -195,22 +195,25 @@ def strongest_impact(impact: DataFrame) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Rows with the average rank of a number; no global window."""
-    ranks = average_ranks(df.select(q(column).cast("double").alias("x")), "x").select(F.col("value").alias(f"{name}_value"), F.col("rank").alias(name))
-    return df.join(ranks, q(column).cast("double") == F.col(f"{name}_value")).drop(f"{name}_value")
+    """Rows that have a number, with its average rank; no global window and no join on values."""
+    return ranked_rows(df, column).drop("ties", "is_first").withColumnRenamed("rank", name)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Spearman's rho of complete pairs, their number, and the two-sided p of its t with n - 2 degrees (null for fewer than 3 pairs)."""
     whole = df.where(q(a).isNotNull() & q(b).isNotNull()).select(q(a).alias("a"), q(b).alias("b"))
-    return with_ranks(with_ranks(whole, "a", "ra"), "b", "rb").agg(corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    out = with_ranks(with_ranks(whole, "a", "ra"), "b", "rb").agg(corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
+    p = F.when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(on_rows(t_two_sided)(t, F.when(F.col("n") > 2, F.col("n") - 2)))
+    return out.withColumn("p", F.when(F.col("n") > 2, p))
 
 
 def _rank_sums(df: DataFrame, group: str, column: str) -> tuple[DataFrame, DataFrame]:
     whole = df.where(q(group).isNotNull() & q(column).isNotNull()).select(q(group).cast("string").alias("g"), q(column).cast("double").alias("x"))
-    ranks = average_ranks(whole, "x")
-    sums = whole.join(ranks, F.col("x") == F.col("value")).groupBy("g").agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"))
-    t = F.col("n").cast("double")
-    return sums, ranks.agg(F.sum("n").cast("double").alias("total"), F.sum(t * t * t - t).alias("ties"))
+    ranks = written(ranked_rows(whole, "x").select("g", "rank", "ties", "is_first"), "group-ranks")
+    sums = ranks.groupBy("g").agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"))
+    t = F.col("ties").cast("double")
+    return sums, ranks.agg(F.count("*").cast("double").alias("total"), F.sum(F.when(F.col("is_first"), t * t * t - t)).alias("ties"))
 
 
 def kruskal(df: DataFrame, group: str, column: str) -> DataFrame:
