@@ -152,3 +152,19 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str
             else:
                 open_[k] = bracket
     return out
+
+
+#: Rows of a block of an ordered series.
+SERIES_BLOCK = 8192
+
+
+def blocked(series: DataFrame, order: str, halo: int, rows: int = SERIES_BLOCK) -> DataFrame:
+    """A series in blocks of ``rows`` for centred frames: ``pos`` (from 0, over the whole series), ``block``, and ``is_own``.
+
+    Each block holds ``halo`` rows of its neighbours on either side as well (not its own), so a frame of that reach, within a block and in
+    the order of ``pos``, sees what it would see in one window over everything.
+    """
+    placed = running(ranged(series.withColumn("_one", F.lit(1).cast("long")), order), order, {"_place": "_one"})
+    placed = placed.withColumn("pos", F.col("_place") - 1).drop("_one", "_place", "part")
+    at = lambda c: F.floor(c / rows)
+    return placed.withColumn("block", F.explode(F.sequence(at(F.greatest(F.col("pos") - halo, F.lit(0))), at(F.col("pos") + halo)))).withColumn("is_own", F.col("block") == at(F.col("pos")))

@@ -85,6 +85,18 @@ def anova(spark, sf):
     return p.rounded(r.anova(table(spark, sf, "events"), "event_type", "value").drop("p"))
 
 
+def chi_squares(spark, sf):
+    """All pairs of five columns at once, one of them of two levels with another."""
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", (F.col("o_orderkey") % 2).alias("odd"), F.nullif(F.col("o_custkey") % 7, F.lit(3)).alias("rest"), F.col("o_orderpriority").startswith("1").alias("urgent"))
+    return p.rounded(r.chi_squares(o, list(combinations(o.columns, 2))).drop("p"), 5)
+
+
+def anovas(spark, sf):
+    """Four numbers by three categories at once."""
+    x = lines(spark, sf).withColumn("sparse", F.when(F.col("l_linenumber") > 1, F.col("l_tax")))
+    return p.rounded(r.anovas(x, ["l_returnflag", "l_linestatus", "l_linenumber"], ["l_quantity", "net", "l_tax", "sparse"]).drop("p"), 5)
+
+
 def category_impact(spark, sf):
     return p.rounded(r.category_impact(lines(spark, sf), "l_returnflag", ["l_quantity", "net"]).drop("p"), 4)
 
@@ -187,7 +199,7 @@ def kaplan_meier(spark, sf):
     return p.rounded(ts.kaplan_meier(lifetimes(spark, sf), "duration", "event"))
 
 
-QUERIES = {f.__name__: f for f in (crosstab, correlations, wide_correlations, group_quartiles, correlated_pairs, correlation_clusters, numbers_by_category, sankey, chi_square, chi_square_p, anova, category_impact, strongest_impact, spearman, kruskal, mann_whitney, group_medians, vif_two, mutual_information, scale_economies, counterintuitive, list_values, top_variance, scatter_sample, period_sums, decomposition, rolling_outliers, outcome_by_time, impact_by_year, calendar, cohorts_monthly, cohorts_daily, kaplan_meier)}
+QUERIES = {f.__name__: f for f in (crosstab, correlations, wide_correlations, group_quartiles, correlated_pairs, correlation_clusters, numbers_by_category, sankey, chi_square, chi_square_p, chi_squares, anova, anovas, category_impact, strongest_impact, spearman, kruskal, mann_whitney, group_medians, vif_two, mutual_information, scale_economies, counterintuitive, list_values, top_variance, scatter_sample, period_sums, decomposition, rolling_outliers, outcome_by_time, impact_by_year, calendar, cohorts_monthly, cohorts_daily, kaplan_meier)}
 
 
 def corr_sql(source: str) -> str:
@@ -229,7 +241,26 @@ def cohort_sql(user: str, date: str, source: str, month: bool) -> str:
 SELECT c.cohort, c.period_number, c.users, round(c.users::DOUBLE / b.users, 6) AS retention FROM c JOIN c b ON b.cohort = c.cohort AND b.period_number = 0"""
 
 
+PAIRED = "(SELECT o_orderstatus, o_orderpriority, o_orderkey % 2 AS odd, nullif(o_custkey % 7, 3) AS rest, o_orderpriority LIKE '1%' AS urgent FROM orders)"
+
+
+def pair_chi_sql(a: str, b: str) -> str:
+    """Chi-square over all cells, those that don't occur included."""
+    return f"""SELECT '{a}' AS first, '{b}' AS second, round(chi2, 5) AS chi2, degrees, round(sqrt(chi2 / n / least(k1 - 1, k2 - 1)), 5) AS cramers_v FROM (
+ SELECT sum(pow(abs(coalesce(o, 0) - r * c / n) - CASE WHEN k1 = 2 AND k2 = 2 THEN least(0.5, abs(coalesce(o, 0) - r * c / n)) ELSE 0 END, 2) / (r * c / n)) AS chi2, (k1 - 1) * (k2 - 1) AS degrees, n, k1, k2
+ FROM (SELECT {a} AS a, count(*)::DOUBLE AS r FROM {PAIRED} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1) CROSS JOIN (SELECT {b} AS b, count(*)::DOUBLE AS c FROM {PAIRED} WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1)
+ LEFT JOIN (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS o FROM {PAIRED} GROUP BY 1, 2) USING (a, b), (SELECT count(*)::DOUBLE AS n, count(DISTINCT {a}) AS k1, count(DISTINCT {b}) AS k2 FROM {PAIRED} WHERE {a} IS NOT NULL AND {b} IS NOT NULL) GROUP BY n, k1, k2) WHERE degrees > 0"""
+
+
+def anova_sql(g: str, x: str) -> str:
+    return f"""SELECT '{g}' AS category, '{x}' AS "column", round((b / (k - 1)) / (w / (n - k)), 5) AS f, k - 1 AS d1, n - k AS d2, round(b / (b + w), 5) AS eta2 FROM (
+ SELECT count(*) AS k, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS b, sum((n - 1) * v) AS w, (SELECT count(*) FROM lineitem) AS n, min(n) AS least FROM (
+ SELECT {g} AS g, count({x}) AS n, avg({x}) AS m, var_samp({x}) AS v FROM (SELECT *, CASE WHEN l_linenumber > 1 THEN l_tax END AS sparse FROM {LINES}) GROUP BY 1 HAVING count({x}) > 0)) WHERE least >= 2 AND k >= 2"""
+
+
 ORACLES = {
+    "chi_squares": union(pair_chi_sql(a, b) for a, b in combinations(("o_orderstatus", "o_orderpriority", "odd", "rest", "urgent"), 2)),
+    "anovas": union(anova_sql(g, x) for g in ("l_returnflag", "l_linestatus", "l_linenumber") for x in ("l_quantity", "net", "l_tax", "sparse")),
     "wide_correlations": "SELECT unnest([" + ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': {'NULL::DOUBLE' if 'same' in (a, b) else f'round(corr({a}, {b}), 6)'}}}" for a, b in combinations(WIDE, 2)) + f"], recursive := true) FROM {WIDE_SQL}",
     "group_quartiles": "SELECT l_returnflag, l_linestatus, count(*) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice, {x}), 6) AS q{i}" for i, x in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))) + " FROM lineitem GROUP BY ALL",
     "crosstab": """WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n FROM orders GROUP BY 1, 2) SELECT x.a AS first, y.b AS second, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY x.a)::DOUBLE, 6) AS share

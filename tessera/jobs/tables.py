@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tessera.operators import describe as d
 from tessera.operators import profile as p
 from tessera.operators import types as t
 from tessera.operators.dates import orders, shapes
-from tessera.sources import head, read_csv, read_json, sink, table, tail
+from tessera.sources import head, json_column, read_csv, read_json, sink, table, tail
 
 
 def raw_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,6 +51,37 @@ def read_json_table(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select("s_suppkey", F.col("`at.nation`").alias("nation"), F.col("`at.money.balance`").alias("balance"))
 
 
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of records as the lines of one array."""
+    first, line = True, lambda *x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["value"])
+    yield line("[")
+    for b in batches:
+        values = b.column(0).to_pylist()
+        yield line(*[v if first and not i else f", {v}" for i, v in enumerate(values)])
+        first = first and not values
+    yield line("]")
+
+
+def as_arrays(df: DataFrame, path: str) -> None:
+    """Writes rows as JSON files that each hold one array of records."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).mapInArrow(_bracketed, "value string").write.text(path)
+
+
+def read_json_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of arrays of nested records, with braces, quotes and backslashes in texts."""
+    path = new_path(spark, "json-array")
+    c = table(spark, sf, "customer")
+    as_arrays(c.select("c_custkey", F.concat(F.lit('{"\\} ['), "c_name", F.lit("\n]")).alias("name"), F.struct(F.col("c_nationkey").alias("nation"), F.struct(F.col("c_acctbal").alias("balance")).alias("money")).alias("at")), path)
+    flat = read_json(spark, path)
+    return flat.select("c_custkey", F.length("name").cast("long").alias("length"), F.col("`at.nation`").alias("nation"), F.col("`at.money.balance`").alias("balance"))
+
+
+def json_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """A text column of JSON as columns of its own: events and the sum of ids by its value."""
+    e = json_column(table(spark, sf, "events").select("event_id", "props"), "props", "k long")
+    return e.groupBy(F.col("`props.k`").alias("k")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 def json_props(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     keys = F.json_object_keys("props")
@@ -231,7 +264,7 @@ def two_levels(spark: SparkSession, sf: str) -> DataFrame:
     return d.two_levels(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-QUERIES = {f.__name__: f for f in (read_csv_table, read_json_table, json_props, head_and_tail, sink_round_trip, null_tokens, inferred_types, standardized_times, date_orders, date_shapes, exported_dates, file_summary, date_readings, column_schema, date_format, understood, semantic_types, downcast_plan, pattern_columns, mixed_types, clean_names, cleaned_texts, dropped_incomplete, filled_median, expanded_lists, change_report, describe_categories, describe_dates, date_shares, histogram, box_plot, bar_counts, density_sample, two_levels)}
+QUERIES = {f.__name__: f for f in (read_csv_table, read_json_table, read_json_array, json_columns, json_props, head_and_tail, sink_round_trip, null_tokens, inferred_types, standardized_times, date_orders, date_shapes, exported_dates, file_summary, date_readings, column_schema, date_format, understood, semantic_types, downcast_plan, pattern_columns, mixed_types, clean_names, cleaned_texts, dropped_incomplete, filled_median, expanded_lists, change_report, describe_categories, describe_dates, date_shares, histogram, box_plot, bar_counts, density_sample, two_levels)}
 
 COLS = ("key", "cust", "day", "priority", "note", "stamp")
 NUMBER = r"regexp_matches({}, '^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$')"
@@ -282,6 +315,8 @@ def mixed_sql(x: str) -> str:
 ORACLES = {
     "read_csv_table": "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1",
     "read_json_table": "SELECT s_suppkey, s_nationkey::BIGINT AS nation, s_acctbal AS balance FROM supplier",
+    "read_json_array": "SELECT c_custkey, (length(c_name) + 8)::BIGINT AS length, c_nationkey::BIGINT AS nation, c_acctbal AS balance FROM customer",
+    "json_columns": "SELECT CAST(props->>'k' AS BIGINT) AS k, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1",
     "json_props": "SELECT name, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS name FROM events) GROUP BY 1",
     "head_and_tail": "(SELECT o_orderkey, o_custkey FROM orders ORDER BY 1 LIMIT 10) UNION ALL (SELECT o_orderkey, o_custkey FROM orders ORDER BY 1 DESC LIMIT 10)",
     "sink_round_trip": "SELECT count(*) AS n, count(*) FILTER (WHERE l_linenumber <> 1) AS n_tax, round(sum(l_tax) FILTER (WHERE l_linenumber <> 1), 4) AS tax FROM lineitem",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -244,7 +245,7 @@ def insight_flags(df: DataFrame, numeric: list[str], categorical: list[str], tes
     Significance is tested between the first ``tested`` columns of each kind.  A clustering's silhouette and the share of
     anomalies count where they are given (see ``models``).
     """
-    from tessera.operators.relate import anova, chi_square, vif
+    from tessera.operators.relate import anovas, chi_squares, vif
 
     n = column_profile(df, numeric)
     t = top_values(df, categorical, 1)
@@ -266,13 +267,11 @@ def insight_flags(df: DataFrame, numeric: list[str], categorical: list[str], tes
     ]
     levels = {r["column"]: r["n_unique"] for r in c.collect()}
     groups = [x for x in categorical if 2 <= levels[x] <= 50][:tested]
-    pair = lambda a, b: F.lit(f"{a}~{b}").alias("column")
-    for a in groups:
-        for b in numeric[:tested]:
-            found.append(anova(df, a, b).where("p < 0.05").select(rule("anova"), pair(a, b), v("eta2"), _level(F.col("eta2"), ETA, "very small").alias("level")))
-    for i, a in enumerate(groups):
-        for b in groups[i + 1 :]:
-            found.append(chi_square(df, a, b).where("p < 0.05").select(rule("chi_square"), pair(a, b), v("cramers_v"), _level(F.col("cramers_v"), CRAMER, "very weak").alias("level")))
+    # All pairs together: a fixed number of passes, whatever the columns.
+    f = anovas(df, groups, numeric[:tested]).where("p < 0.05")
+    found.append(f.select(rule("anova"), F.concat_ws("~", "category", "column").alias("column"), v("eta2"), _level(F.col("eta2"), ETA, "very small").alias("level")))
+    x = chi_squares(df, list(combinations(groups, 2))).where("p < 0.05")
+    found.append(x.select(rule("chi_square"), F.concat_ws("~", "first", "second").alias("column"), v("cramers_v"), _level(F.col("cramers_v"), CRAMER, "very weak").alias("level")))
     if len(numeric) > 1:
         found.append(vif(df, numeric).where("vif > 5").select(rule("vif"), "column", v("vif"), none))
     given = [("silhouette", silhouette, "clear" if silhouette > 0.5 else "weak")] if silhouette is not None and not 0.2 <= silhouette <= 0.5 else []

@@ -140,30 +140,63 @@ def sankey(df: DataFrame, category: str, column: str, bins: int = 5) -> DataFram
     return df.where(x.isNotNull() & q(category).isNotNull()).groupBy(q(category).alias("category"), bins_of(x, edges).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def chi_squares(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(first, second, chi2, degrees, p, cramers_v) of each pair of columns: independence, with Yates' correction for 2 x 2; no row where a side has one level.
+
+    One pass counts the cells of all pairs (map-side first); sums over cells that occur are enough: chi2 = n (sum of o^2 / (r c) - 1).
+    """
+    empty = "first string, second string, chi2 double, degrees long, p double, cramers_v double"
+    if not pairs:
+        return df.sparkSession.createDataFrame([], empty)
+    text = lambda c: q(c).cast("string")
+    each = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), text(a).alias("a"), text(b).alias("b")) for a, b in pairs])).alias("x")
+    cells = df.select(each).select("x.*").where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy("first", "second", "a", "b").agg(F.count("*").alias("o"))
+    cells = written(cells, "cells")
+    pair = ["first", "second"]
+    rows, columns = cells.groupBy(*pair, "a").agg(F.sum("o").alias("r")), cells.groupBy(*pair, "b").agg(F.sum("o").alias("c"))
+    sums = rows.groupBy(*pair).agg(F.sum("r").alias("n"), F.count("*").alias("k1"), F.sum(1 / F.col("r")).alias("ir")).join(columns.groupBy(*pair).agg(F.count("*").alias("k2"), F.sum(1 / F.col("c")).alias("ic")), pair)
+    o, r, c = F.col("o").cast("double"), F.col("r"), F.col("c")
+    parts = cells.join(rows, [*pair, "a"]).join(columns, [*pair, "b"])
+    by_pair = parts.groupBy(*pair).agg(F.sum(o * o / r / c).alias("s"), F.max_by(F.struct("o", "r", "c"), F.struct("a", "b")).alias("cell"))
+    s = by_pair.join(sums, pair).where((F.col("k1") > 1) & (F.col("k2") > 1))
+    n = F.col("n").cast("double")
+    # In a 2 x 2 table all four cells are equally far from what is expected.
+    gap = F.abs(F.col("cell.o") - F.col("cell.r") * F.col("cell.c") / n)
+    yates = F.pow(F.greatest(gap - 0.5, F.lit(0.0)), F.lit(2)) * n * F.col("ir") * F.col("ic")
+    chi2 = F.when((F.col("k1") == 2) & (F.col("k2") == 2), yates).otherwise(F.greatest(n * (F.col("s") - 1), F.lit(0.0)))
+    s = s.select(*pair, "n", "k1", "k2", chi2.alias("chi2"), ((F.col("k1") - 1) * (F.col("k2") - 1)).cast("long").alias("degrees"))
+    return s.select(*pair, "chi2", "degrees", on_rows(chi2_sf)("chi2", "degrees").alias("p"), F.sqrt(F.try_divide(F.col("chi2"), F.col("n") * (F.least("k1", "k2") - 1))).alias("cramers_v"))
+
+
 def chi_square(df: DataFrame, first: str, second: str) -> DataFrame:
     """Chi-square of independence (Yates correction for 2 x 2), degrees, p and Cramer's V from the corrected value; no row for one level."""
-    cells = crosstab(df, first, second)
-    by = lambda c: F.sum("n").over(Window.partitionBy(c))
-    total = cells.agg(F.sum("n").alias("total"), F.countDistinct("first").alias("k1"), F.countDistinct("second").alias("k2"))
-    e = cells.withColumns({"r": by("first"), "c": by("second")}).join(F.broadcast(total)).withColumn("e", F.col("r") * F.col("c") / F.col("total"))  # one row
-    d = F.abs(F.col("n") - F.col("e"))
-    d = d - F.when((F.col("k1") == 2) & (F.col("k2") == 2), F.least(F.lit(0.5), d)).otherwise(0.0)
-    s = e.groupBy("total", "k1", "k2").agg(F.sum(F.try_divide(d * d, F.col("e"))).alias("chi2"))
-    degrees = ((F.col("k1") - 1) * (F.col("k2") - 1)).cast("long")
-    s = s.where(degrees > 0)
-    return s.select("chi2", degrees.alias("degrees"), on_rows(chi2_sf)("chi2", degrees).alias("p"), F.sqrt(F.try_divide(F.col("chi2"), F.col("total") * (F.least("k1", "k2") - 1))).alias("cramers_v"))
+    return chi_squares(df, [(first, second)]).drop("first", "second")
 
 
-def anova(df: DataFrame, category: str, column: str) -> DataFrame:
-    """One-way F, p and eta squared; nothing if a group has fewer than two values, F null without spread within groups. Within degrees count all rows."""
-    x = q(column).cast("double")
-    rows = df.count()
-    g = df.where(x.isNotNull() & q(category).isNotNull()).groupBy(q(category).alias("g")).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.var_samp(x).alias("v"))
+def anovas(df: DataFrame, categories: list[str], columns: list[str]) -> DataFrame:
+    """(category, column, f, d1, d2, p, eta2) of each category and number, from one pass over the levels of all categories.
+
+    Nothing if a group has fewer than two values, F null without spread within groups. Within degrees count all rows.
+    """
+    if not categories or not columns:
+        return df.sparkSession.createDataFrame([], "category string, column string, f double, d1 long, d2 long, p double, eta2 double")
+    levels = F.inline(F.array(*[F.struct(F.lit(c).alias("category"), q(c).cast("string").alias("g")) for c in categories]))
+    long = df.select(levels, *[q(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    x = [F.col(f"_{i}") for i in range(len(columns))]
+    # Rows without a level are counted too.
+    g = written(long.groupBy("category", "g").agg(F.count(F.lit(1)).alias("rows"), *[F.struct(F.count(c).alias("n"), F.avg(c).alias("m"), F.var_samp(c).alias("v")).alias(f"s{i}") for i, c in enumerate(x)]), "moments")
+    rows = g.groupBy("category").agg(F.sum("rows").alias("rows"))
+    each = g.where("g IS NOT NULL").select("category", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("s")) for i, c in enumerate(columns)]))).select("category", "column", "s.*").where("n > 0")
     grand = F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n"))
-    s = g.agg(F.count("*").alias("k"), F.min("n").alias("least"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum("n") * grand * grand).alias("ssb"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
-    s = s.where((F.col("least") >= 2) & (F.col("k") >= 2)).withColumns({"d1": F.col("k") - 1, "d2": F.lit(rows) - F.col("k")})
+    s = each.groupBy("category", "column").agg(F.count("*").alias("k"), F.min("n").alias("least"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum("n") * grand * grand).alias("ssb"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"))
+    s = s.where((F.col("least") >= 2) & (F.col("k") >= 2)).join(F.broadcast(rows), "category").withColumns({"d1": F.col("k") - 1, "d2": F.col("rows") - F.col("k")})
     f = F.try_divide(F.try_divide(F.greatest("ssb", F.lit(0.0)), F.col("d1")), F.try_divide("ssw", "d2"))
-    return s.select(f.alias("f"), "d1", "d2", on_rows(f_sf)(f, "d1", "d2").alias("p"), F.try_divide("ssb", F.col("ssb") + F.col("ssw")).alias("eta2"))
+    return s.select("category", "column", f.alias("f"), "d1", "d2", on_rows(f_sf)(f, "d1", "d2").alias("p"), F.try_divide("ssb", F.col("ssb") + F.col("ssw")).alias("eta2"))
+
+
+def anova(df: DataFrame, category: str, column: str) -> DataFrame:
+    """One-way F, p and eta squared; nothing if a group has fewer than two values, F null without spread within groups. Within degrees count all rows."""
+    return anovas(df, [category], [column]).drop("category", "column")
 
 
 def category_impact(df: DataFrame, category: str | Column, columns: list[str], min_count: int = 10) -> DataFrame:

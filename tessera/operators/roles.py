@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import corr, date_columns, numeric_columns, per_column, q
 from tessera.functions.frequencies import hashed_counts
 from tessera.functions.distributions import f_sf, on_rows
-from tessera.operators.relate import chi_square, correlations
+from tessera.operators.relate import chi_squares, correlations
 from tessera.operators.types import as_date
 
 #: Levels of a treatment at most, of a group at least and at most.
@@ -101,7 +101,7 @@ def _relation(df: DataFrame, columns: list[str], outcome: str | None, by_r: bool
         m = level_moments(df, columns, outcome)
         value = F.abs("r") if by_r else 1 - on_rows(f_sf)("f", "d1", "d2")
     else:
-        m = reduce(DataFrame.unionByName, [chi_square(df, c, outcome).select(F.lit(c).alias("column"), "p") for c in columns])
+        m = chi_squares(df, [(c, outcome) for c in columns]).select(F.col("first").alias("column"), "p")
         value = 1 - F.col("p")
     return m.select("column", F.coalesce(value, F.lit(0.0)).alias("relation"))
 

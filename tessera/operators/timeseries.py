@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import q
-from tessera.functions.ranks import ranged, running
+from tessera.functions.ranks import blocked, ranged, running
+from tessera.functions.tables import written
 
 PERIODS = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 
@@ -17,26 +18,31 @@ def period_sums(df: DataFrame, date: str, value: str, period: str = "D") -> Data
     return df.where(q(date).isNotNull() & q(value).isNotNull()).groupBy(at.alias("period")).agg(F.sum(q(value).cast("double")).alias("value"))
 
 
+def _centred(series: DataFrame, width: int) -> tuple[DataFrame, WindowSpec]:
+    """A series in blocks with halos, and the frame of ``width`` rows around each of its rows."""
+    half = width // 2
+    return blocked(series, "period", half), Window.partitionBy("block").orderBy("pos").rowsBetween(-half, half)
+
+
 def decompose(series: DataFrame, season: int = 7) -> DataFrame:
     """Trend (centered moving average), seasonal part by position, and the rest of (period, value).
 
-    Windows run over the aggregated series, whose rows are periods.  Under ten periods there is no result.
+    Frames run within blocks that hold the rows of their neighbours they need: no window over the whole series.  Under ten periods there is no result.
     """
-    order = Window.orderBy("period")
-    half = season // 2
-    frame = order.rowsBetween(-half, half)
-    s = series.select("period", "value", (F.row_number().over(order) - 1).alias("pos"), F.count("*").over(frame).alias("k"), F.avg("value").over(frame).alias("ma"), F.count("*").over(Window.partitionBy()).alias("n")).where("n >= 10")
-    s = s.withColumn("trend", F.when(F.col("k") == season, F.col("ma"))).withColumn("slot", F.col("pos") % season)
+    rows, frame = _centred(series.select("period", "value"), season)
+    n = series.agg(F.count("*").alias("n"))
+    s = rows.withColumns({"k": F.count("*").over(frame), "ma": F.avg("value").over(frame)}).where("is_own").crossJoin(n).where("n >= 10")  # one row
+    s = written(s.select("period", "value", F.when(F.col("k") == season, F.col("ma")).alias("trend"), (F.col("pos") % season).alias("slot")), "trend")
     means = s.where("trend IS NOT NULL").groupBy("slot").agg(F.avg(F.col("value") - F.col("trend")).alias("m"))
-    centered = means.select("slot", (F.col("m") - F.avg("m").over(Window.partitionBy())).alias("seasonal"))
+    centered = means.select("slot", (F.col("m") - F.avg("m").over(Window.partitionBy())).alias("seasonal"))  # a row for each position
     return s.join(F.broadcast(centered), "slot", "left").select("period", "value", "trend", "seasonal", (F.col("value") - F.col("trend") - F.col("seasonal")).alias("resid"))
 
 
 def rolling_outliers(series: DataFrame, width: int = 7, threshold: float = 3.0) -> DataFrame:
     """Periods whose value is ``threshold`` rolling deviations from the rolling mean (within 7 rows at most 2.27)."""
-    frame = Window.orderBy("period").rowsBetween(-(width // 2), width // 2)
+    rows, frame = _centred(series.select("period", "value"), width)
     z = (F.col("value") - F.avg("value").over(frame)) / F.nullif(F.stddev_samp("value").over(frame), F.lit(0.0))
-    return series.withColumns({"k": F.count("*").over(frame), "z": z}).where((F.col("k") == width) & (F.abs("z") > threshold)).select("period", "value", "z")
+    return rows.withColumns({"k": F.count("*").over(frame), "z": z}).where((F.col("k") == width) & (F.abs("z") > threshold) & F.col("is_own")).select("period", "value", "z")
 
 
 def outcome_by_time(df: DataFrame, date: str, outcome: str, periods: str = "YQMW") -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import no_nan, q
+from tessera.functions.tables import new_path
+from tessera.sources.json_arrays import read_arrays
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,8 +38,8 @@ def flattened(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """An array of records or one object, or (``lines``, which can be split) a record a line; nested structs flattened."""
-    return flattened(spark.read.json(path, multiLine=not lines))
+    """An array of records or one object, or (``lines``) a record a line; nested structs flattened. Either is read by many tasks."""
+    return flattened(spark.read.json(path) if lines else read_arrays(spark, path))
 
 
 def json_column(df: DataFrame, column: str, schema: str) -> DataFrame:
@@ -43,8 +48,21 @@ def json_column(df: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def records(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """A posted list of records."""
-    return spark.createDataFrame(rows)
+    """A posted list of records: columns in the order they first occur, what a record lacks is null, NaN and infinities too; nested records flattened."""
+    path = new_path(spark, "posted")
+    spark.createDataFrame([(json.dumps(_finite(r), default=str),) for r in rows], "value string").write.text(path)
+    df = spark.read.json(path)
+    order = list(dict.fromkeys(k for r in rows for k in r))
+    return flattened(df.select(*[q(c) for c in order if c in df.columns]))
+
+
+def _finite(x: object) -> object:
+    """NaN and infinities, for which JSON has no words, as null, however deep."""
+    if isinstance(x, dict):
+        return {k: _finite(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_finite(v) for v in x]
+    return None if isinstance(x, float) and not math.isfinite(x) else x
 
 
 def head(df: DataFrame, key: str, n: int = 10) -> DataFrame:
