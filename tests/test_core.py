@@ -1,6 +1,7 @@
 """The reference's own operators: semantics on small frames, distributions, properties, and all SQL on the smallest tables."""
 
 import math
+import os
 
 import duckdb
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from conftest import SF
+from conftest import ROOT, SF
 from tessera.functions import distributions as dist
 from tessera.functions.ranks import average_ranks, gaps
 from tessera.operators import causal, clean, describe, features, models, profile, relate, timeseries, types
@@ -169,9 +170,25 @@ def test_time_and_charts(spark):
     assert describe.histogram(flat.where("x > 9"), "x").count() == 0
 
 
-def test_entry_without_training_data_package():
-    names = set(__spark_entry__.queries())
-    assert set(core_queries()) <= names
+ENTRY = "import __spark_entry__ as e; n = set(e.queries()); print(len(n), sum(x.startswith('op') or x == 'pipeline' for x in n), set(e.oracle_sql()) <= n)"
+
+
+@pytest.mark.parametrize("broken", [False, True])
+def test_entry_without_training_data_package(tmp_path, broken):
+    """On a copy without the package and the pipeline all other queries register; a package that is there but fails is an error."""
+    import shutil
+    import subprocess
+    import sys
+
+    shutil.copytree(ROOT / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if broken:
+        (tmp_path / "corpus_pipeline.py").write_text("import a_wheel_that_is_missing")
+    got = subprocess.run([sys.executable, "-c", ENTRY], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    if broken:
+        assert got.returncode and "a_wheel_that_is_missing" in got.stderr
+    else:
+        assert got.stdout.split() == [str(len(core_queries())), "0", "True"], got.stderr
 
 
 @pytest.mark.parametrize("rows", [[], [("a", "x", 1.0, 2.0)], [("a", "x", 1.0, 1.0)] * 2, [("a", "x", 1.0, 1.0), ("b", "x", 1.0, 1.0)] * 3])
