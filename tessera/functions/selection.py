@@ -81,3 +81,23 @@ def _narrowed(rows: DataFrame, open_: DataFrame, keys: list[str], most: int = MO
     keep = lambda c: F.when(holds, F.col(c)).otherwise(F.col(f"{c}0")).alias(c)
     ready = ~holds | (F.col("within") <= most) | (F.col("lo") == F.col("hi")) | (F.col("within") == F.col("within0"))
     return written(tallied.select(*keys, "j", "place", keep("lo"), keep("hi"), keep("below"), keep("within"), ready.alias("ready")), "narrowed")
+
+
+#: Buckets of an order in [0, 1) among which the last one to take is sought.
+BUCKETS = 4096
+
+
+def smallest_of_groups(df: DataFrame, keys: list[str], order: str, wanted: Column) -> DataFrame:
+    """Rows with ``is_taken``: of each group exactly ``wanted`` (a function of its size ``n``) rows, those of the smallest ``order`` (a number in [0, 1)); null keys are a group.
+
+    Buckets of the order are counted by group, and only the bucket that the edge falls into is ranked: no group comes together.
+    """
+    at = F.floor(F.col(order) * BUCKETS)
+    counts = written(df.groupBy(*keys, at.alias("_bucket")).agg(F.count("*").alias("_n")), "buckets")
+    within = Window.partitionBy(*keys)
+    told = counts.withColumns({"n": F.sum("_n").over(within), "_upto": F.sum("_n").over(within.orderBy("_bucket"))}).withColumn("_wanted", wanted)
+    edge = told.where("_upto >= _wanted AND _upto - _n < _wanted").select(*keys, F.col("_bucket").alias("_edge"), (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_left"))
+    rows = df.join(_renamed(written(edge, "edges"), keys), _on(keys), "left").drop(*[f"_k_{k}" for k in keys]).withColumn("_bucket", at)
+    sure = rows.where("_edge IS NULL OR _bucket <> _edge").withColumn("is_taken", F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)))
+    close = rows.where("_bucket = _edge").withColumn("is_taken", F.row_number().over(within.orderBy(order)) <= F.col("_left"))
+    return sure.unionByName(close).drop("_edge", "_left", "_bucket")

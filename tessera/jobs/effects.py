@@ -294,6 +294,33 @@ def model_comparison(spark, sf):
     return p.rounded(m.compare_models(lines(spark, sf).withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "k", ["l_quantity", "l_extendedprice", "l_discount"], "net"), 2)
 
 
+def class_split(spark, sf):
+    """Held-out rows of each class: exactly a fifth, rounded."""
+    rows = m.split(table(spark, sf, "lineitem").withColumn("k", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "k", 0.2, "l_returnflag")
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if("is_validation").alias("held_out"))
+
+
+def classifiers(spark, sf):
+    """Candidates for a target of five classes."""
+    x = table(spark, sf, "customer").withColumn("nation", F.col("c_nationkey").cast("double"))
+    return p.rounded(m.compare_models(x, "c_custkey", ["c_acctbal", "nation"], "c_mktsegment"), 3)
+
+
+def tuned_tree(spark, sf):
+    x = table(spark, sf, "customer").withColumn("nation", F.col("c_nationkey").cast("double"))
+    return p.rounded(m.tuned(x, "c_custkey", ["nation"], "c_acctbal", "tree", {"maxDepth": [2, 4], "maxBins": [16, 32]}), 2)
+
+
+def cluster_sizes(spark, sf):
+    return p.rounded(m.cluster_candidates(table(spark, sf, "part"), ["p_size", "p_retailprice"], (2, 3, 4)), 3)
+
+
+def fallback_candidates(spark, sf):
+    """Columns that nothing goes with: all others are candidates."""
+    x = table(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_tax")
+    return c.effect_candidates(x, x.columns, least=0.9).select("effect", "base", "confidence")
+
+
 def nearest_rows(spark, sf):
     cust = table(spark, sf, "customer").withColumn("nation", F.col("c_nationkey").cast("double"))
     return p.rounded(m.nearest_rows(cust, "c_custkey", ["c_acctbal", "nation"], "c_acctbal", 0.1, cust.orderBy("c_custkey").limit(5)), 5)
@@ -310,7 +337,7 @@ def cox_hazards(spark, sf):
     return p.rounded(cox(x, "duration", "event", ["balance"]), 3)
 
 
-QUERIES = {x.__name__: x for x in (upgraded_difference, clustered_regression, model_effects, forest_effects, auto_config, category_candidates, group_parts, imputed_numbers, imputed_categories, scaled_standard, scaled_robust, scaled_quantile, one_hot, feature_products, feature_crosses, without_constants, lower_texts, components, lasso, target_candidates, model_shortlist, weighted_effect, matched_pairs, many_controls, many_controls_effect, matched_effect, instrument, difference_in_differences, did_regression, pre_trend, robustness, robustness_bootstrap, business_effect, effect_candidates, scenarios, sign_stability, coefficient_stability, driver, profit_proxies, key_results, outcome_ranking, outcome_scores, treatment_scores, time_scores, instrument_scores, group_scores, id_scores, category_codes, role_decisions, clusters, anomalies, importances, model_comparison, nearest_rows, nearest_of_each, cox_hazards)}
+QUERIES = {x.__name__: x for x in (upgraded_difference, clustered_regression, model_effects, forest_effects, auto_config, category_candidates, group_parts, imputed_numbers, imputed_categories, scaled_standard, scaled_robust, scaled_quantile, one_hot, feature_products, feature_crosses, without_constants, lower_texts, components, lasso, target_candidates, model_shortlist, weighted_effect, matched_pairs, many_controls, many_controls_effect, matched_effect, instrument, difference_in_differences, did_regression, pre_trend, robustness, robustness_bootstrap, business_effect, effect_candidates, scenarios, sign_stability, coefficient_stability, driver, profit_proxies, key_results, outcome_ranking, outcome_scores, treatment_scores, time_scores, instrument_scores, group_scores, id_scores, category_codes, role_decisions, clusters, anomalies, importances, model_comparison, class_split, classifiers, tuned_tree, cluster_sizes, fallback_candidates, nearest_rows, nearest_of_each, cox_hazards)}
 
 DID = "avg(o_totalprice) FILTER (WHERE {} (o_orderdate >= '1998-04-01') AND treated = {})"
 EFFECT = "avg(o_totalprice) FILTER (WHERE treated = 1) - avg(o_totalprice) FILTER (WHERE treated = 0)"
@@ -374,6 +401,8 @@ SELECT problem, n_rows, features, CASE WHEN problem = 'regression' THEN greatest
     "matched_pairs": f"""WITH s AS (SELECT o_orderkey AS key, treated AS t, score + o_orderkey / 1e9::DOUBLE AS p FROM {ORDERS}), a AS (SELECT * FROM s WHERE t = 1), b AS (SELECT p, min(key) AS key FROM s WHERE t = 0 GROUP BY 1),
 l AS (SELECT a.key, a.p, b.p AS l FROM a ASOF LEFT JOIN b ON a.p >= b.p), r AS (SELECT a.key, b.p AS r FROM a ASOF LEFT JOIN b ON a.p <= b.p), c AS (SELECT l.key, CASE WHEN l IS NOT NULL AND (r IS NULL OR l.p - l <= r - l.p) THEN l ELSE r END AS cp FROM l JOIN r ON l.key = r.key)
 SELECT c.key, b.key AS control_key, round(c.cp, 9) AS control_score FROM c JOIN b ON b.p = c.cp""",
+    "class_split": "SELECT l_returnflag, count(*) AS n, CAST(floor(count(*) * 0.2::DOUBLE + 0.5) AS BIGINT) AS held_out FROM lineitem GROUP BY 1",
+    "fallback_candidates": "SELECT a AS effect, b AS base, 0.2::DOUBLE AS confidence FROM (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) x(a), (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) y(b) WHERE a <> b",
     "many_controls": f"SELECT key, rank, control_key, round(control_score, 9) AS control_score FROM ({FOUR})",
     "many_controls_effect": f"""WITH m AS ({FOUR})
 SELECT (SELECT count(DISTINCT key) FROM m) AS treated, (SELECT count(DISTINCT control_key) FROM m) AS controls, round((SELECT avg(y) FROM (SELECT DISTINCT key, y FROM m)) - (SELECT avg(cy) FROM (SELECT DISTINCT control_key, cy FROM m)), 3) AS att, round((SELECT avg(gap) FROM (SELECT any_value(y) - avg(cy) AS gap FROM m GROUP BY key)), 3) AS att_own""",

@@ -372,7 +372,8 @@ def effect_candidates(df: DataFrame, columns: list[str], categories: list[str] |
     """(effect, base, r, confidence, base_confidence): columns that go with a base, by |r|, or for categories by information.
 
     Bases are the ``top`` numbers of the highest min(1, |skew| / 5 + 0.5).  A category's confidence is its mutual
-    information with the deciles of the base over the largest of them; those under ``least`` are left out.
+    information with the deciles of the base over the largest of them; those under ``least`` are left out.  Where none is
+    left, every other column is a candidate of each base, with a confidence of 0.2.
     """
     n, g = F.col("n").cast("double"), F.col("g")
     skew = g * F.try_divide(F.sqrt(n * (n - 1)), n - 2)
@@ -391,7 +392,11 @@ def effect_candidates(df: DataFrame, columns: list[str], categories: list[str] |
         mi = each.groupBy("effect").agg(F.sum("x").alias("mi"))
         out = out.unionByName(mi.select("effect", F.lit(base).alias("base"), F.lit(None).cast("double").alias("r"), F.try_divide("mi", F.max("mi").over(Window.partitionBy()) + 1e-9).alias("confidence")))
     level = reduce(lambda w, b: w.when(F.col("base") == b, F.lit(bases[b])), bases, F.when(F.lit(False), F.lit(None).cast("double")))
-    return out.where(F.col("confidence") >= least).select("effect", "base", F.round("r", 4).alias("r"), F.round("confidence", 2).alias("confidence"), level.alias("base_confidence"))
+    found = written(out.where(F.col("confidence") >= least).select("effect", "base", F.round("r", 4).alias("r"), F.round("confidence", 2).alias("confidence"), level.alias("base_confidence")), "candidates")
+    if not found.isEmpty():
+        return found
+    rows = [(c, b, None, 0.2, k) for b, k in bases.items() for c in (*columns, *(categories or ())) if c != b]
+    return df.sparkSession.createDataFrame(rows, found.schema)
 
 
 def quantiles_of(df: DataFrame, column: str, bins: int = 10) -> list[float]:
@@ -423,7 +428,9 @@ def model_effects(df: DataFrame, columns: list[str], target: str, spread: float
 
         df = encode(df, target).withColumn(target, q(f"{target}_code"))
     rows = df.dropna(subset=[target]).withColumns({c: F.coalesce(q(c).cast("double"), F.lit(0.0)) for c in columns})
-    _, means, m = gram(rows, [*columns, target])
+    n, means, m = gram(rows, [*columns, target])
+    if n < 2:
+        return df.sparkSession.createDataFrame([], "column string, pct double, change double, coefficient double, importance double, linear_effect double, forest_effect double")
     b = inverse(m[:-1, :-1]) @ m[:-1, -1]
     share = {r["column"]: r["importance"] for r in importances(rows, columns, target, trees).collect()}
     plain = per_column(df, columns, mean=lambda c: F.avg(c)).collect()

@@ -96,7 +96,9 @@ def centered(df: DataFrame, columns: list[str], scaled: bool = True) -> DataFram
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
-    """Explained variance of each component and its loadings, the largest one positive."""
+    """Explained variance of each component and its loadings, the largest one positive; nothing for fewer than two complete rows."""
+    if df.dropna(subset=columns).limit(2).count() < 2:
+        return df.sparkSession.createDataFrame([], "component int, explained double, column string, loading double")
     model = PCA(k=min(k, len(columns)), inputCol="features", outputCol="pc").fit(centered(df, columns))
     loadings = model.pc.toArray()
     loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(0), np.arange(loadings.shape[1])])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import q
 from tessera.functions.ranks import quantiles
+from tessera.functions.selection import smallest_of_groups
 from tessera.functions.tables import written
 from tessera.operators.features import centered
 
@@ -26,13 +27,17 @@ from tessera.operators.features import centered
 def cluster(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows with their cluster (standardized complete rows), and a summary: size, centroid in original units, silhouette.
 
-    The silhouette is the linear one (squared Euclidean).
+    The silhouette is the linear one (squared Euclidean), null where all rows fall into one cluster.  Fewer rows than clusters give no rows.
     """
     z = written(centered(df, columns), "centered")
+    if z.limit(k).count() < k:  # fewer rows than clusters: none
+        empty = z.drop("features").withColumn("cluster", F.lit(0)).limit(0)
+        return empty, empty.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(q(c)).alias(c) for c in columns]).withColumn("silhouette", F.lit(None).cast("double"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(z)
     rows = model.transform(z)
-    silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(rows)
-    summary = rows.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(q(c)).alias(c) for c in columns]).withColumn("silhouette", F.lit(float(silhouette)))
+    several = rows.select("cluster").distinct().count() > 1
+    silhouette = float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(rows)) if several else None
+    summary = rows.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(q(c)).alias(c) for c in columns]).withColumn("silhouette", F.lit(silhouette).cast("double"))
     return rows.drop("features"), summary
 
 
@@ -88,44 +93,64 @@ def anomalies(df: DataFrame, key: str, columns: list[str], contamination: float
     return scored.withColumn("is_anomaly", F.col("score") > F.lit(cut).cast("double"))
 
 
-def importances(df: DataFrame, columns: list[str], target: str, trees: int = 50, seed: int = 42) -> DataFrame:
-    """Random-forest importances: classes for a text target, else values."""
-    whole = df.dropna(subset=[*columns, target])
+#: Trees of a forest that tells importances.
+TREES = 100
+
+
+def importances(df: DataFrame, columns: list[str], target: str, trees: int = TREES, seed: int = 42) -> DataFrame:
+    """Random-forest importances: classes for a text target, else values; none for fewer than two complete rows.
+
+    The rows are written first: every level of every tree reads them again.
+    """
+    whole = df.dropna(subset=[*columns, target]).select(*[q(c).cast("double").alias(c) for c in columns], q(target))
+    if whole.limit(2).count() < 2:
+        return df.sparkSession.createDataFrame([], "column string, importance double")
     data = VectorAssembler(inputCols=columns, outputCol="_x").transform(whole)
     if dict(df.dtypes)[target] == "string":
-        data = StringIndexer(inputCol=target, outputCol="_y").fit(data).transform(data)
+        data = written(StringIndexer(inputCol=target, outputCol="_y").fit(whole).transform(data).select("_x", "_y"), "forest-rows")
         model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed, maxDepth=8).fit(data)
     else:
-        model = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, seed=seed, maxDepth=8).fit(data)
+        data = written(data.select("_x", q(target).cast("double").alias("_y")), "forest-rows")
+        model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed, maxDepth=8).fit(data)
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "column string, importance double")
 
 
 def split(df: DataFrame, key: str, share: float = 0.2, target: str | None = None) -> DataFrame:
-    """Rows with ``is_validation``: by a hash of the key the same rows each time, and of each class of ``target`` exactly its share.
+    """Rows with ``is_validation``: by a hash of the key the same rows each time; with a ``target``, of each class exactly its rounded share.
 
-    Classes are cut at their own quantile of the hash; one aggregation by class.  A class of one row stays in training.
+    A class of one row stays in training.
     """
     h = F.pmod(F.xxhash64(q(key), F.lit(5)), F.lit(1 << 30))
     if target is None:
         return df.withColumn("is_validation", h < F.lit(int(share * (1 << 30))))
-    rows = df.withColumn("_h", h)
-    cuts = rows.groupBy(q(target).alias("_class")).agg(F.percentile_approx("_h", share, 10_000).alias("_cut"), F.count("*").alias("_k"))
-    joined = rows.join(F.broadcast(cuts) if cuts.count() <= 100_000 else cuts, q(target).eqNullSafe(F.col("_class")), "left")
-    return joined.withColumn("is_validation", (F.col("_h") <= F.col("_cut")) & (F.col("_k") > 1)).drop("_h", "_class", "_cut", "_k")
+    rows = df.withColumns({"_class": q(target), "_h": F.shiftrightunsigned(F.xxhash64(q(key), F.lit(5)), 11) / float(1 << 53)})
+    wanted = F.when(F.col("n") > 1, F.floor(F.col("n") * share + 0.5)).otherwise(0)
+    return smallest_of_groups(rows, ["_class"], "_h", wanted).withColumnRenamed("is_taken", "is_validation").drop("_class", "_h")
 
 
+#: Candidates that know two classes only.
+TWO_CLASSES = frozenset(("svc", "boosting"))
 REGRESSORS = {"linear": lambda **k: LinearRegression(**k), "ridge": lambda **k: LinearRegression(regParam=1.0, **k), "lasso": lambda **k: LinearRegression(regParam=0.1, elasticNetParam=1.0, **k), "elastic_net": lambda **k: LinearRegression(regParam=0.1, elasticNetParam=0.5, **k), "tree": lambda **k: DecisionTreeRegressor(seed=42, **k), "forest": lambda **k: RandomForestRegressor(seed=42, numTrees=20, **k), "boosting": lambda **k: GBTRegressor(seed=42, maxIter=10, **k)}
 CLASSIFIERS = {"logistic": lambda **k: LogisticRegression(**k), "svc": lambda **k: LinearSVC(maxIter=20, **k), "tree": lambda **k: DecisionTreeClassifier(seed=42, **k), "forest": lambda **k: RandomForestClassifier(seed=42, numTrees=20, **k), "boosting": lambda **k: GBTClassifier(seed=42, maxIter=10, **k), "naive_bayes": lambda **k: NaiveBayes(modelType="gaussian", **k)}
 
 
 def compare_models(df: DataFrame, key: str, columns: list[str], target: str, models: list[str] | None = None, params: dict | None = None) -> DataFrame:
-    """(model, metric, value) on held-out rows: RMSE for numbers, accuracy for a text target."""
+    """(model, metric, value) on held-out rows: RMSE for numbers, accuracy for a text target, which leaves out the candidates of two classes alone where it has more.
+
+    Nothing for fewer than two complete rows or without held-out ones.
+    """
     classes = dict(df.dtypes)[target] == "string"
     rows = split(df.dropna(subset=[*columns, target]), key, target=target if classes else None)
+    if classes and rows.isEmpty():  # an indexer needs a level
+        return df.sparkSession.createDataFrame([], "model string, metric string, value double")
     steps = [VectorAssembler(inputCols=columns, outputCol="_x")] + ([StringIndexer(inputCol=target, outputCol="_y")] if classes else [])
     data = Pipeline(stages=steps).fit(rows).transform(rows).withColumnRenamed(target, "_y" if not classes else target)
     data = written(data, "model-rows")
-    chosen = CLASSIFIERS if classes else REGRESSORS
+    nothing = df.sparkSession.createDataFrame([], "model string, metric string, value double")
+    sides = data.agg(F.count_if("is_validation"), F.count_if(~F.col("is_validation")), F.count_distinct(target if classes else F.lit(1))).first()
+    if not sides[0] or sides[1] < 2 or classes and sides[2] < 2:
+        return nothing
+    chosen = {k: v for k, v in CLASSIFIERS.items() if sides[2] == 2 or k not in TWO_CLASSES} if classes else REGRESSORS
     judge = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy") if classes else RegressionEvaluator(labelCol="_y", metricName="rmse")
     found = []
     for name in models or list(chosen):
@@ -149,6 +174,8 @@ def tuned(df: DataFrame, key: str, columns: list[str], target: str, model: str,
     for values in product(*grid.values()):
         params = dict(zip(grid, values, strict=True))
         r = compare_models(df, key, columns, target, [model], params).first()
+        if r is None:
+            break
         found.append((", ".join(f"{k}={v}" for k, v in params.items()), r["metric"], r["value"]))
     best = lambda r: -r[2] if r[1] == "accuracy" else r[2]
     return df.sparkSession.createDataFrame(sorted(found, key=best), "parameters string, metric string, value double")
@@ -158,6 +185,7 @@ def cluster_candidates(df: DataFrame, columns: list[str], sizes: tuple[int, ...]
     """(k, silhouette) of k-means for each number of clusters, best first."""
     z = written(centered(df, columns).select("features"), "centered")
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
+    sizes = tuple(k for k in sizes if z.limit(k).count() >= k)
     found = [(k, float(judge.evaluate(KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(z).transform(z)))) for k in sizes]
     return df.sparkSession.createDataFrame(sorted(found, key=lambda r: -r[1]), "k int, silhouette double")
 
