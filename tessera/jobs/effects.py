@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import per_column
 from tessera.jobs.profiles import union
-from tessera.jobs.relations import LINES, lifetimes, lines
+from tessera.jobs.relations import LINES, lifetimes, lines, t_p_sql
 from tessera.operators import causal as c
 from tessera.operators import features as f
 from tessera.operators import models as m
@@ -194,6 +194,11 @@ def business_effect(spark, sf):
     return p.rounded(c.business_effect(lines(spark, sf), "l_discount", "l_extendedprice").drop("p"), 3)
 
 
+def business_effect_p(spark, sf):
+    """The p of the correlation of an effect with its base."""
+    return p.rounded(c.business_effect(table(spark, sf, "customer"), "c_nationkey", "c_acctbal").select("r", "p"), 4)
+
+
 def effect_candidates(spark, sf):
     return p.rounded(c.effect_candidates(lines(spark, sf), ["l_quantity", "l_extendedprice", "l_discount", "net"]))
 
@@ -337,7 +342,7 @@ def cox_hazards(spark, sf):
     return p.rounded(cox(x, "duration", "event", ["balance"]), 3)
 
 
-QUERIES = {x.__name__: x for x in (upgraded_difference, clustered_regression, model_effects, forest_effects, auto_config, category_candidates, group_parts, imputed_numbers, imputed_categories, scaled_standard, scaled_robust, scaled_quantile, one_hot, feature_products, feature_crosses, without_constants, lower_texts, components, lasso, target_candidates, model_shortlist, weighted_effect, matched_pairs, many_controls, many_controls_effect, matched_effect, instrument, difference_in_differences, did_regression, pre_trend, robustness, robustness_bootstrap, business_effect, effect_candidates, scenarios, sign_stability, coefficient_stability, driver, profit_proxies, key_results, outcome_ranking, outcome_scores, treatment_scores, time_scores, instrument_scores, group_scores, id_scores, category_codes, role_decisions, clusters, anomalies, importances, model_comparison, class_split, classifiers, tuned_tree, cluster_sizes, fallback_candidates, nearest_rows, nearest_of_each, cox_hazards)}
+QUERIES = {x.__name__: x for x in (upgraded_difference, clustered_regression, model_effects, forest_effects, auto_config, category_candidates, group_parts, imputed_numbers, imputed_categories, scaled_standard, scaled_robust, scaled_quantile, one_hot, feature_products, feature_crosses, without_constants, lower_texts, components, lasso, target_candidates, model_shortlist, weighted_effect, matched_pairs, many_controls, many_controls_effect, matched_effect, instrument, difference_in_differences, did_regression, pre_trend, robustness, robustness_bootstrap, business_effect, business_effect_p, effect_candidates, scenarios, sign_stability, coefficient_stability, driver, profit_proxies, key_results, outcome_ranking, outcome_scores, treatment_scores, time_scores, instrument_scores, group_scores, id_scores, category_codes, role_decisions, clusters, anomalies, importances, model_comparison, class_split, classifiers, tuned_tree, cluster_sizes, fallback_candidates, nearest_rows, nearest_of_each, cox_hazards)}
 
 DID = "avg(o_totalprice) FILTER (WHERE {} (o_orderdate >= '1998-04-01') AND treated = {})"
 EFFECT = "avg(o_totalprice) FILTER (WHERE treated = 1) - avg(o_totalprice) FILTER (WHERE treated = 0)"
@@ -403,6 +408,7 @@ l AS (SELECT a.key, a.p, b.p AS l FROM a ASOF LEFT JOIN b ON a.p >= b.p), r AS (
 SELECT c.key, b.key AS control_key, round(c.cp, 9) AS control_score FROM c JOIN b ON b.p = c.cp""",
     "class_split": "SELECT l_returnflag, count(*) AS n, CAST(floor(count(*) * 0.2::DOUBLE + 0.5) AS BIGINT) AS held_out FROM lineitem GROUP BY 1",
     "fallback_candidates": "SELECT a AS effect, b AS base, 0.2::DOUBLE AS confidence FROM (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) x(a), (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) y(b) WHERE a <> b",
+    "business_effect_p": f"SELECT round(r, 4) AS r, round({t_p_sql('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)')}, 4) AS p FROM (SELECT corr(c_nationkey, c_acctbal) AS r, count(*)::DOUBLE AS n FROM customer)",
     "many_controls": f"SELECT key, rank, control_key, round(control_score, 9) AS control_score FROM ({FOUR})",
     "many_controls_effect": f"""WITH m AS ({FOUR})
 SELECT (SELECT count(DISTINCT key) FROM m) AS treated, (SELECT count(DISTINCT control_key) FROM m) AS controls, round((SELECT avg(y) FROM (SELECT DISTINCT key, y FROM m)) - (SELECT avg(cy) FROM (SELECT DISTINCT control_key, cy FROM m)), 3) AS att, round((SELECT avg(gap) FROM (SELECT any_value(y) - avg(cy) AS gap FROM m GROUP BY key)), 3) AS att_own""",

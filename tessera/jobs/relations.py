@@ -105,6 +105,23 @@ def strongest_impact(spark, sf):
     return p.rounded(r.strongest_impact(r.category_impact(lines(spark, sf), "l_returnflag", ["l_quantity", "net"])), 4)
 
 
+def anova_p(spark, sf):
+    return p.rounded(r.anovas(table(spark, sf, "events"), ["event_type"], ["value"]).select("category", "p"), 4)
+
+
+def impact_p(spark, sf):
+    """Welch p-values of each group against the others."""
+    return p.rounded(r.category_impact(lines(spark, sf), "l_returnflag", ["l_quantity", "net"]).select("value", "column", "p"), 5)
+
+
+def mann_whitney_p(spark, sf):
+    return p.rounded(r.mann_whitney(table(spark, sf, "lineitem"), "l_linestatus", "l_quantity").select("p"), 4)
+
+
+def spearman_p(spark, sf):
+    return p.rounded(r.spearman(table(spark, sf, "customer"), "c_acctbal", "c_nationkey").select("p"), 4)
+
+
 def spearman(spark, sf):
     return p.rounded(r.spearman(lines(spark, sf), "l_quantity", "net").drop("p"))
 
@@ -199,7 +216,7 @@ def kaplan_meier(spark, sf):
     return p.rounded(ts.kaplan_meier(lifetimes(spark, sf), "duration", "event"))
 
 
-QUERIES = {f.__name__: f for f in (crosstab, correlations, wide_correlations, group_quartiles, correlated_pairs, correlation_clusters, numbers_by_category, sankey, chi_square, chi_square_p, chi_squares, anova, anovas, category_impact, strongest_impact, spearman, kruskal, mann_whitney, group_medians, vif_two, mutual_information, scale_economies, counterintuitive, list_values, top_variance, scatter_sample, period_sums, decomposition, rolling_outliers, outcome_by_time, impact_by_year, calendar, cohorts_monthly, cohorts_daily, kaplan_meier)}
+QUERIES = {f.__name__: f for f in (crosstab, correlations, wide_correlations, group_quartiles, correlated_pairs, correlation_clusters, numbers_by_category, sankey, chi_square, chi_square_p, chi_squares, anova, anovas, anova_p, impact_p, mann_whitney_p, spearman_p, category_impact, strongest_impact, spearman, kruskal, mann_whitney, group_medians, vif_two, mutual_information, scale_economies, counterintuitive, list_values, top_variance, scatter_sample, period_sums, decomposition, rolling_outliers, outcome_by_time, impact_by_year, calendar, cohorts_monthly, cohorts_daily, kaplan_meier)}
 
 
 def corr_sql(source: str) -> str:
@@ -241,6 +258,24 @@ def cohort_sql(user: str, date: str, source: str, month: bool) -> str:
 SELECT c.cohort, c.period_number, c.users, round(c.users::DOUBLE / b.users, 6) AS retention FROM c JOIN c b ON b.cohort = c.cohort AND b.period_number = 0"""
 
 
+def integral_sql(f: str, upper: str) -> str:
+    """Simpson's rule from 0 to ``upper`` of ``f``, SQL with ``{x}`` for its variable."""
+    return f"(list_sum(list_transform(range(4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * ({f.format(x=f'(i * ({upper}) / 4000)')}))) * ({upper}) / 12000)"
+
+
+def t_p_sql(t: str, v: str) -> str:
+    """Two-sided p of Student's t by its density."""
+    density = f"exp(lgamma((({v}) + 1) / 2) - lgamma(({v}) / 2)) / sqrt(({v}) * pi()) * pow(1 + {{x}} * {{x}} / ({v}), -(({v}) + 1) / 2)"
+    return f"greatest(0, 1 - 2 * {integral_sql(density, f'least(abs({t}), 40)')})"
+
+
+def f_p_sql(f: str, a: str, b: str) -> str:
+    """The upper tail of F by its density, in the square root of the variable."""
+    density = f"2 * exp(lgamma((({a}) + ({b})) / 2) - lgamma(({a}) / 2) - lgamma(({b}) / 2)) * pow(({a}) / ({b}), ({a}) / 2) * pow({{x}}, ({a}) - 1) * pow(1 + ({a}) * {{x}} * {{x}} / ({b}), -(({a}) + ({b})) / 2)"
+    return f"greatest(0, 1 - {integral_sql(density, f'sqrt({f})')})"
+
+
+NORMAL_P = "least(1, greatest(0, 1 - 2 * " + integral_sql("exp(-{x} * {x} / 2) / sqrt(2 * pi())", "least(abs(z), 40)") + "))"
 PAIRED = "(SELECT o_orderstatus, o_orderpriority, o_orderkey % 2 AS odd, nullif(o_custkey % 7, 3) AS rest, o_orderpriority LIKE '1%' AS urgent FROM orders)"
 
 
@@ -274,6 +309,11 @@ FROM (SELECT DISTINCT a FROM c) x CROSS JOIN (SELECT DISTINCT b FROM c) y LEFT J
     "chi_square_p": f"SELECT round(chi2, 6) AS chi2, degrees, round(exp(-chi2 / 2) * (1 + chi2 / 2 + pow(chi2 / 2, 2) / 2 + pow(chi2 / 2, 3) / 6), 6) AS p, round(sqrt(chi2 / t / (least(k1, k2) - 1)), 6) AS cramers_v FROM ({chi_sql('o_orderstatus', 'o_orderpriority', 'orders')})",
     "anova": """WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), s AS (SELECT count(*) AS k, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS b, sum((n - 1) * v) AS w, sum(n)::BIGINT AS n FROM g)
 SELECT round((b / (k - 1)) / (w / (n - k)), 6) AS f, k - 1 AS d1, n - k AS d2, round(b / (b + w), 6) AS eta2 FROM s""",
+    "impact_p": f"SELECT value, \"column\", round({t_p_sql('t', 'degrees')}, 5) AS p FROM ({impact_sql('l_returnflag', ['l_quantity', 'net'], LINES)})",
+    "anova_p": f"""WITH g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1), s AS (SELECT count(*)::DOUBLE AS k, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS b, sum((n - 1) * v) AS w, sum(n)::DOUBLE AS n FROM g)
+SELECT 'event_type' AS category, round({f_p_sql('f', '(k - 1)', '(n - k)')}, 4) AS p FROM (SELECT *, (b / (k - 1)) / (w / (n - k)) AS f FROM s)""",
+    "spearman_p": f"""WITH a AS (SELECT row_number() OVER () AS id, c_acctbal, c_nationkey FROM customer), x AS (SELECT id, rank FROM {RANKS.format("SELECT id, c_acctbal AS x FROM a")} r1), y AS (SELECT id, rank FROM {RANKS.format("SELECT id, c_nationkey AS x FROM a")} r2),
+ s AS (SELECT corr(x.rank, y.rank) AS rho, count(*)::DOUBLE AS n FROM x JOIN y USING (id)) SELECT round({t_p_sql('(rho * sqrt((n - 2) / (1 - rho * rho)))', '(n - 2)')}, 4) AS p FROM s""",
     "category_impact": rounded_sql(impact_sql("l_returnflag", ["l_quantity", "net"], LINES), 'value "column" n', IMPACT, 4),
     "strongest_impact": f"""SELECT "column", arg_max(value, (abs(cohens_d), value)) AS value, round(arg_max(cohens_d, (abs(cohens_d), value)), 4) AS cohens_d, round(arg_max(delta, (abs(cohens_d), value)), 4) AS delta FROM ({impact_sql("l_returnflag", ["l_quantity", "net"], LINES)}) GROUP BY 1""",
     "spearman": f"""WITH a AS (SELECT row_number() OVER () AS id, l_quantity, net FROM {LINES}), x AS (SELECT id, rank FROM {RANKS.format("SELECT id, l_quantity AS x FROM a")} r1), y AS (SELECT id, rank FROM {RANKS.format("SELECT id, net AS x FROM a")} r2)
@@ -308,3 +348,4 @@ SELECT period, round(value, 2) AS value, round(trend, 2) AS trend, round(seasona
     "kaplan_meier": f"""WITH t AS (SELECT duration::DOUBLE AS time, count(*) AS n, count(*) FILTER (WHERE event = 1) AS events FROM {LIFE} GROUP BY 1), s AS (SELECT *, sum(n) OVER (ORDER BY time DESC)::BIGINT AS at_risk FROM t)
 SELECT time, at_risk, events, round(survival, 6) AS survival FROM (SELECT *, product(1 - events::DOUBLE / at_risk) OVER (ORDER BY time ROWS UNBOUNDED PRECEDING) AS survival FROM s) WHERE events > 0""",
 }
+ORACLES["mann_whitney_p"] = f"SELECT round({NORMAL_P}, 4) AS p FROM ({ORACLES['mann_whitney']})"

@@ -238,3 +238,65 @@ def test_posted_records(spark):
     assert records(spark, []).count() == 0
     parsed = json_column(frame(spark, [('{"k": {"v": 1}}',), ("broken",), (None,)], "j string"), "j", "k struct<v: long>")
     assert parsed.columns == ["j.k.v"] and [r[0] for r in parsed.collect()] == [1, None, None]
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 1.0, 2.0, "a")], [(1, 1.0, 2.0, "a")] * 3])
+def test_models_of_small_frames(spark, rows):
+    """Empty, one-row and constant frames have defined results."""
+    from tessera.operators import features
+
+    df = frame(spark, rows, "k long, a double, b double, g string")
+    n = len(rows)
+    assert causal.model_effects(df, ["a"], "b").count() == (10 if n > 1 else 0)
+    assert models.importances(df, ["a"], "b").count() == (1 if n > 1 else 0)
+    rows_, summary = models.cluster(df, ["a", "b"], k=2)
+    assert rows_.count() == summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] == (n if n > 1 else 0)
+    assert features.principal_components(df, ["a", "b"]).count() == (4 if n > 1 else 0)
+    for target in ("b", "g"):
+        assert models.compare_models(df, "k", ["a"], target).count() == 0
+    assert models.tuned(df, "k", ["a"], "b", "tree", {"maxDepth": [2]}).count() == 0
+    assert models.cluster_candidates(df, ["a", "b"], (5,)).count() == 0
+    assert models.split(df, "k", 0.2, "g").count() == n
+    assert models.nearest_rows(df, "k", ["a"], "a", 0.1, df.select("k")).count() == 0
+    assert relate.chi_squares(df, [("g", "a")]).count() == 0 and relate.anovas(df, ["g"], ["a"]).where("f IS NOT NULL").count() == 0
+
+
+def test_exact_shares_of_classes(spark):
+    sizes = {"a": 1000, "b": 7, "c": 1, "d": 2, None: 13}
+    rows = [(i, g) for g, n in sizes.items() for i in range(n)]
+    df = models.split(frame(spark, [(i, *r) for i, r in enumerate(rows)], "k long, i long, g string"), "k", 0.2, "g")
+    got = {r["g"]: (r["n"], r["v"]) for r in df.groupBy("g").agg(F.count("*").alias("n"), F.count_if("is_validation").alias("v")).collect()}
+    assert got == {g: (n, math.floor(n * 0.2 + 0.5) if n > 1 else 0) for g, n in sizes.items()}
+
+
+def test_candidates_of_two_and_more_classes(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, float(x), float(r.normal()), "yes" if x > 0 else "no", "abc"[i % 3]) for i, x in enumerate(r.normal(size=300))]
+    df = frame(spark, rows, "k long, x double, z double, two string, three string")
+    two = {r["model"]: r["value"] for r in models.compare_models(df, "k", ["x", "z"], "two").collect()}
+    assert set(two) == set(models.CLASSIFIERS) and min(two["tree"], two["logistic"], two["boosting"]) > 0.9
+    three = {r["model"] for r in models.compare_models(df, "k", ["x", "z"], "three").collect()}
+    assert three == set(models.CLASSIFIERS) - models.TWO_CLASSES
+    grid = models.tuned(df, "k", ["x", "z"], "two", "tree", {"maxDepth": [1, 3]}).collect()
+    assert len(grid) == 2 and grid[0]["value"] >= grid[1]["value"]
+    sizes = models.cluster_candidates(df, ["x", "z"], (2, 3)).collect()
+    assert {s["k"] for s in sizes} == {2, 3} and sizes[0]["silhouette"] >= sizes[1]["silhouette"]
+
+
+def test_all_pairs_at_once_equal_one_by_one(spark):
+    r = np.random.default_rng(9)
+    rows = [(["x", "y", None][int(r.integers(0, 3))], int(r.integers(0, 4)), bool(r.random() < 0.3), None if r.random() < 0.1 else float(r.normal())) for _ in range(400)]
+    df = frame(spark, rows, "a string, b int, c boolean, v double")
+    for x in relate.chi_squares(df, [("a", "b"), ("a", "c"), ("b", "c")]).collect():
+        i, j = ("a", "b", "c").index(x["first"]), ("a", "b", "c").index(x["second"])
+        own = [(t[i], t[j]) for t in rows if t[i] is not None and t[j] is not None]
+        left, right = sorted({p for p, _ in own}), sorted({p for _, p in own})
+        o = np.array([[own.count((p, w)) for w in right] for p in left], float)
+        e = np.outer(o.sum(1), o.sum(0)) / o.sum()
+        d = np.abs(o - e) - (np.minimum(0.5, np.abs(o - e)) if o.shape == (2, 2) else 0)
+        assert abs(x["chi2"] - (d**2 / e).sum()) < 1e-8 and x["degrees"] == (o.shape[0] - 1) * (o.shape[1] - 1)
+    for x in relate.anovas(df, ["a", "b"], ["v"]).collect():
+        groups = [[t[3] for t in rows if t["ab".index(x["category"])] == g and t[3] is not None] for g in {t["ab".index(x["category"])] for t in rows} - {None}]
+        every = np.concatenate(groups)
+        ssb, ssw = sum(len(g) * (np.mean(g) - every.mean()) ** 2 for g in groups), sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups)
+        assert abs(x["f"] - (ssb / (len(groups) - 1)) / (ssw / (len(rows) - len(groups)))) < 1e-8
