@@ -6,9 +6,9 @@ similarity of 0.75 or more with the item: the sum of smaller counts over the sum
 
 1. Only windows that begin at a shingle of the item and hold at least 75 % of n such shingles can get there
    (moving a window's begin to its first shared shingle loses none); the others are dropped by counting, in time
-   linear in the places of an item's shingles.  Each window goes on with the items that it may contain.
+   linear in the places of an item's shingles.  A filter of windows: which items they resemble is the index's to say.
 2. The windows left, one for equal contents, get 64-bit SimHash fingerprints weighted by counts.
-3. A multi-index over BLOCKS blocks finds all of these items within RADIUS bits: of RADIUS flips, one block
+3. A multi-index over BLOCKS blocks finds, among all items of a window's size, those within RADIUS bits: of RADIUS flips, one block
    has FLIPS at most, so items are indexed under all values within FLIPS of each block.  A similarity
    of 0.75 turns 11 bits on average (deviation 3), so RADIUS lies four deviations above.
 4. Candidates are verified with exact counts.
@@ -89,8 +89,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         whole = F.transform("places", lambda p, i: F.when((p <= last) & (F.get("places", i + enough - 1) < p + n), p))
         tail = F.when(F.size(F.filter("places", lambda p: p >= last)) >= enough, last)
         begins = near.withColumn("first_word", F.explode(F.array_distinct(F.array_compact(F.concat(whole, F.array(tail))))))
-        found.append(begins.select("doc_id", "text_key", "item_id", F.lit(k).alias("k"), "n", "first_word"))
-    begins = written(reduce(DataFrame.unionByName, found), "begins")
+        found.append(begins.select("doc_id", "text_key", F.lit(k).alias("k"), "n", "first_word", (F.col("first_word") == last).alias("is_last")))
+    begins = written(reduce(DataFrame.unionByName, found).distinct(), "begins")
 
     # The shingles of the windows: only of documents that have one.
     wanted = begins.select("text_key").distinct()
@@ -98,25 +98,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     again = texts.join(F.broadcast(wanted) if few else wanted, "text_key", "left_semi")
     arrays = reduce(DataFrame.unionByName, [shingled(again, k).dropDuplicates(["text_key", "doc_id"]).withColumn("k", F.lit(k)) for k in sizes])
     same = [arrays[c].eqNullSafe(begins[c]) for c in ("text_key", "doc_id", "k")]
-    windows = begins.join(arrays, same).select(begins["doc_id"], begins["text_key"], begins["k"], "item_id", "n", "first_word", F.slice("shingles", F.col("first_word") + 1, F.col("n")).alias("window"))
+    windows = begins.join(arrays, same).select(begins["doc_id"], begins["text_key"], begins["k"], "n", "first_word", "is_last", F.slice("shingles", F.col("first_word") + 1, F.col("n")).alias("window"))
     windows = written(windows.withColumns({"w1": F.xxhash64("window"), "w2": F.hash("window")}), "windows")
     distinct = windows.groupBy("w1", "w2", "k", "n").agg(F.first("window").alias("window"))
-    exploded = written(distinct.select("w1", "w2", "k", "n", F.size("window").alias("n_window"), F.explode("window").alias("h")), "window-shingles")
+    exploded = written(distinct.select("w1", "w2", "k", "n", F.size("window").alias("n_window"), F.get("window", F.lit(0)).alias("h0"), F.explode("window").alias("h")), "window-shingles")
 
     window_prints = fingerprints(exploded, "w1", "w2", "k", "n", "n_window").withColumn("at", F.explode(blocks("fp")))
     flipped = F.explode(F.array(*[F.lit(x) for x in FLIPPED]))
     item_prints = fingerprints(items.select("item_id", "k", "n", F.explode("shingles").alias("h")), "item_id", "k", "n").withColumn("at", F.explode(blocks("fp")))
     index = item_prints.withColumn("flip", flipped).select("item_id", "k", "n", F.col("fp").alias("item_fp"), F.col("at.block").alias("block"), F.col("at.value").bitwiseXOR(F.col("flip")).alias("value"))
-    # A window asks the index for the items that step 1 left it, not for all items of its size.
-    asked = windows.select("w1", "w2", "k", "n", "item_id").distinct()
-    probes = asked.join(window_prints, ["w1", "w2", "k", "n"]).select("w1", "w2", "k", "n", "item_id", "n_window", "fp", F.col("at.block").alias("block"), F.col("at.value").alias("value"))
-    pairs = probes.join(index, ["item_id", "k", "n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("w1", "w2", "k", "n", "n_window", "item_id").distinct()
+    # The index alone says which items a window is compared with: equal blocks among all items of its size.
+    probes = window_prints.select("w1", "w2", "k", "n", "n_window", "fp", F.col("at.block").alias("block"), F.col("at.value").alias("value"))
+    pairs = probes.join(index, ["k", "n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("w1", "w2", "k", "n", "n_window", "item_id").distinct()
 
-    weights = exploded.groupBy("w1", "w2", "k", "n", "h").agg(F.count("*").alias("cw"))
-    common = pairs.join(weights, ["w1", "w2", "k", "n"]).join(counted, ["item_id", "k", "n", "h"]).groupBy("w1", "w2", "k", "n", "n_window", "item_id").agg(F.sum(F.least("c", "cw")).alias("common"))
+    weights = exploded.groupBy("w1", "w2", "k", "n", "h").agg(F.count("*").alias("cw"), F.max(F.col("h") == F.col("h0")).alias("at_begin"))
+    common = pairs.join(weights, ["w1", "w2", "k", "n"]).join(counted, ["item_id", "k", "n", "h"]).groupBy("w1", "w2", "k", "n", "n_window", "item_id").agg(F.sum(F.least("c", "cw")).alias("common"), F.max("at_begin").alias("at_begin"))
     union = F.col("n") + F.col("n_window") - F.col("common")
     verified = common.where(F.col("common") >= SIMILARITY * union).withColumn("similarity", F.col("common") / union)
-    best = windows.drop("window").join(verified, ["w1", "w2", "k", "n", "item_id"]).groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("first_word")).alias("at"), "n")).alias("best"))
+    # Of equal windows the one that begins with a shingle of the item counts, or the document's last one.
+    best = windows.drop("window").join(verified, ["w1", "w2", "k", "n"]).where("at_begin OR is_last").groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("first_word")).alias("at"), "n")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.at")).cast("int").alias("first_word"), F.col("best.n").alias("n_shingles"), "text_key")
 
 
