@@ -85,7 +85,10 @@ def _coded(x: np.ndarray, top: float) -> list[bytes]:
 def _decoded(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Vectors with their gap as the last component, and E * gap."""
     values = column.to_pylist()
-    codes = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+    return _read(np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1))
+
+
+def _read(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     tail = np.ascontiguousarray(codes[:, -12:]).view(np.float32)
     x = np.ascontiguousarray(codes[:, :-12]).view(np.int16).astype(np.float32) * tail[:, :1]
     return np.concatenate((x, tail[:, 1:2]), 1), tail[:, 2]
@@ -286,14 +289,47 @@ def requests(packs: DataFrame, column: str, key: str = "part") -> DataFrame:
     return packs.select(key, column).mapInArrow(run, "part long, node long")
 
 
+SHIPPED = pa.schema([("part", pa.int64()), ("nodes", pa.binary()), ("codes", pa.binary()), ("worst", pa.binary())])
+
+
+def shipped(packs: DataFrame, column: str, graph: DataFrame) -> DataFrame:
+    """Vectors of all nodes that each row's list holds, by the asking part: one request, and one answer, for two parts.
+
+    (part, nodes, codes, worst), each a binary of a part's nodes.  Rows go with the pairs of parts that have to do with each other, not with nodes.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                nodes = np.unique(np.frombuffer(blob or b"", np.int64))  # in order, so a part's nodes are together
+                homes, sizes = np.unique(nodes >> BITS, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(homes), pa.array(np.full(len(homes), part)), _cut(nodes, sizes)], names=["home", "part", "nodes"])
+
+    def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
+        if not len(asked) or not len(own):
+            return SHIPPED.empty_table()
+        order = np.argsort(own.column("node").to_numpy())
+        ids, worst = own.column("node").to_numpy()[order], own.column("worst").to_numpy()[order]
+        values = own.column("code").to_pylist()
+        codes = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)[order]
+        nodes, sizes = _blobs(asked.column("nodes"), np.int64)
+        at = np.searchsorted(ids, nodes)
+        return pa.Table.from_arrays([asked.column("part").combine_chunks(), _cut(nodes, sizes), _cut(codes[at].view(f"V{codes.shape[1]}").ravel(), sizes), _cut(worst[at], sizes)], schema=SHIPPED)
+
+    asked = packs.select("part", column).mapInArrow(ask, "home long, part long, nodes binary")
+    own = graph.select(part_of("node").alias("home"), "node", "code", "worst")
+    return asked.groupBy("home").cogroup(own.groupBy("home")).applyInArrow(answer, _ddl(SHIPPED))
+
+
 def proposals(packs: pa.Table, vectors: pa.Table) -> pa.Table:
     """Local joins of a part's centers: pairs of members, one of them new, nearer than the worst either has, as lists by part of the member."""
     if not len(packs) or not len(vectors):
         return LISTS.empty_table()
-    order = np.argsort(vectors.column("node").to_numpy())
-    vectors = vectors.take(pa.array(order))
-    ids, worst = vectors.column("node").to_numpy(), vectors.column("worst").to_numpy().copy()
-    x, bias = _decoded(vectors.column("code"))
+    ids, worst = _blobs(vectors.column("nodes"), np.int64)[0], _blobs(vectors.column("worst"), np.float64)[0]
+    codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+    order = np.argsort(ids)
+    ids, worst = ids[order], worst[order]
+    x, bias = _read(codes[order])
     sizes, member, fresh = (_blobs(packs.column(c), t)[0] for c, t in (("sizes", np.int64), ("members", np.int64), ("fresh", np.bool_)))
     member, begin = np.searchsorted(ids, member), np.cumsum(sizes) - sizes
     held: list[tuple[np.ndarray, ...]] = []
@@ -329,7 +365,7 @@ def descend(graph: DataFrame) -> DataFrame:
     reverse = forward.withColumn("rank", rank).where(F.col("rank") <= K).select(F.col("nbr").alias("center"), F.col("node").alias("member"), "fresh")
     both = forward.select(F.col("node").alias("center"), F.col("nbr").alias("member"), "fresh").unionByName(reverse)
     packs = written(by_key(both.withColumn("part", part_of("center")), "part", packed, _ddl(PACKS), rows=1), "packs")
-    vectors = requests(packs, "members").join(graph.select("node", "code", "worst"), "node")
+    vectors = shipped(packs, "members", graph)
     return packs.groupBy("part").cogroup(vectors.groupBy("part")).applyInArrow(proposals, _ddl(LISTS))
 
 
