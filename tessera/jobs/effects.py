@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import per_column
 from tessera.jobs.profiles import union
-from tessera.jobs.relations import LINES, lifetimes, lines, t_p_sql
+from tessera.jobs.relations import LINES, f_p_sql, lifetimes, lines, t_p_sql
 from tessera.operators import causal as c
 from tessera.operators import features as f
 from tessera.operators import models as m
@@ -454,3 +454,11 @@ b AS (SELECT "column", arg_max(role, (score, -place)) AS role, max(score) AS sco
 d AS (SELECT x.k AS asked_key, y.k AS nearest_key, sqrt(pow(x.c - y.a, 2) + pow(x.n - y.n, 2)) AS d FROM (SELECT * FROM z ORDER BY k LIMIT 5) x JOIN z y ON x.k <> y.k), r AS (SELECT *, row_number() OVER (PARTITION BY asked_key ORDER BY d, nearest_key) AS i FROM d)
 SELECT asked_key, nearest_key, round(d, 5) AS distance FROM r WHERE i = 1""",
 }
+#: Group scores: half the entropy, half 1 - p of F with the level's degrees.
+ORACLES["group_scores"] = f"""WITH n AS (SELECT count(*)::DOUBLE AS n FROM {ORDERS}), g AS (SELECT "column", levels, entropy, f FROM (SELECT e."column", k AS levels, least(e / log2(k), 1) AS entropy, f FROM {entropy_sql(ORDERS, ['o_orderstatus', 'o_orderpriority', 'c_mktsegment'])} e
+ JOIN ({union(codes_sql(x) for x in ('o_orderstatus', 'o_orderpriority', 'c_mktsegment'))}) USING ("column"))), r AS (SELECT "column", levels, entropy, 1 - {f_p_sql('f', '(levels - 1)', '(n - levels)')} AS relation FROM g, n)
+SELECT "column", levels, round(entropy, 4) AS entropy, round(relation, 4) AS relation, round(greatest(0, least(1, 0.5::DOUBLE * entropy + 0.5::DOUBLE * relation)), 4) AS score FROM r"""
+_MADE = ("l_quantity", "l_extendedprice", "l_discount", "net")
+ORACLES["effect_candidates"] = f"""WITH s AS (SELECT unnest([{', '.join(f"{{'c': '{x}', 'k': skewness({x})}}" for x in _MADE)}], recursive := true) FROM {LINES}), b AS (SELECT c, round(least(1, abs(k) / 5 + 0.5), 2)::DOUBLE AS base_confidence FROM s ORDER BY 2 DESC, 1 LIMIT 3),
+r AS (SELECT unnest([{', '.join(f"{{'effect': '{x}', 'base': '{y}', 'r': corr({x}, {y})}}" for x in _MADE for y in _MADE if x != y)}], recursive := true) FROM {LINES})
+SELECT effect, base, round(r, 4) AS r, round(abs(r), 2) AS confidence, base_confidence FROM r JOIN b ON base = c WHERE abs(r) >= 0.1"""
