@@ -247,3 +247,57 @@ def test_articles_of_given_pages_are_whole(spark):
         plain = unescape(re.sub(r"</?(?:b|i|em|a|strong|span)\b[^>]*>", "", inner))
         assert texts[r["page_id"]] == " ".join(re.sub(r"<[^>]*>", " ", plain).split())
     assert checked >= 5
+
+
+def index_hits(spark, pairs):
+    """Whether the multi-index alone joins each (window, item), both lists of shingle hashes."""
+    from tessera.llm import decontaminate as d
+
+    rows = spark.createDataFrame([(i, w, t) for i, (w, t) in enumerate(pairs)], "i long, w array<long>, t array<long>")
+    side = lambda c: d.fingerprints(rows.select("i", F.explode(c).alias("h")), "i")
+    probes = side("w").select("i", "fp", F.explode(d.blocks("fp")).alias("at")).select("i", "fp", "at.*")
+    index = side("t").select(F.col("i").alias("j"), F.col("fp").alias("item_fp"), F.explode(d.blocks("fp")).alias("at"), F.array(*[F.lit(x) for x in d.FLIPPED]).alias("flips"))
+    index = index.select("j", "item_fp", F.col("at.block").alias("block"), F.explode("flips").alias("flip"), F.col("at.value").alias("v")).withColumn("value", F.col("v").bitwiseXOR(F.col("flip")))
+    found = probes.join(index, (probes.i == index.j) & (probes.block == index.block) & (probes.value == index.value)).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= d.RADIUS)
+    return {r["i"] for r in found.select("i").distinct().collect()}
+
+
+def test_index_finds_what_is_similar_enough(spark):
+    """Windows at the threshold itself, where fingerprints differ most: the index finds them without any count of step 1."""
+    r = np.random.default_rng(11)
+    pairs = []
+    for _ in range(3000):
+        n = int(r.integers(8, 120))
+        item = r.integers(-(1 << 62), 1 << 62, n)
+        changed = n // 7  # (n - c) / (n + c) >= 0.75
+        window = np.concatenate([item[changed:], r.integers(-(1 << 62), 1 << 62, changed)])
+        pairs.append((window.tolist(), item.tolist()))
+    assert len(index_hits(spark, pairs)) >= 2997
+    far = [(r.integers(-(1 << 62), 1 << 62, 40).tolist(), r.integers(-(1 << 62), 1 << 62, 40).tolist()) for _ in range(300)]
+    assert len(index_hits(spark, far)) < 30
+
+
+def test_packing_is_best_fit_at_every_step():
+    """A replay with plain loops: each piece went to the tightest bin that its source and cluster allow, or to a new one where none does."""
+    import pandas as pd
+
+    from tessera.llm import packing
+
+    r = np.random.default_rng(13)
+    sizes = r.permutation(np.arange(1, 900))[:400]  # all different, so the order of work is theirs
+    rows = pd.DataFrame({"shard": 0, "doc_id": np.arange(400), "source": r.choice(["a", "b", "c", "d", None], 400, p=[0.4, 0.2, 0.2, 0.1, 0.1]), "cluster": r.integers(0, 150, 400), "n_words": sizes, "copies": 1}).astype({"doc_id": "Int64", "cluster": "Int64"})
+    out = packing.pack_shard(rows, 500)
+    room, held = {}, {}
+    for x in out[~out.bin_id.str.contains("full")].sort_values("n_words", ascending=False).itertuples():
+        tags = {("s", x.source)} if isinstance(x.source, str) else set()
+        tags |= {("c", int(x.cluster))}
+        size = int(x.n_words) + 1
+        fits = [left for b, left in room.items() if left >= size and not held[b] & tags]
+        if x.bin_id in room:
+            assert room[x.bin_id] == min(fits) and not held[x.bin_id] & tags and x.bin_offset == 500 - room[x.bin_id]
+        else:
+            assert not [f for f in fits if f >= 2] and x.bin_offset == 0
+            room[x.bin_id], held[x.bin_id] = 500, set()
+        room[x.bin_id] -= size
+        held[x.bin_id] |= tags
+    assert int(out.n_words.sum()) == int(sizes.sum()) and min(room.values()) >= 0
