@@ -23,7 +23,6 @@ long are an error.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np

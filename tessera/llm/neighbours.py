@@ -275,35 +275,27 @@ def packed(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(own), _cut(center[start], rows), _cut(sizes, rows), _cut(member, many), _cut(fresh, many)], schema=PACKS)
 
 
-def requests(packs: DataFrame, column: str, key: str = "part") -> DataFrame:
-    """(part, node): every node that a row's list of nodes holds, once a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                nodes = np.unique(np.frombuffer(blob or b"", np.int64))
-                for i in range(0, len(nodes), 100_000):
-                    own = nodes[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part)), pa.array(own)], names=["part", "node"])
-
-    return packs.select(key, column).mapInArrow(run, "part long, node long")
-
-
 SHIPPED = pa.schema([("part", pa.int64()), ("nodes", pa.binary()), ("codes", pa.binary()), ("worst", pa.binary())])
 
 
-def shipped(packs: DataFrame, column: str, graph: DataFrame) -> DataFrame:
-    """Vectors of all nodes that each row's list holds, by the asking part: one request, and one answer, for two parts.
+def shipped(packs: DataFrame, column: str, graph: DataFrame, also: str | None = None) -> DataFrame:
+    """Vectors of all nodes that rows' lists (and a node of each row, ``also``) hold, by the asking part: one request, and one answer, for two parts.
 
-    (part, nodes, codes, worst), each a binary of a part's nodes.  Rows go with the pairs of parts that have to do with each other, not with nodes.
+    (part, nodes, codes, worst), each a binary of a part's nodes.  Rows go with the pairs of parts that have to do with each other, not with nodes;
+    rows of one part should lie together, and its answers may hold a node more than once.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                nodes = np.unique(np.frombuffer(blob or b"", np.int64))  # in order, so a part's nodes are together
-                homes, sizes = np.unique(nodes >> BITS, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(homes), pa.array(np.full(len(homes), part)), _cut(nodes, sizes)], names=["home", "part", "nodes"])
+            nodes, sizes = _blobs(b.column(1), np.int64)
+            part = b.column(0).to_numpy()
+            of = np.repeat(part, sizes)
+            if also is not None:
+                nodes, of = np.concatenate((nodes, b.column(2).to_numpy())), np.concatenate((of, part))
+            both = np.unique(np.stack((of, nodes), 1), axis=0)  # in order, so the nodes of two parts are together
+            of, nodes = both[:, 0], both[:, 1]
+            start = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (nodes[1:] >> BITS != nodes[:-1] >> BITS)))) if len(of) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[start] >> BITS), pa.array(of[start]), _cut(nodes, np.diff(np.append(start, len(nodes))))], names=["home", "part", "nodes"])
 
     def answer(asked: pa.Table, own: pa.Table) -> pa.Table:
         if not len(asked) or not len(own):
@@ -316,20 +308,25 @@ def shipped(packs: DataFrame, column: str, graph: DataFrame) -> DataFrame:
         at = np.searchsorted(ids, nodes)
         return pa.Table.from_arrays([asked.column("part").combine_chunks(), _cut(nodes, sizes), _cut(codes[at].view(f"V{codes.shape[1]}").ravel(), sizes), _cut(worst[at], sizes)], schema=SHIPPED)
 
-    asked = packs.select("part", column).mapInArrow(ask, "home long, part long, nodes binary")
+    asked = packs.select("part", column, *([also] if also else [])).mapInArrow(ask, "home long, part long, nodes binary")
     own = graph.select(part_of("node").alias("home"), "node", "code", "worst")
     return asked.groupBy("home").cogroup(own.groupBy("home")).applyInArrow(answer, _ddl(SHIPPED))
 
 
+def _unpacked(vectors: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``shipped``: the nodes in order, each once, their codes, and their worst scores."""
+    ids, worst = _blobs(vectors.column("nodes"), np.int64)[0], _blobs(vectors.column("worst"), np.float64)[0]
+    codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1) if len(ids) else np.zeros((0, 12), np.uint8)
+    ids, at = np.unique(ids, return_index=True)
+    return ids, codes[at], worst[at]
+
+
 def proposals(packs: pa.Table, vectors: pa.Table) -> pa.Table:
     """Local joins of a part's centers: pairs of members, one of them new, nearer than the worst either has, as lists by part of the member."""
     if not len(packs) or not len(vectors):
         return LISTS.empty_table()
-    ids, worst = _blobs(vectors.column("nodes"), np.int64)[0], _blobs(vectors.column("worst"), np.float64)[0]
-    codes = np.frombuffer(b"".join(vectors.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-    order = np.argsort(ids)
-    ids, worst = ids[order], worst[order]
-    x, bias = _read(codes[order])
+    ids, codes, worst = _unpacked(vectors)
+    x, bias = _read(codes)
     sizes, member, fresh = (_blobs(packs.column(c), t)[0] for c, t in (("sizes", np.int64), ("members", np.int64), ("fresh", np.bool_)))
     member, begin = np.searchsorted(ids, member), np.cumsum(sizes) - sizes
     held: list[tuple[np.ndarray, ...]] = []
@@ -429,9 +426,8 @@ def widened(beam: int) -> Callable:
     def run(beams: pa.Table, vectors: pa.Table) -> pa.Table:
         if not len(beams):
             return BEAMS.empty_table()
-        vectors = vectors.take(pa.array(np.argsort(vectors.column("node").to_numpy())))
-        known = vectors.column("node").to_numpy()
-        x = _decoded(vectors.column("code"))[0] if len(known) else None
+        known, codes, _ = _unpacked(vectors)
+        x = _read(codes)[0] if len(known) else None
         ids, scores, done = [], [], []
         for query, own, s, old, found in zip(*(beams.column(c).to_pylist() for c in BEAMS.names[1:]), strict=True):
             if not found:
@@ -499,8 +495,7 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
             asks, started = asks.withColumns({"found": F.concat("found", "ids"), "ids": F.lit(b"")}), True
         asks = written(asks, "asks")
         walking = asks.where(F.length("found") > 0)
-        wanted = requests(walking, "found").unionByName(walking.select("part", F.col("query").alias("node"))).distinct()
-        vectors = wanted.join(graph.select("node", "code"), "node")
+        vectors = shipped(walking, "found", graph, also="query")
         beams = written(asks.groupBy("part").cogroup(vectors.groupBy("part")).applyInArrow(widened(beam), _ddl(BEAMS)), "beams")
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

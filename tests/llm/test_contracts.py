@@ -115,7 +115,7 @@ def test_neighbours(spark, queries):
 
 
 def test_html(spark, queries):
-    """The given pages mark their article: its words are the text, nothing of the containers beside it."""
+    """Columns, white space and the titles of the given pages; whole texts are held in test_vectors."""
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries["op7_html_extraction"](spark, SF).collect()
     assert len(rows) == len(pages)
