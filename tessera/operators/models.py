@@ -100,21 +100,27 @@ TREES = 100
 def importances(df: DataFrame, columns: list[str], target: str, trees: int = TREES, seed: int = 42) -> DataFrame:
     """Random-forest importances: classes for a text target, else values; none for fewer than two complete rows.
 
-    The rows are written first: every level of every tree reads them again.
+    The rows are written first, over all cores: every level of every tree reads them again.
     """
     whole = df.dropna(subset=[*columns, target]).select(*[q(c).cast("double").alias(c) for c in columns], q(target))
     if whole.limit(2).count() < 2:
         return df.sparkSession.createDataFrame([], "column string, importance double")
     data = VectorAssembler(inputCols=columns, outputCol="_x").transform(whole)
     if dict(df.dtypes)[target] == "string":
-        data = written(StringIndexer(inputCol=target, outputCol="_y").fit(whole).transform(data).select("_x", "_y"), "forest-rows")
+        data = written(_spread(StringIndexer(inputCol=target, outputCol="_y").fit(whole).transform(data).select("_x", "_y")), "forest-rows")
         model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed, maxDepth=8).fit(data)
     else:
-        data = written(data.select("_x", q(target).cast("double").alias("_y")), "forest-rows")
+        data = written(_spread(data.select("_x", q(target).cast("double").alias("_y"))), "forest-rows")
         model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed, maxDepth=8).fit(data)
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "column string, importance double")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over as many tasks as there are cores, where a small file would keep them in fewer."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def split(df: DataFrame, key: str, share: float = 0.2, target: str | None = None) -> DataFrame:
     """Rows with ``is_validation``: by a hash of the key the same rows each time; with a ``target``, of each class exactly its rounded share.
 
