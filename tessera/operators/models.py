@@ -22,6 +22,7 @@ from tessera.functions.ranks import quantiles
 from tessera.functions.selection import smallest_of_groups
 from tessera.functions.tables import written
 from tessera.operators.features import centered
+from tessera.operators.forests import CELLS, edges_of, forest_shares, n_cells
 
 
 def cluster(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -93,26 +94,33 @@ def anomalies(df: DataFrame, key: str, columns: list[str], contamination: float
     return scored.withColumn("is_anomaly", F.col("score") > F.lit(cut).cast("double"))
 
 
-#: Trees of a forest that tells importances.
-TREES = 100
+#: Trees of a forest that tells importances, and classes that it knows by cells.
+TREES, LEVELS = 100, 100
 
 
 def importances(df: DataFrame, columns: list[str], target: str, trees: int = TREES, seed: int = 42) -> DataFrame:
     """Random-forest importances: classes for a text target, else values; none for fewer than two complete rows.
 
-    The rows are written first, over all cores: every level of every tree reads them again.
+    Where the bins of the columns make few cells, one pass over the rows gives all trees what they need (``forests``).  With more of them MLlib
+    grows the forest on rows that are written first, over all cores: every level of every tree reads them again.
     """
+    spark, text = df.sparkSession, dict(df.dtypes)[target] == "string"
     whole = df.dropna(subset=[*columns, target]).select(*[q(c).cast("double").alias(c) for c in columns], q(target))
     if whole.limit(2).count() < 2:
-        return df.sparkSession.createDataFrame([], "column string, importance double")
+        return spark.createDataFrame([], "column string, importance double")
+    edges = edges_of(whole, columns)
+    levels = sorted(r[0] for r in whole.select(q(target)).distinct().limit(LEVELS + 1).collect()) if text else None
+    if n_cells(edges) * len(levels or [1]) <= CELLS and len(levels or []) <= LEVELS and target not in columns:
+        shares = forest_shares(whole, columns, target, levels, edges, trees, 8, seed)
+        return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, shares, strict=True)], "column string, importance double")
     data = VectorAssembler(inputCols=columns, outputCol="_x").transform(whole)
-    if dict(df.dtypes)[target] == "string":
+    if text:
         data = written(_spread(StringIndexer(inputCol=target, outputCol="_y").fit(whole).transform(data).select("_x", "_y")), "forest-rows")
         model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed, maxDepth=8).fit(data)
     else:
         data = written(_spread(data.select("_x", q(target).cast("double").alias("_y"))), "forest-rows")
         model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed, maxDepth=8).fit(data)
-    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "column string, importance double")
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "column string, importance double")
 
 
 def _spread(df: DataFrame) -> DataFrame:
