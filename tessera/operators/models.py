@@ -204,8 +204,10 @@ def cluster_candidates(df: DataFrame, columns: list[str], sizes: tuple[int, ...]
     return df.sparkSession.createDataFrame(sorted(found, key=lambda r: -r[1]), "k int, silhouette double")
 
 
-#: Asked rows that are compared with every row; columns whose quantile bins make the cells of a tree, bins of each (a power of two), rows of a leaf (about).
-FEW, SPLIT, BIN_BITS, LEAF = 100, 3, 10, 32
+#: Asked rows that are compared with every row; columns whose quantile bins make the cells of a tree, bits of their bins, points of a leaf (about).
+FEW, SPLIT, BIN_BITS, LEAF = 100, 3, 13, 32
+#: Levels of the tree that a step goes down, cells of a level that are broadcast, and places of a task.
+STRIDE, MOST_CELLS, PLACES = 4, 1 << 18, 20_000
 
 
 def nearest_rows(df: DataFrame, key: str, columns: list[str], changed: str, pct: float, asked: DataFrame) -> DataFrame:
@@ -220,51 +222,79 @@ def nearest_rows(df: DataFrame, key: str, columns: list[str], changed: str, pct:
     few = keys.limit(FEW + 1).count() <= FEW
     own = rows.join(F.broadcast(keys) if few else keys, q(key) == F.col("asked_key"), "left_semi").select(q(key).alias("asked_key"), *[z(q(c) * (1 + pct) if c == changed else q(c), i).cast("double").alias(f"a{i}") for i, c in enumerate(columns)])
     other = rows.select(q(key).alias("nearest_key"), *[z(q(c), i).cast("double").alias(f"b{i}") for i, c in enumerate(columns)])
-    if few:
-        pairs = other.join(F.broadcast(own), F.col("nearest_key") != F.col("asked_key"))
-    else:
-        pairs = _nearest_by_cells(own, other, len(columns))
-    near = pairs.withColumn("distance", F.sqrt(_sum((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(len(columns)))))
+    if not few:
+        return _nearest_by_cells(own, other, len(columns))
+    pairs = other.join(F.broadcast(own), F.col("nearest_key") != F.col("asked_key"))
+    near = pairs.withColumn("distance", _distance(len(columns)))
     return near.groupBy("asked_key").agg(F.min(F.struct("distance", "nearest_key")).alias("m")).select("asked_key", "m.nearest_key", "m.distance")
 
 
+def _distance(k: int) -> Column:
+    return F.sqrt(_sum((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(k)))
+
+
 def _sum(terms: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
 def _nearest_by_cells(own: DataFrame, other: DataFrame, k: int) -> DataFrame:
-    """Pairs of asked rows (asked_key, a0..) and rows (nearest_key, b0..) among which each asked row's nearest is.
+    """(asked_key, nearest_key, distance) of asked rows (asked_key, a0..) among rows (nearest_key, b0..).
 
-    Rows get a code whose bits alternate between quantile bins of the first columns; its leading bits are a cell.  From the whole table down, an
-    asked row keeps the cells whose box could hold a nearer row than the farthest corner of the best box: bounds, so
-    nothing is lost.  All asked rows go down a level at once by an equi-join on the cell.
+    Rows of equal values are one point with its two smallest keys, and asked rows that move to one place ask once.  Only where the key
+    found is the asked row's own does that row ask again, by itself.
+    """
+    a, b = [f"a{i}" for i in range(k)], [f"b{i}" for i in range(k)]
+    lowest = F.dense_rank().over(Window.partitionBy(*b).orderBy("nearest_key"))
+    points = other.where("nearest_key IS NOT NULL").withColumn("_r", lowest).where("_r <= 2").groupBy(*b).agg(F.min("nearest_key").alias("k0"), F.max("nearest_key").alias("k1"))
+    coded, asks = _leaves_asked(written(own.select(*a).distinct(), "places"), written(points, "points"), k)
+    told = written(own.join(_best(asks, coded, a, k), a), "told")
+    again = told.where("nearest_key = asked_key").select("asked_key", *a).join(asks, a)
+    found = told.where("nearest_key <> asked_key").select("asked_key", "nearest_key", "distance").unionByName(_best(written(again, "again"), coded, ["asked_key"], k))
+    return found.groupBy("asked_key").agg(F.min(F.struct("distance", "nearest_key")).alias("m")).select("asked_key", "m.nearest_key", "m.distance")
+
+
+def _best(asks: DataFrame, coded: DataFrame, by: list[str], k: int) -> DataFrame:
+    """(by..., distance, nearest_key): the smallest key at the smallest distance, an asked key left out.  Two sums of numbers, no sort of pairs."""
+    key = F.when(F.col("k0") != F.col("asked_key"), F.col("k0")).otherwise(F.when(F.col("k1") != F.col("asked_key"), F.col("k1"))) if "asked_key" in asks.columns else F.col("k0")
+    near = lambda x: x.join(coded, "leaf").withColumns({"nearest_key": key, "_d": _distance(k)}).where("nearest_key IS NOT NULL")
+    least = written(near(asks).groupBy(*by).agg(F.min("_d").alias("distance")), "distances")
+    return near(asks.join(least, by)).where("_d = distance").groupBy(*by, "distance").agg(F.min("nearest_key").alias("nearest_key"))
+
+
+def _leaves_asked(places: DataFrame, points: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Points (b0.., k0, k1) with their ``leaf``, and places (a0..) with each leaf that could hold one of their two nearest keys.
+
+    Points get a code whose bits alternate between quantile bins of the first columns, each with the bits that its distinct bins need; its
+    leading bits are a cell.  From the whole table down, a place keeps the cells whose box could hold a nearer point than the
+    farthest corner of the best box of two keys: bounds, so nothing is lost.  Cells are few, so a place goes down all levels in
+    one task and no shuffle.
     """
-    dims = range(min(k, SPLIT))
-    edges = other.agg(*[F.percentile_approx(f"b{i}", [j / (1 << BIN_BITS) for j in range(1, 1 << BIN_BITS)], 10_000) for i in dims]).first()
-    n = other.count()
-    coded = other
+    a, dims, n = [f"a{i}" for i in range(k)], range(min(k, SPLIT)), points.count()
+    wanted = max(1, math.ceil(math.log2(max(n, 2) / LEAF)))
+    fine = 1 << min(BIN_BITS, wanted)
+    edges = points.agg(*[F.percentile_approx(f"b{i}", [j / fine for j in range(1, fine)] or [0.5], 10_000) for i in dims]).first()
+    coded, bits = points, []
     for i in dims:
         splits = [float("-inf"), *sorted(set(edges[i] or [])), float("inf")]
-        binned = Bucketizer(splits=splits, inputCol=f"b{i}", outputCol=f"_bin{i}").transform(coded) if len(splits) > 2 else coded.withColumn(f"_bin{i}", F.lit(0))
-        coded = binned.withColumn(f"_bin{i}", F.col(f"_bin{i}").cast("int"))
-    bits = [F.shiftright(F.col(f"_bin{i}"), BIN_BITS - 1 - level).bitwiseAND(1).cast("long") for level in range(BIN_BITS) for i in dims]
-    depth = max(1, min(len(bits), math.ceil(math.log2(max(n, 2) / LEAF))))
-    code = reduce(lambda a, b: a * 2 + b, bits[:depth])
-    coded = written(coded.withColumn("leaf", code).drop(*[f"_bin{i}" for i in dims]), "coded")
+        coded = Bucketizer(splits=splits, inputCol=f"b{i}", outputCol=f"_bin{i}").transform(coded).withColumn(f"_bin{i}", F.col(f"_bin{i}").cast("int")) if len(splits) > 2 else coded.withColumn(f"_bin{i}", F.lit(0))
+        bits.append((len(splits) - 2).bit_length())
+    order = [F.shiftright(F.col(f"_bin{i}"), bits[i] - 1 - level).bitwiseAND(1).cast("long") for level in range(max(bits)) for i in dims if level < bits[i]] or [F.lit(0).cast("long")]
+    depth = min(len(order), wanted)
+    coded = written(coded.withColumn("leaf", reduce(lambda x, y: x * 2 + y, order[:depth])).drop(*[f"_bin{i}" for i in dims]), "coded")
     box = [x for i in range(k) for x in (F.min(f"b{i}").alias(f"lo{i}"), F.max(f"b{i}").alias(f"hi{i}"))]
-    leaves = written(coded.groupBy("leaf").agg(F.min("nearest_key").alias("k0"), F.max("nearest_key").alias("k1"), *box), "leaves")
+    leaves = written(coded.groupBy("leaf").agg(F.min("k0").alias("k0"), F.max("k1").alias("k1"), *box), "leaves")
     merged = [x for i in range(k) for x in (F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"))]
-    frontier = written(own.withColumn("cell", F.lit(0).cast("long")), "asked")
-    levels = [*range(2 * len(dims), depth, 2 * len(dims)), depth]
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-places.count() // PLACES))
+    frontier = places.repartition(tasks, *a).withColumn("cell", F.lit(0).cast("long"))
+    levels = [*range(STRIDE, depth, STRIDE), depth]
     for above, level in zip([0, *levels[:-1]], levels, strict=True):
-        cell = F.shiftright("leaf", depth - level)
-        cells = leaves.groupBy(cell.alias("inner")).agg(F.min("k0").alias("k0"), F.max("k1").alias("k1"), *merged).withColumn("cell", F.shiftright("inner", level - above))
-        down = frontier.join(cells, "cell")
+        cells = leaves.groupBy(F.shiftright("leaf", depth - level).alias("inner")).agg(F.min("k0").alias("k0"), F.max("k1").alias("k1"), *merged).withColumn("cell", F.shiftright("inner", level - above))
+        down = frontier.join(F.broadcast(cells) if 1 << level <= MOST_CELLS else cells, "cell")
         gap = lambda i: F.greatest(F.col(f"lo{i}") - F.col(f"a{i}"), F.col(f"a{i}") - F.col(f"hi{i}"), F.lit(0.0))
         far = lambda i: F.greatest(F.abs(F.col(f"lo{i}") - F.col(f"a{i}")), F.abs(F.col(f"a{i}") - F.col(f"hi{i}")))
         # A cell of one key may hold the asked row alone: no bound.
         most = F.when(F.col("k0") != F.col("k1"), _sum(far(i) ** 2 for i in range(k))).otherwise(float("inf"))
         told = down.withColumns({"least": _sum(gap(i) ** 2 for i in range(k)), "most": most})
-        bound = F.min("most").over(Window.partitionBy("asked_key"))
-        frontier = written(told.withColumn("bound", bound).where("least <= bound").select("asked_key", *[f"a{i}" for i in range(k)], F.col("inner").alias("cell")), "frontier")
-    return frontier.withColumnRenamed("cell", "leaf").join(coded, "leaf").where(F.col("nearest_key") != F.col("asked_key"))
+        bound = F.min("most").over(Window.partitionBy(*a))
+        frontier = told.withColumn("bound", bound).where("least <= bound").select(*a, F.col("inner").alias("cell"))
+    return coded, written(frontier.withColumnRenamed("cell", "leaf"), "frontier")

@@ -58,3 +58,30 @@ def test_importances_of_many_columns_keep_their_rows(spark):
     df = spark.createDataFrame(np.column_stack([x, x[:, 0]]).tolist(), ", ".join(f"c{i} double" for i in range(6)) + ", y double")
     got = {r["column"]: r["importance"] for r in models.importances(df, [f"c{i}" for i in range(6)], "y", trees=5).collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and max(got, key=got.get) == "c0"
+
+
+def test_nearest_rows_of_copies_and_few_values(spark, monkeypatch):
+    """A column of few values takes its share of the cells, and copies are one point: pairs stay near LEAF for each place."""
+    r = np.random.default_rng(4)
+    x = np.column_stack([r.normal(size=1500).round(3) * 100, r.integers(0, 25, 1500)])
+    x = np.concatenate([x, x, x[:500], [[0.0, 3.0], [0.0, 3.0], [0.0, 7.0]]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "k long, a double, b double")
+    seen = []
+    best = models._best
+
+    def counted(asks, coded, by, k):
+        seen.append(asks.join(coded, "leaf").count())
+        return best(asks, coded, by, k)
+
+    monkeypatch.setattr(models, "_best", counted)
+    got = {t["asked_key"]: (t["nearest_key"], t["distance"]) for t in models.nearest_rows(df, "k", ["a", "b"], "a", 0.1, df.select("k")).collect()}
+    mean, sd = x.mean(0), x.std(0)
+    z = (x - mean) / sd
+    for i in range(len(x)):
+        d = np.sqrt(((z - (x[i] * [1.1, 1] - mean) / sd) ** 2).sum(1))
+        d[i] = np.inf
+        key, distance = got[i]
+        same = [j for j in np.flatnonzero((x == x[key]).all(1)) if j != i]
+        assert abs(distance - d.min()) < 1e-9 and abs(d[key] - d.min()) < 1e-9 and key == same[0]
+    assert len(got) == len(x)
+    assert sum(seen) < 1503 * 400, seen
