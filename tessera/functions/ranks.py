@@ -45,17 +45,23 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
     return counts.select("value", "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
+#: Rows of a range that one task ranks: ranges become more with the rows, not larger.
+RANGE_ROWS = 200_000
+
+
 def ranked_rows(df: DataFrame, column: str) -> DataFrame:
     """Rows with ``rank`` (average of ties, from 1), ``ties`` (how many rows share the value) and ``is_first`` (one row of each value).
 
     Rows are dealt by ranges of the value and a number drawn for each row, so that a value of many rows is split over tasks
     evenly.  Ranks and ties are counted within a range; a row for each range tells what comes before it, and how many ties of
-    its first and last value lie beyond its edges.  No join on values.  Rows without a value are left out.
+    its first and last value lie beyond its edges.  No join on values.  Rows without a value are left out.  The number of ranges follows the
+    number of rows, so what a task sorts at once doesn't grow with the table.
     """
     rows = df.where(q(column).isNotNull()).withColumn("_x", q(column).cast("double")).withColumn("_salt", F.rand(17))
-    rows = written(rows.repartitionByRange("_x", "_salt").withColumn("_part", F.spark_partition_id()), "ranked")
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
+    rows = written(rows.repartitionByRange(ranges, "_x", "_salt").withColumn("_part", F.spark_partition_id()), "ranked")
     within = Window.partitionBy("_part").orderBy("_x")
-    told = rows.withColumns({"_r": F.rank().over(within), "_e": F.count("*").over(Window.partitionBy("_part", "_x")), "_i": F.row_number().over(Window.partitionBy("_part", "_x").orderBy("_salt"))})
+    told = rows.repartition(ranges, "_part").withColumns({"_r": F.rank().over(within), "_e": F.count("*").over(Window.partitionBy("_part", "_x")), "_i": F.row_number().over(Window.partitionBy("_part", "_x").orderBy("_salt"))})
     told = written(told, "ranks-in-parts")
     ends = told.groupBy("_part").agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.min_by("_e", "_x").alias("n_lo"), F.max_by("_e", "_x").alias("n_hi")).orderBy("_part").collect()
     carried, base = [], 0

@@ -85,3 +85,17 @@ def test_nearest_rows_of_copies_and_few_values(spark, monkeypatch):
         assert abs(distance - d.min()) < 1e-9 and abs(d[key] - d.min()) < 1e-9 and key == same[0]
     assert len(got) == len(x)
     assert sum(seen) < 1503 * 400, seen
+
+
+def test_ranges_grow_in_number(spark, monkeypatch):
+    from tessera.functions import ranks
+
+    kept = []
+    plain = ranks.written
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 100, raising=False)
+    monkeypatch.setattr(ranks, "written", lambda df, name: kept.append(plain(df, name)) or kept[-1])
+    df = spark.range(5000).select("id", F.when(F.col("id") < 2500, F.lit(7.0)).otherwise(F.col("id") * 1.0).alias("x"))
+    got = ranks.ranked_rows(df, "x")
+    assert got.where("ties = 2500").agg(F.min("rank"), F.max("rank"), F.count("*")).first()[:] == (1250.5, 1250.5, 2500)
+    assert got.where("ties = 1 AND rank <> id + 1").count() == 0
+    assert kept[0].groupBy("_part").count().agg(F.max("count")).first()[0] <= 400
