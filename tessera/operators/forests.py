@@ -75,19 +75,25 @@ def _sums(df: DataFrame, columns: list[str], target: str, levels: list | None, e
 
 
 def tree_gains(n: np.ndarray, s: np.ndarray, bins: np.ndarray, counts: list[int], tried: int, depth: int, rng: np.random.Generator) -> np.ndarray:
-    """What each feature's splits take off the impurity (times the weight) in one tree, as shares.
+    """What each feature's splits take off the impurity (times the weight) in one tree, as shares."""
+    return grown(n, s, bins, counts, tried, depth, rng)[0]
+
+
+def grown(n: np.ndarray, s: np.ndarray, bins: np.ndarray, counts: list[int], tried: int, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """The shares of ``tree_gains``, and what the tree says of each cell (the mean of its leaf), cells without rows included.
 
     Cells have a weight ``n``, sums ``s`` (of the target: variance; of each class: Gini) and bins.  Each node tries ``tried`` features.
     """
-    gains = np.zeros(len(counts))
+    gains, told = np.zeros(len(counts)), np.zeros(s.shape)
     usable = [f for f, c in enumerate(counts) if c > 1]
-    open_ = [(np.flatnonzero(n > 0), depth)]
+    open_ = [(np.arange(len(n)), depth)]
     while open_:
         at, left = open_.pop()
-        if left == 0 or len(at) < 2:
-            continue
         all_n, all_s = n[at].sum(), s[:, at].sum(1)
-        least = 1e-12 * (s[:, at] ** 2 / n[at]).sum()
+        told[:, at] = (all_s / all_n if all_n else all_s)[:, None]
+        if left == 0 or (n[at] > 0).sum() < 2:
+            continue
+        least = 1e-12 * (s[:, at] ** 2 / np.maximum(n[at], 1e-300)).sum()
         best = (least, -1, -1)
         for f in rng.permutation(len(counts))[:tried]:
             if f not in usable:
@@ -105,7 +111,7 @@ def tree_gains(n: np.ndarray, s: np.ndarray, bins: np.ndarray, counts: list[int]
             gains[best[1]] += best[0]
             low = bins[best[1]][at] <= best[2]
             open_ += [(at[low], left - 1), (at[~low], left - 1)]
-    return gains / (gains.sum() or 1.0)
+    return gains / (gains.sum() or 1.0), told
 
 
 def forest_shares(df: DataFrame, columns: list[str], target: str, levels: list | None, edges: list[np.ndarray], trees: int, depth: int, seed: int) -> np.ndarray:
@@ -126,3 +132,18 @@ def forest_shares(df: DataFrame, columns: list[str], target: str, levels: list |
     rows = _sums(df, columns, target, levels, edges, trees, seed).groupBy("tree").applyInPandas(grow, "gains array<double>").toPandas()
     total = np.sum(np.stack(rows["gains"]), axis=0)
     return total / (total.sum() or 1.0)
+
+
+def forest_values(df: DataFrame, columns: list[str], target: str, edges: list[np.ndarray], trees: int, depth: int, seed: int) -> np.ndarray:
+    """What a forest on complete rows says of each cell: the mean of its trees."""
+    cells, counts, k = n_cells(edges), [len(e) + 1 for e in edges], len(columns)
+    centre = df.agg(F.avg(q(target).cast("double"))).first()[0] or 0.0
+
+    def grow(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        n, total = sum(np.frombuffer(d, np.float64) for d in parts["data"]).reshape(2, cells)
+        bins = np.array(np.unravel_index(np.arange(cells), counts))
+        return pd.DataFrame({"told": [grown(n, total[None], bins, counts, math.ceil(k / 3), depth, np.random.default_rng([seed, int(key[0])]))[1][0]]})
+
+    less = df.withColumn(target, q(target).cast("double") - F.lit(centre))
+    rows = _sums(less, columns, target, None, edges, trees, seed).groupBy("tree").applyInPandas(grow, "told array<double>").toPandas()
+    return np.mean(np.stack(rows["told"]), axis=0) + centre

@@ -22,7 +22,7 @@ from tessera.functions.ranks import quantiles
 from tessera.functions.selection import smallest_of_groups
 from tessera.functions.tables import written
 from tessera.operators.features import centered
-from tessera.operators.forests import CELLS, edges_of, forest_shares, n_cells
+from tessera.operators.forests import BINS, CELLS, edges_of, forest_shares, forest_values, n_cells
 
 
 def cluster(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -166,8 +166,15 @@ def compare_models(df: DataFrame, key: str, columns: list[str], target: str, mod
         return nothing
     chosen = {k: v for k, v in CLASSIFIERS.items() if sides[2] == 2 or k not in TWO_CLASSES} if classes else REGRESSORS
     judge = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy") if classes else RegressionEvaluator(labelCol="_y", metricName="rmse")
+    known: dict[str, float] = {}
+    if not classes and not params:
+        names = models or list(chosen)
+        known = _linear_errors(data, [n for n in names if n in LINEAR]) | _cell_errors(data, columns, [n for n in names if n not in LINEAR])
     found = []
     for name in models or list(chosen):
+        if name in known:
+            found.append((name, "rmse", known[name]))
+            continue
         estimator = chosen[name](featuresCol="_x", labelCol="_y")
         for k, v in (params or {}).items():
             estimator.set(estimator.getParam(k), v)
@@ -176,6 +183,53 @@ def compare_models(df: DataFrame, key: str, columns: list[str], target: str, mod
     return df.sparkSession.createDataFrame(found, "model string, metric string, value double")
 
 
+#: Candidates that are linear.
+LINEAR = frozenset(("linear", "ridge", "lasso", "elastic_net"))
+
+
+def _linear_errors(data: DataFrame, names: list[str]) -> dict[str, float]:
+    """Held-out RMSE of linear candidates: a pass for each fit, one for all errors."""
+    told = data.where("is_validation")
+    for name in names:
+        told = REGRESSORS[name](featuresCol="_x", labelCol="_y", predictionCol=f"_p_{name}").fit(data.where("NOT is_validation")).transform(told)
+    errors = told.agg(*[F.sqrt(F.avg((F.col("_y") - F.col(f"_p_{n}")) ** 2)) for n in names]).first() if names else []
+    return {n: float(e) for n, e in zip(names, errors, strict=True)}
+
+
+def _cell_errors(data: DataFrame, columns: list[str], names: list[str]) -> dict[str, float]:
+    """Held-out RMSE of trees, by cells of bins; nothing where they are too many.
+
+    A tree asks for means and weights of bins alone, and so do boosting's residuals, as what it says is one value a cell: cells with a mean and a weight
+    are fitted as their rows would be.  A forest's bootstraps need a pass over the rows.  Errors are those of every held-out row: a cell's spread and its mean's miss.
+    """
+    train = data.where("NOT is_validation")
+    edges = edges_of(train, columns) if names else []
+    if not names or n_cells(edges) > CELLS:
+        return {}
+    binned = data
+    for i, (c, e) in enumerate(zip(columns, edges, strict=True)):
+        splits = [float("-inf"), *np.nextafter(e, np.inf).tolist(), float("inf")]  # an edge belongs to the bin below it
+        binned = binned.withColumn(f"_v{i}", q(c).cast("double"))
+        binned = Bucketizer(splits=splits, inputCol=f"_v{i}", outputCol=f"_b{i}").transform(binned) if len(e) else binned.withColumn(f"_b{i}", F.lit(0.0))
+        binned = binned.withColumn(f"_b{i}", F.col(f"_b{i}") + 1)  # MLlib guesses the number of zeros, which it needn't with none
+    at, y = [f"_b{i}" for i in range(len(columns))], F.col("_y").cast("double")
+    cells = binned.groupBy("is_validation", *at).agg(F.count("*").cast("double").alias("_w"), F.avg(y).alias("_m"), F.var_pop(y).alias("_v"))
+    cells = written(VectorAssembler(inputCols=at, outputCol="_x").transform(cells).withColumnRenamed("_m", "_y"), "model-cells")
+    held = cells.where("is_validation")
+    rmse = lambda p: F.sqrt(F.sum(F.col("_w") * (F.col("_v") + (F.col("_y") - p) ** 2)) / F.sum("_w"))
+    out = {}
+    for name in names:
+        if name == "forest":
+            values = forest_values(train, columns, "_y", edges, 20, 5, 42)
+            h = held.select(*at, "_w", "_y", "_v").toPandas()  # a row for each cell
+            said = values[np.ravel_multi_index([h[c].to_numpy().astype(int) - 1 for c in at], [len(e) + 1 for e in edges])]
+            out[name] = float(np.sqrt((h["_w"] * (h["_v"] + (h["_y"] - said) ** 2)).sum() / h["_w"].sum()))
+        else:
+            told = REGRESSORS[name](featuresCol="_x", labelCol="_y", weightCol="_w", maxBins=2 * BINS).fit(cells.where("NOT is_validation")).transform(held)
+            out[name] = float(told.agg(rmse(F.col("prediction"))).first()[0])
+    return out
+
+
 #: Candidate clusterings compare by silhouette.
 CLUSTERS = (2, 3, 4, 5, 6)
 

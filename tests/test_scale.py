@@ -99,3 +99,20 @@ def test_ranges_grow_in_number(spark, monkeypatch):
     assert got.where("ties = 2500").agg(F.min("rank"), F.max("rank"), F.count("*")).first()[:] == (1250.5, 1250.5, 2500)
     assert got.where("ties = 1 AND rank <> id + 1").count() == 0
     assert kept[0].groupBy("_part").count().agg(F.max("count")).first()[0] <= 400
+
+
+def test_trees_of_cells_err_as_trees_of_rows(spark):
+    x = _rows(4000)
+    df = models.split(spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "k long, a double, b double, c double, _y double"), "k").cache()
+    cols = ["a", "b", "c"]
+    edges = edges_of(df.where("NOT is_validation"), cols)
+    rows = df.toPandas()
+    for c, e in zip(cols, edges, strict=True):
+        rows[c] = np.searchsorted(e, rows[c]) + 1.0
+    told = VectorAssembler(inputCols=cols, outputCol="_x").transform(spark.createDataFrame(rows))
+    got = models._cell_errors(df, cols, ["tree", "boosting", "forest"])
+    for name in got:
+        p = models.REGRESSORS[name](featuresCol="_x", labelCol="_y", maxBins=64).fit(told.where("NOT is_validation")).transform(told.where("is_validation"))
+        want = p.agg(F.sqrt(F.avg((F.col("_y") - F.col("prediction")) ** 2))).first()[0]
+        assert abs(got[name] / want - 1) < (0.15 if name == "forest" else 1e-6), (name, got[name], want)
+    assert models._linear_errors(VectorAssembler(inputCols=cols, outputCol="_x").transform(df), ["linear"])["linear"] > 0
