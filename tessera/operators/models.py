@@ -25,6 +25,16 @@ from tessera.operators.features import centered
 from tessera.operators.forests import BINS, CELLS, edges_of, forest_shares, forest_values, n_cells
 
 
+#: Rows that one task of k-means keeps between rounds.
+TASK_ROWS = 1_000_000
+
+
+def _in_tasks(z: DataFrame) -> DataFrame:
+    """Vectors alone, in tasks of TASK_ROWS at most: a part of a compressed file holds many times its bytes once it is kept as objects."""
+    tasks, narrow = -(-z.count() // TASK_ROWS), z.select("features")
+    return narrow.repartition(tasks) if tasks > narrow.rdd.getNumPartitions() else narrow
+
+
 def cluster(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows with their cluster (standardized complete rows), and a summary: size, centroid in original units, silhouette.
 
@@ -34,7 +44,7 @@ def cluster(df: DataFrame, columns: list[str], k: int = 4, seed: int = 42) -> tu
     if z.limit(k).count() < k:  # fewer rows than clusters: none
         empty = z.drop("features").withColumn("cluster", F.lit(0)).limit(0)
         return empty, empty.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(q(c)).alias(c) for c in columns]).withColumn("silhouette", F.lit(None).cast("double"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(z)
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(_in_tasks(z))
     rows = model.transform(z)
     several = rows.select("cluster").distinct().count() > 1
     silhouette = float(ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(rows)) if several else None
@@ -252,9 +262,10 @@ def tuned(df: DataFrame, key: str, columns: list[str], target: str, model: str,
 def cluster_candidates(df: DataFrame, columns: list[str], sizes: tuple[int, ...] = CLUSTERS, seed: int = 42) -> DataFrame:
     """(k, silhouette) of k-means for each number of clusters, best first."""
     z = written(centered(df, columns).select("features"), "centered")
+    dealt = _in_tasks(z)
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
     sizes = tuple(k for k in sizes if z.limit(k).count() >= k)
-    found = [(k, float(judge.evaluate(KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(z).transform(z)))) for k in sizes]
+    found = [(k, float(judge.evaluate(KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(dealt).transform(z)))) for k in sizes]
     return df.sparkSession.createDataFrame(sorted(found, key=lambda r: -r[1]), "k int, silhouette double")
 
 

@@ -116,3 +116,13 @@ def test_trees_of_cells_err_as_trees_of_rows(spark):
         want = p.agg(F.sqrt(F.avg((F.col("_y") - F.col("prediction")) ** 2))).first()[0]
         assert abs(got[name] / want - 1) < (0.15 if name == "forest" else 1e-6), (name, got[name], want)
     assert models._linear_errors(VectorAssembler(inputCols=cols, outputCol="_x").transform(df), ["linear"])["linear"] > 0
+
+
+def test_tasks_of_k_means_hold_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "TASK_ROWS", 100, raising=False)
+    seen = []
+    fit = models.KMeans.fit
+    monkeypatch.setattr(models.KMeans, "fit", lambda self, df, *a: seen.append(df.rdd.glom().map(len).collect()) or fit(self, df, *a))
+    df = spark.createDataFrame(_rows().tolist(), "a double, b double, c double, y double").coalesce(1)
+    rows, _ = models.cluster(df, ["a", "b"], 3)
+    assert rows.count() == sum(seen[0]) == 3000 and max(seen[0]) <= 130
