@@ -49,44 +49,47 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
 RANGE_ROWS = 200_000
 
 
+def _same(a: float, b: float) -> bool:
+    """Equal as Spark orders doubles: NaN is a value."""
+    return a == b or (math.isnan(a) and math.isnan(b))
+
+
 def ranked_rows(df: DataFrame, column: str) -> DataFrame:
     """Rows with ``rank`` (average of ties, from 1), ``ties`` (how many rows share the value) and ``is_first`` (one row of each value).
 
     Rows are dealt by ranges of the value and a number drawn for each row, so that a value of many rows is split over tasks
     evenly.  Ranks and ties are counted within a range; a row for each range tells what comes before it, and how many ties of
     its first and last value lie beyond its edges.  No join on values.  Rows without a value are left out.  The number of ranges follows the
-    number of rows, so what a task sorts at once doesn't grow with the table.
+    number of rows and a task ranks one range, in one sort, so what it holds doesn't grow with the table.
     """
-    rows = df.where(q(column).isNotNull()).withColumn("_x", q(column).cast("double")).withColumn("_salt", F.rand(17))
+    rows = df.where(q(column).isNotNull()).withColumn("_x", q(column).cast("double"))
     ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
-    rows = written(rows.repartitionByRange(ranges, "_x", "_salt").withColumn("_part", F.spark_partition_id()), "ranked")
-    within = Window.partitionBy("_part").orderBy("_x")
-    told = rows.repartition(ranges, "_part").withColumns({"_r": F.rank().over(within), "_e": F.count("*").over(Window.partitionBy("_part", "_x")), "_i": F.row_number().over(Window.partitionBy("_part", "_x").orderBy("_salt"))})
-    told = written(told, "ranks-in-parts")
-    ends = told.groupBy("_part").agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"), F.min_by("_e", "_x").alias("n_lo"), F.max_by("_e", "_x").alias("n_hi")).orderBy("_part").collect()
-    carried, base = [], 0
-    for i, e in enumerate(ends):  # a row for each range
-        before = after = 0
-        for j in range(i - 1, -1, -1):
-            if ends[j]["hi"] != e["lo"]:
-                break
-            before += ends[j]["n_hi"]
-            if ends[j]["lo"] != e["lo"]:
-                break
-        for j in range(i + 1, len(ends)):
-            if ends[j]["lo"] != e["hi"]:
-                break
-            after += ends[j]["n_lo"]
-            if ends[j]["hi"] != e["hi"]:
-                break
-        carried.append((e["_part"], base, e["lo"], e["hi"], before, after))
-        base += e["n"]
+    dealt = rows.withColumn("_salt", F.rand(17)).repartitionByRange(ranges, "_x", "_salt").drop("_salt")
+    rows = written(dealt.withColumn("_part", F.spark_partition_id()), "ranked")
+    sides = rows.groupBy("_part").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    at = lambda side: F.count_if(F.col("_x") == F.col(side)).alias(f"n_{side}")
+    ends = rows.join(F.broadcast(sides), "_part").groupBy("_part", "lo", "hi").agg(F.count("*").alias("n"), at("lo"), at("hi")).orderBy("_part").collect()
+    # A row for each range: what comes before it, and ties of its edges in the ranges before and after.
+    base, before, after = [0] * len(ends), [0] * len(ends), [0] * len(ends)
+    for i in range(1, len(ends)):
+        e = ends[i - 1]
+        base[i] = base[i - 1] + e["n"]
+        if _same(e["hi"], ends[i]["lo"]):
+            before[i] = e["n_hi"] + (before[i - 1] if _same(e["lo"], e["hi"]) else 0)
+    for i in range(len(ends) - 2, -1, -1):
+        e = ends[i + 1]
+        if _same(e["lo"], ends[i]["hi"]):
+            after[i] = e["n_lo"] + (after[i + 1] if _same(e["lo"], e["hi"]) else 0)
+    carried = [(e["_part"], b, e["lo"], e["hi"], f, t) for e, b, f, t in zip(ends, base, before, after, strict=True)]
     edges = df.sparkSession.createDataFrame(carried, "_part int, _base long, _lo double, _hi double, _before long, _after long")
+    # Dealt by the range's number itself: hashes of it would meet, and leave some tasks several ranges.
+    within = Window.partitionBy("_part").orderBy("_x")
+    told = rows.repartitionById(ranges, F.col("_part")).withColumns({"_r": F.rank().over(within), "_i": F.row_number().over(within), "_upto": F.count("*").over(within)})
     out = told.join(F.broadcast(edges), "_part")
     earlier = F.when(F.col("_x") == F.col("_lo"), F.col("_before")).otherwise(0)
-    ties = F.col("_e") + earlier + F.when(F.col("_x") == F.col("_hi"), F.col("_after")).otherwise(0)
+    ties = F.col("_upto") - F.col("_r") + 1 + earlier + F.when(F.col("_x") == F.col("_hi"), F.col("_after")).otherwise(0)
     less = F.col("_base") + F.col("_r") - 1 - earlier
-    return out.select(*[q(c) for c in df.columns], (less + (ties + 1) / 2.0).alias("rank"), ties.alias("ties"), ((F.col("_i") == 1) & (earlier == 0)).alias("is_first"))
+    return out.select(*[q(c) for c in df.columns], (less + (ties + 1) / 2.0).alias("rank"), ties.alias("ties"), ((F.col("_i") == F.col("_r")) & (earlier == 0)).alias("is_first"))
 
 
 def running(parts: DataFrame, column: str, sums: dict[str, str], descending: bool = False) -> DataFrame:

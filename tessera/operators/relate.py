@@ -235,7 +235,8 @@ def with_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman's rho of complete pairs, their number, and the two-sided p of its t with n - 2 degrees (null for fewer than 3 pairs)."""
     whole = df.where(q(a).isNotNull() & q(b).isNotNull()).select(q(a).alias("a"), q(b).alias("b"))
-    out = with_ranks(with_ranks(whole, "a", "ra"), "b", "rb").agg(corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
+    once = written(with_ranks(whole, "a", "ra"), "ranked-once")  # a range partitioner reads its rows twice
+    out = with_ranks(once, "b", "rb").agg(corr("ra", "rb").alias("rho"), F.count("*").alias("n"))
     t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))
     p = F.when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(on_rows(t_two_sided)(t, F.when(F.col("n") > 2, F.col("n") - 2)))
     return out.withColumn("p", F.when(F.col("n") > 2, p))

@@ -126,3 +126,25 @@ def test_tasks_of_k_means_hold_few_rows(spark, monkeypatch):
     df = spark.createDataFrame(_rows().tolist(), "a double, b double, c double, y double").coalesce(1)
     rows, _ = models.cluster(df, ["a", "b"], 3)
     assert rows.count() == sum(seen[0]) == 3000 and max(seen[0]) <= 130
+
+
+def test_a_task_ranks_one_range(spark, monkeypatch):
+    """No task of the ranking gets two ranges, and rows are ordered once."""
+    from tessera.functions import ranks
+
+    kept = []
+    plain = ranks.written
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 50)
+    monkeypatch.setattr(ranks, "written", lambda df, name: kept.append(plain(df, name)) or kept[-1])
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).otherwise(F.floor(F.col("id") / 7) * 1.0).alias("x"))
+    got = ranks.ranked_rows(df, "x")
+    largest = kept[0].groupBy("_part").count().agg(F.max("count")).first()[0]
+    tasks = got.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.count("*")).first()
+    assert tasks[0] == largest and tasks[1] == kept[0].select("_part").distinct().count() > 40
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1, plan
+    x = np.array([np.inf if i % 3 == 0 else i // 7 for i in range(3000)])
+    rows = got.toPandas().set_index("id").sort_index()
+    n = (x[:, None] == x[None]).sum(1)
+    assert (rows["ties"].to_numpy() == n).all() and np.allclose(rows["rank"], (x[:, None] > x[None]).sum(1) + (n + 1) / 2)
+    assert rows["is_first"].sum() == len(np.unique(x))
