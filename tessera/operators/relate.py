@@ -242,18 +242,16 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("p", F.when(F.col("n") > 2, p))
 
 
-def _rank_sums(df: DataFrame, group: str, column: str) -> tuple[DataFrame, DataFrame]:
+def _rank_sums(df: DataFrame, group: str, column: str) -> DataFrame:
+    """(g, n, rank_sum, ties): of each group its rows, the sum of their ranks, and of the values first met in it the sum of t^3 - t over their ties."""
     whole = df.where(q(group).isNotNull() & q(column).isNotNull()).select(q(group).cast("string").alias("g"), q(column).cast("double").alias("x"))
-    ranks = written(ranked_rows(whole, "x").select("g", "rank", "ties", "is_first"), "group-ranks")
-    sums = ranks.groupBy("g").agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"))
     t = F.col("ties").cast("double")
-    return sums, ranks.agg(F.count("*").cast("double").alias("total"), F.sum(F.when(F.col("is_first"), t * t * t - t)).alias("ties"))
+    return ranked_rows(whole, "x").groupBy("g").agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"), F.sum(F.when(F.col("is_first"), t * t * t - t)).alias("ties"))
 
 
 def kruskal(df: DataFrame, group: str, column: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction, degrees and p; H null where all values are equal, no row without values."""
-    sums, ties = _rank_sums(df, group, column)
-    s = sums.agg(F.count("*").alias("k"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("r2")).where("k > 0").join(ties)  # single rows
+    s = _rank_sums(df, group, column).agg(F.count("*").alias("k"), F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("r2"), F.sum("n").cast("double").alias("total"), F.sum("ties").alias("ties")).where("k > 0")
     n = F.col("total")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("r2") - 3 * (n + 1), 1 - F.try_divide("ties", n * n * n - n))
     degrees = (F.col("k") - 1).cast("long")
@@ -262,8 +260,7 @@ def kruskal(df: DataFrame, group: str, column: str) -> DataFrame:
 
 def mann_whitney(df: DataFrame, group: str, column: str) -> DataFrame:
     """U of the smaller group name, z with tie and continuity correction (null where all values are equal), two-sided p; two groups only."""
-    sums, ties = _rank_sums(df, group, column)
-    s = sums.agg(F.count("*").alias("k"), F.min_by("n", "g").cast("double").alias("n1"), F.max_by("n", "g").cast("double").alias("n2"), F.min_by("rank_sum", "g").alias("r1")).where("k = 2").join(ties)
+    s = _rank_sums(df, group, column).agg(F.count("*").alias("k"), F.min_by("n", "g").cast("double").alias("n1"), F.max_by("n", "g").cast("double").alias("n2"), F.min_by("rank_sum", "g").alias("r1"), F.sum("n").cast("double").alias("total"), F.sum("ties").alias("ties")).where("k = 2")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
     mean, n = F.col("n1") * F.col("n2") / 2, F.col("total")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12 * F.greatest(n + 1 - F.try_divide("ties", n * (n - 1)), F.lit(0.0)))

@@ -148,3 +148,29 @@ def test_a_task_ranks_one_range(spark, monkeypatch):
     n = (x[:, None] == x[None]).sum(1)
     assert (rows["ties"].to_numpy() == n).all() and np.allclose(rows["rank"], (x[:, None] > x[None]).sum(1) + (n + 1) / 2)
     assert rows["is_first"].sum() == len(np.unique(x))
+
+
+def test_rank_sums_add_up_in_one_pass(spark, monkeypatch):
+    """Ranks of rows aren't written: sums of groups tell totals and ties, groups that no value is first in included."""
+    from tessera.operators import relate
+
+    def refused(*_):
+        raise AssertionError("ranks are written")
+
+    monkeypatch.setattr(relate, "written", refused)
+    monkeypatch.setattr("tessera.functions.ranks.RANGE_ROWS", 100)
+    r = np.random.default_rng(8)
+    g, x = r.integers(0, 2, 2000), np.where(r.random(2000) < 0.5, 3.0, r.integers(0, 400, 2000) / 2)
+    df = spark.createDataFrame([(f"g{a}", float(b)) for a, b in zip(g, x, strict=True)], "g string, x double")
+    t = np.unique(x, return_counts=True)[1].astype(float)
+    rank = (x[:, None] > x[None]).sum(1) + ((x[:, None] == x[None]).sum(1) + 1) / 2
+    n, n1, n2 = 2000, (g == 0).sum(), (g == 1).sum()
+    sums = [rank[g == i].sum() for i in (0, 1)]
+    h = (12 / (n * (n + 1)) * (sums[0] ** 2 / n1 + sums[1] ** 2 / n2) - 3 * (n + 1)) / (1 - (t**3 - t).sum() / (n**3 - n))
+    u = sums[0] - n1 * (n1 + 1) / 2
+    z = (abs(u - n1 * n2 / 2) - 0.5) / math.sqrt(n1 * n2 / 12 * (n + 1 - (t**3 - t).sum() / (n * (n - 1))))
+    assert relate.kruskal(df, "g", "x").first()["h"] == pytest.approx(h)
+    got = relate.mann_whitney(df, "g", "x").first()
+    assert got["u"] == u and got["z"] == pytest.approx(z)
+    same = relate.kruskal(spark.createDataFrame([("a", 1.0), ("b", 1.0)], "g string, x double"), "g", "x").first()
+    assert same["h"] is None and same["degrees"] == 1
