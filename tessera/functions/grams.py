@@ -29,20 +29,24 @@ def _matrix(batch: pa.RecordBatch, columns: int) -> np.ndarray:
     return x
 
 
-def _added(parts: DataFrame) -> dict[int, np.ndarray]:
-    """key -> sum of its arrays of doubles; rows of (key, data) are added where they meet."""
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            x = np.frombuffer(data.as_buffer(), np.float64)
+            held[key] = held[key] + x if key in held else x.copy()
+    for key, x in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["key", "data"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(data.as_buffer(), np.float64)
-                held[key] = held[key] + x if key in held else x.copy()
-        for key, x in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["key", "data"])
-
-    first = parts.withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(FAN))).repartition("key", "turn").select("key", "data").mapInArrow(add, "key long, data binary")
-    table = first.repartition("key").mapInArrow(add, "key long, data binary").toArrow()
+
+def fewer(parts: DataFrame) -> DataFrame:
+    """(key, data) with the arrays of doubles of a key added where they meet: FAN partial sums of each key at most, whatever the tasks before."""
+    return parts.withColumn("turn", F.pmod(F.spark_partition_id(), F.lit(FAN))).repartition("key", "turn").select("key", "data").mapInArrow(_add, "key long, data binary")
+
+
+def _added(parts: DataFrame) -> dict[int, np.ndarray]:
+    """key -> sum of its arrays of doubles."""
+    table = fewer(parts).repartition("key").mapInArrow(_add, "key long, data binary").toArrow()
     return {k: np.frombuffer(d, np.float64) for k, d in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)}
 
 

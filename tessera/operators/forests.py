@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import q
-from tessera.functions.grams import POISSON
+from tessera.functions.grams import POISSON, fewer
 
 #: Bins of a feature, quantiles among which distinct values are sought, and cells times classes that a task holds for each tree.
 BINS, GRID, CELLS = 32, 1024, 1 << 16
@@ -47,7 +47,7 @@ def cell_of(x: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
 
 
 def _sums(df: DataFrame, columns: list[str], target: str, levels: list | None, edges: list[np.ndarray], trees: int, seed: int) -> DataFrame:
-    """(tree, data) of each task: bootstrap counts by class and cell, or counts and sums of the target by cell."""
+    """(key, data): bootstrap counts by class and cell, or counts and sums of the target by cell, in a few partial sums of each tree (the key)."""
     cells, k = n_cells(edges), len(columns)
     classes = len(levels) if levels else 0
     y = F.array_position(F.array(*[F.lit(v) for v in levels]), q(target)) - 1 if levels else q(target)
@@ -69,9 +69,10 @@ def _sums(df: DataFrame, columns: list[str], target: str, levels: list | None, e
                     total[t, 0] += np.bincount(cell, w, cells)
                     total[t, 1] += np.bincount(cell, w * v, cells)
         for t in range(trees):
-            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([total[t].tobytes()], pa.binary())], names=["tree", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([total[t].tobytes()], pa.binary())], names=["key", "data"])
 
-    return df.select(*[q(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)], y.cast("double").alias("_y")).mapInArrow(run, "tree int, data binary")
+    rows = df.select(*[q(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)], y.cast("double").alias("_y"))
+    return fewer(rows.mapInArrow(run, "key long, data binary"))
 
 
 def tree_gains(n: np.ndarray, s: np.ndarray, bins: np.ndarray, counts: list[int], tried: int, depth: int, rng: np.random.Generator) -> np.ndarray:
@@ -129,7 +130,7 @@ def forest_shares(df: DataFrame, columns: list[str], target: str, levels: list |
         bins = np.array(np.unravel_index(np.arange(cells), counts))
         return pd.DataFrame({"gains": [tree_gains(n, s, bins, counts, tried, depth, np.random.default_rng([seed, int(key[0])]))]})
 
-    rows = _sums(df, columns, target, levels, edges, trees, seed).groupBy("tree").applyInPandas(grow, "gains array<double>").toPandas()
+    rows = _sums(df, columns, target, levels, edges, trees, seed).groupBy("key").applyInPandas(grow, "gains array<double>").toPandas()
     total = np.sum(np.stack(rows["gains"]), axis=0)
     return total / (total.sum() or 1.0)
 
@@ -145,5 +146,5 @@ def forest_values(df: DataFrame, columns: list[str], target: str, edges: list[np
         return pd.DataFrame({"told": [grown(n, total[None], bins, counts, math.ceil(k / 3), depth, np.random.default_rng([seed, int(key[0])]))[1][0]]})
 
     less = df.withColumn(target, q(target).cast("double") - F.lit(centre))
-    rows = _sums(less, columns, target, None, edges, trees, seed).groupBy("tree").applyInPandas(grow, "told array<double>").toPandas()
+    rows = _sums(less, columns, target, None, edges, trees, seed).groupBy("key").applyInPandas(grow, "told array<double>").toPandas()
     return np.mean(np.stack(rows["told"]), axis=0) + centre

@@ -174,3 +174,17 @@ def test_rank_sums_add_up_in_one_pass(spark, monkeypatch):
     assert got["u"] == u and got["z"] == pytest.approx(z)
     same = relate.kruskal(spark.createDataFrame([("a", 1.0), ("b", 1.0)], "g string, x double"), "g", "x").first()
     assert same["h"] is None and same["degrees"] == 1
+
+
+def test_partial_sums_of_trees_are_few(spark, monkeypatch):
+    """What one task reads of a tree doesn't grow with the tasks before."""
+    from tessera.functions import grams
+    from tessera.operators import forests
+
+    monkeypatch.setattr(grams, "FAN", 2)
+    df = spark.createDataFrame(_rows().tolist(), "a double, b double, c double, y double").repartition(12)
+    edges = edges_of(df, ["a", "b"])
+    rows = forests._sums(df, ["a", "b"], "y", None, edges, 3, 1).toPandas()
+    assert len(rows) <= 3 * 2
+    n = [sum(np.frombuffer(d, np.float64) for d in own["data"]).reshape(2, -1)[0].sum() for _, own in rows.groupby(rows.columns[0])]
+    assert len(n) == 3 and all(abs(v - 3000) < 5 * math.sqrt(3000) for v in n)
