@@ -25,7 +25,7 @@ from tessera.operators.features import centered
 from tessera.operators.forests import BINS, CELLS, edges_of, forest_shares, forest_values, n_cells
 
 
-#: Rows that one task of k-means keeps between rounds.
+#: Rows that one task of k-means or of MLlib's forest keeps between rounds.
 TASK_ROWS = 1_000_000
 
 
@@ -112,7 +112,7 @@ def importances(df: DataFrame, columns: list[str], target: str, trees: int = TRE
     """Random-forest importances: classes for a text target, else values; none for fewer than two complete rows.
 
     Where the bins of the columns make few cells, one pass over the rows gives all trees what they need (``forests``).  With more of them MLlib
-    grows the forest on rows that are written first, over all cores: every level of every tree reads them again.
+    grows the forest on rows that are written first and dealt to tasks of TASK_ROWS at most: every level of every tree reads them again.
     """
     spark, text = df.sparkSession, dict(df.dtypes)[target] == "string"
     whole = df.dropna(subset=[*columns, target]).select(*[q(c).cast("double").alias(c) for c in columns], q(target))
@@ -125,18 +125,18 @@ def importances(df: DataFrame, columns: list[str], target: str, trees: int = TRE
         return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, shares, strict=True)], "column string, importance double")
     data = VectorAssembler(inputCols=columns, outputCol="_x").transform(whole)
     if text:
-        data = written(_spread(StringIndexer(inputCol=target, outputCol="_y").fit(whole).transform(data).select("_x", "_y")), "forest-rows")
+        data = _spread(written(StringIndexer(inputCol=target, outputCol="_y").fit(whole).transform(data).select("_x", "_y"), "forest-rows"))
         model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed, maxDepth=8).fit(data)
     else:
-        data = written(_spread(data.select("_x", q(target).cast("double").alias("_y"))), "forest-rows")
+        data = _spread(written(data.select("_x", q(target).cast("double").alias("_y")), "forest-rows"))
         model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed, maxDepth=8).fit(data)
     return spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "column string, importance double")
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Rows over as many tasks as there are cores, where a small file would keep them in fewer."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Written rows over as many tasks as there are cores, where a small file would keep them in fewer, and over more where one would get over TASK_ROWS."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def split(df: DataFrame, key: str, share: float = 0.2, target: str | None = None) -> DataFrame:

@@ -188,3 +188,17 @@ def test_partial_sums_of_trees_are_few(spark, monkeypatch):
     assert len(rows) <= 3 * 2
     n = [sum(np.frombuffer(d, np.float64) for d in own["data"]).reshape(2, -1)[0].sum() for _, own in rows.groupby(rows.columns[0])]
     assert len(n) == 3 and all(abs(v - 3000) < 5 * math.sqrt(3000) for v in n)
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_tasks_of_a_forest_hold_few_rows(spark, monkeypatch, text):
+    """Rows of many columns reach MLlib in tasks of TASK_ROWS, whatever the files hold."""
+    monkeypatch.setattr(models, "TASK_ROWS", 50)
+    seen, kind = [], "RandomForestClassifier" if text else "RandomForestRegressor"
+    fit = getattr(models, kind).fit
+    monkeypatch.setattr(getattr(models, kind), "fit", lambda self, df, *a: seen.append(df.rdd.glom().map(len).collect()) or fit(self, df, *a))
+    x = np.random.default_rng(2).normal(size=(500, 6))
+    df = spark.createDataFrame(np.column_stack([x, x[:, 0]]).tolist(), ", ".join(f"c{i} double" for i in range(6)) + ", y double").coalesce(1)
+    df = df.withColumn("y", F.when(F.col("y") > 0, "high").otherwise("low")) if text else df
+    got = models.importances(df, [f"c{i}" for i in range(6)], "y", trees=3).count()
+    assert got == 6 and sum(seen[0]) == 500 and max(seen[0]) <= 65
