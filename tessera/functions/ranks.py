@@ -45,8 +45,10 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
     return counts.select("value", "n", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
-#: Rows of a range that one task ranks: ranges become more with the rows, not larger.
-RANGE_ROWS = 200_000
+#: Rows of a range that one task ranks: ranges become more with the rows, not larger, up to MOST_RANGES.  A shuffle to so many (Spark's
+#: ``spark.shuffle.sort.bypassMergeThreshold``) writes each row straight to a file of its range; beyond, a task holds and sorts all rows
+#: of the split that it deals, which are far more than those of a range.
+RANGE_ROWS, MOST_RANGES = 200_000, 200
 
 
 def _same(a: float, b: float) -> bool:
@@ -59,11 +61,11 @@ def ranked_rows(df: DataFrame, column: str) -> DataFrame:
 
     Rows are dealt by ranges of the value and a number drawn for each row, so that a value of many rows is split over tasks
     evenly.  Ranks and ties are counted within a range; a row for each range tells what comes before it, and how many ties of
-    its first and last value lie beyond its edges.  No join on values.  Rows without a value are left out.  The number of ranges follows the
-    number of rows and a task ranks one range, in one sort, so what it holds doesn't grow with the table.
+    its first and last value lie beyond its edges.  No join on values.  Rows without a value are left out.  A task ranks one range, in one
+    sort: RANGE_ROWS rows while the number of ranges can follow the number of rows, one in MOST_RANGES of a larger table's rows.
     """
     rows = df.where(q(column).isNotNull()).withColumn("_x", q(column).cast("double"))
-    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS))
+    ranges = min(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // RANGE_ROWS)), MOST_RANGES)
     dealt = rows.withColumn("_salt", F.rand(17)).repartitionByRange(ranges, "_x", "_salt").drop("_salt")
     rows = written(dealt.withColumn("_part", F.spark_partition_id()), "ranked")
     sides = rows.groupBy("_part").agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
@@ -92,6 +94,15 @@ def ranked_rows(df: DataFrame, column: str) -> DataFrame:
     return out.select(*[q(c) for c in df.columns], (less + (ties + 1) / 2.0).alias("rank"), ties.alias("ties"), ((F.col("_i") == F.col("_r")) & (earlier == 0)).alias("is_first"))
 
 
+def ranked_counts(df: DataFrame, column: str) -> DataFrame:
+    """Distinct rows with ``n`` (how many rows each stands for) and the ``rank``, ``ties`` and ``is_first`` of ``ranked_rows``: for tables of few distinct rows."""
+    same = df.where(q(column).isNotNull()).groupBy(*[q(c) for c in df.columns]).agg(F.count("*").alias("n"))
+    values = same.groupBy(q(column).alias("_v")).agg(F.sum("n").alias("_ties"), F.collect_list(F.struct(*[q(c) for c in same.columns])).alias("_rows"))
+    placed = running(ranged(values, "_v"), "_v", {"_upto": "_ties"})
+    each = placed.select((F.col("_upto") - (F.col("_ties") - 1) / 2.0).alias("rank"), F.col("_ties").alias("ties"), F.posexplode("_rows").alias("_at", "_row"))
+    return each.select("_row.*", "rank", "ties", (F.col("_at") == 0).alias("is_first"))
+
+
 def running(parts: DataFrame, column: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """``parts`` (from ``ranged``) with running sums of columns in the order of ``column``, its own row included."""
     order = lambda c: F.desc(c) if descending else F.col(c).asc()

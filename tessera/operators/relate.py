@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import grams
 from tessera.functions.columns import corr, per_column, q
 from tessera.functions.distributions import chi2_sf, f_sf, normal_sf, on_rows, t_two_sided
-from tessera.functions.ranks import quantiles, ranked_rows
+from tessera.functions.ranks import quantiles, ranked_counts, ranked_rows
 from tessera.functions.selection import group_quantiles
 from tessera.functions.tables import written
 from tessera.operators.describe import bins_of
@@ -242,11 +242,20 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("p", F.when(F.col("n") > 2, p))
 
 
+#: Pairs of a group and a value (by a sketch) up to which equal rows are counted before they are ranked; a task's table of more would grow with its rows.
+COUNTED = 100_000
+
+
 def _rank_sums(df: DataFrame, group: str, column: str) -> DataFrame:
-    """(g, n, rank_sum, ties): of each group its rows, the sum of their ranks, and of the values first met in it the sum of t^3 - t over their ties."""
+    """(g, n, rank_sum, ties): of each group its rows, the sum of their ranks, and of the values first met in it the sum of t^3 - t over their ties.
+
+    Few values are counted first, so that no row is dealt; of more, each row is ranked.
+    """
     whole = df.where(q(group).isNotNull() & q(column).isNotNull()).select(q(group).cast("string").alias("g"), q(column).cast("double").alias("x"))
+    few = whole.agg(F.approx_count_distinct(F.struct("g", "x"))).first()[0] <= COUNTED
+    ranked = ranked_counts(whole, "x") if few else ranked_rows(whole, "x").withColumn("n", F.lit(1).cast("long"))
     t = F.col("ties").cast("double")
-    return ranked_rows(whole, "x").groupBy("g").agg(F.count("*").alias("n"), F.sum("rank").alias("rank_sum"), F.sum(F.when(F.col("is_first"), t * t * t - t)).alias("ties"))
+    return ranked.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("rank_sum"), F.sum(F.when(F.col("is_first"), t * t * t - t)).alias("ties"))
 
 
 def kruskal(df: DataFrame, group: str, column: str) -> DataFrame:

@@ -176,6 +176,45 @@ def test_rank_sums_add_up_in_one_pass(spark, monkeypatch):
     assert same["h"] is None and same["degrees"] == 1
 
 
+def test_ranges_are_dealt_without_holding_rows(spark, monkeypatch):
+    """At most 200 ranges (spark.shuffle.sort.bypassMergeThreshold), in both shuffles: for more, a task holds the rows of its whole split."""
+    from tessera.functions import ranks
+
+    kept = []
+    plain = ranks.written
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 20)
+    monkeypatch.setattr(ranks, "written", lambda df, name: kept.append(plain(df, name)) or kept[-1])
+    got = ranks.ranked_rows(spark.range(6000).select("id", F.when(F.col("id") < 1000, F.lit(7.0)).otherwise(F.col("id") * 1.0).alias("x")), "x")
+    assert 100 < kept[0].select("_part").distinct().count() <= 200
+    assert got.rdd.getNumPartitions() <= 200
+    assert got.where("CASE WHEN id < 1000 THEN rank <> 500.5 OR ties <> 1000 ELSE rank <> id + 1 OR ties <> 1 END").count() == 0
+    assert got.agg(F.count("*"), F.count_if("is_first")).first()[:] == (6000, 5001)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_few_values_are_counted_before_they_are_ranked(spark, monkeypatch, most):
+    """Rank sums come from counts where values are few, from rows where they aren't, and are the same: NaN and zeros of both signs are values."""
+    from tessera.operators import relate
+
+    called = []
+    monkeypatch.setattr(relate, "COUNTED", most)
+    monkeypatch.setattr("tessera.functions.ranks.RANGE_ROWS", 100)
+    for name in ("ranked_rows", "ranked_counts"):
+        plain = getattr(relate, name)
+        monkeypatch.setattr(relate, name, lambda *a, plain=plain, name=name: called.append(name) or plain(*a))
+    r = np.random.default_rng(9)
+    x, g = r.choice([-1.5, -0.0, 0.0, 2.0, 7.0, math.nan], 1500), r.choice(["a", "b", "c"], 1500)
+    g[x == 7.0] = "c"
+    df = spark.createDataFrame([(str(a), float(b)) for a, b in zip(g, x, strict=True)] + [("a", None), (None, 1.0)], "g string, x double")
+    got = relate._rank_sums(df, "g", "x").toPandas().set_index("g")
+    assert called == ["ranked_counts" if most else "ranked_rows"]
+    v = np.where(np.isnan(x), np.inf, x)
+    rank = (v[:, None] > v[None]).sum(1) + ((v[:, None] == v[None]).sum(1) + 1) / 2
+    t = np.unique(v + 0.0, return_counts=True)[1].astype(float)
+    assert {k: (d["n"], d["rank_sum"]) for k, d in got.iterrows()} == {k: ((g == k).sum(), rank[g == k].sum()) for k in "abc"}
+    assert got["ties"].sum() == (t**3 - t).sum()
+
+
 def test_partial_sums_of_trees_are_few(spark, monkeypatch):
     """What one task reads of a tree doesn't grow with the tasks before."""
     from tessera.functions import grams
